@@ -1,7 +1,7 @@
 """The queries and oracle SQL of this subpackage, by name."""
 
-from . import exact_dedup, golay_simhash
+from . import bpe, exact_dedup, golay_simhash, langid, mixing
 
-MODULES = (exact_dedup, golay_simhash)
+MODULES = (exact_dedup, mixing, bpe, langid, golay_simhash)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: q for m in MODULES for k, q in m.ORACLES.items()}
