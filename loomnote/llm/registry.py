@@ -1,7 +1,7 @@
 """The queries and oracle SQL of this subpackage, by name."""
 
-from . import bpe, exact_dedup, golay_simhash, langid, mixing, voronoi_knn
+from . import bpe, exact_dedup, golay_simhash, langid, mixing, voronoi_knn, warc_fixity
 
-MODULES = (voronoi_knn, exact_dedup, mixing, bpe, langid, golay_simhash)
+MODULES = (voronoi_knn, exact_dedup, mixing, bpe, langid, golay_simhash, warc_fixity)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: q for m in MODULES for k, q in m.ORACLES.items()}
