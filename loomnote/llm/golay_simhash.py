@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from .common import components, table, written
 
 SHINGLE, SEED, BITS = 4, 42, 4
+#: Members of a bucket from which on its largest component is not compared with itself.
+LARGE = 64
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _STEP = 1 << 16
 
@@ -85,7 +87,9 @@ def fuzzy_keys(prints: np.ndarray, tables: tuple[np.ndarray, ...]) -> tuple[np.n
     for kind, (a, b) in enumerate(((0, 1), (0, 2), (1, 2)), 3):
         (x, ux), (y, uy) = coded[a], coded[b]
         use = ux[:, :, None] & uy[:, None, :]
-        value = x[:, :, None] << 12 | y[:, None, :]
+        # Two such prints differ in one bit of either segment, so the parity of both segments together agrees.
+        parity = (np.bitwise_count(parts[a]) ^ np.bitwise_count(parts[b])).astype(np.int64) & 1
+        value = parity[:, None, None] << 24 | x[:, :, None] << 12 | y[:, None, :]
         at.append(np.nonzero(use)[0])
         keys.append(np.int64(kind) << 58 | value[use])
     return np.concatenate(at), np.concatenate(keys)
@@ -156,17 +160,21 @@ def link_components(prints: DataFrame, bits: int = BITS) -> DataFrame:
         .select(F.col("print").alias("u"), "v")
     )
     labels = components(first, "simhash-first")
-    # Members of different components that share a bucket; those of a bucket's largest component are compared with the rest only.
+    # Members of different components that share a bucket. In a large bucket those of its largest component are
+    # compared with the rest only, so that copies of one document are not compared with each other again.
     member = written(keyed.join(labels.withColumnRenamed("node", "print"), "print", "left").select("key", "print", F.coalesce("root", "print").alias("part")), "simhash-members")
-    mixed = (
+    sizes = (
         member.groupBy("key", "part").agg(F.count("*").alias("n"))
-        .groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("largest"), F.count("*").alias("parts"))
-        .where("parts > 1").select("key", "largest")
+        .groupBy("key").agg(F.sum("n").alias("n"), F.max_by("part", F.struct("n", "part")).alias("largest"), F.count("*").alias("parts"))
     )
-    few = member.alias("m").join(mixed.alias("x"), (F.col("m.key") == F.col("x.key")) & (F.col("m.part") != F.col("x.largest"))).select("m.key", "m.print", "m.part")
-    crossing = few.alias("a").join(
-        member.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.part") != F.col("b.part")) & F.expr(f"bit_count(a.print ^ b.print) <= {bits}")
-    ).select(F.col("a.part").alias("u"), F.col("b.part").alias("v"))
+    large = written(sizes.where(F.col("n") > LARGE).select("key", "largest", "parts"), "simhash-large")
+    near = F.expr(f"a.part <> b.part AND bit_count(a.print ^ b.print) <= {bits}")
+    small = member.join(large, "key", "left_anti")
+    within = small.alias("a").join(small.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.part") < F.col("b.part")) & near)
+    few = member.alias("m").join(large.where("parts > 1").alias("x"), (F.col("m.key") == F.col("x.key")) & (F.col("m.part") != F.col("x.largest"))).select("m.key", "m.print", "m.part")
+    across = few.alias("a").join(member.alias("b"), (F.col("a.key") == F.col("b.key")) & near)
+    ends = [F.col("a.part").alias("u"), F.col("b.part").alias("v")]
+    crossing = within.select(*ends).unionByName(across.select(*ends))
     joined = components(crossing, "simhash-crossing")
     least = labels.select(F.col("node").alias("print"), "root").unionByName(joined.select(F.col("node").alias("print"), F.col("node").alias("root"))).groupBy("print").agg(F.min("root").alias("part"))
     return least.join(joined.withColumnRenamed("node", "part"), "part", "left").select("print", F.coalesce("root", "part").alias("root"))
