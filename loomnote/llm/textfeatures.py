@@ -80,30 +80,15 @@ def gather(docs: DataFrame, labels: DataFrame, names: list[str], id_col: str = "
     order = np.repeat(np.arange(len(at)), sizes)
     y = np.array(got.column("labels").to_pylist(), np.int64).reshape(-1, len(names))
     flat = lambda c: got.column(c).combine_chunks().flatten().to_numpy().astype(np.int64)
-    return without_copies(Sample(order, flat("bucket"), flat("count"), got.column("tokens").to_numpy(), y))
-
-
-def without_copies(sample: Sample, hashes: int = 8, shared: int = 3) -> Sample:
-    """The sample without near copies of earlier rows, whose labels would else count many times: rows of which some min-hashes of the features are known."""
-    n = len(sample)
-    if not n or not len(sample.col):
-        return sample
-    known: Counter = Counter()
-    least = np.full((n, hashes), np.iinfo(np.int64).max)
-    for k in range(hashes):
-        np.minimum.at(least[:, k], sample.row, (sample.col * np.int64(2 * k + 0x9E3779B1) + k) * np.int64(0x85EBCA77) & 0x7FFFFFFFFFFF)
-    keep = np.zeros(n, bool)
-    for i, own in enumerate(least.tolist()):
-        own = list(enumerate(own))
-        keep[i] = sum(known[x] > 0 for x in own) < shared
-        if keep[i]:
-            known.update(own)
-    at, ok = np.cumsum(keep) - 1, keep[sample.row]
-    return Sample(at[sample.row[ok]], sample.col[ok], sample.count[ok], sample.tokens[keep], sample.labels[keep])
-
-
-def screen(sample: Sample, y: np.ndarray, least_z: float = 5.0, most: int = 1024) -> np.ndarray:
-    """Buckets whose presence goes with y (two-sample test of proportions), the strongest first."""
+    return Sample(order, flat("bucket"), flat("count"), got.column("tokens").to_numpy(), y)
+
+
+def screen(sample: Sample, y: np.ndarray, least_z: float = 4.5, least_share: float = 0.0, most: int = 1024) -> np.ndarray:
+    """Buckets whose presence goes with y (two-sample test of proportions): at most ``most``, ascending.
+
+    least_share: how strong a bucket must be at least beside the strongest. Copies of a mislabelled document make
+    all their words look telling; a share leaves them out where the true signs are much stronger.
+    """
     n, pos = len(sample), max(1, int(y.sum()))
     neg = max(1, n - pos)
     cols, inverse = np.unique(sample.col, return_inverse=True)
@@ -111,7 +96,7 @@ def screen(sample: Sample, y: np.ndarray, least_z: float = 5.0, most: int = 1024
     with_pos = np.bincount(inverse, weights=y[sample.row].astype(float), minlength=len(cols))
     p = with_ / n
     z = (with_pos / pos - (with_ - with_pos) / neg) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / pos + 1 / neg))
-    keep = (np.abs(z) >= least_z) & (with_ >= 5)
+    keep = (np.abs(z) >= max(least_z, least_share * np.abs(z).max(initial=0))) & (with_ >= 5)
     found = cols[keep][np.argsort(-np.abs(z[keep]), kind="stable")][:most]
     return np.unique(np.concatenate([found, [CAPITALS, REPEATS]]))
 

@@ -18,6 +18,8 @@ from .common import table
 from .textfeatures import Sample, dense, features, fit_logistic, gather, screen, sigmoid, value
 
 FOLDS = 5
+#: How telling a feature must be beside the best, and the probability from which on a document counts as toxic.
+LEAST_SHARE, TOXIC = 0.4, 0.4
 
 
 def fit_chain(sample: Sample, folds: int = FOLDS) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -25,7 +27,7 @@ def fit_chain(sample: Sample, folds: int = FOLDS) -> list[tuple[np.ndarray, np.n
     fold = np.arange(len(sample)) % folds
     earlier, chain = np.zeros((len(sample), 0)), []
     for y in sample.labels.T:
-        chosen = screen(sample, y)
+        chosen = screen(sample, y, least_share=LEAST_SHARE)
         x = np.concatenate([dense(sample, chosen, False), earlier], 1)
         chain.append((chosen, fit_logistic(x, y)))
         out = np.zeros(len(y))
@@ -66,7 +68,7 @@ def op6_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The labels name two categories: low quality comes first in the chain, toxic last."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     chain = fit_chain(gather(docs, labels.select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic"), ["low_quality", "toxic"]))
-    return predict(docs.select("doc_id", "text"), chain).select("doc_id", F.col("p")[0].alias("p_low_quality"), F.col("p")[1].alias("p_toxic"), (F.col("p")[1] >= 0.5).alias("toxic"))
+    return predict(docs.select("doc_id", "text"), chain).select("doc_id", F.col("p")[0].alias("p_low_quality"), F.col("p")[1].alias("p_toxic"), (F.col("p")[1] >= TOXIC).alias("toxic"))
 
 
 QUERIES = {"op6_toxicity_chain": op6_toxicity_chain}
