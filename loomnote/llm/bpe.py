@@ -17,7 +17,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,8 +45,10 @@ def _blocks(docs: DataFrame, block_bytes: int, words: bool) -> DataFrame:
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, ids, texts, held = TaskContext.get().partitionId() << 32, [], [], 0
+        block, ids, texts, held = None, [], [], 0
         for batch in batches:
+            if block is None and len(batch):
+                block = batch.column(2)[0].as_py() << 32
             sizes, start = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False), 0
             for i, size in enumerate(sizes.tolist(), 1):
                 held += size
@@ -61,6 +62,8 @@ def _blocks(docs: DataFrame, block_bytes: int, words: bool) -> DataFrame:
         if ids:
             yield emit(block, ids, texts)
 
+    # The scan's own partition number, which stays the same whatever the scan is part of.
+    docs = docs.select("id", "text", F.spark_partition_id().alias("part"))
     return docs.mapInArrow(run, "block long, words array<string>" if words else f"block long, ids array<{id_type}>, counts array<int>, codes binary, n long, n_words long")
 
 
