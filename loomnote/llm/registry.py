@@ -1,7 +1,7 @@
 """The queries and oracle SQL of this subpackage, by name."""
 
-from . import bpe, exact_dedup, golay_simhash, langid, mixing, ordinal_quality, toxicity, voronoi_knn, warc_fixity
+from . import bpe, exact_dedup, golay_simhash, html_mincut, langid, mixing, ordinal_quality, toxicity, voronoi_knn, warc_fixity
 
-MODULES = (ordinal_quality, voronoi_knn, exact_dedup, mixing, bpe, toxicity, langid, golay_simhash, warc_fixity)
+MODULES = (ordinal_quality, voronoi_knn, exact_dedup, mixing, bpe, toxicity, html_mincut, langid, golay_simhash, warc_fixity)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: q for m in MODULES for k, q in m.ORACLES.items()}
