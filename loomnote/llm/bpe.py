@@ -1,6 +1,7 @@
 """BPE encoding and decoding through a distinct-word table.
 
-Texts are split at ASCII white space, over which no token of the given tokenizers reaches. The documents of a
+Texts are split at ASCII white space, over which no token of the given tokenizers reaches, and, if the tokenizer
+proves to treat both alike, lower-cased and split where letters meet common signs. The documents of a
 scan partition form blocks of bounded size; a block's words become codes into the block's own word list. The
 word lists of all blocks are shuffled by word, so that equal words stand together and each distinct word is
 encoded once; its ids go back to the blocks by (block, position in the list). There every document's codes are
@@ -23,21 +24,50 @@ from pyspark.sql import functions as F
 from .common import table
 
 #: Bytes of text in a block; a longer document is a block of its own.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 24 << 20
 _LAST = (1 << 31) - 1
+_LETTER = r"[A-Za-z0-9\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}]"  # without U+0130, whose lower case ends in a mark
+_SIGNS = ',.!?;:%&*#$()"'
 
 
-def _blocks(docs: DataFrame, block_bytes: int, words: bool) -> DataFrame:
-    """block and its word list (words), or its ids, number of words per document and compressed codes."""
+def words(texts: pa.Array, cut: bool) -> pa.Array:
+    """The list of words of each text. cut: also in lower case (A-Z) and apart from signs, but for texts with combining marks or strings of special tokens, where that could change the ids."""
+    if cut:
+        odd = pc.match_substring_regex(texts, r"\pM|<\|")
+        low = pc.replace_substring_regex(pc.ascii_lower(texts), f"({_LETTER})([{_SIGNS}])", r"\1 \2")
+        texts = pc.if_else(odd, texts, pc.replace_substring_regex(low, f"([{_SIGNS}])({_LETTER})", r"\1 \2"))
+    return pc.ascii_split_whitespace(texts)
+
+
+def may_cut(model) -> bool:
+    """Whether a tokenizer gives the same ids for lower-cased words apart from signs."""
+    ids = lambda t: model.encode(t, add_special_tokens=False).ids
+    return all(ids(f"Ab{s}cD{s}{s}é9{s}") == ids(f"ab {s} cd {s}{s} é9 {s}") for s in _SIGNS)
+
+
+def _packed(codes: np.ndarray) -> bytes:
+    """32-bit numbers as four planes of bytes, compressed."""
+    return pa.Codec("zstd", 3).compress(np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), asbytes=True)
+
+
+def _unpacked(packed: bytes, n: int) -> np.ndarray:
+    if not n:
+        return np.zeros(0, "<u4")
+    planes = np.frombuffer(pa.Codec("zstd").decompress(packed, 4 * n, asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, n).T).view("<u4").ravel()
+
+
+def _blocks(docs: DataFrame, block_bytes: int, cut: bool, listed: bool) -> DataFrame:
+    """block and its word list (listed), or its ids, number of words per document and compressed codes."""
     id_type = docs.schema["id"].dataType.simpleString()
 
     def emit(block: int, ids: list[pa.Array], texts: list[pa.Array]) -> pa.RecordBatch:
-        split = pc.ascii_split_whitespace(pc.fill_null(pa.concat_arrays(texts), ""))
+        split = words(pc.fill_null(pa.concat_arrays(texts), ""), cut)
         coded = split.flatten().dictionary_encode()
-        if words:
+        if listed:
             return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary)], ["block", "words"])
         own = pa.concat_arrays(ids)
-        codes = pa.Codec("zstd").compress(coded.indices.to_numpy().astype("<u4" if len(coded.dictionary) > 65536 else "<u2").tobytes(), asbytes=True)
+        codes = _packed(coded.indices.to_numpy())
         counts = pc.list_value_length(split)
         return pa.RecordBatch.from_arrays(
             [pa.array([block], pa.int64()), pa.ListArray.from_arrays([0, len(own)], own), pa.ListArray.from_arrays([0, len(own)], counts), pa.array([codes], pa.binary()), pa.array([len(coded)], pa.int64()), pa.array([len(coded.dictionary)], pa.int64())],
@@ -64,7 +94,7 @@ def _blocks(docs: DataFrame, block_bytes: int, words: bool) -> DataFrame:
 
     # The scan's own partition number, which stays the same whatever the scan is part of.
     docs = docs.select("id", "text", F.spark_partition_id().alias("part"))
-    return docs.mapInArrow(run, "block long, words array<string>" if words else f"block long, ids array<{id_type}>, counts array<int>, codes binary, n long, n_words long")
+    return docs.mapInArrow(run, "block long, words array<string>" if listed else f"block long, ids array<{id_type}>, counts array<int>, codes binary, n long, n_words long")
 
 
 def _encoded(words: DataFrame, tokenizer: str, width: str) -> DataFrame:
@@ -107,7 +137,8 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
 
     with open(tokenizer_path, encoding="utf-8") as f:
         tokenizer = f.read()
-    vocabulary = Tokenizer.from_str(tokenizer).get_vocab(with_added_tokens=True)
+    model = _plain(Tokenizer.from_str(tokenizer))
+    vocabulary, cut = model.get_vocab(with_added_tokens=True), may_cut(model)
     pieces = [""] * (max(vocabulary.values()) + 1)
     for piece, i in vocabulary.items():
         pieces[i] = piece
@@ -115,9 +146,9 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
 
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     id_type = docs.schema["id"].dataType
-    listed = _blocks(docs, block_bytes, True).select("block", F.posexplode("words").alias("pos", "word")).repartition("word").sortWithinPartitions("word")
+    listed = _blocks(docs, block_bytes, cut, True).select("block", F.posexplode("words").alias("pos", "word")).repartition("word").sortWithinPartitions("word")
     sent = _encoded(listed, tokenizer, width)
-    coded = _blocks(docs, block_bytes, False).withColumn("pos", F.lit(_LAST))
+    coded = _blocks(docs, block_bytes, cut, False).withColumn("pos", F.lit(_LAST))
     both = sent.unionByName(coded, allowMissingColumns=True).repartition("block").sortWithinPartitions("block", "pos")
 
     def finish(held: list[pa.Array], batch: pa.RecordBatch, i: int) -> Iterator[pa.RecordBatch]:
@@ -128,9 +159,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
         flat = [np.frombuffer(b, width) for b in lists.to_pylist()]
         sizes = np.array([len(x) for x in flat], np.int64)
         text = np.array([" ".join([pieces[k] for k in x.tolist()]) for x in flat] or [""], object)
-        n, n_words = get("n").as_py(), len(flat)
-        kind = np.dtype("<u4" if n_words > 65536 else "<u2")
-        codes = np.frombuffer(pa.Codec("zstd").decompress(get("codes").as_py(), n * kind.itemsize, asbytes=True), kind) if n else np.zeros(0, kind)
+        n_words, codes = len(flat), _unpacked(get("codes").as_py(), get("n").as_py())
         own, counts = batch.column("ids")[i].values, get("counts").values.to_numpy()
         starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
         every = np.concatenate(flat).astype(np.int32) if n_words else np.zeros(0, np.int32)
