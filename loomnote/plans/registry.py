@@ -1,4 +1,6 @@
 """Every query of the library and its oracle SQL, by name."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import feeds, graphs, searches, texts  # noqa: F401  they register their queries
+from .base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
