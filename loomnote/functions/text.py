@@ -66,10 +66,14 @@ def similarity(a: Column, b: Column) -> Column:
     return F.greatest(edit, jaccard(bigrams(a), bigrams(b)))
 
 
-def scoring_tokens(text: Column) -> Column:
-    """The set of tokens for title matching: a-z and digits, longer than one, no stopwords, no numbers."""
+def scoring_list(text: Column) -> Column:
+    """Tokens for title matching in order: a-z and digits, longer than one, no stopwords, no numbers."""
     every = F.split(F.trim(F.regexp_replace(F.lower(text), r"[^a-z0-9]+", " ")), " ")
-    return F.array_distinct(F.filter(every, lambda x: (F.length(x) > 1) & ~x.isin(params.TITLE_STOPWORDS) & ~x.rlike(r"^\d+$")))
+    return F.filter(every, lambda x: (F.length(x) > 1) & ~x.isin(params.TITLE_STOPWORDS) & ~x.rlike(r"^\d+$"))
+
+
+def scoring_tokens(text: Column) -> Column:
+    return F.array_distinct(scoring_list(text))
 
 
 def estimate_tokens(text: Column) -> Column:

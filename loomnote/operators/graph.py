@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import params
+from ..storage import written
 
 WIKILINK = r"\[\[([^\[\]\|#]+)(?:[#\|][^\[\]]*)?\]\]"
 
@@ -63,22 +64,23 @@ def activate(edges: DataFrame, seeds: DataFrame, rounds: int = params.ACTIVATION
     """path, activation: spreading activation from seeds (1 each, part of the result).
 
     A round sends activation * weight * decay to neighbours not yet reached; a node loses a share of the strongest
-    other child of each of its parents, for which the two strongest children of a parent suffice. Rounds are
-    unrolled into one plan.
+    other child of each of its parents, for which the two strongest children of a parent suffice. What a round
+    sends and reaches is a table in the shared folder, so no round repeats the work of those before.
     """
     weighted = edges.withColumn("w", edge_weight(F.col("relation_type"), F.col("kind"))).select("from_path", "to_path", "w")
     links = weighted.select(F.col("from_path").alias("near"), F.col("to_path").alias("far"), "w") if outbound else both_ways(weighted)
-    reached = seeds.select("path").distinct().withColumn("activation", F.lit(1.0))
-    frontier = reached
+    reached = frontier = written(seeds.select("path").distinct().withColumn("activation", F.lit(1.0)), "activation")
     for _ in range(rounds):
         sent = frontier.select(F.col("path").alias("near"), "activation").join(links, "near").join(reached.select(F.col("path").alias("far")), "far", "left_anti")
-        child = sent.groupBy("near", "far").agg(F.sum(F.col("activation") * F.col("w") * decay).alias("c"))
+        child = written(sent.groupBy("near", "far").agg(F.sum(F.col("activation") * F.col("w") * decay).alias("c")), "activation-sent")
         best = child.groupBy("near").agg(F.max("c").alias("first"), F.max_by("far", F.struct("c", "far")).alias("leader"))
         rest = child.join(best, "near").where("far <> leader").groupBy("near").agg(F.max("c").alias("second"))
-        ranked = child.join(best, "near").join(rest, "near", "left")
+        ranked = child.join(best.join(rest, "near", "left"), "near")
         rival = F.when(F.col("far") == F.col("leader"), F.coalesce("second", F.lit(0.0))).otherwise(F.col("first"))
         total = ranked.groupBy(F.col("far").alias("path")).agg((F.sum("c") - inhibition * F.sum(rival)).alias("activation"))
-        frontier = total.where(F.col("activation") > epsilon)
+        frontier = written(total.where(F.col("activation") > epsilon), "activation")
+        if frontier.isEmpty():
+            break
         reached = reached.unionByName(frontier)
     return reached
 

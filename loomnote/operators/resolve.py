@@ -60,12 +60,12 @@ def title_score(raw: DataFrame, pages: DataFrame) -> DataFrame:
     0.42 of the title covered, 0.43 of the rest of the page covered, 0.15 Jaccard, 0.1 if the title stands in the
     text. Raw texts meet pages over title tokens, so that pairs without overlap are never made.
     """
-    r = raw.select("raw_id", T.scoring_tokens(F.col("raw")).alias("rt"), F.concat(F.lit(" "), F.regexp_replace(F.lower("raw"), r"[^a-z0-9]+", " "), F.lit(" ")).alias("rp"))
-    p = pages.select("page_id", T.scoring_tokens(F.col("title")).alias("tt"), T.scoring_tokens(F.concat_ws("\n", "title", "summary")).alias("ct")).where(F.size("tt") > 0)
+    r = raw.select("raw_id", T.scoring_tokens(F.col("raw")).alias("rt"), F.concat(F.lit(" "), F.array_join(T.scoring_list(F.col("raw")), " "), F.lit(" ")).alias("rp"))
+    p = pages.select("page_id", F.array_join(T.scoring_list(F.col("title")), " ").alias("tp"), T.scoring_tokens(F.col("title")).alias("tt"), T.scoring_tokens(F.concat_ws("\n", "title", "summary")).alias("ct")).where(F.size("tt") > 0)
     pair = r.select("raw_id", F.explode("rt").alias("t")).join(p.select("page_id", F.explode("tt").alias("t")), "t").select("raw_id", "page_id").distinct()
     both = pair.join(r, "raw_id").join(p, "page_id")
     share = lambda a, b: F.when(F.size(a) == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
-    phrase = F.contains("rp", F.concat(F.lit(" "), F.array_join("tt", " "), F.lit(" ")))
+    phrase = F.contains("rp", F.concat(F.lit(" "), "tp", F.lit(" ")))
     rest = F.array_except("ct", "tt")
     score = 0.42 * share(F.col("tt"), F.col("rt")) + 0.43 * share(rest, F.col("rt")) + 0.15 * T.jaccard(F.col("ct"), F.col("rt")) + F.when(phrase, 0.1).otherwise(0.0)
     return both.select("raw_id", "page_id", F.round(F.least(F.lit(1.0), score), 3).alias("score"))

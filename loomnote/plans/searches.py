@@ -1 +1,279 @@
-from .base import query  # noqa: F401
+"""Queries of retrieval: lexical, vector, fusion, mentions, resolution and evaluation."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from .. import params
+from ..functions import text as T
+from ..operators import evaluation, fuse, lexical, resolve, vector
+from ..tables import PAGES_SQL, pages_of, table
+from .base import query
+from .texts import _CASES, tokens_sql
+
+#: Words of a benchmark passage that make a query.
+QUERY_WORDS = 6
+_STOP = ", ".join(f"'{w}'" for w in params.STOPWORDS)
+QUERIES_SQL = f"""asked AS (SELECT item_id AS query_id, array_to_string(({tokens_sql('text')})[1:{QUERY_WORDS}], ' ') AS query FROM benchmark)"""
+BM25_SQL = f"""docs AS (SELECT doc_id AS id, {tokens_sql('text')} AS w FROM documents), stats AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM docs),
+terms AS (SELECT DISTINCT query_id, term FROM (SELECT query_id, unnest({tokens_sql('query')}) AS term FROM asked) WHERE term NOT IN ({_STOP})),
+tf AS (SELECT id, len, term, count(*) AS tf FROM (SELECT id, len(w) AS len, unnest(w) AS term FROM docs) WHERE term IN (SELECT term FROM terms) GROUP BY 1, 2, 3),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+bm25 AS (SELECT query_id, id, round(sum(ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * len / avgdl))), 6) AS score FROM tf JOIN df USING (term) JOIN terms USING (term), stats GROUP BY 1, 2 HAVING score > 0)"""
+
+
+def asked(spark, sf):
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(T.tokens(F.col("text")), 1, QUERY_WORDS), " ").alias("query"))
+
+
+def bm25_of(spark, sf):
+    return lexical.bm25(table(spark, sf, "documents").select("doc_id", F.col("text").alias("body")), asked(spark, sf))
+
+
+@query("bm25_topk", f"""WITH {QUERIES_SQL}, {BM25_SQL} SELECT query_id, id, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM bm25) WHERE rank <= 10""")
+def bm25_topk(spark, sf):
+    return lexical.top(bm25_of(spark, sf), 10)
+
+
+@query("term_idf", f"""WITH d AS (SELECT doc_id, list_distinct({tokens_sql('text')}) AS w FROM documents), t AS (SELECT unnest(w) AS term FROM d)
+SELECT term, count(*) AS df, round(ln(((SELECT count(*) FROM d) - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE) + 1), 6) AS idf FROM t GROUP BY term""")
+def term_idf(spark, sf):
+    return lexical.term_statistics(table(spark, sf, "documents"), text_col="text").withColumn("idf", F.round("idf", 6))
+
+
+@query("bm25_mentions", f"""WITH {QUERIES_SQL}, {BM25_SQL} SELECT query_id, id, round(least(0.8, greatest(0.5, 0.5 + (score - 4) / 4 * 0.3)), 6) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM bm25 WHERE score >= 4) WHERE rank <= 10""")
+def bm25_mentions(spark, sf):
+    found = lexical.top(bm25_of(spark, sf).where("score >= 4"), 10)
+    return found.select("query_id", "id", F.round(F.least(F.lit(0.8), F.greatest(F.lit(0.5), 0.5 + (F.col("score") - 4) / 4 * 0.3)), 6).alias("confidence"))
+
+
+@query("fts_and", f"""WITH {QUERIES_SQL}, d AS (SELECT doc_id, {tokens_sql('text')} AS w FROM documents), q AS (SELECT query_id, list_distinct(({tokens_sql('query')})[1:2]) AS a FROM asked)
+SELECT query_id, doc_id FROM q JOIN d ON list_has_all(d.w, q.a)""")
+def fts_and(spark, sf):
+    terms = asked(spark, sf).select("query_id", F.array_distinct(F.slice(T.tokens(F.col("query")), 1, 2)).alias("a"))
+    wanted = terms.select("query_id", F.size("a").alias("n"), F.explode("a").alias("term"))
+    words = table(spark, sf, "documents").select("doc_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
+    return words.join(wanted, "term").groupBy("query_id", "doc_id", "n").agg(F.count("*").alias("c")).where("c = n").select("query_id", "doc_id")
+
+
+@query("exact_boost", f"""WITH q AS (SELECT {tokens_sql("'lavender steel en src1'")} AS q)
+SELECT p_partkey, CAST(least(8, 3 + CASE WHEN nm THEN 2 ELSE 0 END + CASE WHEN ti THEN 2 ELSE 0 END + CASE WHEN tg THEN 1 ELSE 0 END) AS INTEGER) AS score FROM (
+SELECT p_partkey, len(list_filter(q, lambda t: contains(lower(p_name), t))) > 0 AS nm, len(list_filter(q, lambda t: contains(lower(p_type), t))) > 0 AS ti, list_has_any(q, [lower(p_brand)]) AS tg FROM part, q) WHERE nm OR ti OR tg""")
+def exact_boost(spark, sf):
+    return lexical.exact_boost(table(spark, sf, "part").withColumn("tags", F.array("p_brand")), "lavender steel en src1", "p_name", "p_type", "tags").select("p_partkey", "score")
+
+
+_DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE)))"
+_COS = f"{_DOT.format(a='d.embedding', b='q.embedding')} / (sqrt({_DOT.format(a='d.embedding', b='d.embedding')}) * sqrt({_DOT.format(a='q.embedding', b='q.embedding')}))"
+
+
+def vectors(spark, sf):
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
+
+
+@query("cosine_topk", f"""SELECT query_id, id, score, rank FROM (SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM (
+SELECT q.vec_id AS query_id, d.vec_id AS id, round({_COS}, 6) AS score FROM embeddings d JOIN embeddings q ON q.vec_id <> d.vec_id AND q.vec_id IN (0, 7)) WHERE score >= 0.25) WHERE rank <= 50""")
+def cosine_topk(spark, sf):
+    v = vectors(spark, sf)
+    return vector.nearest(v, v.where("id IN (0, 7)").select(F.col("id").alias("query_id"), F.col("v").alias("q")))
+
+
+@query("find_similar", f"""SELECT query_id, id, score, rank FROM (SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM (
+SELECT q.vec_id AS query_id, d.vec_id AS id, round({_COS}, 6) AS score FROM embeddings d JOIN embeddings q ON q.vec_id <> d.vec_id AND q.vec_id = 3 WHERE d.label <> 9) WHERE score >= 0.3) WHERE rank <= 10""")
+def find_similar(spark, sf):
+    v = vectors(spark, sf)
+    return vector.nearest(v.where("label <> 9"), v.where("id = 3").select(F.col("id").alias("query_id"), F.col("v").alias("q")), 10, 0.3, same_dim=True)
+
+
+@query("l2_knn", """SELECT id, distance FROM (SELECT d.vec_id AS id, round(sqrt(list_sum(list_transform(list_zip(d.embedding, q.embedding), lambda p: (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)) * (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE))))), 6) AS distance
+FROM embeddings d, (SELECT embedding FROM embeddings WHERE vec_id = 1) q) ORDER BY distance, id LIMIT 10""")
+def l2_knn(spark, sf):
+    v = vectors(spark, sf)
+    return vector.nearest_l2(v, v.where("id = 1").select(F.col("v").alias("q")))
+
+
+@query("embedding_guard", "SELECT vec_id, CASE WHEN embedding IS NULL OR len(embedding) <> 64 THEN 'dimension' WHEN len(list_filter(embedding, lambda x: x <> 0)) = 0 THEN 'zero' WHEN embedding[1] = 1 AND len(list_filter(embedding[2:], lambda x: x <> 0)) = 0 THEN 'stub' END AS reason FROM embeddings")
+def embedding_guard(spark, sf):
+    return vector.guard(vectors(spark, sf), 64).select(F.col("id").alias("vec_id"), "reason")
+
+
+@query("embedding_health", """SELECT count(*) AS records, count(DISTINCT len(embedding)) AS dims, CAST(min(len(embedding)) AS BIGINT) AS least_dim, count(DISTINCT embedding) AS distinct_vectors,
+count(*) FILTER (WHERE len(list_filter(embedding, lambda x: x <> 0)) = 0) AS zero, count(*) FILTER (WHERE embedding[1] = 1 AND len(list_filter(embedding[2:], lambda x: x <> 0)) = 0) AS stub, count(*) FILTER (WHERE len(embedding) < 16) AS below_floor FROM embeddings""")
+def embedding_health(spark, sf):
+    return vector.health(vectors(spark, sf))
+
+
+@query("latest_embedding", "SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, max(ts) AS ts FROM events GROUP BY user_id")
+def latest_embedding(spark, sf):
+    return vector.latest(table(spark, sf, "events").select("user_id", "event_id", "ts"), "user_id", "ts", "event_id")
+
+
+_STATE = "SELECT doc_id AS id, CASE WHEN doc_id % 8 = 0 THEN 'old' ELSE sha256(text) END AS hash FROM documents WHERE doc_id % 5 <> 0 UNION ALL SELECT -1 - doc_id, 'x' FROM documents WHERE doc_id % 50 = 0"
+
+
+@query("embedding_refresh_plan", f"""WITH r AS ({_STATE}), d AS (SELECT doc_id AS id, sha256(text) AS hash FROM documents)
+SELECT coalesce(d.id, r.id) AS id, CASE WHEN d.id IS NULL THEN 'remove' WHEN r.id IS NULL OR d.hash <> r.hash THEN 'pending' ELSE 'unchanged' END AS action FROM d FULL JOIN r ON d.id = r.id""")
+def embedding_refresh_plan(spark, sf):
+    docs = table(spark, sf, "documents")
+    plain = lambda df: df.withColumns({"model": F.lit("m"), "dim": F.lit(64)})
+    hashed = docs.select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("hash"))
+    state = hashed.where("id % 5 <> 0").withColumn("hash", F.when(F.col("id") % 8 == 0, "old").otherwise(F.col("hash")))
+    gone = docs.where("doc_id % 50 = 0").select((-1 - F.col("doc_id")).alias("id"), F.lit("x").alias("hash"))
+    return vector.refresh_plan(plain(hashed), plain(state.unionByName(gone)))
+
+
+@query("mark_archived", "SELECT vec_id, vec_id IN (SELECT doc_id FROM labels WHERE quality = 0) AS archived FROM embeddings")
+def mark_archived(spark, sf):
+    bad = table(spark, sf, "labels").where("quality = 0").select(F.col("doc_id").alias("vec_id"), F.lit(True).alias("bad")).distinct()
+    return table(spark, sf, "embeddings").select("vec_id").join(bad, "vec_id", "left").select("vec_id", F.coalesce("bad", F.lit(False)).alias("archived"))
+
+
+@query("auto_link_embedding", f"""SELECT raw_id, page_id, score FROM (SELECT *, row_number() OVER (PARTITION BY raw_id ORDER BY score DESC, page_id) AS n FROM (
+SELECT q.vec_id AS raw_id, d.vec_id AS page_id, round({_COS}, 6) AS score FROM embeddings q JOIN embeddings d ON d.label >= 5 AND q.label = 0 AND q.vec_id <> d.vec_id) WHERE score >= 0.3) WHERE n <= 3""")
+def auto_link_embedding(spark, sf):
+    v = vectors(spark, sf)
+    found = vector.nearest(v.where("label >= 5"), v.where("label = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q")), 3, 0.3)
+    return found.select(F.col("query_id").alias("raw_id"), F.col("id").alias("page_id"), "score")
+
+
+_LISTED = "list_filter(string_split(trim(regexp_replace(lower({c}), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: length(x) > 1 AND x NOT IN (" + ", ".join(f"'{w}'" for w in params.TITLE_STOPWORDS) + ") AND NOT regexp_full_match(x, '[0-9]+'))"
+_SCORING = f"list_distinct({_LISTED})"
+
+
+@query("auto_link_title", f"""WITH r AS (SELECT item_id AS raw_id, {_SCORING.format(c='text')} AS rt, ' ' || array_to_string({_LISTED.format(c='text')}, ' ') || ' ' AS rp FROM benchmark),
+p AS (SELECT doc_id AS page_id, {_SCORING.format(c='title')} AS tt, array_to_string({_LISTED.format(c='title')}, ' ') AS tp, {_SCORING.format(c="title || chr(10) || substr(body, 1, 400)")} AS ct FROM ({f'WITH {PAGES_SQL} SELECT * FROM pages_'})),
+j AS (SELECT * FROM r JOIN p ON list_has_any(r.rt, p.tt)), k AS (SELECT *, list_filter(ct, lambda x: NOT list_contains(tt, x)) AS rest FROM j)
+SELECT raw_id, page_id, round(least(1.0, 0.42::DOUBLE * len(list_intersect(tt, rt)) / len(tt) + 0.43::DOUBLE * CASE WHEN len(rest) = 0 THEN 0 ELSE CAST(len(list_intersect(rest, rt)) AS DOUBLE) / len(rest) END
+ + 0.15::DOUBLE * len(list_intersect(ct, rt)) / len(list_distinct(list_concat(ct, rt))) + CASE WHEN contains(rp, ' ' || tp || ' ') THEN 0.1::DOUBLE ELSE 0 END), 3) AS score FROM k""")
+def auto_link_title(spark, sf):
+    raw = table(spark, sf, "benchmark").select(F.col("item_id").alias("raw_id"), F.col("text").alias("raw"))
+    pages = pages_of(spark, sf).select(F.col("doc_id").alias("page_id"), "title", F.substring("body", 1, 400).alias("summary"))
+    return resolve.title_score(raw, pages)
+
+
+@query("title_mentions", f"""WITH {PAGES_SQL}, t AS (SELECT min(doc_id) AS title_id, array_to_string({tokens_sql('title')}, ' ') AS phrase FROM pages_ WHERE doc_id % 10 = 0 GROUP BY 2 HAVING phrase <> ''),
+d AS (SELECT item_id AS id, {tokens_sql('text')} AS w FROM benchmark), g AS (SELECT id, array_to_string(w[i:i + n - 1], ' ') AS phrase, i FROM (SELECT id, w, unnest(range(1, len(w) + 1)) AS i FROM d), range(1, 4) r(n) WHERE i + n - 1 <= len(w))
+SELECT id, title_id, CAST(min(i) AS INTEGER) AS position FROM g JOIN t USING (phrase) GROUP BY 1, 2""")
+def title_mentions(spark, sf):
+    phrase = F.array_join(T.tokens(F.col("title")), " ")
+    titles = pages_of(spark, sf).where("doc_id % 10 = 0").groupBy(phrase.alias("title")).agg(F.min("doc_id").alias("title_id"))
+    return resolve.title_mentions(table(spark, sf, "benchmark"), titles, 3, "item_id", "text")
+
+
+@query("combine_mentions", """WITH a AS (SELECT doc_id AS id, doc_id % 7 AS target, (doc_id % 10) / 10.0 AS confidence FROM labels WHERE quality = 1), b AS (SELECT doc_id AS id, doc_id % 7 AS target, (doc_id % 13) / 13.0 AS confidence FROM labels WHERE toxic = 0)
+SELECT coalesce(a.id, b.id) AS id, coalesce(a.target, b.target) AS target, round(CAST(greatest(a.confidence, b.confidence) AS DOUBLE), 6) AS confidence, CASE WHEN a.id IS NULL THEN 'bm25' WHEN b.id IS NULL THEN 'lexical' ELSE 'both' END AS source FROM a FULL JOIN b ON a.id = b.id AND a.target = b.target""")
+def combine_mentions(spark, sf):
+    labels = table(spark, sf, "labels")
+    made = lambda test, n: labels.where(test).select(F.col("doc_id").alias("id"), (F.col("doc_id") % 7).alias("target"), (F.col("doc_id") % n / n).alias("confidence"))
+    return resolve.combine_mentions(made("quality = 1", 10), made("toxic = 0", 13)).withColumn("confidence", F.round("confidence", 6))
+
+
+_KEY = "regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g')"
+_GRAMS = "list_distinct(list_transform(range(1, greatest(length({c}), 2)), lambda i: substr({c}, i, 2)))"
+
+
+@query("entity_dedup", f"""WITH k AS (SELECT p_type AS type, {_KEY} AS key, min(p_partkey) AS id FROM part GROUP BY 1, 2), s AS (
+SELECT least(a.id, b.id) AS left_id, greatest(a.id, b.id) AS right_id, greatest(1 - levenshtein(a.key, b.key) / CAST(greatest(length(a.key), length(b.key)) AS DOUBLE),
+ len(list_intersect({_GRAMS.format(c='a.key')}, {_GRAMS.format(c='b.key')})) / CAST(len(list_distinct(list_concat({_GRAMS.format(c='a.key')}, {_GRAMS.format(c='b.key')}))) AS DOUBLE)) AS similarity FROM k a JOIN k b ON a.type = b.type AND a.key < b.key)
+SELECT left_id, right_id, round(similarity, 6) AS similarity FROM s WHERE similarity >= 0.85
+UNION ALL SELECT k.id, p.p_partkey, 1.0 FROM part p JOIN k ON k.type = p.p_type AND k.key = {_KEY} WHERE p.p_partkey <> k.id""")
+def entity_dedup(spark, sf):
+    return resolve.duplicate_entities(table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("type")))
+
+
+@query("jaccard_pairs", f"""WITH t AS (SELECT item_id, list_distinct({tokens_sql('text')}) AS w FROM benchmark)
+SELECT a.item_id AS left_id, b.item_id AS right_id, round(len(list_intersect(a.w, b.w)) / CAST(len(list_distinct(list_concat(a.w, b.w))) AS DOUBLE), 6) AS jaccard FROM t a JOIN t b ON a.item_id < b.item_id WHERE len(list_intersect(a.w, b.w)) / CAST(len(list_distinct(list_concat(a.w, b.w))) AS DOUBLE) >= 0.1""")
+def jaccard_pairs(spark, sf):
+    w = table(spark, sf, "benchmark").select("item_id", F.array_distinct(T.tokens(F.col("text"))).alias("w"))
+    t = w.select("item_id", F.size("w").alias("n"), F.explode("w").alias("term"))
+    a, b = t.alias("a"), t.alias("b")
+    common = a.join(b, (F.col("a.term") == F.col("b.term")) & (F.col("a.item_id") < F.col("b.item_id"))).groupBy(F.col("a.item_id").alias("left_id"), F.col("b.item_id").alias("right_id"), F.col("a.n").alias("m"), F.col("b.n").alias("n")).agg(F.count("*").alias("c"))
+    j = F.col("c") / (F.col("m") + F.col("n") - F.col("c"))
+    return common.where(j >= 0.1).select("left_id", "right_id", F.round(j, 6).alias("jaccard"))
+
+
+@query("longest_prefix", """WITH u AS (SELECT page_id AS id, regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') AS path FROM pages), x AS (SELECT DISTINCT regexp_extract(path, '^[^/]*') AS prefix FROM u UNION SELECT DISTINCT regexp_extract(path, '^[^/]*/[^/]*') FROM u WHERE id % 2 = 0)
+SELECT u.id, max_by(x.prefix, length(x.prefix)) AS prefix_id FROM u LEFT JOIN x ON u.path = x.prefix OR starts_with(u.path, x.prefix || '/') GROUP BY u.id""")
+def longest_prefix(spark, sf):
+    u = table(spark, sf, "pages").select(F.col("page_id").alias("id"), F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", "").alias("path"))
+    x = u.select(F.regexp_extract("path", "^[^/]*", 0).alias("prefix")).union(u.where("id % 2 = 0").select(F.regexp_extract("path", "^[^/]*/[^/]*", 0))).distinct()
+    return resolve.longest_prefix(u, x.select("prefix", F.col("prefix").alias("prefix_id")))
+
+
+STREAMS_SQL = f"""meta AS ({f'WITH {PAGES_SQL} SELECT doc_id AS id, round(CAST(least(1.0, CAST({_CASES("status", params.STATUS_FACTOR)} AS DOUBLE) * coalesce(confidence, 0.7::DOUBLE)) AS DOUBLE), 6) AS score FROM pages_'}),
+exact AS (SELECT query_id, d.doc_id AS id, CAST(count(*) AS DOUBLE) AS score FROM (SELECT DISTINCT query_id, term FROM terms) t JOIN (SELECT doc_id, unnest(list_distinct(({tokens_sql('text')})[1:12])) AS term FROM documents) d USING (term) GROUP BY 1, 2),
+lists AS (SELECT query_id, id, 'bm25' AS source, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM bm25 QUALIFY rank <= 50
+ UNION ALL SELECT query_id, id, 'exact', row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) FROM exact
+ UNION ALL SELECT query_id, id, 'metadata', row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) FROM asked, meta)"""
+
+
+def streams(spark, sf):
+    q, docs = asked(spark, sf), table(spark, sf, "documents")
+    terms = q.select("query_id", F.explode(F.array_distinct(T.lexical_terms(F.col("query")))).alias("term"))
+    head = docs.select(F.col("doc_id").alias("id"), F.explode(F.array_distinct(F.slice(T.tokens(F.col("text")), 1, 12))).alias("term"))
+    exact = head.join(terms, "term").groupBy("query_id", "id").agg(F.count("*").cast("double").alias("score"))
+    factor = F.when(F.col("status") == "archived", 0.0).when(F.col("status") == "superseded", 0.1).otherwise(1.0)
+    prior = pages_of(spark, sf).select(F.col("doc_id").alias("id"), F.round(F.least(F.lit(1.0), factor * F.coalesce("confidence", F.lit(0.7))), 6).alias("score"))
+    return {"bm25": bm25_of(spark, sf), "exact": exact, "metadata": prior}, q
+
+
+def _with_prior(found: dict, prior, q):
+    """The metadata stream ranks once for all queries, and only rows that another stream found need its rank."""
+    ranked = prior.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id"))).select("id", "rank")
+    asked_rows = None
+    for s in found.values():
+        rows = s.select("query_id", "id")
+        asked_rows = rows if asked_rows is None else asked_rows.unionByName(rows)
+    return asked_rows.distinct().join(ranked, "id").select("query_id", "id", F.lit("metadata").alias("source"), "rank")
+
+
+def fused(spark, sf, intent="open-ended"):
+    s, q = streams(spark, sf)
+    weight = dict(zip(("bm25", "vector", "exact", "graph", "graph-spread", "metadata"), params.INTENT_WEIGHTS[intent], strict=True))
+    prior = _with_prior({k: v for k, v in s.items() if k != "metadata"}, s["metadata"], q).withColumn("weight", F.lit(weight["metadata"]))
+    return fuse.rrf([fuse.ranked(s["bm25"], "bm25", weight["bm25"], cap=params.SIGNAL_CAP), fuse.ranked(s["exact"], "exact", weight["exact"]), prior.select("query_id", "id", "source", "rank", "weight")])
+
+
+@query("rrf_fuse", f"""WITH {QUERIES_SQL}, {BM25_SQL}, {STREAMS_SQL} SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score, arg_min(source, (rank, source)) AS dominant FROM lists GROUP BY 1, 2 HAVING bool_or(source <> 'metadata')""")
+def rrf_fuse(spark, sf):
+    return fused(spark, sf).select("query_id", "id", "score", "dominant")
+
+
+@query("hybrid_search", f"""WITH {QUERIES_SQL}, {BM25_SQL}, {STREAMS_SQL}, f AS (SELECT query_id, id, round(sum(CASE source WHEN 'bm25' THEN 1.4::DOUBLE WHEN 'exact' THEN 1.3::DOUBLE ELSE 0.8::DOUBLE END / (60 + rank)), 6) AS score, arg_min(source, (rank, source)) AS dominant FROM lists GROUP BY 1, 2 HAVING bool_or(source <> 'metadata'))
+SELECT query_id, id, score, dominant, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM f) WHERE rank <= 10""")
+def hybrid_search(spark, sf):
+    return lexical.top(fused(spark, sf, "code-context"), 10).select("query_id", "id", "score", "dominant", "rank")
+
+
+_GOLD = f"""gold AS (SELECT query_id, 'type' || query_id % 3 AS type, id FROM bm25 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY id) <= 3),
+found AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM bm25)"""
+
+
+def gold_and_found(spark, sf):
+    b = bm25_of(spark, sf)
+    gold = b.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("id"))).where("n <= 3").select("query_id", F.concat(F.lit("type"), F.col("query_id") % 3).alias("type"), "id")
+    return gold, lexical.top(b, 10)
+
+
+@query("eval_recall", f"""WITH {QUERIES_SQL}, {BM25_SQL}, {_GOLD}, e AS (SELECT type, g.query_id, count(f.rank) / CAST(count(*) AS DOUBLE) AS r, CASE WHEN count(f.rank) > 0 THEN 1.0 ELSE 0.0 END AS h FROM gold g LEFT JOIN (SELECT * FROM found WHERE rank <= 5) f ON g.query_id = f.query_id AND g.id = f.id GROUP BY 1, 2)
+SELECT type, count(*) AS queries, round(avg(r), 6) AS recall, round(avg(h), 6) AS hit FROM e GROUP BY type""")
+def eval_recall(spark, sf):
+    return evaluation.recall(*gold_and_found(spark, sf), 5)
+
+
+@query("eval_mrr", f"""WITH {QUERIES_SQL}, {BM25_SQL}, {_GOLD}, e AS (SELECT type, g.query_id, min(f.rank) AS r FROM gold g LEFT JOIN (SELECT * FROM found WHERE rank <= 10) f ON g.query_id = f.query_id AND g.id = f.id GROUP BY 1, 2)
+SELECT type, count(*) AS queries, round(avg(coalesce(1.0::DOUBLE / r, 0)), 6) AS mrr FROM e GROUP BY type""")
+def eval_mrr(spark, sf):
+    return evaluation.mrr(*gold_and_found(spark, sf), 10)
+
+
+@query("latency_p95", "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY event_type")
+def latency_p95(spark, sf):
+    return evaluation.latency(table(spark, sf, "events"), "value", "event_type")
+
+
+@query("accuracy_rollup", "SELECT d.lang AS lang, count(*) AS n, round(avg(CAST(l.quality = 1 AS INT)), 6) AS accuracy FROM labels l JOIN documents d USING (doc_id) GROUP BY ROLLUP (d.lang)")
+def accuracy_rollup(spark, sf):
+    rows = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id").select("lang", (F.col("quality") == 1).alias("correct"))
+    return evaluation.accuracy(rows, "lang", "correct")
