@@ -86,7 +86,7 @@ def audit(a: DataFrame, b: DataFrame, range_bytes: int = RANGE_BYTES, fan_out: i
     for key, order in ((["bucket", "file", "far", "near"], "offset"), (["bucket", "file", "far"], "near"), (["bucket", "file"], "far"), (["bucket"], "file"), ([], "bucket")):
         child = levels[-1]
         sums = [
-            F.when(F.count(f"digest_{s}") > 0, F.sha2(F.to_json(F.array_sort(F.collect_list(F.when(F.col(f"digest_{s}").isNotNull(), F.struct(F.col(order), F.col(f"digest_{s}")))))), 256)).alias(f"digest_{s}")
+            F.when(F.count(f"digest_{s}") > 0, F.sha2(F.to_json(F.array_sort(F.collect_list(F.when(F.col(f"digest_{s}").isNotNull(), F.struct(F.col(order), F.col(f"digest_{s}").alias("digest")))))), 256)).alias(f"digest_{s}")
             for s in "ab"
         ]
         levels.append(written((child.groupBy(*key) if key else child).agg(*sums), "fixity-nodes"))
