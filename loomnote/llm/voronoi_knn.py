@@ -60,12 +60,12 @@ def _dealt(rows: DataFrame, pivots: np.ndarray, largest: float | None) -> DataFr
 def top_k(data: DataFrame, queries: DataFrame, k: int = 5, pivots: int = PIVOTS, group_queries: int = GROUP_QUERIES, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: of each query the k rows of highest integer inner product, ties to smaller ids.
 
-    data, queries: id (long), v (array<long>, all of one length). A row with the query's own id is no candidate.
-    Fewer than k candidates give fewer rows; repeated rows count each. Null ids and vectors of other lengths are
-    left out. Vectors of all sizes are exact as long as the products stay below 2**53.
+    data, queries: id (long), v (array<long>). A row with the query's own id is no candidate.
+    Fewer than k candidates give fewer rows; repeated data rows count each, queries of one id are one query. Null
+    ids and vectors of another length than most are left out. Vectors of all sizes are exact as long as the products stay below 2**53.
     """
     size = F.size("v")
-    dim = data.agg(F.max_by(size, F.col("id"))).first()[0] or 0
+    dim = data.agg(F.mode(size)).first()[0] or 0
     data = written(data.where(F.col("id").isNotNull() & (size == dim)), "knn-data")
     queries = written(queries.where(F.col("id").isNotNull() & (size == dim)), "knn-queries")
     norm = F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x * x)
