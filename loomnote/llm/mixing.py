@@ -21,8 +21,9 @@ SHARE, MOST, SEED = 1.5, 2, 4
 #: By the place of the source in code-point order, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
 BUCKET_DOCS, CHUNK = 4096, 65536
-#: Slots that the smallest source with a target gets at least, unless blocks would fall below LEAST_BLOCK words; and the most in all for each document.
-SMALLEST_SLOTS, LEAST_BLOCK = 2000, 16
+#: Slots that the smallest source with a target gets at least, unless blocks fell below LEAST_BLOCK words or there
+#: were more than 4 slots for each document (or MOST_SLOTS, if that is more).
+SMALLEST_SLOTS, LEAST_BLOCK, MOST_SLOTS = 2000, 16, 1 << 18
 #: Fractional parts of the golden ratio, and of its 2**20-fold.
 GOLDEN, GOLDEN_20 = 0.6180339887498949, 0.607787409740351
 #: Cells of the unit interval by which slots find their source.
@@ -69,7 +70,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rows = written(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), words(F.col(text_col)).alias("size")), "mix-sizes")
     goal = written(targets(rows, weights, share, most), "mix-targets")
     n, total, goals, smallest = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()[:2] + goal.agg(F.coalesce(F.sum("target"), F.lit(0.0)), F.min(F.when(F.col("target") > 0, F.col("target")))).first()[:2]
-    block = max(LEAST_BLOCK, int((smallest or 0) / SMALLEST_SLOTS), int(goals / max(1, 4 * n)) if n else 0)
+    block = max(LEAST_BLOCK, int((smallest or 0) / SMALLEST_SLOTS), int(goals / max(MOST_SLOTS, 4 * n)))
     slots = -(-int(goals) // block)
 
     # Layout: bucket of a document by hash, sums of buckets in order, place within the bucket.
