@@ -148,3 +148,30 @@ def test_vector_guard_and_cosine(spark):
 def test_uuid_time(spark):
     assert one(spark, T.uuid7_time(F.lit("017f22e2-79b0-7cc3-98c4-dc0c0c07398f"))).isoformat() == "2022-02-22T19:22:22"
     assert one(spark, T.uuid7_time(F.lit("017f22e2-79b0-4cc3-98c4-dc0c0c07398f"))) is None
+
+
+def test_components_and_clusters(spark):
+    import datetime
+
+    from loomnote.operators import curation
+
+    got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame([(1, 2), (3, 2), (9, 8), (5, 5)], "u long, v long")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 8: 8, 9: 8}
+    day = lambda n: datetime.date(2024, 1, 1) + datetime.timedelta(n)
+    alike = [("g", i, day(0), ["x", "y"]) for i in range(50)] + [("far", 1, day(0), ["x"]), ("far", 2, day(19), ["x"]), ("far", 3, day(38), ["x"])]
+    threads = curation.thread_clusters(spark.createDataFrame(alike, "group string, id long, day date, entities array<string>")).groupBy("group", "cluster").count().collect()
+    assert sorted(r["count"] for r in threads) == [20, 30] and {r["group"] for r in threads} == {"g"}
+    runs = [(i, i % 2, ["git", "npm", "make"]) for i in range(3)] + [(7, 7, ["a", "b", "c"])]
+    assert {(r["cluster"], r["id"]) for r in curation.procedure_clusters(spark.createDataFrame(runs, "id long, session long, commands array<string>")).collect()} == {(0, 0), (0, 1), (0, 2)}
+    assert curation.command_signature("```\ncd x\n/usr/bin/Make all\n```\n$ npm i\ntext") == ["make", "npm"]
+
+
+def test_batches_and_duplicate_names(spark):
+    from loomnote.operators import curation
+
+    rows = spark.createDataFrame([("k", i, 10) for i in range(10)] + [("k", 99, 100)], "kind string, id long, tokens long")
+    sizes = curation.batches(rows, 4, 35).groupBy("batch").agg(F.collect_list("id").alias("ids")).collect()
+    assert sorted(map(len, (r["ids"] for r in sizes))) == [1, 1, 3, 3, 3]
+    names = spark.createDataFrame([(1, "Auth-Service", "t"), (2, "auth service", "t"), (3, "authservices", "t"), (4, "billing", "t"), (5, "authservices", "u")], "id long, name string, type string")
+    got = {(r["left_id"], r["right_id"]): r["similarity"] for r in resolve.duplicate_entities(names).collect()}
+    assert set(got) == {(1, 2), (1, 3)} and got[1, 2] == 1.0
