@@ -1,10 +1,10 @@
-"""What the operators of this subpackage share: white space, tables and connected components."""
+"""What the operators of this subpackage share."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from ..storage import written
 
 #: White space as every contract here counts it.
@@ -16,31 +16,3 @@ __all__ = ["SPACE", "WORD", "components", "table", "written"]
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def components(edges: DataFrame, label: str = "components") -> DataFrame:
-    """Connected components by alternating large-star and small-star rounds.
-
-    edges: columns u, v (both non-null, comparable). Returns node, root: every node of an edge with the
-    smallest node it reaches. Each round keeps for every node only its links to the smallest neighbour, so a
-    hub's links are never gathered in one task; each round's links are a table in the shared folder.
-    """
-    links = written(edges.where("u <> v").selectExpr("greatest(u, v) AS v", "least(u, v) AS u").distinct(), label)
-    before = None
-    while True:
-        both = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").selectExpr("v", "m AS u").distinct()
-        low = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = (
-            large.join(low, "v")
-            .selectExpr("IF(u = m, v, u) AS v", "m AS u")
-            .unionByName(low.selectExpr("v", "m AS u"))
-            .where("u <> v")
-            .distinct()
-        )
-        links = written(small, label)
-        state = links.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
-        if state == before:
-            return links.selectExpr("v AS node", "u AS root").unionByName(links.selectExpr("u AS node", "u AS root").distinct()).distinct()
-        before = state
