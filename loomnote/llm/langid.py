@@ -38,6 +38,9 @@ def gram_hashes(text: str, orders: tuple[int, ...], letters: np.ndarray) -> Iter
     """Hashes of the n-grams of a text's letters in lower case, words set apart by one space; nothing without letters."""
     for i in range(0, max(len(text), 1), _STEP):  # parts overlap, so that no n-gram is lost
         points = np.frombuffer(text[max(0, i - max(orders) + 1) : i + _STEP].lower().encode("utf-32-le", "replace"), np.uint32)
+        high = points >= 65536
+        if high.any():
+            points = np.where(high & ~np.isin(points, [c for c in np.unique(points[high]).tolist() if chr(c).isalpha()]), 32, points)
         points = np.where(points < 65536, letters[np.minimum(points, 65535)], points)
         space = points == 32
         if space.all():
@@ -125,13 +128,8 @@ def classify(text: str | None, filters: Filters, orders: tuple[int, ...], letter
     return filters.languages[best], float(min(1.0, corrected[best]))
 
 
-def predict(docs: DataFrame, filters: Filters, text_col: str = "text", orders: tuple[int, ...] = ORDERS) -> DataFrame:
-    """docs with lang_pred and score (0 to 1) from the whole text; `und` with score 0 where text is null or has no letter.
-
-    Ties go to the language that sorts first; a text of which no n-gram is known gets the commonest language of
-    the training rows with score 0. Columns named lang_pred or score are replaced.
-    """
-    docs = docs.drop("lang_pred", "score")
+def _predicted(docs: DataFrame, filters: Filters, text_col: str, orders: tuple[int, ...]) -> DataFrame:
+    """docs with the column __p of lang_pred and score."""
     shared = docs.sparkSession.sparkContext.broadcast((filters.languages, filters.masks, filters.false_rate, filters.slots, filters.hashes, filters.default))
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -142,21 +140,29 @@ def predict(docs: DataFrame, filters: Filters, text_col: str = "text", orders: t
             yield pd.DataFrame([classify(t, own, orders, letters) for t in texts], columns=["lang_pred", "score"])
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    found = F.pandas_udf(run, "lang_pred string, score double")
-    return docs.withColumn("__p", found(F.col(text_col).cast("string"))).select("*", "__p.lang_pred", "__p.score").drop("__p")
+    return docs.withColumn("__p", F.pandas_udf(run, "lang_pred string, score double")(F.col(text_col).cast("string")))
+
+
+def predict(docs: DataFrame, filters: Filters, text_col: str = "text", orders: tuple[int, ...] = ORDERS) -> DataFrame:
+    """docs with lang_pred and score (0 to 1) from the whole text; `und` with score 0 where text is null or has no letter.
+
+    Ties go to the language that sorts first; a text of which no n-gram is known gets the commonest language of
+    the training rows with score 0. Columns named lang_pred or score are replaced.
+    """
+    return _predicted(docs.drop("lang_pred", "score"), filters, text_col, orders).select("*", "__p.lang_pred", "__p.score").drop("__p")
 
 
 def held_out(key) -> F.Column:
-    return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(4)) == 2
+    return F.coalesce(F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
 def learned_from(docs: DataFrame) -> Filters:
-    return learn(docs.where(F.coalesce(~held_out("doc_id"), F.lit(True))))
+    return learn(docs.where(~held_out("doc_id")))
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
     """docs whose language is known: those with no letter go."""
-    return predict(docs, learned_from(docs)).where(F.col("lang_pred") != UNKNOWN).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return _predicted(docs, learned_from(docs), "text", ORDERS).where(F.col("__p.lang_pred") != UNKNOWN).drop("__p")
 
 
 def op8_bitsliced_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ WORDS = "the of and to in that was his with for as had you not be her on at by w
 #: Nulls in every column, empty and long texts, ties and repeated rows.
 ODD = [
     (1, "a b  c\td", "en", "x", 8), (2, "a b c d", "en", "x", 7), (2, "a b c d", "en", "x", 7), (3, None, None, None, None), (4, "", "fr", "y", 0), (5, " \n", "fr", "y", 2),
-    (None, "a b c d", "en", "x", 7), (None, None, None, None, None), (6, "Ωmega 123 <|endoftext|> 'S été", "fr", None, 9), (7, " ".join(random.Random(1).choices(WORDS, k=60_000)), "en", "x", 1), (8, "1 2 3", "en", "y", 5),
+    (None, "a b c d", "en", "x", 7), (None, None, None, None, None), (6, "Ωmega 123 <|endoftext|> 'S été", "fr", None, 9), (7, " ".join(random.Random(1).choices(WORDS, k=60_000)), "en", "x", 1), (8, "1 2 3", "en", "y", 5), (9, "😀 1", "en", "y", 3),
 ]
 
 
@@ -199,10 +199,11 @@ def test_language_held_out(spark):
 
 def test_language_odd(odd, empty):
     got = {r["doc_id"]: r for r in langid.predict(odd.where("doc_id IS NOT NULL"), langid.learned_from(odd)).collect()}
-    assert {i for i, r in got.items() if r["lang_pred"] == "und"} == {3, 4, 5, 8} and got[7]["lang_pred"] == "en"
+    assert {i for i, r in got.items() if r["lang_pred"] == "und"} == {3, 4, 5, 8, 9} and got[7]["lang_pred"] == "en"
     assert langid.predict(empty, langid.learned_from(empty)).count() == 0
     assert {r["lang_pred"] for r in langid.predict(odd, langid.learned_from(empty)).collect()} == {"und"}
-    assert {r[0] for r in rows(langid.keep_known(odd).select("doc_id"))} == {1, 2, 6, 7, None}
+    kept = langid.keep_known(odd)
+    assert kept.columns == odd.columns and {(r["doc_id"], r["score"]) for r in kept.collect()} == {(i, 9) for i in (1, 2, 6, 7, None)}
 
 
 def test_bloom_filters_correct_for_false_positives():
