@@ -46,7 +46,7 @@ def body_key(text: Column) -> Column:
 
 def snippet(text: Column, most: int = 240) -> Column:
     """The first line that is not blank, trimmed, at most so many characters."""
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     return F.substring(F.get(lines, 0), 1, most)
 
 

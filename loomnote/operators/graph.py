@@ -16,7 +16,7 @@ WIKILINK = r"\[\[([^\[\]\|#]+)(?:[#\|][^\[\]]*)?\]\]"
 
 def wikilinks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "body") -> DataFrame:
     """id, target: the distinct [[links]] in each text."""
-    found = F.array_distinct(F.transform(F.regexp_extract_all(text_col, F.lit(WIKILINK), 1), F.trim))
+    found = F.array_distinct(F.transform(F.regexp_extract_all(text_col, F.lit(WIKILINK), 1), lambda x: F.trim(x)))
     return docs.select(id_col, F.explode(found).alias("target")).where("target <> ''")
 
 
