@@ -31,7 +31,7 @@ def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.digests(bpe.encode_decode(docs, public_tokenizers.path("word_bpe_49k.json")))
+    return bpe.encode_decode(docs, public_tokenizers.path("word_bpe_49k.json"), then=bpe.DIGESTS)
 
 
 STAGES = [

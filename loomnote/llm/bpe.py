@@ -12,8 +12,9 @@ row for each block, and a document's codes travel compressed.
 
 from __future__ import annotations
 
+import hashlib
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -125,9 +126,12 @@ def _plain(model):
     return model
 
 
-def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, then: tuple[Callable[[pa.RecordBatch], pa.RecordBatch], str] | None = None) -> DataFrame:
     """One row per row of docs: id, ids (array<int>) and decoded, equal to what the tokenizers library gives for the whole text.
 
+    then: a function of the batches of id, ids and decoded that runs in the same task, and the types of what it
+    gives besides id; so that what is derived from ids need not move them.
+
     tokenizer_path: a JSON file of the tokenizers library whose pre-tokenizer splits at white space and which has
     no decoder, so that decoding joins the pieces with one space. Null texts count as empty and give no ids;
     strings of special tokens in a text become those tokens, as in the library. Repeated rows each give a row.
@@ -176,32 +180,36 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(out)))
             yield pa.RecordBatch.from_arrays([own.slice(a, len(out)), ids, pa.array(decoded, pa.string())], ["id", "ids", "decoded"])
 
+    derive, given = then or ((lambda batch: batch), "ids array<int>, decoded string")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Array] = []
         for batch in batches:
             start = 0
             for i in np.nonzero(batch.column("n").is_valid().to_numpy(zero_copy_only=False))[0].tolist():
                 held.append(batch.column("code").slice(start, i - start))
-                yield from finish(held, batch, i)
+                yield from map(derive, finish(held, batch, i))
                 held, start = [], i + 1
             held.append(batch.column("code").slice(start))
 
-    return both.mapInArrow(run, f"id {id_type.simpleString()}, ids array<int>, decoded string").withColumnRenamed("id", id_col)
+    return both.mapInArrow(run, f"id {id_type.simpleString()}, {given}").withColumnRenamed("id", id_col)
+
+
+def _digests(batch: pa.RecordBatch) -> pa.RecordBatch:
+    ids = batch.column("ids")
+    joined = pc.binary_join(pa.ListArray.from_arrays(ids.offsets, pc.cast(ids.values, pa.string())), " ")
+    sha = lambda column: pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in column])
+    return pa.RecordBatch.from_arrays([batch.column("id"), pc.cast(pc.list_value_length(ids), pa.int64()), sha(joined), sha(batch.column("decoded"))], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
-def digests(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    return encoded.select(
-        id_col,
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+#: Number of tokens, and digests of the decimal ids joined by one space and of the decoded text.
+DIGESTS = (_digests, "n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op5_bpe_word_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return digests(encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+    return encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), then=DIGESTS)
 
 
 QUERIES = {"op5_bpe_word_table": op5_bpe_word_table}
