@@ -175,3 +175,25 @@ def test_batches_and_duplicate_names(spark):
     names = spark.createDataFrame([(1, "Auth-Service", "t"), (2, "auth service", "t"), (3, "authservices", "t"), (4, "billing", "t"), (5, "authservices", "u")], "id long, name string, type string")
     got = {(r["left_id"], r["right_id"]): r["similarity"] for r in resolve.duplicate_entities(names).collect()}
     assert set(got) == {(1, 2), (1, 3)} and got[1, 2] == 1.0
+
+
+def test_models_plug_in(spark):
+    from loomnote.operators import models
+
+    docs = spark.createDataFrame([("a", "token = abc"), ("b", None)], "path string, body string")
+    got = {r["path"]: r for r in models.embed(docs, models.hash_embedder, "stand-in", 16).collect()}
+    assert all(r["reason"] is None and len(r["vector"]) == 16 for r in got.values()) and got["a"]["hash"] == __import__("hashlib").sha256(b"token = [REDACTED]").hexdigest()
+
+    def failing(texts):
+        raise RuntimeError("busy")
+
+    assert {r["reason"] for r in models.embed(docs, failing, "m", 16).collect()} == {"embedder: busy"}
+    replies = spark.createDataFrame([('{"supported": false}', False), ('{"supported": true}', True), ("?", False), ('x {"supported": true}', False)], "r string, t boolean")
+    assert [r[0] for r in replies.select(models.supported(F.col("r"), F.col("t"))).collect()] == [False, False, True, True]
+    long = "é" * 500
+    assert len(models.middle_cut(long, 100).encode()) <= 100 and models.middle_cut("short", 100) == "short"
+    log = "## [10:00:00] A\n" + "ß" * 70 + "\n## [10:00:01] B\nx\n"
+    parts = models.byte_chunks(log, 64)
+    assert "".join(parts) == log and all(len(p.encode()) <= 64 for p in parts)
+    logs = spark.createDataFrame([(1, log), (2, None)], "k long, t string")
+    assert models.session_chunks(logs, 64, "k", "t").count() == len(parts)
