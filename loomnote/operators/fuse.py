@@ -19,6 +19,22 @@ def ranked(stream: DataFrame, source: str, weight: float = 1.0, score: str = "sc
     return out.select("query_id", "id", F.lit(source).alias("source"), "rank", F.lit(float(weight)).alias("weight"))
 
 
+def global_rank(rows: DataFrame, score: str = "score", key: str = "id", share: int = 65536) -> DataFrame:
+    """rows (key an integer) with rank by score descending, then key, over all rows without sorting them in one task.
+
+    Ranks are summed up from three counts: rows of higher scores (one row a score in one place), rows of the same
+    score in lower ranges of the key, and rows before in the own range.
+    """
+    placed = rows.withColumn("__range", F.floor(F.col(key) / share))
+    ranges = placed.groupBy(score, "__range").agg(F.count("*").alias("__n"))
+    below = F.coalesce(F.sum("__n").over(Window.partitionBy(score).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    levels = ranges.groupBy(score).agg(F.sum("__n").alias("__n"))
+    above = F.coalesce(F.sum("__n").over(Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offset = ranges.select(score, "__range", below.alias("__below")).join(levels.select(score, above.alias("__above")), score)
+    own = F.row_number().over(Window.partitionBy(score, "__range").orderBy(key))
+    return placed.withColumn("__own", own).join(offset, [score, "__range"]).withColumn("rank", F.col("__own") + F.col("__below") + F.col("__above")).drop("__range", "__own", "__below", "__above")
+
+
 def rrf(streams: list[DataFrame], k: int = params.RRF_K) -> DataFrame:
     """query_id, id, score, signals (by source), dominant: weighted reciprocal-rank fusion; only rows that a stream other than metadata has."""
     every = reduce(DataFrame.unionByName, streams)

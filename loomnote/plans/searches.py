@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import params
 from ..functions import text as T
 from ..operators import evaluation, fuse, lexical, resolve, vector
+from ..storage import written
 from ..tables import PAGES_SQL, pages_of, table
 from .base import query
 from .texts import _CASES, tokens_sql
@@ -215,12 +216,12 @@ def streams(spark, sf):
     exact = head.join(terms, "term").groupBy("query_id", "id").agg(F.count("*").cast("double").alias("score"))
     factor = F.when(F.col("status") == "archived", 0.0).when(F.col("status") == "superseded", 0.1).otherwise(1.0)
     prior = pages_of(spark, sf).select(F.col("doc_id").alias("id"), F.round(F.least(F.lit(1.0), factor * F.coalesce("confidence", F.lit(0.7))), 6).alias("score"))
-    return {"bm25": bm25_of(spark, sf), "exact": exact, "metadata": prior}, q
+    return {"bm25": bm25_of(spark, sf), "exact": written(exact, "exact"), "metadata": prior}, q
 
 
 def _with_prior(found: dict, prior, q):
     """The metadata stream ranks once for all queries, and only rows that another stream found need its rank."""
-    ranked = prior.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id"))).select("id", "rank")
+    ranked = fuse.global_rank(prior).select("id", "rank")
     asked_rows = None
     for s in found.values():
         rows = s.select("query_id", "id")

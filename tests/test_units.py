@@ -45,6 +45,12 @@ def test_rrf(spark):
     assert fuse.rrf([ranks(spark, "metadata", "a")]).count() == 0
 
 
+def test_global_rank(spark):
+    rows = spark.createDataFrame([(i, float(i % 3)) for i in range(50)], "id long, score double")
+    got = {r["id"]: r["rank"] for r in fuse.global_rank(rows, share=7).collect()}
+    assert got == {i: n for n, i in enumerate(sorted(range(50), key=lambda i: (-(i % 3), i)), 1)}
+
+
 def edges(spark, pairs, relation="uses"):
     return spark.createDataFrame([(a, b, relation, "relation") for a, b in pairs], "from_path string, to_path string, relation_type string, kind string")
 
