@@ -26,7 +26,8 @@ from .common import table
 
 #: Bytes of text in a block; a longer document is a block of its own.
 BLOCK_BYTES = 24 << 20
-_LAST = (1 << 31) - 1
+#: Words that an encoding task holds before it packs them by block.
+PACK_WORDS = 200_000
 _LETTER = r"[A-Za-z0-9\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}]"  # without U+0130, whose lower case ends in a mark
 _SIGNS = ',.!?;:%&*#$()"'
 
@@ -46,14 +47,15 @@ def may_cut(model) -> bool:
     return all(ids(f"Ab{s}cD{s}{s}é9{s}") == ids(f"ab {s} cd {s}{s} é9 {s}") for s in _SIGNS)
 
 
-def _packed(codes: np.ndarray) -> bytes:
-    """32-bit numbers as four planes of bytes, compressed."""
-    return pa.Codec("zstd", 3).compress(np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), asbytes=True)
+def _packed(numbers: np.ndarray) -> bytes:
+    """32-bit numbers, if there are many of them as four planes of bytes, compressed."""
+    raw = numbers.astype("<u4")
+    return raw.tobytes() if len(raw) < 64 else pa.Codec("zstd", 3).compress(np.ascontiguousarray(raw.view(np.uint8).reshape(-1, 4).T).tobytes(), asbytes=True)
 
 
 def _unpacked(packed: bytes, n: int) -> np.ndarray:
-    if not n:
-        return np.zeros(0, "<u4")
+    if n < 64:
+        return np.frombuffer(packed, "<u4")
     planes = np.frombuffer(pa.Codec("zstd").decompress(packed, 4 * n, asbytes=True), np.uint8)
     return np.ascontiguousarray(planes.reshape(4, n).T).view("<u4").ravel()
 
@@ -99,25 +101,54 @@ def _blocks(docs: DataFrame, block_bytes: int, cut: bool, listed: bool) -> DataF
 
 
 def _encoded(words: DataFrame, tokenizer: str, width: str) -> DataFrame:
-    """block, pos, code: the ids of each word, as bytes. words: block, pos, word, equal words next to each other."""
+    """block, m, at, sizes, code: of m words of a block their places in its list, numbers of ids, and the ids one after the other.
+
+    words: block, pos, word, equal words next to each other, so that each is encoded once.
+    """
+
+    def pack(held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        block, pos, size = (np.concatenate([h[i] for h in held]) for i in range(3))
+        ids, begin = np.concatenate([h[3] for h in held]), np.concatenate([[0], np.cumsum(size)])
+        order = np.argsort(block, kind="stable")
+        block, pos, size, begin = block[order], pos[order], size[order], begin[:-1][order]
+        ids = ids[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+        ends = np.append(np.nonzero(np.diff(block))[0] + 1, len(block)).tolist()
+        upto, rows, a, i = np.cumsum(size), [], 0, 0
+        for z in ends:
+            j = int(upto[z - 1])
+            rows.append((int(block[a]), z - a, _packed(pos[a:z]), _packed(size[a:z]), ids[i:j].tobytes()))
+            a, i = z, j
+        columns = list(zip(*rows, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["block", "m", "at", "sizes", "code"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        model = None
-        known: dict[str, bytes] = {}
+        model, known, held, n = None, {}, [], 0
         for batch in batches:
+            if not len(batch):
+                continue
             model = model or _plain(Tokenizer.from_str(tokenizer))
             coded = batch.column(2).dictionary_encode()
             each = coded.dictionary.to_pylist()
             new = [w for w in each if w not in known]
-            known.update(zip(new, (np.array(e.ids, width).tobytes() for e in model.encode_batch(new, add_special_tokens=False)), strict=True))
-            codes = pa.array([known[w] for w in each], pa.binary()).take(coded.indices)
+            known.update(zip(new, (e.ids for e in model.encode_batch(new, add_special_tokens=False)), strict=True))
+            size = np.array([len(known[w]) for w in each], np.int64)
+            flat, begin = np.array([i for w in each for i in known[w]], width), np.cumsum(size) - size
             known = {each[-1]: known[each[-1]]}  # goes on in the next batch
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), codes], ["block", "pos", "code"])
+            at = coded.indices.to_numpy()
+            own = size[at]
+            ids = flat[np.repeat(begin[at] - (np.cumsum(own) - own), own) + np.arange(own.sum())]
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), own, ids))
+            n += len(batch)
+            if n >= PACK_WORDS:
+                yield pack(held)
+                held, n = [], 0
+        if held:
+            yield pack(held)
 
-    return words.mapInArrow(run, "block long, pos int, code binary")
+    return words.mapInArrow(run, "block long, m long, at binary, sizes binary, code binary")
 
 
 def _plain(model):
@@ -152,21 +183,24 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     id_type = docs.schema["id"].dataType
     listed = _blocks(docs, block_bytes, cut, True).select("block", F.posexplode("words").alias("pos", "word")).repartition("word").sortWithinPartitions("word")
     sent = _encoded(listed, tokenizer, width)
-    coded = _blocks(docs, block_bytes, cut, False).withColumn("pos", F.lit(_LAST))
-    both = sent.unionByName(coded, allowMissingColumns=True).repartition("block").sortWithinPartitions("block", "pos")
+    coded = _blocks(docs, block_bytes, cut, False)
+    both = sent.unionByName(coded, allowMissingColumns=True).repartition("block").sortWithinPartitions("block", F.col("n").asc_nulls_first())
 
-    def finish(held: list[pa.Array], batch: pa.RecordBatch, i: int) -> Iterator[pa.RecordBatch]:
+    def finish(held: list[tuple], batch: pa.RecordBatch, i: int) -> Iterator[pa.RecordBatch]:
         get = lambda name: batch.column(name)[i]
-        lists = pa.concat_arrays(held)
-        if len(lists) != get("n_words").as_py():
+        n_words = sum(h[0] for h in held)
+        if n_words != get("n_words").as_py():
             raise ValueError("the documents changed while they were being encoded")
-        flat = [np.frombuffer(b, width) for b in lists.to_pylist()]
-        sizes = np.array([len(x) for x in flat], np.int64)
-        text = np.array([" ".join([pieces[k] for k in x.tolist()]) for x in flat] or [""], object)
-        n_words, codes = len(flat), _unpacked(get("codes").as_py(), get("n").as_py())
+        join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+        at, sizes = (join([_unpacked(h[k], h[0]) for h in held], "<u4").astype(np.int64) for k in (1, 2))
+        flat, begin, order = join([np.frombuffer(h[3], width) for h in held], width), np.cumsum(sizes) - sizes, np.argsort(at)
+        sizes, begin = sizes[order], begin[order]
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        every = flat[np.repeat(begin - starts[:-1], sizes) + np.arange(starts[-1])].astype(np.int32)
+        shown = [pieces[k] for k in every.tolist()]
+        text = np.array([" ".join(shown[a:z]) for a, z in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)] or [""], object)
+        codes = _unpacked(get("codes").as_py(), get("n").as_py())
         own, counts = batch.column("ids")[i].values, get("counts").values.to_numpy()
-        starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-        every = np.concatenate(flat).astype(np.int32) if n_words else np.zeros(0, np.int32)
         ends = np.cumsum(counts, dtype=np.int64)
         for a in range(0, len(counts), 256):
             out, decoded = [], []
@@ -183,14 +217,14 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     derive, given = then or ((lambda batch: batch), "ids array<int>, decoded string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Array] = []
+        held: list[tuple] = []
         for batch in batches:
-            start = 0
-            for i in np.nonzero(batch.column("n").is_valid().to_numpy(zero_copy_only=False))[0].tolist():
-                held.append(batch.column("code").slice(start, i - start))
-                yield from map(derive, finish(held, batch, i))
-                held, start = [], i + 1
-            held.append(batch.column("code").slice(start))
+            for i in range(len(batch)):
+                if batch.column("n")[i].is_valid:  # a block, after its words
+                    yield from map(derive, finish(held, batch, i))
+                    held = []
+                else:
+                    held.append(tuple(batch.column(c)[i].as_py() for c in ("m", "at", "sizes", "code")))
 
     return both.mapInArrow(run, f"id {id_type.simpleString()}, {given}").withColumnRenamed("id", id_col)
 
