@@ -50,7 +50,9 @@ def rrf(streams: list[DataFrame], k: int = params.RRF_K) -> DataFrame:
 def hybrid(streams: dict[str, DataFrame], intent: str = "open-ended", k: int = 10, least: float | None = None) -> DataFrame:
     """The k best documents of each query over named streams (query_id, id, score), weighted by the query's intent.
 
-    Streams: bm25 and vector count their best 50; exact, graph, graph-spread and metadata count whole.
+    Streams: bm25 and vector count their best 50; exact, graph, graph-spread and metadata count whole. A prior that
+    all documents have is ranked once with global_rank and joined to what the other streams found, rather than
+    ranked whole for every query: see the hybrid_search query.
     """
     weight = dict(zip(("bm25", "vector", "exact", "graph", "graph-spread", "metadata"), params.INTENT_WEIGHTS[intent], strict=True))
     lists = [ranked(s, name, weight.get(name, 1.0), cap=params.SIGNAL_CAP if name in ("bm25", "vector") else None) for name, s in streams.items()]
