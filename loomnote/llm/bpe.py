@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 #: Bytes of text in a block; a longer document is a block of its own.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 12 << 20
 #: Words that an encoding task holds before it packs them by block.
 PACK_WORDS = 200_000
 _LETTER = r"[A-Za-z0-9\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}]"  # without U+0130, whose lower case ends in a mark
