@@ -197,11 +197,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with all its columns, one row of each near-duplicate group: that with the smallest id."""
-    stay = near_duplicates(docs, id_col, text_col, **options).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__id")).distinct()
-    same = docs.join(stay, docs[id_col].eqNullSafe(stay["__id"])).drop("__id")
+    """docs with all its columns, one row of each near-duplicate group: that with the smallest id.
+
+    Rows go by (id, text digest), so that unrelated texts without an id, or under one id, each stay; null ids come
+    after all others, and of texts under one id in one group that with the smallest digest stays.
+    """
+    digest = F.unhex(F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256))
+    key = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), digest.alias("sha"))
+    groups = near_duplicates(docs.select(key.alias("__key"), F.col(text_col).alias("__text")), "__key", "__text", **options)
+    stay = groups.where(F.col("__key").eqNullSafe(F.col("component_id"))).select(F.col("__key.id").alias("__id"), F.col("__key.sha").alias("__sha")).distinct()
+    keyed = docs.withColumn("__sha", digest)
+    same = keyed.join(stay, keyed[id_col].eqNullSafe(stay["__id"]) & (keyed["__sha"] == stay["__sha"])).drop(stay["__sha"]).drop("__id")
     order = F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns])
-    return same.withColumn("__n", F.row_number().over(Window.partitionBy(id_col).orderBy(order))).where("__n = 1").drop("__n")
+    return same.withColumn("__n", F.row_number().over(Window.partitionBy(id_col, "__sha").orderBy(order))).where("__n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op9_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -152,6 +152,14 @@ def test_simhash_odd(odd, empty):
     assert golay_simhash.keep_one(odd).columns == odd.columns
 
 
+def test_simhash_keeps_unrelated_texts_without_or_under_one_id(spark):
+    text = [" ".join(random.Random(100 + i).choices(WORDS, k=40)) for i in range(5)]
+    given = [(None, text[0]), (None, text[1]), (7, text[2]), (7, text[3]), (None, text[4]), (8, text[4]), (9, text[2]), (7, text[3])]
+    docs = spark.createDataFrame(given, "doc_id long, text string")
+    want = [(None, text[0]), (None, text[1]), (7, text[2]), (7, text[3]), (8, text[4])]
+    assert sorted(rows(golay_simhash.keep_one(docs)), key=str) == sorted(want, key=str)
+
+
 # op5
 
 
