@@ -16,11 +16,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import SPACE, written
+
 BUCKETS = 1 << 22
-CAPITALS, REPEATS = BUCKETS, BUCKETS + 1
+CAPITALS, REPEATS, FIRST_PART = BUCKETS, BUCKETS + 1, BUCKETS + 2
 #: Labelled documents that a classifier is fitted on, at most about: the bound of the training sample.
 TRAIN_DOCS = 6000
 TOKEN = re.compile(r"[^\W\d_]+|[^\w\s]+")
+#: Lengths of the runs of characters that count as parts of a word.
+PARTS = (4, 5, 6, 7)
+#: What a feature needs to be screened in: strength of its tie to a label, and texts that have it.
+LEAST_Z, LEAST_TEXTS = 4.5, 5
 
 
 def bucket(token: str) -> int:
@@ -48,6 +54,37 @@ def features(text: str | None, known: dict[str, int] | None = None) -> tuple[dic
     return out, len(tokens)
 
 
+def word_buckets(low: str) -> set[int]:
+    """Bucket of a token and, if it is a word, of its parts: runs of its characters, its ends marked. Parts have buckets of their own, from FIRST_PART on."""
+    out = {bucket(low)}
+    if low[0].isalpha():
+        marked = f"^{low}$"
+        out |= {FIRST_PART + bucket(marked[i : i + k]) for k in PARTS for i in range(len(marked) - k + 1)}
+    return out
+
+
+def part_features(text: str | None, known: dict[str, tuple[int, ...]], keep: frozenset[int] | None = None) -> tuple[dict[int, int], int]:
+    """As features, with the parts of words too. keep: the buckets that matter (None: all); known: memo by token, for one keep."""
+    tokens = TOKEN.findall(text or "")
+    out: dict[int, int] = {}
+    for token, n in Counter(tokens).items():
+        low = token.lower()
+        own = known.get(low)
+        if own is None:
+            if len(known) > 200_000:
+                known.clear()
+            found = word_buckets(low)
+            own = known[low] = tuple(found if keep is None else found & keep)
+        for b in own:
+            out[b] = out.get(b, 0) + n
+        if len(token) > 1 and low != token and token.isupper():
+            out[CAPITALS] = out.get(CAPITALS, 0) + n
+    repeats = sum(map(str.__eq__, tokens[1:], tokens))
+    if repeats:
+        out[REPEATS] = repeats
+    return out, len(tokens)
+
+
 class Sample:
     """A training sample in sparse rows: row and bucket and count of each feature, tokens of each row, labels by name."""
 
@@ -75,28 +112,78 @@ def gather(docs: DataFrame, labels: DataFrame, names: list[str], id_col: str = "
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     got = texts.join(F.broadcast(chosen), "id").select("text", F.array(*names).alias("labels")).mapInArrow(run, "bucket array<int>, count array<int>, tokens long, labels array<int>").toArrow()
+    return _sample(got, len(names))
+
+
+def _sample(got: pa.Table, names: int) -> Sample:
     at = got.column("bucket").combine_chunks()
     sizes = np.diff(at.offsets.to_numpy()) if len(at) else np.zeros(0, np.int64)
     order = np.repeat(np.arange(len(at)), sizes)
-    y = np.array(got.column("labels").to_pylist(), np.int64).reshape(-1, len(names))
+    y = np.array(got.column("labels").to_pylist(), np.int64).reshape(-1, names)
     flat = lambda c: got.column(c).combine_chunks().flatten().to_numpy().astype(np.int64)
     return Sample(order, flat("bucket"), flat("count"), got.column("tokens").to_numpy(), y)
 
 
-def screen(sample: Sample, y: np.ndarray, least_z: float = 4.5, least_share: float = 0.0, most: int = 1024) -> np.ndarray:
-    """Buckets whose presence goes with y (two-sample test of proportions): at most ``most``, ascending.
+def gather_parts(docs: DataFrame, labels: DataFrame, names: list[str], id_col: str = "doc_id", text_col: str = "text", train_docs: int = TRAIN_DOCS, words_only: tuple[int, ...] = ()) -> Sample:
+    """As gather, with the parts of words (not screened for labels words_only), and each distinct text once (white space and case aside), with its commonest labels.
 
-    least_share: how strong a bucket must be at least beside the strongest. Copies of a mislabelled document make
-    all their words look telling; a share leaves them out where the true signs are much stronger.
+    Features that ``screen`` would leave out for every label are counted in Spark and never sent to the driver.
     """
-    n, pos = len(sample), max(1, int(y.sum()))
+    given = labels.select(F.col(id_col).alias("id"), *[F.col(n).cast("int").alias(n) for n in names]).dropna()
+    n = given.count()
+    chosen = given.where(F.pmod(F.xxhash64(F.col("id"), F.lit(17)), F.lit(1 << 30)) < int(min(1.0, train_docs / max(1, n)) * (1 << 30)))
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "id")
+    sha = F.sha2(F.lower(F.regexp_replace("text", SPACE, " ")), 256).alias("sha")
+    once = written(texts.groupBy(sha).agg(F.min("text").alias("text"), F.array(*[(2 * F.sum(x) >= F.count(x)).cast("int") for x in names]).alias("labels")), "sample-texts")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple[int, ...]] = {}
+        for batch in batches:
+            total: dict[int, np.ndarray] = {}
+            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                add = np.array([1, *y])
+                for b in part_features(text, known)[0]:
+                    total[b] = total[b] + add if b in total else add
+            sums = np.array(list(total.values()), np.int64).reshape(-1, 1 + len(names)).T
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), *map(pa.array, sums)], ["bucket", *[f"n{i}" for i in range(1 + len(names))]])
+
+    sums = [f"n{i}" for i in range(1 + len(names))]
+    counted = once.select("text", "labels").mapInArrow(count, "bucket int, " + ", ".join(f"{c} long" for c in sums)).groupBy("bucket").agg(*[F.sum(c).alias(c) for c in sums])
+    table = counted.where(F.col("n0") >= LEAST_TEXTS).toArrow()
+    all_, y = table.column("bucket").to_numpy(), once.select("labels").toArrow().column(0).to_pylist()
+    pos = np.array(y, np.int64).reshape(-1, len(names)).sum(axis=0)
+    keep = np.zeros(len(all_), bool)
+    for i in range(len(names)):
+        strong = np.abs(strength(table.column("n0").to_numpy(), table.column(f"n{i + 1}").to_numpy(), len(y), int(pos[i]))) >= LEAST_Z
+        keep |= strong & (all_ < FIRST_PART) if i in words_only else strong
+    kept = frozenset(all_[keep].tolist()) | {CAPITALS, REPEATS}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple[int, ...]] = {}
+        for batch in batches:
+            each = [part_features(t, known, kept) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([sorted(f) for f, _ in each], pa.list_(pa.int32())), pa.array([[f[b] for b in sorted(f)] for f, _ in each], pa.list_(pa.int32())), pa.array([n for _, n in each], pa.int64()), batch.column(2)],
+                ["sha", "bucket", "count", "tokens", "labels"],
+            )
+
+    return _sample(once.select("sha", "text", "labels").mapInArrow(run, "sha string, bucket array<int>, count array<int>, tokens long, labels array<int>").orderBy("sha").toArrow(), len(names))
+
+
+def strength(with_: np.ndarray, with_pos: np.ndarray, n: int, pos: int) -> np.ndarray:
+    """z of the two-sample test of proportions: texts with a feature, those of them with the label; of n texts, pos with the label."""
+    pos, p = max(1, pos), with_ / max(1, n)
     neg = max(1, n - pos)
+    return (with_pos / pos - (with_ - with_pos) / neg) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / pos + 1 / neg))
+
+
+def screen(sample: Sample, y: np.ndarray, least_z: float = LEAST_Z, most: int | None = 1024, parts: bool = True) -> np.ndarray:
+    """Buckets whose presence goes with y (two-sample test of proportions): at most ``most`` (None: all), ascending. parts: those of parts of words too."""
     cols, inverse = np.unique(sample.col, return_inverse=True)
     with_ = np.bincount(inverse, minlength=len(cols))
     with_pos = np.bincount(inverse, weights=y[sample.row].astype(float), minlength=len(cols))
-    p = with_ / n
-    z = (with_pos / pos - (with_ - with_pos) / neg) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / pos + 1 / neg))
-    keep = (np.abs(z) >= max(least_z, least_share * np.abs(z).max(initial=0))) & (with_ >= 5)
+    z = strength(with_, with_pos, len(sample), int(y.sum()))
+    keep = (np.abs(z) >= least_z) & (with_ >= LEAST_TEXTS) & (parts | (cols < FIRST_PART))
     found = cols[keep][np.argsort(-np.abs(z[keep]), kind="stable")][:most]
     return np.unique(np.concatenate([found, [CAPITALS, REPEATS]]))
 
@@ -114,6 +201,13 @@ def dense(sample: Sample, chosen: np.ndarray, share: bool) -> np.ndarray:
     return x
 
 
+def entries(sample: Sample, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column and value of what ``dense`` (without share) has other than zero."""
+    at = np.searchsorted(chosen, sample.col)
+    ok = (at < len(chosen)) & (chosen[np.minimum(at, len(chosen) - 1)] == sample.col)
+    return sample.row[ok], at[ok], value(sample.count[ok], sample.tokens[sample.row[ok]], False)
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
@@ -128,3 +222,25 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int =
         new = look - rate * (x.T @ (sigmoid(x @ look) - y) + keep * look)
         look, w = new + t / (t + 3) * (new - w), new
     return w
+
+
+def fit_logistic_sparse(x: tuple[np.ndarray, np.ndarray, np.ndarray], width: int, y: np.ndarray, use: np.ndarray, ridge: float = 1.0, steps: int = 400) -> np.ndarray:
+    """As fit_logistic, on entries (row, column, value >= 0) of a matrix of so many columns, over the rows in use: time and memory go with the entries."""
+    n = len(y)
+    row, col, val = np.concatenate([x[0], np.arange(n)]), np.concatenate([x[1], np.full(n, width)]), np.concatenate([x[2], np.ones(n)])
+    row, col, val = row[use[row]], col[use[row]], val[use[row]]
+    times = lambda w: np.bincount(row, weights=val * w[col], minlength=n)
+    back = lambda r: np.bincount(col, weights=val * r[row], minlength=width + 1)
+    # Largest singular value by power iteration: quick, as no entry is negative; a tenth more for what is missing.
+    v, top = np.ones(width + 1), 0.0
+    for _ in range(30):
+        v = back(times(v))
+        top = np.linalg.norm(v)
+        v = v / top if top else v
+    rate = 1 / (0.25 * 1.1 * top + ridge)
+    w = look = np.zeros(width + 1)
+    keep = np.append(np.full(width, ridge), 1e-3)
+    for t in range(steps):
+        new = look - rate * (back(np.where(use, sigmoid(times(look)) - y, 0.0)) + keep * look)
+        look, w = new + t / (t + 3) * (new - w), new
+    return w

@@ -15,26 +15,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .textfeatures import Sample, dense, features, fit_logistic, gather, screen, sigmoid, value
+from .textfeatures import CAPITALS, REPEATS, Sample, entries, fit_logistic_sparse, gather_parts, part_features, screen, sigmoid, value
 
 FOLDS = 5
-#: How telling a feature must be beside the best, and the probability from which on a document counts as toxic.
-LEAST_SHARE, TOXIC = 0.4, 0.4
+#: The probability from which on a document counts as toxic.
+TOXIC = 0.4
+#: Position of low quality in the chain: shown by words and signs, while insults in inflecting languages show by parts of words.
+QUALITY = (0,)
 
 
-def fit_chain(sample: Sample, folds: int = FOLDS) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each category in order: buckets, and weights of them, of the earlier probabilities and of one."""
+def fit_chain(sample: Sample, folds: int = FOLDS, words_only: tuple[int, ...] = ()) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each category in order: buckets, and weights of them, of the earlier probabilities and of one.
+
+    Every feature that is significant by itself counts, however weak beside the strongest: a language with few
+    toxic documents has its own signs. Categories words_only go without the parts of words.
+    """
     fold = np.arange(len(sample)) % folds
     earlier, chain = np.zeros((len(sample), 0)), []
-    for y in sample.labels.T:
-        chosen = screen(sample, y, least_share=LEAST_SHARE)
-        x = np.concatenate([dense(sample, chosen, False), earlier], 1)
-        chain.append((chosen, fit_logistic(x, y)))
-        out = np.zeros(len(y))
-        for k in range(folds):
-            if (fold == k).any():
-                w = fit_logistic(x[fold != k], y[fold != k])
-                out[fold == k] = sigmoid(x[fold == k] @ w[:-1] + w[-1])
+    for j, y in enumerate(sample.labels.T):
+        chosen = screen(sample, y, most=None, parts=j not in words_only)
+        row, col, val = entries(sample, chosen)
+        n, k = earlier.shape
+        width = len(chosen) + k
+        x = np.concatenate([row, np.repeat(np.arange(n), k)]), np.concatenate([col, np.tile(np.arange(len(chosen), width), n)]), np.concatenate([val, earlier.ravel()])
+        chain.append((chosen, fit_logistic_sparse(x, width, y, np.ones(n, bool))))
+        out = np.zeros(n)
+        for f in range(folds):
+            if (fold == f).any():
+                w = fit_logistic_sparse(x, width, y, fold != f)
+                out[fold == f] = sigmoid(np.bincount(x[0], weights=x[2] * w[x[1]], minlength=n) + w[-1])[fold == f]
         earlier = np.concatenate([earlier, out[:, None]], 1)
     return chain
 
@@ -48,12 +57,13 @@ def predict(docs: DataFrame, chain: list[tuple[np.ndarray, np.ndarray]], text_co
     shared = docs.sparkSession.sparkContext.broadcast(links)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known: dict[str, int] = {}
+        known: dict[str, tuple[int, ...]] = {}
         links = shared.value
+        keep = frozenset(b for weight, _ in links for b in weight) | {CAPITALS, REPEATS}
         for texts in batches:
             out = np.zeros((len(texts), len(links)))
             for i, text in enumerate(texts):
-                found, n = features(text, known)
+                found, n = part_features(text, known, keep)
                 for j, (weight, rest) in enumerate(links):
                     own = [(weight[b], c) for b, c in found.items() if b in weight]
                     w, c = np.array(own or [(0.0, 0)]).T
@@ -67,7 +77,8 @@ def predict(docs: DataFrame, chain: list[tuple[np.ndarray, np.ndarray]], text_co
 def op6_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The labels name two categories: low quality comes first in the chain, toxic last."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    chain = fit_chain(gather(docs, labels.select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic"), ["low_quality", "toxic"]))
+    rated = labels.select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+    chain = fit_chain(gather_parts(docs, rated, ["low_quality", "toxic"], words_only=QUALITY), words_only=QUALITY)
     return predict(docs.select("doc_id", "text"), chain).select("doc_id", F.col("p")[0].alias("p_low_quality"), F.col("p")[1].alias("p_toxic"), (F.col("p")[1] >= TOXIC).alias("toxic"))
 
 

@@ -346,6 +346,36 @@ def test_toxicity_chain(spark, odd, empty):
     assert toxicity.predict(odd, toxicity.fit_chain(none)).count() == len(ODD)
 
 
+def test_sparse_fit_equals_the_dense_one():
+    rng = np.random.default_rng(1)
+    x = rng.random((200, 12)) * (rng.random((200, 12)) < 0.3)
+    y, use = (x[:, 0] + x[:, 1] > 0.5).astype(int), rng.random(200) < 0.8
+    at = np.nonzero(x)
+    assert np.allclose(textfeatures.fit_logistic_sparse((*at, x[at]), 12, y, use), textfeatures.fit_logistic(x[use], y[use]), atol=1e-3)
+
+
+def test_toxicity_in_a_rare_inflecting_language(spark, tmp_path):
+    rng = random.Random(11)
+    ends = ["".join(rng.choices("abcdefghij", k=3)) for _ in range(60)]
+    docs, labels = [], []
+    for i in range(900):
+        rare, toxic = i % 10 == 0, i % 4 == 0
+        words = rng.choices([w + "eux" for w in WORDS] if rare else WORDS, k=rng.randrange(20, 60))
+        if toxic:
+            words[:0] = rng.choices(["vilgrub" + e for e in ends], k=3) if rare else ["dunderhead", "grubworm"]
+        docs.append((i, " ".join(words)))
+        labels.append((i, 1, int(toxic)))
+    # Copies of one clean text count once.
+    docs += [(900 + i, "quiet unhurried mornings") for i in range(200)]
+    labels += [(900 + i, 1, 0) for i in range(200)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").where("doc_id % 20 <> 0 OR doc_id % 40 = 0").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r["doc_id"]: r["toxic"] for r in toxicity.op6_toxicity_chain(spark, str(tmp_path)).collect()}
+    assert all(got[i] for i in range(0, 900, 20)) and np.mean([got[i] == (i % 4 == 0) for i in range(900)]) > 0.98
+    sample = textfeatures.gather_parts(spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/labels.parquet"), ["toxic"])
+    assert 700 < len(sample) <= 901
+
+
 # op7
 
 
