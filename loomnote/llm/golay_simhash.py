@@ -10,10 +10,13 @@ segment and then in exactly one bit of two segments at least (pigeonhole). So th
   has the other's among those five. A word gives its own codeword's index and those of the five that are
   smaller, so the two meet at the smaller index.
 
-Equal fingerprints are merged first. Large buckets are not compared pair by pair: all members are compared with
-a few representatives of their segment bucket, the links found are contracted to components, and only then
-members of different components of a bucket are compared. No link between two components is lost, and copies
-of one document cost one comparison each.
+Equal fingerprints are merged first. All members of a segment's bucket are compared with a few representatives, the
+links found are contracted to components, and only buckets that hold several components are compared further. What
+is large among them is split by finer keys. If one segment agrees, the other two share at most four errors, so one
+of them has at most two: two words at most two bits apart share one of the (up to six) indices of either, as the
+word between them has one codeword that both know. If no segment agrees, the segment beside a pair of keys has at
+most two errors too. So every bucket splits by the indices of another segment and loses no pair. A finer bucket that
+is still large holds texts that are much alike; there members outside its largest component are compared with all.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import components, table, written
 
 SHINGLE, SEED, BITS = 4, 42, 4
-#: Members of a bucket from which on its largest component is not compared with itself.
+#: Members of a bucket from which on it is split by finer keys, and from which on the largest component of a finer bucket is not compared with itself.
 LARGE = 64
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _STEP = 1 << 16
@@ -80,9 +83,8 @@ def codeword_indices(words: np.ndarray, tables: tuple[np.ndarray, ...]) -> tuple
 
 def fuzzy_keys(prints: np.ndarray, tables: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
     """Positions in prints, and the keys of the print there: kind (0-2 whole segment, 3-5 pair of segments) << 58 | value."""
-    p = prints.view(np.uint64)
-    parts = [(p & np.uint64(0x3FFFFF)).astype(np.int64), (p >> np.uint64(22) & np.uint64(0x1FFFFF)).astype(np.int64), (p >> np.uint64(43)).astype(np.int64)]
-    at, keys = [np.arange(len(p))] * 3, [np.int64(k) << 58 | x for k, x in enumerate(parts)]
+    parts = _segments(prints)
+    at, keys = [np.arange(len(prints))] * 3, [np.int64(k) << 58 | x for k, x in enumerate(parts)]
     coded = [codeword_indices(x, tables) for x in parts]
     for kind, (a, b) in enumerate(((0, 1), (0, 2), (1, 2)), 3):
         (x, ux), (y, uy) = coded[a], coded[b]
@@ -126,6 +128,25 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, print long")
 
 
+def _segments(prints: np.ndarray) -> list[np.ndarray]:
+    p = prints.view(np.uint64)
+    return [(p & np.uint64(0x3FFFFF)).astype(np.int64), (p >> np.uint64(22) & np.uint64(0x1FFFFF)).astype(np.int64), (p >> np.uint64(43)).astype(np.int64)]
+
+
+def finer_keys(keys: np.ndarray, prints: np.ndarray, tables: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Positions, and what keys of fuzzy_keys become there with the codeword index of a segment that they don't have: kind << 58 | value << 16 | segment << 12 | index."""
+    kind, value, at, out = keys >> 58, keys & ((1 << 58) - 1), [], []
+    for j, words in enumerate(_segments(prints)):
+        # Kinds 0-2 have segment 0, 1, 2; kinds 3-5 have all but segment 2, 1, 0.
+        rows = np.nonzero((kind < 3) & (kind != j) | (kind == 5 - j))[0]
+        index, _ = codeword_indices(words[rows], tables)
+        use = np.ones(index.shape, bool)
+        use[:, 1:] = (index[:, 1:] != index[:, :1]).any(axis=1)[:, None]
+        at.append(np.repeat(rows, use.sum(axis=1)))
+        out.append(((keys >> 58 << 58 | value << 16 | j << 12)[rows][:, None] | index)[use])
+    return np.concatenate(at), np.concatenate(out)
+
+
 def _keyed(prints: DataFrame) -> DataFrame:
     tables = golay()
 
@@ -140,6 +161,19 @@ def _keyed(prints: DataFrame) -> DataFrame:
     return prints.select("print").mapInArrow(run, "print long, key long")
 
 
+def _finer(members: DataFrame) -> DataFrame:
+    tables = golay()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, prints, parts = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            for i in range(0, len(keys), 16384):
+                at, fine = finer_keys(keys[i : i + 16384], prints[i : i + 16384], tables)
+                yield pa.RecordBatch.from_arrays([pa.array(fine), pa.array(prints[i : i + 16384][at]), pa.array(parts[i : i + 16384][at])], ["key", "print", "part"])
+
+    return members.select("key", "print", "part").mapInArrow(run, "key long, print long, part long")
+
+
 def link_components(prints: DataFrame, bits: int = BITS) -> DataFrame:
     """print, root for the distinct fingerprints that link to another: root is the least print of the component.
 
@@ -160,19 +194,22 @@ def link_components(prints: DataFrame, bits: int = BITS) -> DataFrame:
         .select(F.col("print").alias("u"), "v")
     )
     labels = components(first, "simhash-first")
-    # Members of different components that share a bucket. In a large bucket those of its largest component are
-    # compared with the rest only, so that copies of one document are not compared with each other again.
+    # Members of different components that share a bucket: small buckets whole, large ones by finer keys.
     member = written(keyed.join(labels.withColumnRenamed("node", "print"), "print", "left").select("key", "print", F.coalesce("root", "print").alias("part")), "simhash-members")
+    mixed = member.groupBy("key").agg(F.count("*").alias("n"), F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key", "n")
+    mixed = written(member.join(mixed, "key"), "simhash-mixed")
+    fine = written(_finer(mixed.where(F.col("n") > LARGE)), "simhash-finer")
     sizes = (
-        member.groupBy("key", "part").agg(F.count("*").alias("n"))
+        fine.groupBy("key", "part").agg(F.count("*").alias("n"))
         .groupBy("key").agg(F.sum("n").alias("n"), F.max_by("part", F.struct("n", "part")).alias("largest"), F.count("*").alias("parts"))
+        .where("parts > 1")
     )
-    large = written(sizes.where(F.col("n") > LARGE).select("key", "largest", "parts"), "simhash-large")
+    known = written(fine.join(sizes, "key").select("key", "print", "part", "n", "largest"), "simhash-known")
     near = F.expr(f"a.part <> b.part AND bit_count(a.print ^ b.print) <= {bits}")
-    small = member.join(large, "key", "left_anti")
+    small = mixed.where(F.col("n") <= LARGE).drop("n").unionByName(known.where(F.col("n") <= LARGE).drop("n", "largest"))
     within = small.alias("a").join(small.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.part") < F.col("b.part")) & near)
-    few = member.alias("m").join(large.where("parts > 1").alias("x"), (F.col("m.key") == F.col("x.key")) & (F.col("m.part") != F.col("x.largest"))).select("m.key", "m.print", "m.part")
-    across = few.alias("a").join(member.alias("b"), (F.col("a.key") == F.col("b.key")) & near)
+    dense = known.where(F.col("n") > LARGE)
+    across = dense.where("part <> largest").alias("a").join(dense.alias("b"), (F.col("a.key") == F.col("b.key")) & near)
     ends = [F.col("a.part").alias("u"), F.col("b.part").alias("v")]
     crossing = within.select(*ends).unionByName(across.select(*ends))
     joined = components(crossing, "simhash-crossing")
