@@ -29,15 +29,15 @@ UNKNOWN = "und"
 _STEP = 1 << 18
 
 
-def _letters() -> np.ndarray:
+def letter_table() -> np.ndarray:
     """For code points of the BMP: the point itself if a letter, else a space."""
     return np.array([c if chr(c).isalpha() else 32 for c in range(65536)], np.uint32)
 
 
-def gram_hashes(text: str, orders: tuple[int, ...], letters: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Hashes of the n-grams of a text's letters in lower case, words set apart by one space; nothing without letters."""
-    for i in range(0, max(len(text), 1), _STEP):  # parts overlap, so that no n-gram is lost
-        points = np.frombuffer(text[max(0, i - max(orders) + 1) : i + _STEP].lower().encode("utf-32-le", "replace"), np.uint32)
+def spaced_letters(text: str, overlap: int, letters: np.ndarray) -> Iterator[np.ndarray]:
+    """Code points of a text's letters in lower case, words set apart by one space, in parts that overlap; nothing without letters."""
+    for i in range(0, max(len(text), 1), _STEP):
+        points = np.frombuffer(text[max(0, i - overlap) : i + _STEP].lower().encode("utf-32-le", "replace"), np.uint32)
         high = points >= 65536
         if high.any():
             points = np.where(high & ~np.isin(points, [c for c in np.unique(points[high]).tolist() if chr(c).isalpha()]), 32, points)
@@ -47,7 +47,12 @@ def gram_hashes(text: str, orders: tuple[int, ...], letters: np.ndarray) -> Iter
             continue
         padded = np.full(len(points) + 2, 32, np.uint32)
         padded[1:-1] = points
-        points = padded[np.concatenate([[True], ~((padded[1:] == 32) & (padded[:-1] == 32))])].astype(np.uint64)
+        yield padded[np.concatenate([[True], ~((padded[1:] == 32) & (padded[:-1] == 32))])].astype(np.uint64)
+
+
+def gram_hashes(text: str, orders: tuple[int, ...], letters: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Hashes of the n-grams of a text's letters in lower case, words set apart by one space; nothing without letters."""
+    for points in spaced_letters(text, max(orders) - 1, letters):  # parts overlap, so that no n-gram is lost
         for n in orders:
             if len(points) < n:
                 continue
@@ -60,7 +65,7 @@ def gram_hashes(text: str, orders: tuple[int, ...], letters: np.ndarray) -> Iter
 
 def _counts(train: DataFrame, orders: tuple[int, ...]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letters = _letters()
+        letters = letter_table()
         for batch in batches:
             held: dict[tuple[str, int], list[np.ndarray]] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -135,7 +140,7 @@ def _predicted(docs: DataFrame, filters: Filters, text_col: str, orders: tuple[i
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = Filters.__new__(Filters)
         own.languages, own.masks, own.false_rate, own.slots, own.hashes, own.default = shared.value
-        letters = _letters()
+        letters = letter_table()
         for texts in batches:
             yield pd.DataFrame([classify(t, own, orders, letters) for t in texts], columns=["lang_pred", "score"])
 

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACE, written
+from .langid import letter_table, spaced_letters
 
 BUCKETS = 1 << 22
 CAPITALS, REPEATS, FIRST_PART = BUCKETS, BUCKETS + 1, BUCKETS + 2
@@ -54,35 +55,37 @@ def features(text: str | None, known: dict[str, int] | None = None) -> tuple[dic
     return out, len(tokens)
 
 
-def word_buckets(low: str) -> set[int]:
-    """Bucket of a token and, if it is a word, of its parts: runs of its characters, its ends marked. Parts have buckets of their own, from FIRST_PART on."""
-    out = {bucket(low)}
-    if low[0].isalpha():
-        marked = f"^{low}$"
-        out |= {FIRST_PART + bucket(marked[i : i + k]) for k in PARTS for i in range(len(marked) - k + 1)}
-    return out
+def part_buckets(text: str, letters: np.ndarray) -> Iterator[np.ndarray]:
+    """Buckets of the parts of a text's words, from FIRST_PART on, repeats included: runs of PARTS characters of a word in lower case, its ends marked."""
+    for points in spaced_letters(text, max(PARTS) - 1, letters):
+        spaces = np.concatenate([[0], np.cumsum(points == 32)])
+        h = np.zeros(len(points), np.uint64)
+        for n in range(1, max(PARTS) + 1):
+            if len(points) < n:
+                break
+            h = (h[: len(points) - n + 1] ^ points[n - 1 :]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+            if n in PARTS:
+                whole = spaces[n - 1 : n - 1 + len(h)] == spaces[1 : 1 + len(h)]
+                yield FIRST_PART + (h[whole] % np.uint64(BUCKETS)).astype(np.int64)
 
 
-def part_features(text: str | None, known: dict[str, tuple[int, ...]], keep: frozenset[int] | None = None) -> tuple[dict[int, int], int]:
-    """As features, with the parts of words too. keep: the buckets that matter (None: all); known: memo by token, for one keep."""
-    tokens = TOKEN.findall(text or "")
-    out: dict[int, int] = {}
-    for token, n in Counter(tokens).items():
-        low = token.lower()
-        own = known.get(low)
-        if own is None:
-            if len(known) > 200_000:
-                known.clear()
-            found = word_buckets(low)
-            own = known[low] = tuple(found if keep is None else found & keep)
-        for b in own:
-            out[b] = out.get(b, 0) + n
-        if len(token) > 1 and low != token and token.isupper():
-            out[CAPITALS] = out.get(CAPITALS, 0) + n
-    repeats = sum(map(str.__eq__, tokens[1:], tokens))
-    if repeats:
-        out[REPEATS] = repeats
-    return out, len(tokens)
+def part_features(text: str | None, known: dict[str, int], letters: np.ndarray, keep: np.ndarray | None = None) -> tuple[dict[int, int], int]:
+    """As features, with the parts of words too. keep: for each bucket whether it matters (None: all do)."""
+    out, n = features(text, known)
+    if keep is not None:
+        out = {b: c for b, c in out.items() if keep[b]}
+    for found in part_buckets(text or "", letters):
+        each, times = np.unique(found if keep is None else found[keep[found]], return_counts=True)
+        for b, c in zip(each.tolist(), times.tolist(), strict=True):
+            out[b] = out.get(b, 0) + c
+    return out, n
+
+
+def kept_table(buckets: np.ndarray) -> np.ndarray:
+    keep = np.zeros(FIRST_PART + BUCKETS, bool)
+    keep[buckets] = keep[CAPITALS] = keep[REPEATS] = True
+    return keep
 
 
 class Sample:
@@ -137,15 +140,16 @@ def gather_parts(docs: DataFrame, labels: DataFrame, names: list[str], id_col: s
     once = written(texts.groupBy(sha).agg(F.min("text").alias("text"), F.array(*[(2 * F.sum(x) >= F.count(x)).cast("int") for x in names]).alias("labels")), "sample-texts")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[int, ...]] = {}
+        known: dict[str, int] = {}
+        letters = letter_table()
         for batch in batches:
-            total: dict[int, np.ndarray] = {}
-            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                add = np.array([1, *y])
-                for b in part_features(text, known)[0]:
-                    total[b] = total[b] + add if b in total else add
-            sums = np.array(list(total.values()), np.int64).reshape(-1, 1 + len(names)).T
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), *map(pa.array, sums)], ["bucket", *[f"n{i}" for i in range(1 + len(names))]])
+            for i in range(0, len(batch), 256):
+                part = batch.slice(i, 256)
+                each = [np.unique(np.concatenate([np.fromiter(features(t, known)[0], np.int64), *part_buckets(t, letters)])) for t in part.column(0).to_pylist()]
+                buckets, at = np.unique(np.concatenate(each), return_inverse=True)
+                y = np.repeat(np.array(part.column(1).to_pylist(), np.int64).reshape(len(part), -1), [len(x) for x in each], axis=0)
+                times = [np.bincount(at, weights=w, minlength=len(buckets)).astype(np.int64) for w in (np.ones(len(at)), *y.T)]
+                yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), *map(pa.array, times)], ["bucket", *[f"n{i}" for i in range(1 + len(names))]])
 
     sums = [f"n{i}" for i in range(1 + len(names))]
     counted = once.select("text", "labels").mapInArrow(count, "bucket int, " + ", ".join(f"{c} long" for c in sums)).groupBy("bucket").agg(*[F.sum(c).alias(c) for c in sums])
@@ -156,12 +160,13 @@ def gather_parts(docs: DataFrame, labels: DataFrame, names: list[str], id_col: s
     for i in range(len(names)):
         strong = np.abs(strength(table.column("n0").to_numpy(), table.column(f"n{i + 1}").to_numpy(), len(y), int(pos[i]))) >= LEAST_Z
         keep |= strong & (all_ < FIRST_PART) if i in words_only else strong
-    kept = frozenset(all_[keep].tolist()) | {CAPITALS, REPEATS}
+    found = all_[keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[int, ...]] = {}
+        known: dict[str, int] = {}
+        letters, kept = letter_table(), kept_table(found)
         for batch in batches:
-            each = [part_features(t, known, kept) for t in batch.column(1).to_pylist()]
+            each = [part_features(t, known, letters, kept) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([sorted(f) for f, _ in each], pa.list_(pa.int32())), pa.array([[f[b] for b in sorted(f)] for f, _ in each], pa.list_(pa.int32())), pa.array([n for _, n in each], pa.int64()), batch.column(2)],
                 ["sha", "bucket", "count", "tokens", "labels"],
