@@ -3,11 +3,11 @@
 Texts are split at ASCII white space, over which no token of the given tokenizers reaches, and, if the tokenizer
 proves to treat both alike, lower-cased and split where letters meet common signs. The documents of a
 scan partition form blocks of bounded size; a block's words become codes into the block's own word list. The
-word lists of all blocks are shuffled by word, so that equal words stand together and each distinct word is
-encoded once; its ids go back to the blocks by (block, position in the list). There every document's codes are
-replaced by ids, and ids by pieces of the vocabulary, which every task holds whole (its size is that of the
-tokenizer file, not of the data). Texts and occurrences of words are never shuffled: a frequent word costs a
-row for each block, and a document's codes travel compressed.
+word lists of all blocks are shuffled by word (and by range of scan partitions, so that a word that every block has
+does not go to one task), so that equal words stand together and each distinct word is encoded once. Its ids are
+joined with the table of the vocabulary's pieces, which gives its decoded form; both go back to the blocks by (block,
+position in the list), and there every document's codes become ids and pieces. Texts and occurrences of words are
+never shuffled: a frequent word costs a row for each block, and a document's codes travel compressed.
 """
 
 from __future__ import annotations
@@ -22,12 +22,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import release, small_batches, table
 
 #: Bytes of text in a block; a longer document is a block of its own.
-BLOCK_BYTES = 12 << 20
-#: Words that an encoding task holds before it packs them by block.
-PACK_WORDS = 200_000
+BLOCK_BYTES = 16 << 20
+#: Words that an encoding task holds before it packs them by block, and that a block's documents are made of at once.
+PACK_WORDS, CHUNK_WORDS = 200_000, 1 << 18
+#: Scan partitions (a power of two of them) whose blocks share one encoding of a word.
+SHARE_BITS = 8
 _LETTER = r"[A-Za-z0-9\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}]"  # without U+0130, whose lower case ends in a mark
 _SIGNS = ',.!?;:%&*#$()"'
 
@@ -60,6 +62,16 @@ def _unpacked(packed: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(4, n).T).view("<u4").ravel()
 
 
+def _squeezed(data: bytes) -> bytes:
+    """The number of bytes, and the bytes compressed."""
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", 3).compress(data, asbytes=True)
+
+
+def _spread(data: bytes) -> bytes:
+    n = int.from_bytes(data[:8], "little")
+    return pa.Codec("zstd").decompress(data[8:], n, asbytes=True) if n else b""
+
+
 def _blocks(docs: DataFrame, block_bytes: int, cut: bool, listed: bool) -> DataFrame:
     """block and its word list (listed), or its ids, number of words per document and compressed codes."""
     id_type = docs.schema["id"].dataType.simpleString()
@@ -94,61 +106,93 @@ def _blocks(docs: DataFrame, block_bytes: int, cut: bool, listed: bool) -> DataF
                     block, ids, texts, held = block + 1, [], [], 0
         if ids:
             yield emit(block, ids, texts)
+        release()
 
     # The scan's own partition number, which stays the same whatever the scan is part of.
     docs = docs.select("id", "text", F.spark_partition_id().alias("part"))
     return docs.mapInArrow(run, "block long, words array<string>" if listed else f"block long, ids array<{id_type}>, counts array<int>, codes binary, n long, n_words long")
 
 
-def _encoded(words: DataFrame, tokenizer: str, width: str) -> DataFrame:
-    """block, m, at, sizes, code: of m words of a block their places in its list, numbers of ids, and the ids one after the other.
+def _encoded(words: DataFrame, tokenizer: str) -> DataFrame:
+    """The distinct words, a row for each id in order (one without id if there is none): first, id, and in a word's first row the blocks and the positions in their lists that have it.
 
     words: block, pos, word, equal words next to each other, so that each is encoded once.
     """
 
-    def pack(held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        block, pos, size = (np.concatenate([h[i] for h in held]) for i in range(3))
-        ids, begin = np.concatenate([h[3] for h in held]), np.concatenate([[0], np.cumsum(size)])
-        order = np.argsort(block, kind="stable")
-        block, pos, size, begin = block[order], pos[order], size[order], begin[:-1][order]
-        ids = ids[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())]
-        ends = np.append(np.nonzero(np.diff(block))[0] + 1, len(block)).tolist()
-        upto, rows, a, i = np.cumsum(size), [], 0, 0
-        for z in ends:
-            j = int(upto[z - 1])
-            rows.append((int(block[a]), z - a, _packed(pos[a:z]), _packed(size[a:z]), ids[i:j].tobytes()))
-            a, i = z, j
-        columns = list(zip(*rows, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["block", "m", "at", "sizes", "code"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        model, known, held, n = None, {}, [], 0
+        model, known = None, {}
         for batch in batches:
             if not len(batch):
                 continue
             model = model or _plain(Tokenizer.from_str(tokenizer))
             coded = batch.column(2).dictionary_encode()
-            each = coded.dictionary.to_pylist()
+            each, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()  # in order, as equal words are next to each other
             new = [w for w in each if w not in known]
             known.update(zip(new, (e.ids for e in model.encode_batch(new, add_special_tokens=False)), strict=True))
-            size = np.array([len(known[w]) for w in each], np.int64)
-            flat, begin = np.array([i for w in each for i in known[w]], width), np.cumsum(size) - size
+            ids = [known[w] or [None] for w in each]
             known = {each[-1]: known[each[-1]]}  # goes on in the next batch
-            at = coded.indices.to_numpy()
-            own = size[at]
-            ids = flat[np.repeat(begin[at] - (np.cumsum(own) - own), own) + np.arange(own.sum())]
-            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), own, ids))
-            n += len(batch)
-            if n >= PACK_WORDS:
+            size = np.array([len(x) for x in ids])
+            start = np.cumsum(size) - size
+            first = np.zeros(int(size.sum()), bool)
+            first[start] = True
+            lists = np.zeros(len(first) + 1, np.int32)
+            lists[start + 1] = np.bincount(at, minlength=len(each))
+            lists = pa.array(np.cumsum(lists, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(first), pa.array([i for x in ids for i in x], pa.int32()), pa.ListArray.from_arrays(lists, batch.column(0)), pa.ListArray.from_arrays(lists, batch.column(1))], ["first", "id", "blocks", "places"])
+        release()
+
+    return words.mapInArrow(run, "first boolean, id int, blocks array<long>, places array<int>")
+
+
+def _packed_by_block(coded: DataFrame, width: str) -> DataFrame:
+    """block, m, at, sizes, code, lengths, decoded: of m words of a block their places in its list, numbers of ids, ids one after the other, and their decoded forms.
+
+    coded: first, id, blocks, places as of _encoded, with the ids' pieces.
+    """
+
+    def pack(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held).combine_chunks()
+        column = lambda name: t.column(name).chunk(0)
+        starts = np.nonzero(column("first").to_numpy(zero_copy_only=False))[0]
+        ends = np.append(starts[1:], len(t))
+        there = column("id").is_valid().to_numpy(zero_copy_only=False)
+        size = np.where(there[starts], ends - starts, 0)
+        ids = column("id").fill_null(0).to_numpy().astype(width)
+        text = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(starts, len(t)), pa.int32()), pc.fill_null(column("piece"), "")), " ")
+        blocks, places = column("blocks").flatten().to_numpy(), column("places").flatten().to_numpy()
+        word = np.repeat(np.arange(len(starts)), pc.list_value_length(column("blocks")).to_numpy()[starts])
+        order = np.argsort(blocks, kind="stable")
+        blocks, places, word = blocks[order], places[order], word[order]
+        own, text = size[word], text.take(pa.array(word))
+        ids = ids[np.repeat(starts[word] - (np.cumsum(own) - own), own) + np.arange(own.sum())]
+        upto, chars, data = np.append(0, np.cumsum(own)), np.frombuffer(text.buffers()[1], np.int32)[: len(text) + 1], text.buffers()[2]
+        cuts = np.append(0, np.append(np.nonzero(np.diff(blocks))[0] + 1, len(blocks))).tolist()
+        rows = [
+            (int(blocks[a]), z - a, _packed(places[a:z]), _packed(own[a:z]), ids[upto[a] : upto[z]].tobytes(), _packed(np.diff(chars[a : z + 1])), _squeezed(data[int(chars[a]) : int(chars[z])].to_pybytes() if data else b""))
+            for a, z in zip(cuts, cuts[1:], strict=False)
+        ]
+        columns = list(zip(*rows, strict=True))
+        kinds = (pa.int64(), pa.int64(), *[pa.binary()] * 5)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["block", "m", "at", "sizes", "code", "lengths", "decoded"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            starts = np.nonzero(batch.column(0).to_numpy(zero_copy_only=False))[0]
+            if n >= PACK_WORDS and len(starts):  # a pack ends before a word
+                held.append(batch.slice(0, int(starts[0])))
                 yield pack(held)
-                held, n = [], 0
-        if held:
+                batch, held, n = batch.slice(int(starts[0])), [], 0
+            held.append(batch)
+            n += len(batch.column(2).flatten())
+        if held and sum(map(len, held)):
             yield pack(held)
+        release()
 
-    return words.mapInArrow(run, "block long, m long, at binary, sizes binary, code binary")
+    return coded.select("first", "id", "blocks", "places", "piece").mapInArrow(run, "block long, m long, at binary, sizes binary, code binary, lengths binary, decoded binary")
 
 
 def _plain(model):
@@ -165,8 +209,9 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
 
     tokenizer_path: a JSON file of the tokenizers library whose pre-tokenizer splits at white space and which has
     no decoder, so that decoding joins the pieces with one space. Null texts count as empty and give no ids;
-    strings of special tokens in a text become those tokens, as in the library. Repeated rows each give a row.
-    docs must give the same rows whenever it is read (a table, not a random sample).
+    strings of special tokens in a text become those tokens, as in the library. Repeated rows each give a row; an
+    empty table gives an empty result; other columns are not read. docs must give the same rows whenever it is read
+    (a table, not a random sample).
     """
     from tokenizers import Tokenizer
 
@@ -174,45 +219,44 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
         tokenizer = f.read()
     model = _plain(Tokenizer.from_str(tokenizer))
     vocabulary, cut = model.get_vocab(with_added_tokens=True), may_cut(model)
-    pieces = [""] * (max(vocabulary.values()) + 1)
-    for piece, i in vocabulary.items():
-        pieces[i] = piece
-    width = "<u2" if len(pieces) <= 65536 else "<u4"
+    width = "<u2" if max(vocabulary.values(), default=0) < 65536 else "<u4"
 
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    docs = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     id_type = docs.schema["id"].dataType
-    listed = _blocks(docs, block_bytes, cut, True).select("block", F.posexplode("words").alias("pos", "word")).repartition("word").sortWithinPartitions("word")
-    sent = _encoded(listed, tokenizer, width)
+    listed = _blocks(docs, block_bytes, cut, True).select("block", F.posexplode("words").alias("pos", "word"))
+    listed = listed.repartition("word", F.shiftright("block", 32 + SHARE_BITS)).sortWithinPartitions("word")
+    # The table of pieces has the vocabulary's size, whatever the data; a broadcast join keeps the order of the words' ids.
+    pieces = docs.sparkSession.createDataFrame(sorted((i, piece) for piece, i in vocabulary.items()), "id int, piece string")
+    sent = _packed_by_block(_encoded(listed, tokenizer).join(F.broadcast(pieces), "id", "left"), width)
     coded = _blocks(docs, block_bytes, cut, False)
     both = sent.unionByName(coded, allowMissingColumns=True).repartition("block").sortWithinPartitions("block", F.col("n").asc_nulls_first())
 
     def finish(held: list[tuple], batch: pa.RecordBatch, i: int) -> Iterator[pa.RecordBatch]:
         get = lambda name: batch.column(name)[i]
-        n_words = sum(h[0] for h in held)
-        if n_words != get("n_words").as_py():
+        if sum(h[0] for h in held) != get("n_words").as_py():
             raise ValueError("the documents changed while they were being encoded")
         join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
-        at, sizes = (join([_unpacked(h[k], h[0]) for h in held], "<u4").astype(np.int64) for k in (1, 2))
-        flat, begin, order = join([np.frombuffer(h[3], width) for h in held], width), np.cumsum(sizes) - sizes, np.argsort(at)
-        sizes, begin = sizes[order], begin[order]
-        starts = np.concatenate([[0], np.cumsum(sizes)])
-        every = flat[np.repeat(begin - starts[:-1], sizes) + np.arange(starts[-1])].astype(np.int32)
-        shown = [pieces[k] for k in every.tolist()]
-        text = np.array([" ".join(shown[a:z]) for a, z in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)] or [""], object)
+        at, sizes, lengths = (join([_unpacked(h[k], h[0]) for h in held], "<u4").astype(np.int64) for k in (1, 2, 4))
+        every, order = join([np.frombuffer(h[3], width) for h in held], width).astype(np.int32), np.argsort(at)
+        begin, sizes = (np.cumsum(sizes) - sizes)[order], sizes[order]
+        text = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(np.append(0, np.cumsum(lengths))), pa.py_buffer(b"".join([_spread(h[5]) for h in held]))).take(pa.array(order))
+        held.clear()
         codes = _unpacked(get("codes").as_py(), get("n").as_py())
         own, counts = batch.column("ids")[i].values, get("counts").values.to_numpy()
         ends = np.cumsum(counts, dtype=np.int64)
-        for a in range(0, len(counts), 256):
-            out, decoded = [], []
-            for end, count in zip(ends[a : a + 256].tolist(), counts[a : a + 256].tolist(), strict=True):
-                c = codes[end - count : end].astype(np.int64)
-                s = sizes[c]
-                c, s = c[s > 0], s[s > 0]
-                out.append(every[np.repeat(starts[c] - (np.cumsum(s) - s), s) + np.arange(s.sum())] if len(c) else every[:0])
-                decoded.append(" ".join(text[c].tolist()))
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(out)))
-            yield pa.RecordBatch.from_arrays([own.slice(a, len(out)), ids, pa.array(decoded, pa.string())], ["id", "ids", "decoded"])
+        a = 0
+        while a < len(counts):
+            base = int(ends[a] - counts[a])
+            z = max(a + 1, int(np.searchsorted(ends, base + CHUNK_WORDS, "right")))
+            c = codes[base : int(ends[z - 1])].astype(np.int64)
+            s = sizes[c]
+            upto = np.append(0, np.cumsum(s > 0))[np.append(0, ends[a:z] - base)]
+            c, s = c[s > 0], s[s > 0]
+            ids = every[np.repeat(begin[c] - (np.cumsum(s) - s), s) + np.arange(s.sum())]
+            offsets = np.append(0, np.cumsum(s))[upto]
+            shown = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(upto), text.take(pa.array(c))), pa.scalar(" ", pa.large_string()))
+            yield pa.RecordBatch.from_arrays([own.slice(a, z - a), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids)), shown.cast(pa.string())], ["id", "ids", "decoded"])
+            a = z
 
     derive, given = then or ((lambda batch: batch), "ids array<int>, decoded string")
 
@@ -224,7 +268,8 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
                     yield from map(derive, finish(held, batch, i))
                     held = []
                 else:
-                    held.append(tuple(batch.column(c)[i].as_py() for c in ("m", "at", "sizes", "code")))
+                    held.append(tuple(batch.column(c)[i].as_py() for c in ("m", "at", "sizes", "code", "lengths", "decoded")))
+        release()
 
     return both.mapInArrow(run, f"id {id_type.simpleString()}, {given}").withColumnRenamed("id", id_col)
 
@@ -240,6 +285,15 @@ def _digests(batch: pa.RecordBatch) -> pa.RecordBatch:
 DIGESTS = (_digests, "n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def _with_ids(batch: pa.RecordBatch) -> pa.RecordBatch:
+    made = _digests(batch)
+    return pa.RecordBatch.from_arrays([*made.columns, batch.column("ids")], [*made.schema.names, "ids"])
+
+
+#: As DIGESTS, and the ids themselves.
+ENCODED = (_with_ids, DIGESTS[1] + ", ids array<int>")
+
+
 def op5_bpe_word_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.graph import components
@@ -11,8 +16,27 @@ from ..storage import written
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
-__all__ = ["SPACE", "WORD", "components", "table", "written"]
+#: Rows in an Arrow batch of whole texts at most.
+BATCH_ROWS = 512
+
+__all__ = ["BATCH_ROWS", "SPACE", "WORD", "components", "release", "small_batches", "table", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df; from here on its session sends no more than BATCH_ROWS rows at once to Python, as a batch of texts stands in memory several times on its way."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    return df
+
+
+def release() -> None:
+    """For the end of a task: gives the memory that its arrays took back to the system, as the Python worker stays for later tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # of the GNU library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
