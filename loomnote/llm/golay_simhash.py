@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import components, table, written
+from .common import components, release, small_batches, table, written
 
 SHINGLE, SEED, BITS = 4, 42, 4
 #: Members of a bucket from which on it is split by finer keys, and from which on the largest component of a finer bucket is not compared with itself.
@@ -123,8 +123,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             prints = [fingerprint(None if not x.is_valid else x.as_buffer().to_pybytes(), shingle) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())], ["id", "print"])
+        release()
 
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    docs = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, print long")
 
 
@@ -197,14 +198,14 @@ def link_components(prints: DataFrame, bits: int = BITS) -> DataFrame:
     # Members of different components that share a bucket: small buckets whole, large ones by finer keys.
     member = written(keyed.join(labels.withColumnRenamed("node", "print"), "print", "left").select("key", "print", F.coalesce("root", "print").alias("part")), "simhash-members")
     mixed = member.groupBy("key").agg(F.count("*").alias("n"), F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key", "n")
-    mixed = written(member.join(mixed, "key"), "simhash-mixed")
+    mixed = written(member.join(mixed, "key", "left").where("n IS NOT NULL"), "simhash-mixed")
     fine = written(_finer(mixed.where(F.col("n") > LARGE)), "simhash-finer")
     sizes = (
         fine.groupBy("key", "part").agg(F.count("*").alias("n"))
         .groupBy("key").agg(F.sum("n").alias("n"), F.max_by("part", F.struct("n", "part")).alias("largest"), F.count("*").alias("parts"))
         .where("parts > 1")
     )
-    known = written(fine.join(sizes, "key").select("key", "print", "part", "n", "largest"), "simhash-known")
+    known = written(fine.join(sizes, "key", "left").where("n IS NOT NULL").select("key", "print", "part", "n", "largest"), "simhash-known")
     near = F.expr(f"a.part <> b.part AND bit_count(a.print ^ b.print) <= {bits}")
     small = mixed.where(F.col("n") <= LARGE).drop("n").unionByName(known.where(F.col("n") <= LARGE).drop("n", "largest"))
     within = small.alias("a").join(small.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.part") < F.col("b.part")) & near)
@@ -237,16 +238,17 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     """docs with all its columns, one row of each near-duplicate group: that with the smallest id.
 
     Rows go by (id, text digest), so that unrelated texts without an id, or under one id, each stay; null ids come
-    after all others, and of texts under one id in one group that with the smallest digest stays.
+    after all others, and of texts under one id in one group that with the smallest digest stays. Of repeated rows one
+    stays; an empty table stays empty; all columns stay, whatever their names.
     """
     digest = F.unhex(F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256))
     key = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), digest.alias("sha"))
-    groups = near_duplicates(docs.select(key.alias("__key"), F.col(text_col).alias("__text")), "__key", "__text", **options)
-    stay = groups.where(F.col("__key").eqNullSafe(F.col("component_id"))).select(F.col("__key.id").alias("__id"), F.col("__key.sha").alias("__sha")).distinct()
-    keyed = docs.withColumn("__sha", digest)
-    same = keyed.join(stay, keyed[id_col].eqNullSafe(stay["__id"]) & (keyed["__sha"] == stay["__sha"])).drop(stay["__sha"]).drop("__id")
-    order = F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns])
-    return same.withColumn("__n", F.row_number().over(Window.partitionBy(id_col, "__sha").orderBy(order))).where("__n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    groups = near_duplicates(docs.select(key.alias("key"), F.col(text_col).alias("text")), "key", "text", **options)
+    stay = groups.where(F.col("key").eqNullSafe(F.col("component_id"))).select("key.id", "key.sha").distinct().alias("k")
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), digest.alias("sha")).alias("d")
+    same = rows.join(stay, F.col("d.id").eqNullSafe(F.col("k.id")) & (F.col("d.sha") == F.col("k.sha"))).select("d.*")
+    order = Window.partitionBy("id", "sha").orderBy(F.xxhash64(F.col("row").cast("string")))
+    return same.withColumn("n", F.row_number().over(order)).where("n = 1").select("row.*")
 
 
 def op9_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
