@@ -67,12 +67,12 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs without its exact copies, with all its columns: of each distinct text the row with the smallest id."""
-    kept = exact_duplicates(docs, id_col, text_col, **options).where("kept").select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha"))
-    keyed = docs.withColumn("__sha", F.sha2(normalised(F.col(text_col)), 256))
-    same = keyed.join(kept, (keyed[id_col].eqNullSafe(kept["__id"])) & (keyed["__sha"] == kept["__sha"])).drop(kept["__sha"]).drop("__id")
-    others = F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns])
-    return same.withColumn("__n", F.row_number().over(Window.partitionBy(id_col, "__sha").orderBy(others))).where("__n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """docs without its exact copies, with all its columns, whatever their names: of each distinct text the row with the smallest id."""
+    kept = exact_duplicates(docs, id_col, text_col, **options).where("kept").select(F.col(id_col).alias("id"), F.col("text_sha256").alias("sha")).alias("k")
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.sha2(normalised(F.col(text_col)), 256).alias("sha")).alias("d")
+    same = rows.join(kept, F.col("d.id").eqNullSafe(F.col("k.id")) & (F.col("d.sha") == F.col("k.sha"))).select("d.*")
+    order = Window.partitionBy("id", "sha").orderBy(F.xxhash64(F.col("row").cast("string")))
+    return same.withColumn("n", F.row_number().over(order)).where("n = 1").select("row.*")
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

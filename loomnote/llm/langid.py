@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import release, small_batches, table
 
 ORDERS = (3, 4)
 SLOTS = 1 << 19
@@ -74,8 +74,9 @@ def _counts(train: DataFrame, orders: tuple[int, ...]) -> DataFrame:
             for (lang, n), parts in held.items():
                 grams, times = np.unique(np.concatenate(parts), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array([n] * len(grams), pa.int32()), pa.array(grams.view(np.int64)), pa.array(times)], ["lang", "n", "gram", "times"])
+        release()
 
-    return train.mapInArrow(run, "lang string, n int, gram long, times long")
+    return small_batches(train).mapInArrow(run, "lang string, n int, gram long, times long")
 
 
 def slots_of(grams: np.ndarray, slots: int, hashes: int) -> Iterator[np.ndarray]:
@@ -101,7 +102,11 @@ class Filters:
 
 
 def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", key_col: str = "doc_id", train_docs: int = TRAIN_DOCS, grams: dict[int, int] = GRAMS) -> Filters:
-    """Filters from labelled documents, about train_docs of each language, chosen by a hash of the key."""
+    """Filters from labelled documents, about train_docs of each language, chosen by a hash of the key.
+
+    Rows with a null language or text teach nothing; repeated rows count as often as they stand there; without
+    labelled rows the filters know no language.
+    """
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(key_col).cast("string"), F.lit(8)).alias("h"))
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
@@ -134,7 +139,7 @@ def classify(text: str | None, filters: Filters, orders: tuple[int, ...], letter
 
 
 def _predicted(docs: DataFrame, filters: Filters, text_col: str, orders: tuple[int, ...]) -> DataFrame:
-    """docs with the column __p of lang_pred and score."""
+    """row, all of docs, and the structure p of lang_pred and score."""
     shared = docs.sparkSession.sparkContext.broadcast((filters.languages, filters.masks, filters.false_rate, filters.slots, filters.hashes, filters.default))
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -143,18 +148,20 @@ def _predicted(docs: DataFrame, filters: Filters, text_col: str, orders: tuple[i
         letters = letter_table()
         for texts in batches:
             yield pd.DataFrame([classify(t, own, orders, letters) for t in texts], columns=["lang_pred", "score"])
+        release()
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    return docs.withColumn("__p", F.pandas_udf(run, "lang_pred string, score double")(F.col(text_col).cast("string")))
+    return small_batches(docs).select(F.struct("*").alias("row"), F.pandas_udf(run, "lang_pred string, score double")(F.col(text_col).cast("string")).alias("p"))
 
 
 def predict(docs: DataFrame, filters: Filters, text_col: str = "text", orders: tuple[int, ...] = ORDERS) -> DataFrame:
     """docs with lang_pred and score (0 to 1) from the whole text; `und` with score 0 where text is null or has no letter.
 
     Ties go to the language that sorts first; a text of which no n-gram is known gets the commonest language of
-    the training rows with score 0. Columns named lang_pred or score are replaced.
+    the training rows with score 0. Repeated rows each get the same; an empty table stays empty, and without training
+    rows every text is `und`. Columns named lang_pred or score are replaced, all others stay.
     """
-    return _predicted(docs.drop("lang_pred", "score"), filters, text_col, orders).select("*", "__p.lang_pred", "__p.score").drop("__p")
+    return _predicted(docs.drop("lang_pred", "score"), filters, text_col, orders).select("row.*", "p.lang_pred", "p.score")
 
 
 def held_out(key) -> F.Column:
@@ -165,9 +172,14 @@ def learned_from(docs: DataFrame) -> Filters:
     return learn(docs.where(~held_out("doc_id")))
 
 
-def keep_known(docs: DataFrame) -> DataFrame:
-    """docs whose language is known: those with no letter go."""
-    return _predicted(docs, learned_from(docs), "text", ORDERS).where(F.col("__p.lang_pred") != UNKNOWN).drop("__p")
+def keep_known(docs: DataFrame, lang_col: str = "lang") -> DataFrame:
+    """docs whose language is one of those learned, with it in lang_col (given or not, right or wrong before); all other columns stay.
+
+    Documents without a letter go, and those of which no n-gram is known in any language. If nothing could be
+    learned, no language is known and all go.
+    """
+    known = _predicted(docs, learned_from(docs), "text", ORDERS).where((F.col("p.lang_pred") != UNKNOWN) & (F.col("p.score") > 0))
+    return known.select(*[F.col("p.lang_pred").alias(c) if c == lang_col else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def op8_bitsliced_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

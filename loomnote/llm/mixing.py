@@ -125,16 +125,15 @@ def schedule(goal: DataFrame, slots: int, block: int, most: int = MOST) -> DataF
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """docs as the mix has them, with all their columns: each row as often as taken / size, rounded, says."""
-    key = [F.col(id_col).alias("__id"), F.col(source_col).cast("string").alias("__source"), words(F.col(text_col)).alias("__size")]
-    plan = mix(docs, id_col, text_col, source_col, **options).where("size > 0").select(F.col(id_col).alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "taken")
-    own = Window.partitionBy("__id", "__source", "__size")
-    plan = plan.select("*", F.row_number().over(own.orderBy("taken")).alias("__n"), F.expr("CAST(floor(taken / __size + 0.5) AS INT)").alias("__copies")).drop("taken")
-    order = F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns])
-    keyed = docs.select("*", *key).select("*", F.row_number().over(own.orderBy(order)).alias("__n"))
-    d, p = keyed.alias("d"), plan.where("__copies > 0").alias("p")
-    same = F.col("d.__id").eqNullSafe(F.col("p.__id")) & F.col("d.__source").eqNullSafe(F.col("p.__source")) & (F.col("d.__size") == F.col("p.__size")) & (F.col("d.__n") == F.col("p.__n"))
-    return d.join(p, same).withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).select(*[F.col(f"d.`{c}`") for c in docs.columns])
+    """docs as the mix has them, with all their columns, whatever their names: each row as often as taken / size, rounded, says."""
+    plan = mix(docs, id_col, text_col, source_col, **options).where("size > 0").select(F.col(id_col).alias("id"), "source", "size", "taken")
+    own = Window.partitionBy("id", "source", "size")
+    plan = plan.select("id", "source", "size", F.row_number().over(own.orderBy("taken")).alias("n"), F.expr("CAST(floor(taken / size + 0.5) AS INT)").alias("copies"))
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), words(F.col(text_col)).alias("size"))
+    rows = rows.withColumn("n", F.row_number().over(own.orderBy(F.xxhash64(F.col("row").cast("string")))))
+    d, p = rows.alias("d"), plan.where("copies > 0").alias("p")
+    same = F.col("d.id").eqNullSafe(F.col("p.id")) & F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d.size") == F.col("p.size")) & (F.col("d.n") == F.col("p.n"))
+    return d.join(p, same).select("d.row", F.explode(F.sequence(F.lit(1), "p.copies")).alias("copy")).select("row.*")
 
 
 def op4_golden_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import release, small_batches, table
 from .textfeatures import Sample, dense, features, gather, screen, sigmoid, value
 
 
@@ -48,7 +48,8 @@ def fit(sample: Sample, grades: np.ndarray, ridge: float = 1.0, steps: int = 800
 def grade(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, np.ndarray], text_col: str = "text", select_grade: int = 1, least: float = 0.5) -> DataFrame:
     """docs with expected_grade, tail (P(grade >= j) for j = 1, 2, ...) and selected (tail[select_grade] >= least).
 
-    Null and empty texts have no feature and get the score of none. Columns of these names are replaced.
+    Null and empty texts have no feature and get the score of none. Repeated rows each get the same; an empty table
+    stays empty. Columns of these names are replaced, all others stay.
     """
     chosen, weights, cuts = model
     shared = docs.sparkSession.sparkContext.broadcast((dict(zip(chosen.tolist(), weights.tolist(), strict=True)), cuts))
@@ -66,11 +67,13 @@ def grade(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, np.ndarray], tex
                     scores[i] = w @ value(c, np.array(n), True)
             tail = sigmoid(scores[:, None] - cut[None])
             yield pd.DataFrame({"expected_grade": tail.sum(1), "tail": list(tail)})
+        release()
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
     scored = F.pandas_udf(run, "expected_grade double, tail array<double>")
-    docs = docs.drop("expected_grade", "tail", "selected")
-    return docs.withColumn("__g", scored(F.col(text_col).cast("string"))).select("*", "__g.expected_grade", "__g.tail").drop("__g").withColumn("selected", F.col("tail")[select_grade - 1] >= least)
+    docs = small_batches(docs).drop("expected_grade", "tail", "selected")
+    graded = docs.select(F.struct("*").alias("row"), scored(F.col(text_col).cast("string")).alias("g"))
+    return graded.select("row.*", "g.expected_grade", "g.tail", (F.col("g.tail")[select_grade - 1] >= least).alias("selected"))
 
 
 def rated(labels: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, written
+from .common import SPACE, release, small_batches, written
 from .langid import letter_table, spaced_letters
 
 BUCKETS = 1 << 22
@@ -113,7 +113,7 @@ def gather(docs: DataFrame, labels: DataFrame, names: list[str], id_col: str = "
                 ["bucket", "count", "tokens", "labels"],
             )
 
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    texts = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     got = texts.join(F.broadcast(chosen), "id").select("text", F.array(*names).alias("labels")).mapInArrow(run, "bucket array<int>, count array<int>, tokens long, labels array<int>").toArrow()
     return _sample(got, len(names))
 
@@ -137,7 +137,7 @@ def gather_parts(docs: DataFrame, labels: DataFrame, names: list[str], id_col: s
     chosen = given.where(F.pmod(F.xxhash64(F.col("id"), F.lit(17)), F.lit(1 << 30)) < int(min(1.0, train_docs / max(1, n)) * (1 << 30)))
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "id")
     sha = F.sha2(F.lower(F.regexp_replace("text", SPACE, " ")), 256).alias("sha")
-    once = written(texts.groupBy(sha).agg(F.min("text").alias("text"), F.array(*[(2 * F.sum(x) >= F.count(x)).cast("int") for x in names]).alias("labels")), "sample-texts")
+    once = written(small_batches(texts).groupBy(sha).agg(F.min("text").alias("text"), F.array(*[(2 * F.sum(x) >= F.count(x)).cast("int") for x in names]).alias("labels")), "sample-texts")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
@@ -150,6 +150,7 @@ def gather_parts(docs: DataFrame, labels: DataFrame, names: list[str], id_col: s
                 y = np.repeat(np.array(part.column(1).to_pylist(), np.int64).reshape(len(part), -1), [len(x) for x in each], axis=0)
                 times = [np.bincount(at, weights=w, minlength=len(buckets)).astype(np.int64) for w in (np.ones(len(at)), *y.T)]
                 yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), *map(pa.array, times)], ["bucket", *[f"n{i}" for i in range(1 + len(names))]])
+        release()
 
     sums = [f"n{i}" for i in range(1 + len(names))]
     counted = once.select("text", "labels").mapInArrow(count, "bucket int, " + ", ".join(f"{c} long" for c in sums)).groupBy("bucket").agg(*[F.sum(c).alias(c) for c in sums])

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import release, small_batches, table
 from .langid import letter_table
 from .textfeatures import Sample, entries, fit_logistic_sparse, gather_parts, kept_table, part_features, screen, sigmoid, value
 
@@ -81,9 +81,10 @@ def predict(docs: DataFrame, chain: list[tuple[np.ndarray, np.ndarray]], text_co
                     w, c = np.array(own or [(0.0, 0)]).T
                     out[i, j] = sigmoid(w @ value(c, np.array(n), False) + out[i, :j] @ rest[:-1] + rest[-1])
             yield pd.Series(list(out))
+        release()
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return docs.withColumn("p", F.pandas_udf(run, "array<double>")(F.col(text_col).cast("string")))
+    return small_batches(docs).withColumn("p", F.pandas_udf(run, "array<double>")(F.col(text_col).cast("string")))
 
 
 def op6_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:

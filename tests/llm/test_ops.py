@@ -205,13 +205,16 @@ def test_language_held_out(spark):
     assert all(0 <= r["score"] <= 1 for r in found)
 
 
-def test_language_odd(odd, empty):
+def test_language_odd(spark, odd, empty):
     got = {r["doc_id"]: r for r in langid.predict(odd.where("doc_id IS NOT NULL"), langid.learned_from(odd)).collect()}
     assert {i for i, r in got.items() if r["lang_pred"] == "und"} == {3, 4, 5, 8, 9} and got[7]["lang_pred"] == "en"
     assert langid.predict(empty, langid.learned_from(empty)).count() == 0
     assert {r["lang_pred"] for r in langid.predict(odd, langid.learned_from(empty)).collect()} == {"und"}
     kept = langid.keep_known(odd)
-    assert kept.columns == odd.columns and {(r["doc_id"], r["score"]) for r in kept.collect()} == {(i, 9) for i in (1, 2, 6, 7, None)}
+    assert kept.columns == odd.columns and {(r["doc_id"], r["score"]) for r in kept.collect()} == {(i, 9) for i in (1, 2, 6, None)}
+    foreign = spark.createDataFrame([(1, "ab ab ab ab", "en"), (3, "ab ab", None), (5, "ba ab ab", "fr"), (7, "\u4e00\u4e8c \u4e09\u56db", "en"), (9, None, "en")], "doc_id long, text string, lang string")
+    learnt = langid.learn(foreign.where("doc_id = 1"))
+    assert {r["doc_id"]: r["lang_pred"] for r in langid.predict(foreign, learnt).where("score > 0").collect()} == dict.fromkeys((1, 3, 5), "en")
 
 
 def test_bloom_filters_correct_for_false_positives():
@@ -337,13 +340,14 @@ def test_ordinal_grades(spark, odd, empty):
 def test_toxicity_chain(spark, odd, empty):
     docs, labels = labelled(spark)
     sample = textfeatures.gather(docs, labels.select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic"), ["low_quality", "toxic"])
-    chain = toxicity.fit_chain(sample)
+    chain, own = toxicity.fit_chain(sample)
+    assert own.shape == (len(sample), 2) and 0 < toxicity.threshold(own[:, 1], sample.labels[:, 1]) < 1
     assert [len(w) - len(c) for c, w in chain] == [1, 2]
     got = {r["doc_id"]: r["p"] for r in toxicity.predict(docs, chain).collect()}
     assert all((p[1] >= 0.4) == (i % 4 == 0) and (p[0] >= 0.5) == (i % 3 == 0) for i, p in got.items())
     assert toxicity.predict(odd, chain).count() == len(ODD) and toxicity.predict(empty, chain).count() == 0
     none = textfeatures.gather(empty, labels.limit(0), ["quality", "toxic"])
-    assert toxicity.predict(odd, toxicity.fit_chain(none)).count() == len(ODD)
+    assert toxicity.predict(odd, toxicity.fit_chain(none)[0]).count() == len(ODD)
 
 
 def test_sparse_fit_equals_the_dense_one():
