@@ -1,8 +1,13 @@
 """The corpus pipeline: documents in, encoded training text out, one written table per stage.
 
-Stages: language ID (documents without any letter go), exact dedup, SimHash near-dedup (one document of each
-group stays), mixing sources to target weights (documents repeat or drop out as the mix says), BPE encoding and
-decoding. Every stage reads all that the one before it kept.
+Stages: language ID (documents in none of the learned languages go, the others carry the predicted one in lang), exact
+dedup, SimHash near-dedup (one document of each group stays), mixing sources to target weights (documents repeat or
+drop out as the mix says), BPE encoding and decoding (the ids of every document of the mix, their number, and digests
+of ids and decoded text). Every stage reads all that the one before it kept.
+
+Null and empty texts go in the first stage, as they have no letter. Of repeated rows one stays (exact dedup); of several
+texts under one id, or without an id, each distinct one stays. An empty table gives an empty result. Columns that
+documents has besides its own, whatever their names, go along as far as the mix.
 """
 
 from __future__ import annotations
@@ -31,7 +36,7 @@ def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.encode_decode(docs, public_tokenizers.path("word_bpe_49k.json"), then=bpe.DIGESTS)
+    return bpe.encode_decode(docs, public_tokenizers.path("word_bpe_49k.json"), then=bpe.ENCODED)
 
 
 STAGES = [
