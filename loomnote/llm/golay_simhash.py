@@ -198,14 +198,14 @@ def link_components(prints: DataFrame, bits: int = BITS) -> DataFrame:
     # Members of different components that share a bucket: small buckets whole, large ones by finer keys.
     member = written(keyed.join(labels.withColumnRenamed("node", "print"), "print", "left").select("key", "print", F.coalesce("root", "print").alias("part")), "simhash-members")
     mixed = member.groupBy("key").agg(F.count("*").alias("n"), F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key", "n")
-    mixed = written(member.join(mixed, "key", "left").where("n IS NOT NULL"), "simhash-mixed")
+    mixed = written(member.join(mixed, "key", "left"), "simhash-mixed").where("n IS NOT NULL")
     fine = written(_finer(mixed.where(F.col("n") > LARGE)), "simhash-finer")
     sizes = (
         fine.groupBy("key", "part").agg(F.count("*").alias("n"))
         .groupBy("key").agg(F.sum("n").alias("n"), F.max_by("part", F.struct("n", "part")).alias("largest"), F.count("*").alias("parts"))
         .where("parts > 1")
     )
-    known = written(fine.join(sizes, "key", "left").where("n IS NOT NULL").select("key", "print", "part", "n", "largest"), "simhash-known")
+    known = written(fine.join(sizes, "key", "left").select("key", "print", "part", "n", "largest"), "simhash-known").where("n IS NOT NULL")
     near = F.expr(f"a.part <> b.part AND bit_count(a.print ^ b.print) <= {bits}")
     small = mixed.where(F.col("n") <= LARGE).drop("n").unionByName(known.where(F.col("n") <= LARGE).drop("n", "largest"))
     within = small.alias("a").join(small.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.part") < F.col("b.part")) & near)
