@@ -429,7 +429,24 @@ def test_warc_round_trip(spark, tmp_path):
     (tmp_path / "x.warc").write_bytes(content)
     got = sorted(warc_fixity.read_warc(spark, str(tmp_path)).collect(), key=lambda r: r["offset"])
     assert [bytes(r["record"]) for r in got] == [r["r"].encode() for r in records]
+    import gzip
+
+    # Gzip by record, files that repeat a record, a header without a length, a file cut short, and no WARC at all.
+    (tmp_path / "y.warc.gz").write_bytes(b"".join(gzip.compress(r["r"].encode()) for r in [*records, records[0]]))
+    (tmp_path / "z.warc").write_bytes(b"WARC/1.0\r\nWARC-Type: x\r\n\r\nlost" + content[:-7])
+    (tmp_path / "none.warc").write_bytes(b"plain words")
+    (tmp_path / "empty.warc").write_bytes(b"")
+    found = warc_fixity.read_warc(spark, str(tmp_path)).collect()
+    of = lambda name: [bytes(r["record"]) for r in sorted(found, key=lambda r: r["offset"]) if r["file"] == name]
+    assert of("y.warc.gz") == [r["r"].encode() for r in [*records, records[0]]] and of("none.warc") == [b"plain words"] and of("empty.warc") == []
+    assert len(of("z.warc")) == 5 and b"".join(of("z.warc")) == b"WARC/1.0\r\nWARC-Type: x\r\n\r\nlost" + content[:-7]
+    assert all(sum(len(r["record"]) for r in found if r["file"] == q["file"] and r["offset"] < q["offset"]) == q["offset"] for q in found)
     assert warc_fixity.page_records(pages).count() == 4 and warc_fixity.page_records(pages.limit(0)).count() == 0
+    twice = pages.union(pages.where("page_id = 1")).union(spark.createDataFrame([(None, "http://n", "x"), (None, None, None)], pages.schema))
+    index = warc_fixity.placed(warc_fixity.page_records(twice)).collect()
+    assert sum(r["n"] for r in index) == 7 and {r["n"] for r in index if r["page_id"] in (1, 3)} == {2} and warc_fixity.placed(warc_fixity.page_records(pages.limit(0))).count() == 0
+    one = sorted((r["start"], r["length"], r["n"]) for r in index if r["file"] == "pages-00000000.warc")
+    assert [s for s, _, _ in one] == [sum(le * n for _, le, n in one[:i]) for i in range(len(one))]
 
 
 def test_audit_finds_all_damage(spark):
@@ -445,6 +462,9 @@ def test_audit_finds_all_damage(spark):
     assert {(r["file"], r["offset"], r["status"]) for r in found.collect()} == want
     r = root.first()
     assert r["root_a"] != r["root_b"]
+    # As deep a tree as many files and long ranges give, and repeated rows.
+    deep, _ = warc_fixity.audit(a.union(a.where("offset = 5000")), b.union(b.where("offset = 5000")), range_bytes=10, fan_out=2)
+    assert {(r["file"], r["offset"], r["status"]) for r in deep.collect()} == want
     found, root = warc_fixity.audit(a, a)
     assert found.count() == 0 and root.first()["root_a"] == root.first()["root_b"]
     assert warc_fixity.audit(a.limit(0), a.limit(0))[0].count() == 0
