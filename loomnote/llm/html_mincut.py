@@ -4,9 +4,11 @@ A page is a sequence of text blocks. A classifier's costs of calling a block con
 capacities of its links to the two terminals; blocks next to each other, and blocks that are near in the DOM,
 are joined by smoothness edges. The minimum cut, found by max-flow, separates content from boilerplate.
 
-The classifier has two parts. What a block stands in (article, nav, footer, an element of class "comments" ...)
-gives log-odds by the rules below. What the block's text looks like (length, links, full stops, kind of element)
-gives log-odds learned by logistic regression from a bounded sample of pages, where the rules are sure.
+The classifier's log-odds are the sum of two parts of like weight. What a block itself looks like (length, links, full
+stops, kind and depth of element, position) gives what logistic regression learns from a bounded sample of pages,
+taking for labels what containers say there; the blocks around it speak through the smoothness edges alone. What a block
+stands in (article, nav, footer, an element of class "comments" ...) gives log-odds by the rules below. On a page
+whose containers say nothing, looks and smoothness decide alone.
 """
 
 from __future__ import annotations
@@ -15,21 +17,22 @@ import html
 import re
 from collections import deque
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import release, small_batches, table
 from .textfeatures import fit_logistic
 
-#: Pages that the classifier learns from, at most about: the bound of the training sample.
-TRAIN_PAGES = 1500
+#: Pages that the classifier learns from, at most about, and blocks of each, evenly over the whole page: the bounds of the training sample.
+TRAIN_PAGES, TRAIN_BLOCKS = 1500, 200
 #: Log-odds of content: by container, and the bound of the learned part.
-INSIDE, OUTSIDE, LEARNED = 4.0, -6.0, 3.0
-#: Smoothness: between neighbours in the page, by DOM distance, and between a block and the next of the same parent.
-NEXT, SIBLING = 1.0, 0.6
+INSIDE, OUTSIDE, LEARNED = 3.0, -5.0, 3.0
+#: Smoothness between neighbours in the page, by DOM distance, and between a block and the next of the same parent; and the part of it that stays where the containers of one say boilerplate and those of the other don't.
+NEXT, SIBLING, MARKED = 2.0, 1.0, 0.2
 
 # Elements of HTML by their role.
 BREAKS = frozenset(
@@ -47,6 +50,9 @@ BOILERPLATE_WORDS = frozenset(
     "legal disclaimer toolbar".split()
 )
 CONTENT_WORDS = frozenset("article content post entry story main body text".split())
+#: Elements whose content an end tag from within does not leave, but for those of tables themselves.
+SCOPES = frozenset("table td th caption".split())
+TABLE = frozenset("table caption tbody td tfoot th thead tr".split())
 CLOSED_BY = {"p": BREAKS - {"html", "head", "body"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "head": {"body"}}
 
 TAG = re.compile(r"""<!--(?:.*?--!?>|.*)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>|<[a-zA-Z/!?][^>]*\Z""", re.S)
@@ -78,10 +84,64 @@ def hint(tag: str, attributes: str) -> float:
     return INSIDE if tag in ("article", "main") else INSIDE - 1 if good else 0.0
 
 
-def blocks(page: str) -> list[tuple[str, str, float, int, tuple[int, ...]]]:
-    """The text blocks of a page in order: text, element, log-odds of its containers, characters in links, path of element numbers."""
-    out: list = []
-    stack: list[tuple[str, int, float]] = []  # element, number, log-odds from the outside in
+class Block(NamedTuple):
+    """A text block: text, its element, log-odds of its containers, characters in links, number of the element's parent, its depth, and the depth up to which it shares its containers with the block before."""
+
+    text: str
+    tag: str
+    odds: float
+    linked: int
+    parent: int
+    depth: int
+    common: int
+
+
+class Stack:
+    """The open elements from the outside in: tag, number, log-odds; with the places of each tag, of those that break text and of those that end tags do not leave."""
+
+    def __init__(self) -> None:
+        self.open: list[tuple[str, int, float]] = []
+        self.places: dict[str, list[int]] = {}
+        self.breaks: list[int] = []
+        self.scopes: list[int] = []
+        self.low = 0  # the fewest elements open since the last block
+
+    def push(self, tag: str, number: int, odds: float) -> None:
+        at = len(self.open)
+        self.places.setdefault(tag, []).append(at)
+        if tag in BREAKS:
+            self.breaks.append(at)
+        if tag in SCOPES:
+            self.scopes.append(at)
+        self.open.append((tag, number, odds))
+
+    def cut(self, at: int) -> None:
+        while len(self.open) > at:
+            tag = self.open.pop()[0]
+            self.places[tag].pop()
+            if tag in BREAKS:
+                self.breaks.pop()
+            if tag in SCOPES:
+                self.scopes.pop()
+        self.low = min(self.low, at)
+
+    def close(self, tag: str) -> None:
+        """An end tag: closes the innermost such element, at any depth, but an inline one only within its block and none from within a table's cell."""
+        at = self.places[tag][-1] if self.places.get(tag) else -1
+        bound = self.breaks[-1] if tag not in BREAKS and self.breaks else self.scopes[-1] if tag not in TABLE and self.scopes else -1
+        if at > bound:
+            self.cut(at)
+
+    def implied(self, tag: str) -> None:
+        """A start tag that closes the block it stands in (the next p, li, td ...)."""
+        if self.breaks and tag in CLOSED_BY.get(self.open[self.breaks[-1]][0], ()):
+            self.cut(self.breaks[-1])
+
+
+def blocks(page: str) -> list[Block]:
+    """The text blocks of a page in order."""
+    out: list[Block] = []
+    stack = Stack()
     parts: list[str] = []
     linked = links = number = at = 0
 
@@ -89,9 +149,10 @@ def blocks(page: str) -> list[tuple[str, str, float, int, tuple[int, ...]]]:
         nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            holder = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in BREAKS), -1)
-            odds = stack[holder][2] if holder >= 0 else 0.0
-            out.append((text, stack[holder][0] if holder >= 0 else "", odds, min(linked, len(text)), tuple(x[1] for x in stack[: holder + 1])))
+            at = stack.breaks[-1] if stack.breaks else -1
+            tag, _, odds = stack.open[at] if at >= 0 else ("", 0, 0.0)
+            out.append(Block(text, tag, odds, min(linked, len(text)), stack.open[at - 1][1] if at > 0 else 0, at + 1, min(stack.low, at + 1)))
+            stack.low = at + 1
         parts.clear()
         linked = 0
 
@@ -115,9 +176,7 @@ def blocks(page: str) -> list[tuple[str, str, float, int, tuple[int, ...]]]:
                 flush()
             if tag == "a":
                 links = max(0, links - 1)
-            i = next((i for i in range(len(stack) - 1, max(-1, len(stack) - 200), -1) if stack[i][0] == tag or stack[i][0] in BREAKS and tag not in BREAKS), -1)
-            if i >= 0 and stack[i][0] == tag:
-                del stack[i:]
+            stack.close(tag)
         elif tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             at = end.end() if end else len(page) if tag in ("script", "style") else at
@@ -125,28 +184,31 @@ def blocks(page: str) -> list[tuple[str, str, float, int, tuple[int, ...]]]:
             if tag in BREAKS:
                 flush()
                 links = 0
-                for i in range(len(stack) - 1, -1, -1):
-                    if tag in CLOSED_BY.get(stack[i][0], ()):
-                        del stack[i:]
-                        break
-                    if stack[i][0] in BREAKS:
-                        break
+                stack.implied(tag)
             if tag == "a":
                 links += 1
             if tag not in VOID and not attributes.endswith("/"):
                 number += 1
-                outer = stack[-1][2] if stack else 0.0
+                outer = stack.open[-1][2] if stack.open else 0.0
                 own = hint(tag, attributes)
                 if tag == "header" and outer > 0:
                     own = 0.0  # of the article itself
-                stack.append((tag, number, outer if outer < 0 or not own else own))
+                stack.push(tag, number, outer if outer < 0 or not own else own)
     flush()
     return out
 
 
-def looks(text: str, tag: str, linked: int) -> list[float]:
-    n = len(text)
-    return [np.log1p(n) / 5, linked / max(n, 1), float(text[-1] in '.!?…。！？"”'), min(5, sum(map(text.count, ".!?,"))) / 5, float(tag == "p"), float(tag == "li"), float(tag[:1] == "h" and tag[1:].isdigit())]
+def looks(found: list[Block]) -> np.ndarray:
+    """What each block of a page looks like, a row of numbers of about 0 to 1."""
+    n = np.array([len(x.text) for x in found], float)
+    linked = np.array([x.linked for x in found], float)
+    size, share = np.log1p(n) / 7, linked / n
+    own = [
+        size, share, n > 80, [x.text[-1] in '.!?…。！？"”' for x in found], [min(5, sum(map(x.text.count, ".!?,"))) / 5 for x in found],
+        [x.tag == "p" for x in found], [x.tag == "li" for x in found], [x.tag[:1] == "h" and x.tag[1:].isdigit() for x in found],
+        np.minimum(1, np.array([x.depth for x in found]) / 20), np.linspace(0, 1, len(found)) if len(found) > 1 else [0.5],
+    ]
+    return np.column_stack(own).astype(float)
 
 
 def min_cut(odds: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -220,59 +282,78 @@ def min_cut(odds: list[float], edges: list[tuple[int, int, float]]) -> list[bool
                 break
 
 
-def smooth(paths: list[tuple[int, ...]]) -> list[tuple[int, int, float]]:
+def smooth(found: list[Block]) -> list[tuple[int, int, float]]:
     edges, last = [], {}
-    for i, path in enumerate(paths):
+
+    def link(a: int, b: int, weight: float) -> None:
+        edges.append((a, b, weight if (found[a].odds < 0) == (found[b].odds < 0) else weight * MARKED))
+
+    for i, x in enumerate(found):
         if i:
-            common = next((k for k, (a, b) in enumerate(zip(paths[i - 1], path)) if a != b), min(len(paths[i - 1]), len(path)))  # noqa: B905
-            edges.append((i - 1, i, NEXT / (1 + max(0, len(path) + len(paths[i - 1]) - 2 * common - 2))))
-        parent = path[:-1]
-        if last.get(parent, i - 1) != i - 1:
-            edges.append((last[parent], i, SIBLING))
-        last[parent] = i
+            steps = x.depth + found[i - 1].depth - 2 * x.common
+            link(i - 1, i, NEXT / (1 + max(0, steps - 2)) ** 2)
+        if last.get(x.parent, i - 1) != i - 1:
+            link(last[x.parent], i, SIBLING)
+        last[x.parent] = i
     return edges
 
 
+def costs(found: list[Block], weights: list[float]) -> list[float]:
+    """Log-odds of content of each block: containers and looks."""
+    w = np.array(weights)
+    learned = np.clip(looks(found) @ w[:-1] + w[-1], -LEARNED, LEARNED) if len(w) > 1 else np.zeros(len(found))
+    return [x.odds + o for x, o in zip(found, learned.tolist(), strict=True)]
+
+
 def extract(page: str | None, weights: list[float]) -> str:
     """The main text of one page, its blocks joined by one space; empty if there is none."""
     found = blocks(page or "")
     if not found:
         return ""
-    w = np.array(weights)
-    learned = np.clip(np.array([looks(t, tag, linked) for t, tag, _, linked, _ in found]) @ w[:-1] + w[-1], -LEARNED, LEARNED)
-    keep = min_cut([o + x for (_, _, o, _, _), x in zip(found, learned.tolist(), strict=True)], smooth([x[4] for x in found]))
-    return " ".join(x[0] for x, k in zip(found, keep, strict=True) if k)
+    keep = min_cut(costs(found, weights), smooth(found))
+    return " ".join(x.text for x, k in zip(found, keep, strict=True) if k)
 
 
-def learn(pages: DataFrame, html_col: str = "html", key_col: str = "page_id", train_pages: int = TRAIN_PAGES) -> list[float]:
-    """Weights of a block's looks, from the blocks of about train_pages pages whose containers say what they are."""
+def learn(pages: DataFrame, html_col: str = "html", key_col: str = "page_id", train_pages: int = TRAIN_PAGES, train_blocks: int = TRAIN_BLOCKS) -> list[float]:
+    """Weights of a block's looks, from blocks of about train_pages pages whose containers say what they are (of each page train_blocks at most, evenly over it). Repeated pages count as often as they stand there; without blocks of both kinds nothing is learned."""
     n = pages.count()
     sample = pages.where(F.pmod(F.xxhash64(F.col(key_col).cast("string")), F.lit(1 << 30)) < int(min(1.0, train_pages / max(1, n)) * (1 << 30))).select(F.col(html_col).cast("string").alias("h"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = [(looks(t, tag, linked), float(odds > 0)) for page in f["h"] if page for t, tag, odds, linked, _ in blocks(page)[:400] if odds]
+            rows = []
+            for page in f["h"]:
+                found = blocks(page or "")
+                if found:
+                    x = looks(found).round(3).tolist()
+                    sure = [i for i, b in enumerate(found) if b.odds]
+                    rows += [(x[i], float(found[i].odds > 0)) for i in sure[:: max(1, -(-len(sure) // train_blocks))]]
             yield pd.DataFrame(rows, columns=["x", "y"])
+        release()
 
-    got = sample.mapInPandas(run, "x array<double>, y double").groupBy("x", "y").agg(F.count("*").alias("n")).toPandas()
-    if not len(got) or got["y"].nunique() < 2:
-        return [0.0] * 8
-    x, y = np.stack(got["x"].to_list()), got["y"].to_numpy()
-    return fit_logistic(x, y).tolist()
+    got = small_batches(sample).mapInPandas(run, "x array<double>, y double").toArrow()
+    y = got.column("y").to_numpy()
+    if not 0 < y.sum() < len(y):
+        return []
+    x = got.column("x").combine_chunks().flatten().to_numpy().reshape(len(y), -1)
+    order = np.lexsort((*x.T, y))  # the same sums whatever order the rows come in
+    return fit_logistic(x[order], y[order]).tolist()
 
 
 def main_text(pages: DataFrame, weights: list[float], html_col: str = "html") -> DataFrame:
     """pages with text, the main text of html: character references decoded, white space inside a block made one space, blocks in page order.
 
-    Null and empty pages give an empty text. A column named text is replaced.
+    Null and empty pages give an empty text; repeated pages each give theirs; an empty table stays empty. A column
+    named text is replaced, all others stay.
     """
 
     def run(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in series:
             yield s.map(lambda page: extract(page, weights))
+        release()
 
     run.__annotations__ = {"series": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return pages.withColumn("text", F.pandas_udf(run, "string")(F.coalesce(F.col(html_col).cast("string"), F.lit(""))))
+    return small_batches(pages).withColumn("text", F.pandas_udf(run, "string")(F.coalesce(F.col(html_col).cast("string"), F.lit(""))))
 
 
 def op7_mincut_html(spark: SparkSession, sf_dir: str) -> DataFrame:
