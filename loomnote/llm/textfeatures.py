@@ -23,6 +23,8 @@ BUCKETS = 1 << 22
 CAPITALS, REPEATS, FIRST_PART = BUCKETS, BUCKETS + 1, BUCKETS + 2
 #: Labelled documents that a classifier is fitted on, at most about: the bound of the training sample.
 TRAIN_DOCS = 6000
+#: Distinct features of a training document at most: longer texts are predicted like any other, but not learned from, so that the sample's size is bounded.
+TRAIN_FEATURES = 20_000
 TOKEN = re.compile(r"[^\W\d_]+|[^\w\s]+")
 #: Lengths of the runs of characters that count as parts of a word.
 PARTS = (4, 5, 6, 7)
@@ -99,7 +101,11 @@ class Sample:
 
 
 def gather(docs: DataFrame, labels: DataFrame, names: list[str], id_col: str = "doc_id", text_col: str = "text", train_docs: int = TRAIN_DOCS) -> Sample:
-    """The features of about train_docs labelled documents, chosen by a hash of the id; rows with a null label are left out."""
+    """The features of about train_docs labelled documents, chosen by a hash of the id.
+
+    Rows with a null id or label, and labels of no document, are left out; a document with several labels, or several
+    documents of one id, give a row for each; empty tables give an empty sample. Other columns are not read.
+    """
     given = labels.select(F.col(id_col).alias("id"), *[F.col(n).cast("int").alias(n) for n in names]).dropna()
     n = given.count()
     chosen = given.where(F.pmod(F.xxhash64(F.col("id"), F.lit(17)), F.lit(1 << 30)) < int(min(1.0, train_docs / max(1, n)) * (1 << 30)))
@@ -114,8 +120,8 @@ def gather(docs: DataFrame, labels: DataFrame, names: list[str], id_col: str = "
             )
 
     texts = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    got = texts.join(F.broadcast(chosen), "id").select("text", F.array(*names).alias("labels")).mapInArrow(run, "bucket array<int>, count array<int>, tokens long, labels array<int>").toArrow()
-    return _sample(got, len(names))
+    got = texts.join(F.broadcast(chosen), "id").select("text", F.array(*names).alias("labels")).mapInArrow(run, "bucket array<int>, count array<int>, tokens long, labels array<int>")
+    return _sample(got.where(F.size("bucket") <= TRAIN_FEATURES).toArrow(), len(names))
 
 
 def _sample(got: pa.Table, names: int) -> Sample:
@@ -173,7 +179,7 @@ def gather_parts(docs: DataFrame, labels: DataFrame, names: list[str], id_col: s
                 ["sha", "bucket", "count", "tokens", "labels"],
             )
 
-    return _sample(once.select("sha", "text", "labels").mapInArrow(run, "sha string, bucket array<int>, count array<int>, tokens long, labels array<int>").orderBy("sha").toArrow(), len(names))
+    return _sample(once.select("sha", "text", "labels").mapInArrow(run, "sha string, bucket array<int>, count array<int>, tokens long, labels array<int>").where(F.size("bucket") <= TRAIN_FEATURES).orderBy("sha").toArrow(), len(names))
 
 
 def strength(with_: np.ndarray, with_pos: np.ndarray, n: int, pos: int) -> np.ndarray:
@@ -194,24 +200,15 @@ def screen(sample: Sample, y: np.ndarray, least_z: float = LEAST_Z, most: int |
     return np.unique(np.concatenate([found, [CAPITALS, REPEATS]]))
 
 
-def value(count: np.ndarray, tokens: np.ndarray, share: bool) -> np.ndarray:
-    """share: root of the feature's share of the tokens; else the logarithm of its count."""
-    return np.sqrt(count / np.maximum(tokens, 1)) * 3 if share else np.log1p(count)
-
-
-def dense(sample: Sample, chosen: np.ndarray, share: bool) -> np.ndarray:
-    at = np.searchsorted(chosen, sample.col)
-    ok = (at < len(chosen)) & (chosen[np.minimum(at, len(chosen) - 1)] == sample.col)
-    x = np.zeros((len(sample), len(chosen)))
-    np.add.at(x, (sample.row[ok], at[ok]), value(sample.count[ok], sample.tokens[sample.row[ok]], share))
-    return x
+def value(count: np.ndarray) -> np.ndarray:
+    return np.log1p(count)
 
 
 def entries(sample: Sample, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, column and value of what ``dense`` (without share) has other than zero."""
+    """Row, column and value of the features chosen: the logarithm of the count."""
     at = np.searchsorted(chosen, sample.col)
     ok = (at < len(chosen)) & (chosen[np.minimum(at, len(chosen) - 1)] == sample.col)
-    return sample.row[ok], at[ok], value(sample.count[ok], sample.tokens[sample.row[ok]], False)
+    return sample.row[ok], at[ok], value(sample.count[ok])
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

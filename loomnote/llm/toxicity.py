@@ -75,11 +75,11 @@ def predict(docs: DataFrame, chain: list[tuple[np.ndarray, np.ndarray]], text_co
         for texts in batches:
             out = np.zeros((len(texts), len(links)))
             for i, text in enumerate(texts):
-                found, n = part_features(text, known, letters, keep)
+                found, _ = part_features(text, known, letters, keep)
                 for j, (weight, rest) in enumerate(links):
                     own = [(weight[b], c) for b, c in found.items() if b in weight]
                     w, c = np.array(own or [(0.0, 0)]).T
-                    out[i, j] = sigmoid(w @ value(c, np.array(n), False) + out[i, :j] @ rest[:-1] + rest[-1])
+                    out[i, j] = sigmoid(w @ value(c) + out[i, :j] @ rest[:-1] + rest[-1])
             yield pd.Series(list(out))
         release()
 

@@ -2,8 +2,10 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -323,16 +325,39 @@ def labelled(spark, n=600):
     return spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
 
 
+def plain_part(part):
+    h = 0
+    for c in part:
+        h = (h ^ ord(c)) * 0x9E3779B97F4A7C15 % 2**64
+        h ^= h >> 29
+    return textfeatures.FIRST_PART + h % textfeatures.BUCKETS
+
+
 def test_ordinal_grades(spark, odd, empty):
     docs, labels = labelled(spark)
     sample = textfeatures.gather(docs, ordinal_quality.rated(labels), ["grade"])
     model = ordinal_quality.fit(sample, sample.labels[:, 0])
-    assert list(model[2]) == sorted(model[2])
+    assert list(model[1]) == sorted(model[1])
     got = {r["doc_id"]: r for r in ordinal_quality.grade(docs, model).collect()}
     assert np.mean([r["selected"] == (i % 3 != 0) for i, r in got.items()]) > 0.98
     assert np.mean([got[i]["expected_grade"] for i in got if i % 3 and i % 4]) > np.mean([got[i]["expected_grade"] for i in got if i % 3 and not i % 4]) > np.mean([got[i]["expected_grade"] for i in got if not i % 3])
     assert all(r["tail"] == sorted(r["tail"], reverse=True) for r in got.values())
     assert ordinal_quality.grade(odd, model).count() == len(ODD) and ordinal_quality.grade(empty, model).count() == 0
+    # Against a plain version, word by word.
+    for r in ordinal_quality.grade(odd.where("doc_id IS NOT NULL"), model).collect():
+        words = re.findall(r"[^\W\d_]+|[^\w\s]+", r["text"] or "")
+        count = {}
+        for w in words:
+            b = zlib.crc32(w.lower().encode()) % textfeatures.BUCKETS % ordinal_quality.WIDTH, zlib.crc32(w.lower().encode()) % textfeatures.BUCKETS
+            count[b] = count.get(b, 0) + 1
+        loud, again = sum(len(w) > 1 and w.isupper() and w.lower() != w for w in words), sum(a == b for a, b in zip(words, words[1:], strict=False))
+        kinds = len(count) + (loud > 0) + (again > 0)
+        score = sum(model[0][b] * 4 * math.log1p(c) / math.sqrt(1 + kinds) for (b, _), c in count.items())
+        score += sum(model[0][ordinal_quality.WIDTH + i] * 3 * math.sqrt(c / len(words)) for i, c in enumerate((loud, again)) if c)
+        assert np.allclose(r["tail"], [1 / (1 + math.exp(c - score)) for c in model[1]], atol=1e-4) and abs(r["expected_grade"] - sum(r["tail"])) < 1e-9
+    # The thresholds of an empty text's grades follow the ratings' shares, and repeated labels and clashing columns do no harm.
+    doubled = textfeatures.gather(docs.withColumn("grade", F.lit("x")), ordinal_quality.rated(labels.union(labels)), ["grade"])
+    assert len(doubled) == 2 * len(sample)
     none = textfeatures.gather(empty, ordinal_quality.rated(labels.limit(0)), ["grade"])
     assert ordinal_quality.grade(odd, ordinal_quality.fit(none, none.labels[:, 0])).count() == len(ODD)
 
@@ -345,6 +370,22 @@ def test_toxicity_chain(spark, odd, empty):
     assert [len(w) - len(c) for c, w in chain] == [1, 2]
     got = {r["doc_id"]: r["p"] for r in toxicity.predict(docs, chain).collect()}
     assert all((p[1] >= 0.4) == (i % 4 == 0) and (p[0] >= 0.5) == (i % 3 == 0) for i, p in got.items())
+    # Against a plain version, word by word and part by part.
+    for r in toxicity.predict(odd.where("doc_id IS NOT NULL").union(odd.limit(1)), chain).collect():
+        text, p = r["text"] or "", []
+        count = dict(textfeatures.features(text)[0])
+        for word in re.findall("[a-z]+", text.lower()) if text.isascii() else []:
+            marked = " " + word + " "
+            for n in textfeatures.PARTS:
+                for i in range(len(marked) - n + 1):
+                    b = plain_part(marked[i : i + n])
+                    count[b] = count.get(b, 0) + 1
+        for chosen, weights in chain:
+            own = dict(zip(chosen.tolist(), weights[: len(chosen)].tolist(), strict=True))
+            score = sum(own[b] * math.log1p(c) for b, c in count.items() if b in own) + sum(w * x for w, x in zip(weights[len(chosen) : -1], p, strict=True)) + weights[-1]
+            p.append(1 / (1 + math.exp(-score)))
+        if text.isascii():
+            assert np.allclose(r["p"], p, atol=1e-6)
     assert toxicity.predict(odd, chain).count() == len(ODD) and toxicity.predict(empty, chain).count() == 0
     none = textfeatures.gather(empty, labels.limit(0), ["quality", "toxic"])
     assert toxicity.predict(odd, toxicity.fit_chain(none)[0]).count() == len(ODD)
