@@ -122,6 +122,25 @@ def test_golay_keys_meet():
         assert all(x & y for x, y in zip(*keys, strict=True))
 
 
+def test_finer_keys_meet():
+    rng, tables = np.random.default_rng(2), golay_simhash.golay()
+    a = rng.integers(-(1 << 63), 1 << 63, 1500)
+    for flips in range(5):
+        b = a.view(np.uint64).copy()
+        for i in range(len(b)):
+            for p in rng.choice(64, flips, replace=False):
+                b[i] ^= np.uint64(1 << int(p))
+        coarse, fine = [[set() for _ in a] for _ in range(2)], [[set() for _ in a] for _ in range(2)]
+        for held, finer, x in zip(coarse, fine, (a, b.view(np.int64)), strict=True):
+            at, keys = golay_simhash.fuzzy_keys(x, tables)
+            for i, k in zip(at, keys, strict=True):
+                held[i].add(int(k))
+            again, keys = golay_simhash.finer_keys(keys, x[at], tables)
+            for i, k in zip(at[again], keys, strict=True):
+                finer[i].add(int(k))
+        assert all(x & y for x, y in zip(*coarse, strict=True)) and all(x & y for x, y in zip(*fine, strict=True))
+
+
 def test_simhash_components_with_dense_buckets(spark, monkeypatch):
     monkeypatch.setattr(golay_simhash, "LARGE", 8)
     rng = random.Random(3)
@@ -219,6 +238,33 @@ def test_language_odd(spark, odd, empty):
     assert {r["doc_id"]: r["lang_pred"] for r in langid.predict(foreign, learnt).where("score > 0").collect()} == dict.fromkeys((1, 3, 5), "en")
 
 
+def test_language_equals_a_plain_version(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    filters = langid.learned_from(docs)
+    found = langid.predict(docs.where("doc_id % 5 = 0"), filters).collect()
+    assert len(found) >= 40
+    for r in found:
+        letters = "".join(c.lower() if c.isalpha() else " " for c in r["text"] or "")
+        text = f" {' '.join(letters.split())} "
+        hits, n = [0] * len(filters.languages), 0
+        for order in langid.ORDERS if text.strip() else ():
+            for i in range(len(text) - order + 1):
+                h = order
+                for c in text[i : i + order]:
+                    h = (h ^ ord(c)) * 0x9E3779B97F4A7C15 % 2**64
+                    h ^= h >> 29
+                mask = ~0
+                for k in range(filters.hashes):
+                    mask &= int(filters.masks[(h >> 7) * (2 * k + 0xD6E8FEB86659FD93) % 2**64 >> (64 - (filters.slots - 1).bit_length()), 0])
+                n += 1
+                for j in range(len(hits)):
+                    hits[j] += mask >> j & 1
+        share = [(x / n - p) / (1 - p) for x, p in zip(hits, filters.false_rate, strict=True)] if n else []
+        best = max(range(len(share)), key=lambda j: (share[j], -j)) if n else None
+        want = ("und", 0.0) if not n else (filters.languages[best], share[best]) if share[best] > 0 else (filters.default, 0.0)
+        assert r["lang_pred"] == want[0] and abs(r["score"] - want[1]) < 1e-9
+
+
 def test_bloom_filters_correct_for_false_positives():
     rng = np.random.default_rng(5)
     sets = {lang: rng.integers(0, 1 << 62, 3000).astype(np.uint64) for lang in ("a", "b", "c")}
@@ -307,6 +353,30 @@ def test_knn_small_and_odd(spark):
     assert voronoi_knn.top_k(data.limit(0), data).count() == 0
 
 
+def test_knn_sends_what_is_needed_only(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(0, 1, (40, 16))
+    made = [(i, (centres[i % 40] + rng.normal(0, 0.05, 16)).tolist(), 0) for i in range(4000)]
+    data = voronoi_knn.quantised(spark.createDataFrame(made, "vec_id long, embedding array<float>, label int"))
+    ask = data.where("id % 7 = 0")
+    met = voronoi_knn.plan(data, ask, group_queries=20)
+    groups, sent = met.agg(F.count_distinct("grp"), F.count_if(~F.col("asks"))).first()
+    assert groups > 10 and sent < 0.2 * groups * 4000, sent / groups / 4000
+    x = np.array([r["v"] for r in sorted(data.collect())])
+    score = x[::7] @ x.T
+    score[np.arange(len(score)), np.arange(0, 4000, 7)] = -(10**9)
+    want = {(7 * q, r + 1, int(i), int(score[q, i])) for q in range(len(score)) for r, i in enumerate(np.lexsort((np.arange(4000), -score[q]))[:5])}
+    assert set(rows(voronoi_knn.top_k(data, ask, group_queries=20))) == want
+
+
+def test_knn_repeated_ids_and_columns(spark):
+    made = [(1, [3, 0]), (1, [3, 0]), (2, [2, 1]), (3, [1, 1]), (3, [0, 5]), (4, [0, 0])]
+    data = spark.createDataFrame(made, "id long, v array<long>").withColumns({"cell": F.lit("x"), "grp": F.lit(1), "theta": F.lit(2), "asks": F.lit("y")})
+    got = sorted(rows(voronoi_knn.top_k(data, data.where("id IN (1, 3)"), 3)))
+    # Query 3 asks with its least vector; both rows of id 1 are candidates of it.
+    assert got == [(1, 1, 2, 6), (1, 2, 3, 3), (1, 3, 3, 0), (3, 1, 2, 5), (3, 2, 1, 0), (3, 3, 1, 0)] or got == [(1, 1, 2, 6), (1, 2, 3, 3), (1, 3, 3, 0), (3, 1, 2, 5), (3, 2, 1, 0), (3, 3, 4, 0)]
+
+
 # op1, op6
 
 
