@@ -22,12 +22,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import release, small_batches, table
+from .common import lean, release, small_batches, table
 
 #: Bytes of text in a block; a longer document is a block of its own.
 BLOCK_BYTES = 16 << 20
+#: Bytes of text that are split into words at once.
+SPLIT_BYTES = 1 << 20
 #: Words that an encoding task holds before it packs them by block, and that a block's documents are made of at once.
-PACK_WORDS, CHUNK_WORDS = 200_000, 1 << 18
+PACK_WORDS, CHUNK_WORDS = 150_000, 1 << 17
 #: Scan partitions (a power of two of them) whose blocks share one encoding of a word.
 SHARE_BITS = 8
 _LETTER = r"[A-Za-z0-9\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}]"  # without U+0130, whose lower case ends in a mark
@@ -76,36 +78,40 @@ def _blocks(docs: DataFrame, block_bytes: int, cut: bool, listed: bool) -> DataF
     """block and its word list (listed), or its ids, number of words per document and compressed codes."""
     id_type = docs.schema["id"].dataType.simpleString()
 
-    def emit(block: int, ids: list[pa.Array], texts: list[pa.Array]) -> pa.RecordBatch:
-        split = words(pc.fill_null(pa.concat_arrays(texts), ""), cut)
-        coded = split.flatten().dictionary_encode()
+    def emit(block: int, ids: list[pa.Array], counts: list[pa.Array], parts: list[pa.Array]) -> pa.RecordBatch:
+        coded = pa.chunked_array(parts).unify_dictionaries()
+        each = coded.chunk(0).dictionary
         if listed:
-            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary)], ["block", "words"])
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.ListArray.from_arrays([0, len(each)], each)], ["block", "words"])
         own = pa.concat_arrays(ids)
-        codes = _packed(coded.indices.to_numpy())
-        counts = pc.list_value_length(split)
+        codes = _packed(np.concatenate([c.indices.to_numpy() for c in coded.chunks]))
         return pa.RecordBatch.from_arrays(
-            [pa.array([block], pa.int64()), pa.ListArray.from_arrays([0, len(own)], own), pa.ListArray.from_arrays([0, len(own)], counts), pa.array([codes], pa.binary()), pa.array([len(coded)], pa.int64()), pa.array([len(coded.dictionary)], pa.int64())],
+            [pa.array([block], pa.int64()), pa.ListArray.from_arrays([0, len(own)], own), pa.ListArray.from_arrays([0, len(own)], pa.concat_arrays(counts)), pa.array([codes], pa.binary()), pa.array([len(coded)], pa.int64()), pa.array([len(each)], pa.int64())],
             ["block", "ids", "counts", "codes", "n", "n_words"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, ids, texts, held = None, [], [], 0
+        lean()
+        block, held = None, 0
+        ids, counts, parts = [], [], []
         for batch in batches:
             if block is None and len(batch):
                 block = batch.column(2)[0].as_py() << 32
-            sizes, start = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False), 0
+            sizes, start, since = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False), 0, 0
             for i, size in enumerate(sizes.tolist(), 1):
-                held += size
-                if held >= block_bytes or i == len(sizes):
+                held, since = held + size, since + size
+                if held >= block_bytes or since >= SPLIT_BYTES or i == len(sizes):
+                    split = words(pc.fill_null(batch.column(1).slice(start, i - start), ""), cut)
+                    parts.append(split.flatten().dictionary_encode())
+                    counts.append(pc.list_value_length(split))
                     ids.append(batch.column(0).slice(start, i - start))
-                    texts.append(batch.column(1).slice(start, i - start))
-                    start = i
+                    start, since = i, 0
                 if held >= block_bytes:
-                    yield emit(block, ids, texts)
-                    block, ids, texts, held = block + 1, [], [], 0
+                    yield emit(block, ids, counts, parts)
+                    block, held = block + 1, 0
+                    ids, counts, parts = [], [], []
         if ids:
-            yield emit(block, ids, texts)
+            yield emit(block, ids, counts, parts)
         release()
 
     # The scan's own partition number, which stays the same whatever the scan is part of.
@@ -120,6 +126,7 @@ def _encoded(words: DataFrame, tokenizer: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -179,6 +186,7 @@ def _packed_by_block(coded: DataFrame, width: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["block", "m", "at", "sizes", "code", "lengths", "decoded"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         held, n = [], 0
         for batch in batches:
             starts = np.nonzero(batch.column(0).to_numpy(zero_copy_only=False))[0]
@@ -261,6 +269,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     derive, given = then or ((lambda batch: batch), "ids array<int>, decoded string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         held: list[tuple] = []
         for batch in batches:
             for i in range(len(batch)):

@@ -19,7 +19,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Rows in an Arrow batch of whole texts at most.
 BATCH_ROWS = 512
 
-__all__ = ["BATCH_ROWS", "SPACE", "WORD", "components", "release", "small_batches", "table", "written"]
+__all__ = ["BATCH_ROWS", "SPACE", "WORD", "components", "lean", "release", "small_batches", "table", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,11 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def lean() -> None:
+    """For the beginning of a task with large arrays: from here on the Python worker takes their memory from the system, whose allocator keeps less of what is free."""
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
 def release() -> None:
     """For the end of a task: gives the memory that its arrays took back to the system, as the Python worker stays for later tasks."""
     gc.collect()

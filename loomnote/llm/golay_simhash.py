@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import components, release, small_batches, table, written
+from .common import components, lean, release, small_batches, table, written
 
 SHINGLE, SEED, BITS = 4, 42, 4
 #: Members of a bucket from which on it is split by finer keys, and from which on the largest component of a finer bucket is not compared with itself.
@@ -120,6 +120,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """doc_id, print (long) of every row; null texts count as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
             prints = [fingerprint(None if not x.is_valid else x.as_buffer().to_pybytes(), shingle) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())], ["id", "print"])

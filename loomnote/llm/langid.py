@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import release, small_batches, table
+from .common import lean, release, small_batches, table
 
 ORDERS = (3, 4)
 SLOTS = 1 << 19
@@ -143,6 +143,7 @@ def _predicted(docs: DataFrame, filters: Filters, text_col: str, orders: tuple[i
     shared = docs.sparkSession.sparkContext.broadcast((filters.languages, filters.masks, filters.false_rate, filters.slots, filters.hashes, filters.default))
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        lean()
         own = Filters.__new__(Filters)
         own.languages, own.masks, own.false_rate, own.slots, own.hashes, own.default = shared.value
         letters = letter_table()
