@@ -36,7 +36,7 @@ def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.encode_decode(docs, public_tokenizers.path("word_bpe_49k.json"), then=bpe.ENCODED)
+    return bpe.encode_decode(docs, public_tokenizers.path("word_bpe_49k.json"), block_bytes=8 << 20, then=bpe.ENCODED)
 
 
 STAGES = [
