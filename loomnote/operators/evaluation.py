@@ -31,3 +31,10 @@ def latency(rows: DataFrame, value: str, by: str) -> DataFrame:
 def accuracy(rows: DataFrame, by: str, correct: str) -> DataFrame:
     """by (null: all), n, accuracy, by rollup."""
     return rows.rollup(by).agg(F.count("*").alias("n"), F.round(F.avg(F.col(correct).cast("double")), 6).alias("accuracy"))
+
+
+def lift(gold: DataFrame, base: DataFrame, found: DataFrame) -> DataFrame:
+    """type, queries, base, recall, lift: mean recall of two result lists (query_id, id) against gold (query_id, type, id)."""
+    marked = lambda df, name: df.select("query_id", "id", F.lit(1).alias(name)).distinct()
+    each = gold.join(marked(base, "b"), ["query_id", "id"], "left").join(marked(found, "f"), ["query_id", "id"], "left").groupBy("type", "query_id").agg(*[(F.count(c) / F.count("*")).alias(c) for c in "bf"])
+    return each.groupBy("type").agg(F.count("*").alias("queries"), F.round(F.avg("b"), 6).alias("base"), F.round(F.avg("f"), 6).alias("recall"), F.round(F.avg("f") - F.avg("b"), 6).alias("lift"))

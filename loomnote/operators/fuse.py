@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import params
+from ..storage import written
 from . import lexical
+from .order import rank
 
 
 def ranked(stream: DataFrame, source: str, weight: float = 1.0, score: str = "score", cap: int | None = None) -> DataFrame:
@@ -19,20 +21,9 @@ def ranked(stream: DataFrame, source: str, weight: float = 1.0, score: str = "sc
     return out.select("query_id", "id", F.lit(source).alias("source"), "rank", F.lit(float(weight)).alias("weight"))
 
 
-def global_rank(rows: DataFrame, score: str = "score", key: str = "id", share: int = 65536) -> DataFrame:
-    """rows (key an integer) with rank by score descending, then key, over all rows without sorting them in one task.
-
-    Ranks are summed up from three counts: rows of higher scores (one row a score in one place), rows of the same
-    score in lower ranges of the key, and rows before in the own range.
-    """
-    placed = rows.withColumn("__range", F.floor(F.col(key) / share))
-    ranges = placed.groupBy(score, "__range").agg(F.count("*").alias("__n"))
-    below = F.coalesce(F.sum("__n").over(Window.partitionBy(score).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    levels = ranges.groupBy(score).agg(F.sum("__n").alias("__n"))
-    above = F.coalesce(F.sum("__n").over(Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offset = ranges.select(score, "__range", below.alias("__below")).join(levels.select(score, above.alias("__above")), score)
-    own = F.row_number().over(Window.partitionBy(score, "__range").orderBy(key))
-    return placed.withColumn("__own", own).join(offset, [score, "__range"]).withColumn("rank", F.col("__own") + F.col("__below") + F.col("__above")).drop("__range", "__own", "__below", "__above")
+def global_rank(rows: DataFrame, score: str = "score", key: str = "id") -> DataFrame:
+    """rows with rank by score descending, then key, over all rows, without sorting them in one task."""
+    return rank(rows, [], [F.desc(score), key])
 
 
 def rrf(streams: list[DataFrame], k: int = params.RRF_K) -> DataFrame:
@@ -47,17 +38,37 @@ def rrf(streams: list[DataFrame], k: int = params.RRF_K) -> DataFrame:
     return fused.where("asked = 1").drop("asked")
 
 
-def hybrid(streams: dict[str, DataFrame], intent: str = "open-ended", k: int = 10, least: float | None = None) -> DataFrame:
-    """The k best documents of each query over named streams (query_id, id, score), weighted by the query's intent.
+SIGNALS = ("bm25", "vector", "exact", "graph", "graph-spread", "metadata")
+
+
+def intent_weight(intent: Column, source: Column) -> Column:
+    """Weight of a signal for a query's intent; 1 for intents and signals that have none."""
+    known = {f"{i}/{s}": float(w) for i, ws in params.INTENT_WEIGHTS.items() for s, w in zip(SIGNALS, ws, strict=True)}
+    weights = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])
+    return F.coalesce(F.try_element_at(weights, F.concat_ws("/", intent, source)), F.lit(1.0))
+
+
+def seeds(bm25: DataFrame, vector: DataFrame, best: int = 3) -> DataFrame:
+    """query_id, id, place: the best of either stream (query_id, id, score), those of bm25 first, each row once."""
+    streams = [ranked(s, name, cap=best).select("query_id", "id", (F.col("rank") + n * best).alias("place")) for n, (name, s) in enumerate((("bm25", bm25), ("vector", vector)))]
+    return streams[0].unionByName(streams[1]).groupBy("query_id", "id").agg(F.min("place").alias("place"))
+
+
+def hybrid(streams: dict[str, DataFrame], prior: DataFrame, queries: DataFrame, k: int = 10, least: float | None = None) -> DataFrame:
+    """query_id, id, score, signals, dominant, rank: the k best documents of each query (query_id, intent) over named streams (query_id, id, score).
 
-    Streams: bm25 and vector count their best 50; exact, graph, graph-spread and metadata count whole. A prior that
-    all documents have is ranked once with global_rank and joined to what the other streams found, rather than
-    ranked whole for every query: see the hybrid_search query.
+    Streams: bm25 and vector count their best 50 (without vector this is lexical search); exact, graph and
+    graph-spread count whole. The prior (id, score), which all documents have, is ranked once for all queries and
+    joined to what the streams found, and alone finds nothing. Every signal weighs by the query's intent.
     """
-    weight = dict(zip(("bm25", "vector", "exact", "graph", "graph-spread", "metadata"), params.INTENT_WEIGHTS[intent], strict=True))
-    lists = [ranked(s, name, weight.get(name, 1.0), cap=params.SIGNAL_CAP if name in ("bm25", "vector") else None) for name, s in streams.items()]
-    found = lexical.top(rrf(lists), k)
-    return found.where(F.col("score") >= least) if least is not None else found
+    lists = [ranked(s, name, cap=params.SIGNAL_CAP if name in ("bm25", "vector") else None) for name, s in streams.items()]
+    found = written(reduce(DataFrame.unionByName, lists).drop("weight"), "streams")
+    placed = global_rank(prior).select("id", "rank")
+    own = found.select("query_id", "id").distinct().join(placed, "id").select("query_id", "id", F.lit("metadata").alias("source"), "rank")
+    every = found.withColumn("rank", F.col("rank").cast("long")).unionByName(own)
+    weighted = every.join(queries.select("query_id", "intent"), "query_id").withColumn("weight", intent_weight(F.col("intent"), F.col("source"))).drop("intent")
+    best = lexical.top(rrf([weighted]), k)
+    return best.where(F.col("score") >= least) if least is not None else best
 
 
 def rerank(found: DataFrame, texts: DataFrame, scorer, best: int = 5, most_chars: int = 1200) -> DataFrame:

@@ -60,24 +60,32 @@ def edge_weight(relation: Column, kind: Column) -> Column:
     return F.coalesce(table[relation], table[kind], F.lit(1.0))
 
 
-def activate(edges: DataFrame, seeds: DataFrame, rounds: int = params.ACTIVATION_ROUNDS, decay: float = params.ACTIVATION_DECAY, inhibition: float = params.INHIBITION, epsilon: float = params.ACTIVATION_EPSILON, outbound: bool = False) -> DataFrame:
-    """path, activation: spreading activation from seeds (1 each, part of the result).
+def neighbours(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """query_id, path, score of the nodes one step from a query's seeds (query_id, path, place), seeds left out: in the order in which a walk from the seeds one after the other, over links in order of the other end, comes to them (score: minus the number of the first seed)."""
+    links = both_ways(edges.select("from_path", "to_path")).select("near", "far").distinct()
+    step = seeds.join(links, seeds["path"] == links["near"]).groupBy("query_id", F.col("far").alias("path")).agg((-F.min("place")).alias("score"))
+    return step.join(seeds.select("query_id", "path"), ["query_id", "path"], "left_anti")
+
+
+def activate(edges: DataFrame, seeds: DataFrame, rounds: int = params.ACTIVATION_ROUNDS, decay: float = params.ACTIVATION_DECAY, inhibition: float = params.INHIBITION, epsilon: float = params.ACTIVATION_EPSILON, outbound: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
+    """path, activation: spreading activation from seeds (1 each, part of the result). by: columns of seeds (of queries, say) whose values spread each for themselves.
 
     A round sends activation * weight * decay to neighbours not yet reached; a node loses a share of the strongest
     other child of each of its parents, for which the two strongest children of a parent suffice. What a round
     sends and reaches is a table in the shared folder, so no round repeats the work of those before.
     """
+    by = list(by)
     weighted = edges.withColumn("w", edge_weight(F.col("relation_type"), F.col("kind"))).select("from_path", "to_path", "w")
     links = weighted.select(F.col("from_path").alias("near"), F.col("to_path").alias("far"), "w") if outbound else both_ways(weighted)
-    reached = frontier = written(seeds.select("path").distinct().withColumn("activation", F.lit(1.0)), "activation")
+    reached = frontier = written(seeds.select(*by, "path").distinct().withColumn("activation", F.lit(1.0)), "activation")
     for _ in range(rounds):
-        sent = frontier.select(F.col("path").alias("near"), "activation").join(links, "near").join(reached.select(F.col("path").alias("far")), "far", "left_anti")
-        child = written(sent.groupBy("near", "far").agg(F.sum(F.col("activation") * F.col("w") * decay).alias("c")), "activation-sent")
-        best = child.groupBy("near").agg(F.max("c").alias("first"), F.max_by("far", F.struct("c", "far")).alias("leader"))
-        rest = child.join(best, "near").where("far <> leader").groupBy("near").agg(F.max("c").alias("second"))
-        ranked = child.join(best.join(rest, "near", "left"), "near")
+        sent = frontier.select(*by, F.col("path").alias("near"), "activation").join(links, "near").join(reached.select(*by, F.col("path").alias("far")), [*by, "far"], "left_anti")
+        child = written(sent.groupBy(*by, "near", "far").agg(F.sum(F.col("activation") * F.col("w") * decay).alias("c")), "activation-sent")
+        best = child.groupBy(*by, "near").agg(F.max("c").alias("first"), F.max_by("far", F.struct("c", "far")).alias("leader"))
+        rest = child.join(best, [*by, "near"]).where("far <> leader").groupBy(*by, "near").agg(F.max("c").alias("second"))
+        ranked = child.join(best.join(rest, [*by, "near"], "left"), [*by, "near"])
         rival = F.when(F.col("far") == F.col("leader"), F.coalesce("second", F.lit(0.0))).otherwise(F.col("first"))
-        total = ranked.groupBy(F.col("far").alias("path")).agg((F.sum("c") - inhibition * F.sum(rival)).alias("activation"))
+        total = ranked.groupBy(*by, F.col("far").alias("path")).agg((F.sum("c") - inhibition * F.sum(rival)).alias("activation"))
         frontier = written(total.where(F.col("activation") > epsilon), "activation")
         if frontier.isEmpty():
             break

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..storage import written
 
 
 def duplicate_entities(names: DataFrame, least: float = 0.85) -> DataFrame:
@@ -34,18 +35,40 @@ def duplicate_entities(names: DataFrame, least: float = 0.85) -> DataFrame:
     return same.unionByName(one)
 
 
-def phrases(docs: DataFrame, most_words: int, id_col: str = "doc_id", text_col: str = "body") -> DataFrame:
-    """id, phrase, position: the distinct word sequences of up to most_words words, with the first position."""
+def similar_sets(sets: DataFrame, like: float) -> DataFrame:
+    """left_id, right_id, jaccard of the pairs of sets (id, items: distinct) that are alike enough, left_id < right_id.
+
+    Of m items a set shares at least ceil(like * m) with any such partner, so the pairs meet over their rarest
+    m - ceil(like * m) + 1 items: what is most frequent makes no pairs. Equal sets should be merged before.
+    """
+    flat = sets.select("id", F.size("items").alias("m"), F.explode("items").alias("item"))
+    df = flat.groupBy("item").agg(F.count("*").alias("df"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("df", "item"))
+    index = flat.join(df, "item").withColumn("place", place).where(F.col("place") <= F.col("m") - F.ceil(like * F.col("m") - 1e-9) + 1).select("id", "m", "item")
+    a, b = index.alias("a"), index.alias("b")
+    sized = (F.col("a.m") >= like * F.col("b.m") - 1e-9) & (F.col("b.m") >= like * F.col("a.m") - 1e-9)
+    pairs = a.join(b, (F.col("a.item") == F.col("b.item")) & (F.col("a.id") < F.col("b.id")) & sized).select(F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id")).distinct()
+    own = lambda side: sets.select(F.col("id").alias(f"{side}_id"), F.col("items").alias(side))
+    both = pairs.join(own("left"), "left_id").join(own("right"), "right_id").withColumn("jaccard", T.jaccard(F.col("left"), F.col("right")))
+    return both.where(F.col("jaccard") >= like - 1e-12).select("left_id", "right_id", "jaccard")
+
+
+def phrases(docs: DataFrame, lengths: list[int], id_col: str = "doc_id", text_col: str = "body") -> DataFrame:
+    """id, phrase, position: the word sequences of the given lengths, with their position."""
     w = T.tokens(F.col(text_col))
     at = F.sequence(F.lit(1), F.greatest(F.size("w"), F.lit(1)))
-    grams = F.flatten(F.transform(at, lambda i: F.transform(F.sequence(F.lit(1), F.lit(most_words)), lambda n: F.when(i + n - 1 <= F.size("w"), F.struct(F.array_join(F.slice("w", i, n), " ").alias("phrase"), i.alias("position"))))))
-    return docs.select(F.col(id_col).alias("id"), w.alias("w")).select("id", F.explode(F.filter(grams, lambda x: x.isNotNull())).alias("p")).groupBy("id", F.col("p.phrase").alias("phrase")).agg(F.min("p.position").alias("position"))
+    of = lambda n: F.transform(at, lambda i: F.when(i + n - 1 <= F.size("w"), F.struct(F.array_join(F.slice("w", i, n), " ").alias("phrase"), i.alias("position"))))
+    grams = F.flatten(F.array(*map(of, lengths)))
+    return docs.select(F.col(id_col).alias("id"), w.alias("w")).select("id", F.explode(F.filter(grams, lambda x: x.isNotNull())).alias("p")).select("id", "p.phrase", "p.position")
 
 
-def title_mentions(docs: DataFrame, titles: DataFrame, most_words: int = 3, id_col: str = "doc_id", text_col: str = "body") -> DataFrame:
-    """id, title_id, position (word), of titles (title_id, title) whose words stand in a text one after the other: an equi-join of texts' word sequences with titles."""
+def title_mentions(docs: DataFrame, titles: DataFrame, id_col: str = "doc_id", text_col: str = "body") -> DataFrame:
+    """id, title_id, position (word), of titles (title_id, title) whose words stand in a text one after the other: an equi-join of texts' word sequences with titles, for each length that a title has."""
     own = titles.select("title_id", F.array_join(T.tokens(F.col("title")), " ").alias("phrase")).where("phrase <> ''")
-    return phrases(docs, most_words, id_col, text_col).join(own, "phrase").select("id", "title_id", "position")
+    lengths = sorted(r["n"] for r in own.select(F.size(F.split("phrase", " ")).alias("n")).distinct().collect())
+    if not lengths:
+        return own.join(docs.select(F.col(id_col).alias("id"), F.lit(1).alias("position")).limit(0)).select("id", "title_id", "position")
+    return phrases(docs, lengths, id_col, text_col).join(own, "phrase").groupBy("id", "title_id").agg(F.min("position").alias("position"))
 
 
 def combine_mentions(lexical: DataFrame, bm25: DataFrame) -> DataFrame:
@@ -54,21 +77,32 @@ def combine_mentions(lexical: DataFrame, bm25: DataFrame) -> DataFrame:
     return a.join(b, ["id", "target"], "full").select("id", "target", F.greatest("ca", "cb").alias("confidence"), F.when(F.col("ca").isNull(), "bm25").when(F.col("cb").isNull(), "lexical").otherwise("both").alias("source"))
 
 
-def title_score(raw: DataFrame, pages: DataFrame) -> DataFrame:
-    """raw_id, page_id, score of raw texts (raw_id, raw) against pages (page_id, title, summary) that share a title token.
+def title_score(raw: DataFrame, pages: DataFrame, k: int = 3, least: float = 0.0) -> DataFrame:
+    """raw_id, page_id, score, rank: of each raw text (raw_id, raw) the k best pages (page_id, title, summary) that share a title token, scores of least at least.
 
     0.42 of the title covered, 0.43 of the rest of the page covered, 0.15 Jaccard, 0.1 if the title stands in the
-    text. Raw texts meet pages over title tokens, so that pairs without overlap are never made.
+    text. All but the last are counts of common tokens, which an equi-join over tokens sums up: first those of the
+    titles, which decide what pairs there are, then those of the rest, for such pairs alone. Texts never meet.
     """
-    r = raw.select("raw_id", T.scoring_tokens(F.col("raw")).alias("rt"), F.concat(F.lit(" "), F.array_join(T.scoring_list(F.col("raw")), " "), F.lit(" ")).alias("rp"))
+    r = raw.select("raw_id", T.scoring_list(F.col("raw")).alias("rl")).select("raw_id", F.array_distinct("rl").alias("rt"), F.concat(F.lit(" "), F.array_join("rl", " "), F.lit(" ")).alias("rp"))
+    r = written(r, "title-raw")
     p = pages.select("page_id", F.array_join(T.scoring_list(F.col("title")), " ").alias("tp"), T.scoring_tokens(F.col("title")).alias("tt"), T.scoring_tokens(F.concat_ws("\n", "title", "summary")).alias("ct")).where(F.size("tt") > 0)
-    pair = r.select("raw_id", F.explode("rt").alias("t")).join(p.select("page_id", F.explode("tt").alias("t")), "t").select("raw_id", "page_id").distinct()
-    both = pair.join(r, "raw_id").join(p, "page_id")
-    share = lambda a, b: F.when(F.size(a) == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
-    phrase = F.contains("rp", F.concat(F.lit(" "), "tp", F.lit(" ")))
-    rest = F.array_except("ct", "tt")
-    score = 0.42 * share(F.col("tt"), F.col("rt")) + 0.43 * share(rest, F.col("rt")) + 0.15 * T.jaccard(F.col("ct"), F.col("rt")) + F.when(phrase, 0.1).otherwise(0.0)
-    return both.select("raw_id", "page_id", F.round(F.least(F.lit(1.0), score), 3).alias("score"))
+    p = written(p.withColumn("rest", F.array_except("ct", "tt")).drop("ct"), "title-pages")
+    own = r.select("raw_id", F.explode("rt").alias("t"))
+    titles = own.join(p.select("page_id", F.explode("tt").alias("t")), "t").groupBy("raw_id", "page_id").agg(F.count("*").alias("in_title"))
+    # Only tokens of raw texts can be common; a page's row finds them before it is split up.
+    rests = own.join(p.select("page_id", F.explode("rest").alias("t")).join(own.select("t").distinct(), "t", "left_semi"), "t").groupBy("raw_id", "page_id").agg(F.count("*").alias("in_rest"))
+    sized = titles.join(rests, ["raw_id", "page_id"], "left").join(r.select("raw_id", F.size("rt").alias("n")), "raw_id").join(p.select("page_id", "tp", F.size("tt").alias("t"), F.size("rest").alias("s")), "page_id")
+    common = F.coalesce("in_rest", F.lit(0))
+    share = F.when(F.col("s") == 0, 0.0).otherwise(common / F.col("s"))
+    base = 0.42 * F.col("in_title") / F.col("t") + 0.43 * share + 0.15 * (F.col("in_title") + common) / (F.col("t") + F.col("s") + F.col("n") - F.col("in_title") - common)
+    # A phrase adds 0.1 at most: only pairs within that of a raw text's k-th best base need the look.
+    scored = sized.withColumn("base", base).withColumn("place", F.row_number().over(Window.partitionBy("raw_id").orderBy(F.desc("base"), "page_id")))
+    kth = scored.where(F.col("place") == k).select("raw_id", F.col("base").alias("kth"))
+    near = scored.join(kth, "raw_id", "left").where(F.col("base") >= F.coalesce("kth", F.lit(-1.0)) - 0.11)
+    looked = near.join(r.select("raw_id", "rp"), "raw_id").withColumn("score", F.round(F.least(F.lit(1.0), F.col("base") + F.when(F.contains("rp", F.concat(F.lit(" "), "tp", F.lit(" "))), 0.1).otherwise(0.0)), 3))
+    best = looked.where(F.col("score") >= least).withColumn("rank", F.row_number().over(Window.partitionBy("raw_id").orderBy(F.desc("score"), "page_id")))
+    return best.where(F.col("rank") <= k).select("raw_id", "page_id", "score", "rank")
 
 
 def longest_prefix(rows: DataFrame, prefixes: DataFrame) -> DataFrame:

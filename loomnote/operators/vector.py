@@ -18,10 +18,24 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, dot(a, b) / norm).otherwise(0.0)
 
 
+#: Queries that may be broadcast, and rows of a block beyond that.
+FEW_QUERIES, BLOCK_ROWS = 4096, 8192
+
+
+def _meet(vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """Every query with every vector: a small set of queries (counted) as a broadcast, a larger one block by block, each block of queries with each of vectors in a task of its own."""
+    if queries.limit(FEW_QUERIES + 1).count() <= FEW_QUERIES:
+        return vectors.join(F.broadcast(queries))
+    blocks = [max(1, -(-x.count() // BLOCK_ROWS)) for x in (queries, vectors)]
+    asked = queries.withColumn("__q", F.pmod(F.xxhash64("query_id"), F.lit(blocks[0]))).withColumn("__v", F.explode(F.sequence(F.lit(0), F.lit(blocks[1] - 1))))
+    rows = vectors.withColumn("__v", F.pmod(F.xxhash64("id"), F.lit(blocks[1])).cast("int")).withColumn("__q", F.explode(F.sequence(F.lit(0), F.lit(blocks[0] - 1))).cast("long"))
+    return rows.join(asked, ["__q", "__v"]).drop("__q", "__v")
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = params.SIGNAL_CAP, least: float = params.MIN_VECTOR_SCORE, same_dim: bool = False) -> DataFrame:
     """query_id, id, score, rank: the k rows of highest cosine, at least ``least``, without the query itself.
 
-    vectors: id, v; queries: query_id, q. The stated queries are broadcast to all vectors; norms are taken once a row.
+    vectors: id, v; queries: query_id, q, a stated set that is compared with all rows, in blocks. Norms are taken once a row.
     """
     rows = vectors.select("id", "v", F.sqrt(dot(F.col("v"), F.col("v"))).alias("n"))
     asked = queries.select("query_id", "q", F.sqrt(dot(F.col("q"), F.col("q"))).alias("m"))
@@ -29,15 +43,17 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = params.SIGNAL_CAP,
     if same_dim:
         test &= F.size("v") == F.size("q")
     score = F.round(F.when(F.col("n") * F.col("m") > 0, dot(F.col("v"), F.col("q")) / (F.col("n") * F.col("m"))).otherwise(0.0), 6)
-    scored = rows.join(F.broadcast(asked), test).select("query_id", "id", score.alias("score")).where(F.col("score") >= least)
+    scored = _meet(rows, asked).where(test).select("query_id", "id", score.alias("score")).where(F.col("score") >= least)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def nearest_l2(vectors: DataFrame, query: DataFrame, k: int = 10) -> DataFrame:
-    """id, distance of the k rows nearest to a one-row query (q) by Euclidean distance."""
+def nearest_l2(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """query_id, id, distance, rank: the k rows (id, v) nearest to each query (query_id, q) by Euclidean distance, the query's own row too."""
     gap = F.aggregate(F.zip_with("v", "q", lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
-    return vectors.join(F.broadcast(query)).select("id", F.round(F.sqrt(gap), 6).alias("distance")).orderBy("distance", "id").limit(k)
+    measured = _meet(vectors.select("id", "v"), queries.select("query_id", "q")).select("query_id", "id", F.round(F.sqrt(gap), 6).alias("distance"))
+    order = Window.partitionBy("query_id").orderBy("distance", "id")
+    return measured.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def zero(v: Column) -> Column:

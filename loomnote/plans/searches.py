@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import params
 from ..functions import text as T
-from ..operators import evaluation, fuse, lexical, resolve, vector
+from ..operators import evaluation, fuse, graph, lexical, predicates, resolve, vector
 from ..storage import written
 from ..tables import PAGES_SQL, pages_of, table
 from .base import query
-from .texts import _CASES, tokens_sql
+from .texts import _CASES, _INTENT, tokens_sql
 
-#: Words of a benchmark passage that make a query.
-QUERY_WORDS = 6
 _STOP = ", ".join(f"'{w}'" for w in params.STOPWORDS)
-QUERIES_SQL = f"""asked AS (SELECT item_id AS query_id, array_to_string(({tokens_sql('text')})[1:{QUERY_WORDS}], ' ') AS query FROM benchmark)"""
+#: Every passage of the benchmark, whole, is a query.
+QUERIES_SQL = "asked AS (SELECT item_id AS query_id, text AS query FROM benchmark)"
 BM25_SQL = f"""docs AS (SELECT doc_id AS id, {tokens_sql('text')} AS w FROM documents), stats AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM docs),
 terms AS (SELECT DISTINCT query_id, term FROM (SELECT query_id, unnest({tokens_sql('query')}) AS term FROM asked) WHERE term NOT IN ({_STOP})),
 tf AS (SELECT id, len, term, count(*) AS tf FROM (SELECT id, len(w) AS len, unnest(w) AS term FROM docs) WHERE term IN (SELECT term FROM terms) GROUP BY 1, 2, 3),
@@ -25,7 +23,7 @@ bm25 AS (SELECT query_id, id, round(sum(ln((n - df + 0.5::DOUBLE) / (df + 0.5::D
 
 
 def asked(spark, sf):
-    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(T.tokens(F.col("text")), 1, QUERY_WORDS), " ").alias("query"))
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 def bm25_of(spark, sf):
@@ -43,26 +41,47 @@ def term_idf(spark, sf):
     return lexical.term_statistics(table(spark, sf, "documents"), text_col="text").withColumn("idf", F.round("idf", 6))
 
 
-@query("bm25_mentions", f"""WITH {QUERIES_SQL}, {BM25_SQL} SELECT query_id, id, round(least(0.8, greatest(0.5, 0.5 + (score - 4) / 4 * 0.3)), 6) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM bm25 WHERE score >= 4) WHERE rank <= 10""")
+_FIELDS = "doc_id, title || ' ' || array_to_string(tags, ' ') || ' ' || body AS text"
+_MENTIONS_SQL = BM25_SQL.replace("FROM documents", f"FROM (SELECT {_FIELDS} FROM pages_ WHERE kind = 'wiki')")
+
+
+@query("bm25_mentions", f"""WITH {PAGES_SQL}, {QUERIES_SQL}, {_MENTIONS_SQL} SELECT query_id, id, round(least(0.8, greatest(0.5, 0.5 + (score - 200) / 200 * 0.3)), 6) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM bm25 WHERE score >= 200) WHERE rank <= 10""")
 def bm25_mentions(spark, sf):
-    found = lexical.top(bm25_of(spark, sf).where("score >= 4"), 10)
-    return found.select("query_id", "id", F.round(F.least(F.lit(0.8), F.greatest(F.lit(0.5), 0.5 + (F.col("score") - 4) / 4 * 0.3)), 6).alias("confidence"))
+    """Pages, by title, tags and body, that a passage mentions: from a score of 200 on, ten at most."""
+    pages = pages_of(spark, sf).where("kind = 'wiki'").select("doc_id", F.concat_ws(" ", "title", F.array_join("tags", " "), "body").alias("body"))
+    found = lexical.top(lexical.bm25(pages, asked(spark, sf)).where("score >= 200"), 10)
+    return found.select("query_id", "id", F.round(F.least(F.lit(0.8), F.greatest(F.lit(0.5), 0.5 + (F.col("score") - 200) / 200 * 0.3)), 6).alias("confidence"))
+
+
+_HOLD = f"""hold AS (SELECT query_id, doc_id FROM (SELECT query_id, list_distinct({tokens_sql('query')}) AS a FROM asked) q JOIN (SELECT doc_id, {tokens_sql('text')} AS w FROM documents) d ON list_has_all(d.w, q.a) WHERE len(q.a) > 0)"""
 
 
-@query("fts_and", f"""WITH {QUERIES_SQL}, d AS (SELECT doc_id, {tokens_sql('text')} AS w FROM documents), q AS (SELECT query_id, list_distinct(({tokens_sql('query')})[1:2]) AS a FROM asked)
-SELECT query_id, doc_id FROM q JOIN d ON list_has_all(d.w, q.a)""")
+def holding(spark, sf):
+    """Documents that hold every word of a passage."""
+    return lexical.all_terms(table(spark, sf, "documents"), asked(spark, sf).select("query_id", T.tokens(F.col("query")).alias("terms")), text_col="text")
+
+
+@query("fts_and", f"WITH {QUERIES_SQL}, {_HOLD} SELECT query_id, doc_id FROM hold")
 def fts_and(spark, sf):
-    terms = asked(spark, sf).select("query_id", F.array_distinct(F.slice(T.tokens(F.col("query")), 1, 2)).alias("a"))
-    wanted = terms.select("query_id", F.size("a").alias("n"), F.explode("a").alias("term"))
-    words = table(spark, sf, "documents").select("doc_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
-    return words.join(wanted, "term").groupBy("query_id", "doc_id", "n").agg(F.count("*").alias("c")).where("c = n").select("query_id", "doc_id")
+    return holding(spark, sf).withColumnRenamed("id", "doc_id")
+
+
+@query("fts_topk", f"""WITH {QUERIES_SQL}, {BM25_SQL}, {_HOLD}, r AS (SELECT h.query_id, h.doc_id, score, CAST(row_number() OVER (PARTITION BY h.query_id ORDER BY score DESC, h.doc_id) AS INTEGER) AS rank FROM hold h JOIN bm25 b ON h.query_id = b.query_id AND h.doc_id = b.id)
+SELECT query_id, doc_id, score, rank, source, lang FROM r JOIN documents USING (doc_id) WHERE rank <= 5""")
+def fts_topk(spark, sf):
+    """Full-text search: documents with all words, best first; the few that stay are joined with their rows after the limit."""
+    scored = holding(spark, sf).join(bm25_of(spark, sf), ["query_id", "id"])
+    best = lexical.top(scored, 5).withColumnRenamed("id", "doc_id")
+    return best.join(table(spark, sf, "documents").select("doc_id", "source", "lang"), "doc_id").select("query_id", "doc_id", "score", "rank", "source", "lang")
 
 
-@query("exact_boost", f"""WITH q AS (SELECT {tokens_sql("'lavender steel en src1'")} AS q)
-SELECT p_partkey, CAST(least(8, 3 + CASE WHEN nm THEN 2 ELSE 0 END + CASE WHEN ti THEN 2 ELSE 0 END + CASE WHEN tg THEN 1 ELSE 0 END) AS INTEGER) AS score FROM (
-SELECT p_partkey, len(list_filter(q, lambda t: contains(lower(p_name), t))) > 0 AS nm, len(list_filter(q, lambda t: contains(lower(p_type), t))) > 0 AS ti, list_has_any(q, [lower(p_brand)]) AS tg FROM part, q) WHERE nm OR ti OR tg""")
+@query("exact_boost", f"""WITH q AS (SELECT p_partkey AS query_id, list_distinct({tokens_sql("p_name || ' ' || p_brand")} || [lower(p_brand)]) AS q FROM part WHERE p_partkey % 20 = 0)
+SELECT query_id, p_partkey AS id, CAST(least(8, 3 + CASE WHEN nm THEN 2 ELSE 0 END + CASE WHEN ti THEN 2 ELSE 0 END + CASE WHEN tg THEN 1 ELSE 0 END) AS INTEGER) AS score FROM (
+SELECT query_id, p_partkey, len(list_filter(q, lambda t: contains(lower(p_name), t))) > 0 AS nm, len(list_filter(q, lambda t: contains(lower(p_type), t))) > 0 AS ti, list_has_any(q, [lower(p_brand)]) AS tg FROM part, q) WHERE nm OR ti OR tg""")
 def exact_boost(spark, sf):
-    return lexical.exact_boost(table(spark, sf, "part").withColumn("tags", F.array("p_brand")), "lavender steel en src1", "p_name", "p_type", "tags").select("p_partkey", "score")
+    part = table(spark, sf, "part").withColumn("tags", F.array("p_brand"))
+    queries = part.where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("query_id"), F.concat(T.tokens(F.concat_ws(" ", "p_name", "p_brand")), F.array(F.lower("p_brand"))).alias("terms"))
+    return lexical.exact_boost(part, queries, "p_partkey", "p_name", "p_type", "tags")
 
 
 _DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE)))"
@@ -74,24 +93,25 @@ def vectors(spark, sf):
 
 
 @query("cosine_topk", f"""SELECT query_id, id, score, rank FROM (SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM (
-SELECT q.vec_id AS query_id, d.vec_id AS id, round({_COS}, 6) AS score FROM embeddings d JOIN embeddings q ON q.vec_id <> d.vec_id AND q.vec_id IN (0, 7)) WHERE score >= 0.25) WHERE rank <= 50""")
+SELECT q.vec_id AS query_id, d.vec_id AS id, round({_COS}, 6) AS score FROM embeddings d JOIN embeddings q ON q.vec_id <> d.vec_id AND q.vec_id % 20 = 0) WHERE score >= 0.25) WHERE rank <= 50""")
 def cosine_topk(spark, sf):
     v = vectors(spark, sf)
-    return vector.nearest(v, v.where("id IN (0, 7)").select(F.col("id").alias("query_id"), F.col("v").alias("q")))
+    return vector.nearest(v, v.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q")))
 
 
 @query("find_similar", f"""SELECT query_id, id, score, rank FROM (SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM (
-SELECT q.vec_id AS query_id, d.vec_id AS id, round({_COS}, 6) AS score FROM embeddings d JOIN embeddings q ON q.vec_id <> d.vec_id AND q.vec_id = 3 WHERE d.label <> 9) WHERE score >= 0.3) WHERE rank <= 10""")
+SELECT q.vec_id AS query_id, d.vec_id AS id, round({_COS}, 6) AS score FROM embeddings d JOIN embeddings q ON q.vec_id <> d.vec_id AND q.vec_id % 20 = 0 WHERE d.label <> 9) WHERE score >= 0.3) WHERE rank <= 10""")
 def find_similar(spark, sf):
     v = vectors(spark, sf)
-    return vector.nearest(v.where("label <> 9"), v.where("id = 3").select(F.col("id").alias("query_id"), F.col("v").alias("q")), 10, 0.3, same_dim=True)
+    return vector.nearest(v.where("label <> 9"), v.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q")), 10, 0.3, same_dim=True)
 
 
-@query("l2_knn", """SELECT id, distance FROM (SELECT d.vec_id AS id, round(sqrt(list_sum(list_transform(list_zip(d.embedding, q.embedding), lambda p: (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)) * (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE))))), 6) AS distance
-FROM embeddings d, (SELECT embedding FROM embeddings WHERE vec_id = 1) q) ORDER BY distance, id LIMIT 10""")
+@query("l2_knn", """SELECT query_id, id, distance, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS INTEGER) AS rank FROM (
+SELECT q.vec_id AS query_id, d.vec_id AS id, round(sqrt(list_sum(list_transform(list_zip(d.embedding, q.embedding), lambda p: (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)) * (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE))))), 6) AS distance
+FROM embeddings d, embeddings q WHERE q.vec_id % 20 = 0)) WHERE rank <= 10""")
 def l2_knn(spark, sf):
     v = vectors(spark, sf)
-    return vector.nearest_l2(v, v.where("id = 1").select(F.col("v").alias("q")))
+    return vector.nearest_l2(v, v.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q")))
 
 
 @query("embedding_guard", "SELECT vec_id, CASE WHEN embedding IS NULL OR len(embedding) <> 64 THEN 'dimension' WHEN len(list_filter(embedding, lambda x: x <> 0)) = 0 THEN 'zero' WHEN embedding[1] = 1 AND len(list_filter(embedding[2:], lambda x: x <> 0)) = 0 THEN 'stub' END AS reason FROM embeddings")
@@ -143,23 +163,25 @@ _SCORING = f"list_distinct({_LISTED})"
 
 
 @query("auto_link_title", f"""WITH r AS (SELECT item_id AS raw_id, {_SCORING.format(c='text')} AS rt, ' ' || array_to_string({_LISTED.format(c='text')}, ' ') || ' ' AS rp FROM benchmark),
-p AS (SELECT doc_id AS page_id, {_SCORING.format(c='title')} AS tt, array_to_string({_LISTED.format(c='title')}, ' ') AS tp, {_SCORING.format(c="title || chr(10) || substr(body, 1, 400)")} AS ct FROM ({f'WITH {PAGES_SQL} SELECT * FROM pages_'})),
-j AS (SELECT * FROM r JOIN p ON list_has_any(r.rt, p.tt)), k AS (SELECT *, list_filter(ct, lambda x: NOT list_contains(tt, x)) AS rest FROM j)
-SELECT raw_id, page_id, round(least(1.0, 0.42::DOUBLE * len(list_intersect(tt, rt)) / len(tt) + 0.43::DOUBLE * CASE WHEN len(rest) = 0 THEN 0 ELSE CAST(len(list_intersect(rest, rt)) AS DOUBLE) / len(rest) END
- + 0.15::DOUBLE * len(list_intersect(ct, rt)) / len(list_distinct(list_concat(ct, rt))) + CASE WHEN contains(rp, ' ' || tp || ' ') THEN 0.1::DOUBLE ELSE 0 END), 3) AS score FROM k""")
+p AS (SELECT doc_id AS page_id, {_SCORING.format(c='title')} AS tt, array_to_string({_LISTED.format(c='title')}, ' ') AS tp, {_SCORING.format(c="title || chr(10) || body")} AS ct FROM ({f'WITH {PAGES_SQL} SELECT * FROM pages_'})),
+j AS (SELECT * FROM r JOIN p ON list_has_any(r.rt, p.tt)), k AS (SELECT *, list_filter(ct, lambda x: NOT list_contains(tt, x)) AS rest FROM j),
+s AS (SELECT raw_id, page_id, round(least(1.0, 0.42::DOUBLE * len(list_intersect(tt, rt)) / len(tt) + 0.43::DOUBLE * CASE WHEN len(rest) = 0 THEN 0 ELSE CAST(len(list_intersect(rest, rt)) AS DOUBLE) / len(rest) END
+ + 0.15::DOUBLE * len(list_intersect(ct, rt)) / len(list_distinct(list_concat(ct, rt))) + CASE WHEN contains(rp, ' ' || tp || ' ') THEN 0.1::DOUBLE ELSE 0 END), 3) AS score FROM k)
+SELECT raw_id, page_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY raw_id ORDER BY score DESC, page_id) AS rank FROM s) WHERE rank <= 3""")
 def auto_link_title(spark, sf):
     raw = table(spark, sf, "benchmark").select(F.col("item_id").alias("raw_id"), F.col("text").alias("raw"))
-    pages = pages_of(spark, sf).select(F.col("doc_id").alias("page_id"), "title", F.substring("body", 1, 400).alias("summary"))
+    pages = pages_of(spark, sf).select(F.col("doc_id").alias("page_id"), "title", F.col("body").alias("summary"))
     return resolve.title_score(raw, pages)
 
 
-@query("title_mentions", f"""WITH {PAGES_SQL}, t AS (SELECT min(doc_id) AS title_id, array_to_string({tokens_sql('title')}, ' ') AS phrase FROM pages_ WHERE doc_id % 10 = 0 GROUP BY 2 HAVING phrase <> ''),
-d AS (SELECT item_id AS id, {tokens_sql('text')} AS w FROM benchmark), g AS (SELECT id, array_to_string(w[i:i + n - 1], ' ') AS phrase, i FROM (SELECT id, w, unnest(range(1, len(w) + 1)) AS i FROM d), range(1, 4) r(n) WHERE i + n - 1 <= len(w))
+@query("title_mentions", f"""WITH {PAGES_SQL}, t AS (SELECT min(doc_id) AS title_id, array_to_string({tokens_sql('title')}, ' ') AS phrase FROM pages_ GROUP BY 2 HAVING phrase <> ''),
+d AS (SELECT doc_id AS id, {tokens_sql('text')} AS w FROM documents), n AS (SELECT DISTINCT len(string_split(phrase, ' ')) AS n FROM t),
+g AS (SELECT id, array_to_string(w[i:i + n - 1], ' ') AS phrase, i FROM (SELECT id, w, unnest(range(1, len(w) + 1)) AS i FROM d), n WHERE i + n - 1 <= len(w))
 SELECT id, title_id, CAST(min(i) AS INTEGER) AS position FROM g JOIN t USING (phrase) GROUP BY 1, 2""")
 def title_mentions(spark, sf):
-    phrase = F.array_join(T.tokens(F.col("title")), " ")
-    titles = pages_of(spark, sf).where("doc_id % 10 = 0").groupBy(phrase.alias("title")).agg(F.min("doc_id").alias("title_id"))
-    return resolve.title_mentions(table(spark, sf, "benchmark"), titles, 3, "item_id", "text")
+    """All titles in all texts."""
+    titles = pages_of(spark, sf).groupBy(F.array_join(T.tokens(F.col("title")), " ").alias("title")).agg(F.min("doc_id").alias("title_id"))
+    return resolve.title_mentions(table(spark, sf, "documents"), titles, id_col="doc_id", text_col="text")
 
 
 @query("combine_mentions", """WITH a AS (SELECT doc_id AS id, doc_id % 7 AS target, (doc_id % 10) / 10.0 AS confidence FROM labels WHERE quality = 1), b AS (SELECT doc_id AS id, doc_id % 7 AS target, (doc_id % 13) / 13.0 AS confidence FROM labels WHERE toxic = 0)
@@ -186,87 +208,125 @@ def entity_dedup(spark, sf):
 @query("jaccard_pairs", f"""WITH t AS (SELECT item_id, list_distinct({tokens_sql('text')}) AS w FROM benchmark)
 SELECT a.item_id AS left_id, b.item_id AS right_id, round(len(list_intersect(a.w, b.w)) / CAST(len(list_distinct(list_concat(a.w, b.w))) AS DOUBLE), 6) AS jaccard FROM t a JOIN t b ON a.item_id < b.item_id WHERE len(list_intersect(a.w, b.w)) / CAST(len(list_distinct(list_concat(a.w, b.w))) AS DOUBLE) >= 0.1""")
 def jaccard_pairs(spark, sf):
-    w = table(spark, sf, "benchmark").select("item_id", F.array_distinct(T.tokens(F.col("text"))).alias("w"))
-    t = w.select("item_id", F.size("w").alias("n"), F.explode("w").alias("term"))
-    a, b = t.alias("a"), t.alias("b")
-    common = a.join(b, (F.col("a.term") == F.col("b.term")) & (F.col("a.item_id") < F.col("b.item_id"))).groupBy(F.col("a.item_id").alias("left_id"), F.col("b.item_id").alias("right_id"), F.col("a.n").alias("m"), F.col("b.n").alias("n")).agg(F.count("*").alias("c"))
-    j = F.col("c") / (F.col("m") + F.col("n") - F.col("c"))
-    return common.where(j >= 0.1).select("left_id", "right_id", F.round(j, 6).alias("jaccard"))
+    w = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.array_distinct(T.tokens(F.col("text"))).alias("items"))
+    return resolve.similar_sets(w, 0.1).withColumn("jaccard", F.round("jaccard", 6))
 
 
-@query("longest_prefix", """WITH u AS (SELECT page_id AS id, regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') AS path FROM pages), x AS (SELECT DISTINCT regexp_extract(path, '^[^/]*') AS prefix FROM u UNION SELECT DISTINCT regexp_extract(path, '^[^/]*/[^/]*') FROM u WHERE id % 2 = 0)
+@query("longest_prefix", """WITH u AS (SELECT page_id AS id, regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') AS path FROM pages), x AS (SELECT DISTINCT regexp_extract(path, '^[^/]*') AS prefix FROM u UNION SELECT DISTINCT regexp_extract(path, '^[^/]*/[^/]*') FROM u)
 SELECT u.id, max_by(x.prefix, length(x.prefix)) AS prefix_id FROM u LEFT JOIN x ON u.path = x.prefix OR starts_with(u.path, x.prefix || '/') GROUP BY u.id""")
 def longest_prefix(spark, sf):
     u = table(spark, sf, "pages").select(F.col("page_id").alias("id"), F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", "").alias("path"))
-    x = u.select(F.regexp_extract("path", "^[^/]*", 0).alias("prefix")).union(u.where("id % 2 = 0").select(F.regexp_extract("path", "^[^/]*/[^/]*", 0))).distinct()
+    x = u.select(F.regexp_extract("path", "^[^/]*", 0).alias("prefix")).union(u.select(F.regexp_extract("path", "^[^/]*/[^/]*", 0))).distinct()
     return resolve.longest_prefix(u, x.select("prefix", F.col("prefix").alias("prefix_id")))
 
 
-STREAMS_SQL = f"""meta AS ({f'WITH {PAGES_SQL} SELECT doc_id AS id, round(CAST(least(1.0, CAST({_CASES("status", params.STATUS_FACTOR)} AS DOUBLE) * coalesce(confidence, 0.7::DOUBLE)) AS DOUBLE), 6) AS score FROM pages_'}),
-exact AS (SELECT query_id, d.doc_id AS id, CAST(count(*) AS DOUBLE) AS score FROM (SELECT DISTINCT query_id, term FROM terms) t JOIN (SELECT doc_id, unnest(list_distinct(({tokens_sql('text')})[1:12])) AS term FROM documents) d USING (term) GROUP BY 1, 2),
-lists AS (SELECT query_id, id, 'bm25' AS source, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM bm25 QUALIFY rank <= 50
- UNION ALL SELECT query_id, id, 'exact', row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) FROM exact
- UNION ALL SELECT query_id, id, 'metadata', row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) FROM asked, meta)"""
+def links_of(spark, sf):
+    """Typed links between documents: each depends on that of a third of its number, and is linked to that whose number is its length."""
+    ids = table(spark, sf, "documents").select("doc_id")
+    docs = table(spark, sf, "documents").select("doc_id", F.expr("doc_id DIV 3").alias("up"), "n_chars")
+    made = docs.select(F.col("doc_id").alias("from_path"), F.col("up").alias("to_path"), F.lit("depends_on").alias("relation_type"), F.lit("relation").alias("kind"))
+    made = made.union(docs.select("doc_id", "n_chars", F.lit("linked"), F.lit("wikilink"))).where("from_path <> to_path")
+    return made.join(ids.withColumnRenamed("doc_id", "to_path"), "to_path", "left_semi").select("from_path", "to_path", "relation_type", "kind")
 
 
-def streams(spark, sf):
-    q, docs = asked(spark, sf), table(spark, sf, "documents")
-    terms = q.select("query_id", F.explode(F.array_distinct(T.lexical_terms(F.col("query")))).alias("term"))
-    head = docs.select(F.col("doc_id").alias("id"), F.explode(F.array_distinct(F.slice(T.tokens(F.col("text")), 1, 12))).alias("term"))
-    exact = head.join(terms, "term").groupBy("query_id", "id").agg(F.count("*").cast("double").alias("score"))
-    factor = F.when(F.col("status") == "archived", 0.0).when(F.col("status") == "superseded", 0.1).otherwise(1.0)
-    prior = pages_of(spark, sf).select(F.col("doc_id").alias("id"), F.round(F.least(F.lit(1.0), factor * F.coalesce("confidence", F.lit(0.7))), 6).alias("score"))
-    return {"bm25": bm25_of(spark, sf), "exact": written(exact, "exact"), "metadata": prior}, q
+_LINKS_SQL = """links AS (SELECT * FROM (SELECT doc_id AS from_path, doc_id // 3 AS to_path, 'depends_on' AS relation_type, 'relation' AS kind FROM documents UNION ALL SELECT doc_id, n_chars, 'linked', 'wikilink' FROM documents)
+ WHERE from_path <> to_path AND to_path IN (SELECT doc_id FROM documents)), both_ AS (SELECT from_path AS near, to_path AS far, relation_type, kind FROM links UNION ALL SELECT to_path, from_path, relation_type, kind FROM links)"""
+_EDGE_WEIGHT = "CASE relation_type WHEN 'depends_on' THEN 1.0::DOUBLE ELSE 0.1 END"
 
 
-def _with_prior(found: dict, prior, q):
-    """The metadata stream ranks once for all queries, and only rows that another stream found need its rank."""
-    ranked = fuse.global_rank(prior).select("id", "rank")
-    asked_rows = None
-    for s in found.values():
-        rows = s.select("query_id", "id")
-        asked_rows = rows if asked_rows is None else asked_rows.unionByName(rows)
-    return asked_rows.distinct().join(ranked, "id").select("query_id", "id", F.lit("metadata").alias("source"), "rank")
+def _spread(n: int) -> str:
+    """One unrolled round of activation of each query, from f{n-1} and the nodes it has reached so far, r{n-1}."""
+    return f"""c{n} AS (SELECT query_id, f.path AS near, b.far, sum(f.activation * {_EDGE_WEIGHT} * 0.6::DOUBLE) AS c FROM f{n - 1} f JOIN both_ b ON b.near = f.path ANTI JOIN r{n - 1} r ON r.query_id = f.query_id AND r.path = b.far GROUP BY ALL),
+k{n} AS (SELECT *, row_number() OVER (PARTITION BY query_id, near ORDER BY c DESC, far DESC) AS p, max(c) OVER (PARTITION BY query_id, near) AS m FROM c{n}), s{n} AS (SELECT query_id, near, max(c) FILTER (WHERE p = 2) AS second FROM k{n} GROUP BY ALL),
+t{n} AS (SELECT query_id, far AS path, sum(c) - 0.15::DOUBLE * sum(CASE WHEN p = 1 THEN coalesce(second, 0) ELSE m END) AS activation FROM k{n} JOIN s{n} USING (query_id, near) GROUP BY ALL),
+f{n} AS MATERIALIZED (SELECT * FROM t{n} WHERE activation > 0.01), r{n} AS MATERIALIZED (SELECT * FROM r{n - 1} UNION ALL SELECT * FROM f{n})"""
 
 
-def fused(spark, sf, intent="open-ended"):
-    s, q = streams(spark, sf)
-    weight = dict(zip(("bm25", "vector", "exact", "graph", "graph-spread", "metadata"), params.INTENT_WEIGHTS[intent], strict=True))
-    prior = _with_prior({k: v for k, v in s.items() if k != "metadata"}, s["metadata"], q).withColumn("weight", F.lit(weight["metadata"]))
-    return fuse.rrf([fuse.ranked(s["bm25"], "bm25", weight["bm25"], cap=params.SIGNAL_CAP), fuse.ranked(s["exact"], "exact", weight["exact"]), prior.select("query_id", "id", "source", "rank", "weight")])
+_INTENTS_SQL = f"intents AS (SELECT query_id, {_INTENT} AS intent FROM (SELECT query_id, query AS q FROM asked))"
+_STATED = ", ".join(f"('{i}', '{s}', {w}::DOUBLE)" for i, ws in params.INTENT_WEIGHTS.items() for s, w in zip(fuse.SIGNALS, ws, strict=True))
+STREAMS_SQL = f"""meta AS ({f'WITH {PAGES_SQL} SELECT doc_id AS id, round(CAST(least(1.0, CAST({_CASES("status", params.STATUS_FACTOR)} AS DOUBLE) * coalesce(confidence, 0.7::DOUBLE)) AS DOUBLE), 6) AS score FROM pages_'}),
+vec AS (SELECT b.item_id AS query_id, d.vec_id AS id, round({_COS}, 6) AS score FROM benchmark b JOIN embeddings q ON q.vec_id = b.item_id JOIN embeddings d ON d.vec_id <> q.vec_id JOIN documents x ON x.doc_id = d.vec_id WHERE score >= 0.25),
+best_bm25 AS MATERIALIZED (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM bm25 QUALIFY rank <= 50),
+best_vec AS MATERIALIZED (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM vec QUALIFY rank <= 50),
+words AS (SELECT query_id, list_distinct(list_filter({tokens_sql('query')}, lambda x: x NOT IN ({_STOP}))) AS q FROM asked),
+exact AS (SELECT query_id, id, least(8, 3 + CASE WHEN nm THEN 2 ELSE 0 END + CASE WHEN ti THEN 2 ELSE 0 END + CASE WHEN tg THEN 1 ELSE 0 END) AS score FROM (SELECT query_id, doc_id AS id, len(list_filter(q, lambda t: contains('doc-' || doc_id, t))) > 0 AS nm,
+ len(list_filter(q, lambda t: contains(lower(title), t))) > 0 AS ti, list_has_any(q, [lower(lang), lower(source)]) AS tg FROM words, ({f'WITH {PAGES_SQL} SELECT doc_id, title, lang, source FROM pages_'})) WHERE nm OR ti OR tg),
+seeds AS (SELECT query_id, id AS path, min(place) AS place FROM (SELECT query_id, id, rank AS place FROM best_bm25 WHERE rank <= 3 UNION ALL SELECT query_id, id, rank + 3 FROM best_vec WHERE rank <= 3) GROUP BY ALL), {_LINKS_SQL},
+hop AS (SELECT query_id, far AS id, -min(place) AS score FROM seeds JOIN both_ ON near = path ANTI JOIN seeds s ON s.query_id = seeds.query_id AND s.path = far GROUP BY ALL),
+f0 AS (SELECT query_id, path, 1.0::DOUBLE AS activation FROM seeds), r0 AS (SELECT * FROM f0), {', '.join(map(_spread, range(1, 6)))}, {_INTENTS_SQL},
+lists AS MATERIALIZED (SELECT query_id, id, 'bm25' AS source, rank FROM best_bm25 UNION ALL SELECT query_id, id, 'vector', rank FROM best_vec
+ UNION ALL SELECT query_id, id, 'exact', row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) FROM exact
+ UNION ALL SELECT query_id, id, 'graph', row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) FROM hop
+ UNION ALL SELECT query_id, path, 'graph-spread', row_number() OVER (PARTITION BY query_id ORDER BY round(activation, 6) DESC, path) FROM r5),
+every AS (SELECT * FROM lists UNION ALL SELECT query_id, id, 'metadata', rank FROM (SELECT DISTINCT query_id, id FROM lists) JOIN (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM meta) USING (id)),
+fused AS (SELECT query_id, id, round(sum(coalesce(weight, 1) / (60 + rank)), 6) AS score, arg_min(source, (rank, source)) AS dominant FROM every JOIN intents USING (query_id) LEFT JOIN (VALUES {_STATED}) w(intent, source, weight) USING (intent, source) GROUP BY ALL)"""
+
+
+def streams(spark, sf, semantic=True):
+    """The streams of all passages' searches, the prior of all documents, and the queries with their intents. semantic: with vectors; without, search is lexical."""
+    q = asked(spark, sf)
+    pages = pages_of(spark, sf)
+    bm25 = written(bm25_of(spark, sf), "bm25")
+    docs = vectors(spark, sf).join(table(spark, sf, "documents").select(F.col("doc_id").alias("id")), "id", "left_semi")
+    own = q.select("query_id").join(vectors(spark, sf), F.col("query_id") == F.col("id")).select("query_id", F.col("v").alias("q"))
+    near = written(vector.nearest(docs, own).drop("rank"), "vector") if semantic else bm25.limit(0)
+    exact = lexical.exact_boost(pages.withColumn("name", F.concat(F.lit("doc-"), "doc_id")), q.select("query_id", T.lexical_terms(F.col("query")).alias("terms")), "doc_id", "name", "title", "tags")
+    start = written(fuse.seeds(bm25, near).withColumnRenamed("id", "path"), "seeds")
+    links = links_of(spark, sf)
+    hop = graph.neighbours(links, start).withColumnRenamed("path", "id")
+    spread = graph.activate(links, start, by=("query_id",)).select("query_id", F.col("path").alias("id"), F.round("activation", 6).alias("score"))
+    factor = F.when(F.col("status") == "archived", 0.0).when(F.col("status") == "superseded", 0.1).otherwise(1.0)
+    prior = pages.select(F.col("doc_id").alias("id"), F.round(F.least(F.lit(1.0), factor * F.coalesce("confidence", F.lit(0.7))), 6).alias("score"))
+    found = {"bm25": bm25, "vector": near, "exact": exact, "graph": hop, "graph-spread": spread}
+    return {k: v for k, v in found.items() if semantic or k != "vector"}, prior, q.withColumn("intent", predicates.intent(F.col("query"))[0])
 
 
-@query("rrf_fuse", f"""WITH {QUERIES_SQL}, {BM25_SQL}, {STREAMS_SQL} SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score, arg_min(source, (rank, source)) AS dominant FROM lists GROUP BY 1, 2 HAVING bool_or(source <> 'metadata')""")
+@query("rrf_fuse", f"""WITH {QUERIES_SQL}, {BM25_SQL}, {STREAMS_SQL} SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score, arg_min(source, (rank, source)) AS dominant FROM lists GROUP BY ALL""")
 def rrf_fuse(spark, sf):
-    return fused(spark, sf).select("query_id", "id", "score", "dominant")
+    """All that any stream finds, unweighted."""
+    found, _, _ = streams(spark, sf)
+    lists = [fuse.ranked(s, name, cap=params.SIGNAL_CAP if name in ("bm25", "vector") else None) for name, s in found.items()]
+    return fuse.rrf(lists).select("query_id", "id", "score", "dominant")
 
 
-@query("hybrid_search", f"""WITH {QUERIES_SQL}, {BM25_SQL}, {STREAMS_SQL}, f AS (SELECT query_id, id, round(sum(CASE source WHEN 'bm25' THEN 1.4::DOUBLE WHEN 'exact' THEN 1.3::DOUBLE ELSE 0.8::DOUBLE END / (60 + rank)), 6) AS score, arg_min(source, (rank, source)) AS dominant FROM lists GROUP BY 1, 2 HAVING bool_or(source <> 'metadata'))
-SELECT query_id, id, score, dominant, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM f) WHERE rank <= 10""")
+@query("hybrid_search", f"""WITH {QUERIES_SQL}, {BM25_SQL}, {STREAMS_SQL}, {PAGES_SQL}, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM fused)
+SELECT query_id, id, r.score, dominant, rank, title, kind FROM r JOIN pages_ ON doc_id = id WHERE rank <= 10 AND r.score >= 0.02""")
 def hybrid_search(spark, sf):
-    return lexical.top(fused(spark, sf, "code-context"), 10).select("query_id", "id", "score", "dominant", "rank")
+    """All six signals, weighted by the query's intent; the ten best with at least 0.02, joined with their pages."""
+    best = fuse.hybrid(*streams(spark, sf), 10, 0.02)
+    return best.join(pages_of(spark, sf).select(F.col("doc_id").alias("id"), "title", "kind"), "id").select("query_id", "id", "score", "dominant", "rank", "title", "kind")
 
 
-_GOLD = f"""gold AS (SELECT query_id, 'type' || query_id % 3 AS type, id FROM bm25 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY id) <= 3),
+_GOLD = """gold AS (SELECT b.item_id AS query_id, 'type' || b.item_id % 3 AS type, d.doc_id AS id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
 found AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM bm25)"""
 
 
-def gold_and_found(spark, sf):
-    b = bm25_of(spark, sf)
-    gold = b.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("id"))).where("n <= 3").select("query_id", F.concat(F.lit("type"), F.col("query_id") % 3).alias("type"), "id")
-    return gold, lexical.top(b, 10)
+def gold(spark, sf):
+    """The documents in which a passage stands word for word: of those with all its words."""
+    texts = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    held = holding(spark, sf).join(texts, "id").join(asked(spark, sf), "query_id").where(F.contains("text", "query"))
+    return held.select("query_id", F.concat(F.lit("type"), F.col("query_id") % 3).alias("type"), "id")
 
 
 @query("eval_recall", f"""WITH {QUERIES_SQL}, {BM25_SQL}, {_GOLD}, e AS (SELECT type, g.query_id, count(f.rank) / CAST(count(*) AS DOUBLE) AS r, CASE WHEN count(f.rank) > 0 THEN 1.0 ELSE 0.0 END AS h FROM gold g LEFT JOIN (SELECT * FROM found WHERE rank <= 5) f ON g.query_id = f.query_id AND g.id = f.id GROUP BY 1, 2)
 SELECT type, count(*) AS queries, round(avg(r), 6) AS recall, round(avg(h), 6) AS hit FROM e GROUP BY type""")
 def eval_recall(spark, sf):
-    return evaluation.recall(*gold_and_found(spark, sf), 5)
+    return evaluation.recall(gold(spark, sf), lexical.top(bm25_of(spark, sf), 5), 5)
 
 
 @query("eval_mrr", f"""WITH {QUERIES_SQL}, {BM25_SQL}, {_GOLD}, e AS (SELECT type, g.query_id, min(f.rank) AS r FROM gold g LEFT JOIN (SELECT * FROM found WHERE rank <= 10) f ON g.query_id = f.query_id AND g.id = f.id GROUP BY 1, 2)
 SELECT type, count(*) AS queries, round(avg(coalesce(1.0::DOUBLE / r, 0)), 6) AS mrr FROM e GROUP BY type""")
 def eval_mrr(spark, sf):
-    return evaluation.mrr(*gold_and_found(spark, sf), 10)
+    return evaluation.mrr(gold(spark, sf), lexical.top(bm25_of(spark, sf), 10), 10)
+
+
+@query("eval_lift", f"""WITH {QUERIES_SQL}, {BM25_SQL}, {STREAMS_SQL}, {_GOLD.split('),')[0]}), h AS (SELECT query_id, id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM fused) WHERE rank <= 5),
+g AS (SELECT query_id, type, count(*) AS n, count(b.id) AS base, count(h.id) AS found FROM gold LEFT JOIN (SELECT query_id, id FROM best_bm25 WHERE rank <= 5) b USING (query_id, id) LEFT JOIN h USING (query_id, id) GROUP BY ALL)
+SELECT type, count(*) AS queries, round(avg(CAST(base AS DOUBLE) / n), 6) AS base, round(avg(CAST(found AS DOUBLE) / n), 6) AS recall, round(avg(CAST(found AS DOUBLE) / n) - avg(CAST(base AS DOUBLE) / n), 6) AS lift FROM g GROUP BY type""")
+def eval_lift(spark, sf):
+    """Recall at 5 of the fused search over that of BM25 alone."""
+    found, prior, q = streams(spark, sf)
+    return evaluation.lift(gold(spark, sf), lexical.top(found["bm25"], 5), fuse.hybrid(found, prior, q, 5))
 
 
 @query("latency_p95", "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY event_type")
