@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .order import running
 from . import distill
 
 TURN = r"(?m)^## \[\d{2}:\d{2}:\d{2}\] "
@@ -47,9 +48,8 @@ def fact_of(json: Column) -> Column:
 def condensed(lines: DataFrame, key: str, most_bytes: int, most_chars: int = 80) -> DataFrame:
     """key, entries, kept, bytes: index lines (key, line_no, line) shortened, and how many fit a budget of bytes in order."""
     short = F.when(F.length("line") > most_chars, F.concat(F.rtrim(F.substring("line", 1, most_chars)), F.lit("..."))).otherwise(F.col("line"))
-    rows = lines.select(key, "line_no", (F.octet_length(short) + 1).alias("b"))
-    run = F.sum("b").over(Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("run", run).groupBy(key).agg(F.count("*").alias("entries"), F.count_if(F.col("run") - 1 <= most_bytes).alias("kept"), F.coalesce(F.max(F.when(F.col("run") - 1 <= most_bytes, F.col("run") - 1)), F.lit(0)).alias("bytes"))
+    rows = lines.select(key, "line_no", (F.octet_length(short) + 1).cast("long").alias("b"))
+    return running(rows, [key], ["line_no"], run="b").groupBy(key).agg(F.count("*").alias("entries"), F.count_if(F.col("run") - 1 <= most_bytes).alias("kept"), F.coalesce(F.max(F.when(F.col("run") - 1 <= most_bytes, F.col("run") - 1)), F.lit(0)).alias("bytes"))
 
 
 def context_block(path: Column, kind: Column, lifecycle: Column, tags: Column, backlinks: Column, most: int = 10, chars: int = 500) -> Column:
@@ -69,12 +69,14 @@ def embedding_input(body: Column, most_tokens: int = 30_000) -> Column:
     return T.truncate_to_tokens(T.redact(body), most_tokens)
 
 
-def page_detail(pages: DataFrame, edges: DataFrame) -> DataFrame:
-    """path, outbound, inbound: sorted distinct targets and sources of each page (path)."""
-    out = edges.groupBy(F.col("from_path").alias("path")).agg(F.array_sort(F.collect_set("to_path")).alias("outbound"))
-    back = edges.groupBy(F.col("to_path").alias("path")).agg(F.array_sort(F.collect_set("from_path")).alias("inbound"))
-    none = F.array().cast("array<string>")
-    return pages.select("path").join(out, "path", "left").join(back, "path", "left").select("path", F.coalesce("outbound", none).alias("outbound"), F.coalesce("inbound", none).alias("inbound"))
+def page_detail(pages: DataFrame, edges: DataFrame, most: int = 20) -> DataFrame:
+    """path, direction (outbound, inbound), other, place, total of pages (path): the first ``most`` distinct targets and sources of each in order, and how many there are. Only the edges of the pages asked for are looked at."""
+    ends = edges.select(F.col("from_path").alias("path"), F.lit("outbound").alias("direction"), F.col("to_path").alias("other"))
+    ends = ends.unionByName(edges.select(F.col("to_path").alias("path"), F.lit("inbound").alias("direction"), F.col("from_path").alias("other")))
+    own = ends.join(pages.select("path").distinct(), "path", "left_semi").distinct()
+    total = own.groupBy("path", "direction").agg(F.count("*").alias("total"))
+    first = own.withColumn("place", F.row_number().over(Window.partitionBy("path", "direction").orderBy("other"))).where(F.col("place") <= most)
+    return first.join(total, ["path", "direction"]).select("path", "direction", "other", "place", "total")
 
 
 def topic_overlap(topics: Column, names: Column) -> Column:

@@ -8,7 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import graph
+from ..storage import written
+from . import graph, resolve
+from .order import rank
 
 # Signs of workflow noise in facts.
 PAGE_NOISE = [r"(?i)\bTarget:\s*(Codex|Claude|Antigravity)\b", r"\bSubagent\s+[A-Z]\b", r"\b(git|commit)\s+[0-9a-f]{7,40}\b", r"(?i)\bworkflow\s+boilerplate\b", r"(?i)\b(prompt|scratchpad|tool\s+call)\b"]
@@ -112,23 +114,26 @@ def reference_score(raw: Column, title: Column, slug: Column, path: Column) -> C
     return (count(title) + count(F.replace(slug, F.lit("-"), F.lit(" "))) + count(slug) + count(path)).cast("long")
 
 
-def batches(pending: DataFrame, most_docs: int = 64, most_tokens: int = 100_000, key: str = "kind", order: str = "id", share: int = 4096) -> DataFrame:
-    """key, order, batch: documents packed in order, each batch as full as both limits allow. Long lists are packed in shares of their order, one share a task."""
-    count = pending.groupBy(key).agg(F.ceil(F.count("*") / share).cast("int").alias("__shares"))
-    dealt = pending.join(count, key).withColumn("__share", F.pmod(F.xxhash64(order), F.col("__shares")).cast("int"))
+def batches(pending: DataFrame, most_docs: int = 64, most_tokens: int = 100_000, key: str = "kind", by: str = "id", share: int = 4096) -> DataFrame:
+    """key, by, batch: documents (with tokens) packed in order, each batch as full as both limits allow.
+
+    Packing begins anew with every ``share`` documents of a key, by their place in order, whatever the size of the
+    table; so shares are packed side by side. batch: number of the share, and of the batch in it.
+    """
+    placed = rank(pending.select(key, by, "tokens"), [key], [by], "place").withColumn("__share", F.expr(f"(place - 1) DIV {share}"))
 
     def pack(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(order)
+        f = f.sort_values("place")
         out, n, docs, tokens = [], 0, 0, 0
         for t in f["tokens"]:
             if docs >= most_docs or docs and tokens + t > most_tokens:
                 n, docs, tokens = n + 1, 0, 0
             out.append(n)
             docs, tokens = docs + 1, tokens + t
-        return pd.DataFrame({key: f[key], order: f[order], "batch": [f"{s}-{b}" for s, b in zip(f["__share"], out, strict=True)]})
+        return pd.DataFrame({key: f[key], by: f[by], "batch": [f"{s}-{b}" for s, b in zip(f["__share"], out, strict=True)]})
 
     kinds = dict(pending.dtypes)
-    return dealt.groupBy(key, "__share").applyInPandas(pack, f"{key} {kinds[key]}, {order} {kinds[order]}, batch string")
+    return placed.groupBy(key, "__share").applyInPandas(pack, f"{key} {kinds[key]}, {by} {kinds[by]}, batch string")
 
 
 def thread_clusters(rows: DataFrame, least: int = 3, most: int = 30, days: int = 7, like: float = 0.5) -> DataFrame:
@@ -178,29 +183,32 @@ def command_signature(body: str) -> list[str]:
     return [c for c in out if c not in {"cd", "ls", "pwd", "echo", "cat", "clear", "exit"}]
 
 
-def procedure_clusters(rows: DataFrame, like: float = 0.4, shortest: int = 3, least: int = 3, sessions: int = 2) -> DataFrame:
-    """cluster, id of observations (id, session, commands): each joins the first cluster with a like member.
+def procedure_clusters(rows: DataFrame, like: float = 0.4, shortest: int = 3, least: int = 3, sessions: int = 2, successes: int = 1) -> DataFrame:
+    """cluster, id of observations (id, session, commands, ok): in order of id each joins the first cluster with a like member; clusters need enough observations, sessions (an observation without one is its own) and successes.
 
-    Only observations connected over likenesses can meet, so each connected component is solved by itself, in
-    order of id. Observations meet over their commands.
+    Observations with the same commands are one signature, with the smallest id of them, and stay together.
+    Signatures meet over their rarest commands; only those connected over likenesses can come together, so each
+    connected component of distinct signatures is solved by itself.
     """
-    long_enough = rows.where(F.size("commands") >= shortest).withColumn("c", F.array_distinct("commands"))
-    t = long_enough.select("id", F.size("c").alias("n"), F.explode("c").alias("command"))
-    a, b = t.alias("a"), t.alias("b")
-    shared = a.join(b, (F.col("a.command") == F.col("b.command")) & (F.col("a.id") < F.col("b.id"))).groupBy(F.col("a.id").alias("u"), F.col("b.id").alias("v"), F.col("a.n").alias("n"), F.col("b.n").alias("m")).agg(F.count("*").alias("s"))
-    parts = graph.components(shared.where(F.col("s") / (F.col("n") + F.col("m") - F.col("s")) >= like).select("u", "v"), "procedures")
+    rows = rows.where(F.size(F.array_distinct("commands")) >= shortest).withColumn("c", F.array_sort(F.array_distinct("commands")))
+    signs = written(rows.groupBy("c").agg(F.min("id").alias("id")), "procedure-signatures")
+    pairs = resolve.similar_sets(signs.select("id", F.col("c").alias("items")), like)
+    parts = graph.components(pairs.select(F.col("left_id").alias("u"), F.col("right_id").alias("v")), "procedures")
 
     def solve(f: pd.DataFrame) -> pd.DataFrame:
-        clusters: list[list] = []
-        for _, r in f.sort_values("id").iterrows():
-            own = set(r["c"])
-            home = next((x for x in clusters if any(len(own & set(m["c"])) / len(own | set(m["c"])) >= like for m in x)), None)
-            home.append(r) if home is not None else clusters.append([r])
-        kept = [x for x in clusters if len(x) >= least and len({m["session"] for m in x}) >= sessions]
-        return pd.DataFrame([(x[0]["id"], m["id"]) for x in kept for m in x], columns=["cluster", "id"])
+        clusters: list[list[tuple]] = []
+        for i, c in sorted(zip(f["id"], f["c"], strict=True), key=lambda x: x[0]):
+            own = set(c)
+            home = next((x for x in clusters if any(len(own & m) >= like * len(own | m) - 1e-12 for _, m in x)), None)
+            home.append((i, own)) if home is not None else clusters.append([(i, own)])
+        return pd.DataFrame([(x[0][0], i) for x in clusters for i, _ in x], columns=["cluster", "sign"])
 
     kind = dict(rows.dtypes)["id"]
-    return long_enough.join(parts.withColumnRenamed("node", "id"), "id").groupBy("root").applyInPandas(solve, f"cluster {kind}, id {kind}")
+    solved = signs.join(parts.withColumnRenamed("node", "id"), "id").groupBy("root").applyInPandas(solve, f"cluster {kind}, sign {kind}")
+    named = signs.join(solved, F.col("id") == F.col("sign"), "left").select("c", F.coalesce("cluster", "id").alias("cluster"))
+    members = rows.join(named, "c")
+    whole = members.groupBy("cluster").agg(F.count("*").alias("n"), F.count_distinct(F.coalesce(F.col("session").cast("string"), F.col("id").cast("string"))).alias("s"), F.count_if("ok").alias("k"))
+    return members.join(whole.where((F.col("n") >= least) & (F.col("s") >= sessions) & (F.col("k") >= successes)).select("cluster"), "cluster", "left_semi").select("cluster", "id")
 
 
 def density(edges: DataFrame, projects: DataFrame) -> DataFrame:

@@ -121,14 +121,15 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         before = state
 
 
-def communities(edges: DataFrame, parts: DataFrame, rounds: int = 20, least: int = 2) -> DataFrame:
+def communities(edges: DataFrame, rounds: int = 20, least: int = 2) -> DataFrame:
     """path, community: label propagation, nodes in order, each taking its neighbours' commonest label (ties: the smallest).
 
-    parts: path, part, the connected components; labels never leave one, so each is solved by itself. The
-    procedure is sequential inside a component and needs it whole in one task: meant for graphs whose components are small.
+    Labels never leave a connected component, so each is solved by itself. The procedure is sequential inside a
+    component and needs its distinct links in one task: meant for graphs whose components are small.
     """
     links = both_ways(edges.select("from_path", "to_path").where("from_path <> to_path")).distinct()
-    owned = links.join(parts, links["near"] == parts["path"]).select("part", "near", "far")
+    parts = components(links.select(F.col("near").alias("u"), F.col("far").alias("v")), "communities")
+    owned = links.join(parts, links["near"] == parts["node"]).select(F.col("root").alias("part"), "near", "far")
 
     def solve(f: pd.DataFrame) -> pd.DataFrame:
         near: dict[str, list[str]] = {}

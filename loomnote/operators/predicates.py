@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import params
+from .order import running
 
 
 def valid_as_of(pages: DataFrame, as_of: str, start: str = "valid_from", end: str = "valid_until") -> DataFrame:
@@ -134,16 +135,7 @@ def grep_context(docs: DataFrame, pattern: str, context: int = 2, id_col: str =
     return lines.withColumn("near", F.max("hit").over(near)).where("near").drop("near")
 
 
-def byte_budget(files: DataFrame, budget: int, order: str = "path", size: str = "size", group: str | None = None) -> DataFrame:
-    """The newest files (highest order) until the running size reaches the budget; the newest always stays.
-
-    Running sums are taken over ranges of the order, of which only totals are summed up in one place.
-    """
-    by = [group] if group else []
-    ranked = files.withColumn("__key", F.col(order))
-    total = ranked.groupBy(*by, F.substring("__key", 1, 8).alias("__slot")).agg(F.sum(size).alias("__in"))
-    above = Window.partitionBy(*by).orderBy(F.desc("__slot")).rowsBetween(Window.unboundedPreceding, -1)
-    before = total.withColumn("__before", F.coalesce(F.sum("__in").over(above), F.lit(0))).drop("__in").where(F.col("__before") < budget)
-    own = Window.partitionBy(*by, "__slot").orderBy(F.desc("__key")).rowsBetween(Window.unboundedPreceding, -1)
-    placed = ranked.withColumn("__slot", F.substring("__key", 1, 8)).join(before, [*by, "__slot"]).withColumn("__sum", F.col("__before") + F.coalesce(F.sum(size).over(own), F.lit(0)))
-    return placed.where(F.col("__sum") < budget).drop("__key", "__slot", "__before", "__sum")
+def byte_budget(files: DataFrame, budget: int, by_order: str = "path", size: str = "size", group: str | None = None) -> DataFrame:
+    """The newest files (highest order) until the running size reaches the budget; the newest always stays."""
+    summed = running(files, [group] if group else [], [F.desc(by_order)], __sum=F.col(size).cast("long"))
+    return summed.where(F.col("__sum") - F.col(size) < budget).drop("__sum")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import written
+
 
 def tombstones(state: DataFrame, seen: DataFrame, key: str, complete: bool) -> DataFrame:
     """State rows not seen in a complete walk; none after a walk that broke off."""
@@ -47,7 +49,7 @@ def new_mentions(edges: DataFrame, found: DataFrame) -> DataFrame:
 def keyset_page(rows: DataFrame, before, by: str, key: str, limit: int) -> DataFrame:
     """The next ``limit`` rows before a (value, key) cursor, newest first."""
     value, tie = before
-    return rows.where((F.col(by) < F.lit(value)) | ((F.col(by) == F.lit(value)) & (F.col(key) < F.lit(tie)))).orderBy(F.desc(by), F.desc(key)).limit(max(1, min(limit, 200)))
+    return rows.where((F.col(by) < F.lit(value)) | ((F.col(by) == F.lit(value)) & (F.col(key) < F.lit(tie)))).orderBy(F.desc(by), F.desc(key)).limit(limit)
 
 
 def timeline(events: DataFrame, start: str, end: str, width_hours: int, by: str = "ts") -> DataFrame:
@@ -77,8 +79,15 @@ def decay(pages: DataFrame, now: str, accessed: str = "updated", strength: float
 
 
 def collisions(links: DataFrame, orphans: int, most_share: float = 0.2, least_orphans: int = 5) -> DataFrame:
-    """Links (raw, target) without targets that take more than a share of all orphans; one pass of suppression."""
-    counts = links.groupBy("target").agg(F.count_distinct("raw").alias("n"))
-    if orphans < least_orphans:
-        return links
-    return links.join(counts.where(F.col("n") / orphans > most_share).select("target"), "target", "left_anti")
+    """Links (raw, target, score) after suppression of mass collisions: each raw row keeps its best target, but while a target holds more than a share of all orphans, it goes, and its rows turn to their next best.
+
+    Each pass is a table in the shared folder; a pass takes a target away, so there are no more of them than targets.
+    """
+    left = written(links.select("raw", "target", "score"), "collisions")
+    while True:
+        best = left.groupBy("raw").agg(F.max_by("target", F.struct("score", "target")).alias("target"))
+        chosen = written(best, "collisions-best")
+        many = chosen.groupBy("target").agg(F.count("*").alias("n")).where(F.col("n") > most_share * orphans)
+        if orphans < least_orphans or many.isEmpty():
+            return chosen
+        left = written(left.join(many.select("target"), "target", "left_anti"), "collisions")

@@ -37,11 +37,12 @@ def fact_validation(spark, sf):
     return fact.select("doc_id", "f.title", F.when(F.col("f").isNotNull(), F.size("f.facts")).alias("facts"), "f.importance")
 
 
-@query("condense_index", """WITH l AS (SELECT source, doc_id, CASE WHEN length(line) > 80 THEN rtrim(substr(line, 1, 80)) || '...' ELSE line END AS s FROM (SELECT source, doc_id, string_split(text, chr(10))[1] AS line FROM documents)),
-r AS (SELECT source, CAST(sum(strlen(s) + 1) OVER (PARTITION BY source ORDER BY doc_id) AS BIGINT) AS run FROM l) SELECT source, count(*) AS entries, count(*) FILTER (WHERE run - 1 <= 2000) AS kept, coalesce(max(CASE WHEN run - 1 <= 2000 THEN run - 1 END), 0) AS bytes FROM r GROUP BY source""")
+@query("condense_index", """WITH t AS (SELECT source, doc_id, string_split(text, chr(10)) AS ls FROM documents), l AS (SELECT source, doc_id * 100000 + i AS no, CASE WHEN length(ls[i]) > 80 THEN rtrim(substr(ls[i], 1, 80)) || '...' ELSE ls[i] END AS s FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM t)),
+r AS (SELECT source, CAST(sum(strlen(s) + 1) OVER (PARTITION BY source ORDER BY no) AS BIGINT) AS run FROM l) SELECT source, count(*) AS entries, count(*) FILTER (WHERE run - 1 <= 20000) AS kept, coalesce(max(CASE WHEN run - 1 <= 20000 THEN run - 1 END), 0) AS bytes FROM r GROUP BY source""")
 def condense_index(spark, sf):
-    lines = table(spark, sf, "documents").select("source", F.col("doc_id").alias("line_no"), F.get(F.split("text", "\n"), 0).alias("line"))
-    return assembly.condensed(lines, "source", 2000)
+    """Every line of every text is an entry of its source's index."""
+    lines = table(spark, sf, "documents").select("source", "doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    return assembly.condensed(lines.select("source", (F.col("doc_id") * 100_000 + F.col("i") + 1).alias("line_no"), "line"), "source", 20_000)
 
 
 @query("context_text", f"""WITH {PAGES_SQL}, b AS (SELECT doc_id // 20 AS k, list(CAST(doc_id AS VARCHAR)) AS links FROM pages_ WHERE kind = 'raw' GROUP BY 1)
@@ -55,11 +56,11 @@ def context_text(spark, sf):
     return joined.select("doc_id", block.alias("context"))
 
 
-@query("page_detail", f"""WITH {EDGES_SQL}, o AS (SELECT from_path AS path, count(DISTINCT to_path) AS n FROM edges_ GROUP BY 1), i AS (SELECT to_path AS path, count(DISTINCT from_path) AS n, min(from_path) AS f FROM edges_ GROUP BY 1)
-SELECT 'n/' || n_nationkey AS path, coalesce(o.n, 0) AS outbound, coalesce(i.n, 0) AS inbound, i.f AS first_inbound FROM nation LEFT JOIN o ON o.path = 'n/' || n_nationkey LEFT JOIN i ON i.path = 'n/' || n_nationkey""")
+@query("page_detail", f"""WITH {EDGES_SQL}, e AS (SELECT DISTINCT from_path AS path, 'outbound' AS direction, to_path AS other FROM edges_ UNION ALL SELECT DISTINCT to_path, 'inbound', from_path FROM edges_),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY path, direction ORDER BY other) AS INTEGER) AS place, count(*) OVER (PARTITION BY path, direction) AS total FROM e WHERE path IN (SELECT 'n/' || n_nationkey FROM nation)) SELECT path, direction, other, place, total FROM r WHERE place <= 20""")
 def page_detail(spark, sf):
     pages = table(spark, sf, "nation").select(F.concat(F.lit("n/"), "n_nationkey").alias("path"))
-    return assembly.page_detail(pages, edges_of(spark, sf)).select("path", F.size("outbound").cast("long").alias("outbound"), F.size("inbound").cast("long").alias("inbound"), F.get("inbound", 0).alias("first_inbound"))
+    return assembly.page_detail(pages, edges_of(spark, sf))
 
 
 @query("topic_overlap", "WITH n AS (SELECT list(DISTINCT upper(lang)) AS names FROM documents) SELECT conv_id, turn, CAST(len(list_intersect(list_distinct(list_transform(['EN', 'Fr', role, 'en'], lambda x: lower(x))), list_transform(names, lambda x: lower(x)))) AS BIGINT) AS score FROM conversations, n")

@@ -17,12 +17,12 @@ _NOISY = "(" + " OR ".join(f"regexp_matches(x, {_lit(p)})" for p in curation.PAG
 _LONG = "list_distinct(list_filter(regexp_split_to_array(lower({c}), '[^a-z0-9]+'), lambda w: length(w) > 2))"
 
 
-@query("page_noise", f"""WITH {PAGES_SQL}, f AS (SELECT doc_id, title, ['Subagent A ', 'git commit 0123abcd ', 'the prompt ', '', ''][doc_id % 5 + 1] || substr(body, 1, 20 + CAST(doc_id % 80 AS INT)) AS x FROM pages_),
+@query("page_noise", f"""WITH {PAGES_SQL}, f AS (SELECT doc_id, title, ['Subagent A ', 'git commit 0123abcd ', 'the prompt ', '', ''][doc_id % 5 + 1] || body AS x FROM pages_),
 o AS (SELECT *, CASE WHEN len({_LONG.format(c='title')}) = 0 THEN 0.0 ELSE len(list_intersect({_LONG.format(c='title')}, {_LONG.format(c='x')})) / CAST(len({_LONG.format(c='title')}) AS DOUBLE) END AS overlap FROM f)
 SELECT doc_id, CASE WHEN {_NOISY} AND overlap < 0.5 THEN 'drop' WHEN {_NOISY} THEN 'review' ELSE 'keep' END AS verdict FROM o""")
 def page_noise(spark, sf):
     marks = F.element_at(F.array(*[F.lit(x) for x in ("Subagent A ", "git commit 0123abcd ", "the prompt ", "", "")]), (F.col("doc_id") % 5 + 1).cast("int"))
-    text = F.concat(marks, F.col("body").substr(F.lit(1), (20 + F.col("doc_id") % 80).cast("int")))
+    text = F.concat(marks, "body")
     return pages_of(spark, sf).select("doc_id", curation.page_noise(F.col("title"), text).alias("verdict"))
 
 
@@ -122,20 +122,34 @@ def lint_report(spark, sf):
     return pages_of(spark, sf).select(found.alias("category")).groupBy("category").agg(F.count("*").alias("pages"))
 
 
-@query("embedding_batches")
+@query("embedding_batches", """WITH RECURSIVE o AS (SELECT source AS kind, doc_id AS id, ceil(n_chars / 4.0) AS tokens, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS place FROM documents),
+p AS (SELECT kind, id, place, 0 AS n, 1 AS docs, tokens AS held FROM o WHERE (place - 1) % 4096 = 0 UNION ALL
+SELECT o.kind, o.id, o.place, CASE WHEN p.docs >= 64 OR p.held + o.tokens > 20000 THEN p.n + 1 ELSE p.n END, CASE WHEN p.docs >= 64 OR p.held + o.tokens > 20000 THEN 1 ELSE p.docs + 1 END, CASE WHEN p.docs >= 64 OR p.held + o.tokens > 20000 THEN o.tokens ELSE p.held + o.tokens END
+FROM p JOIN o ON o.kind IS NOT DISTINCT FROM p.kind AND o.place = p.place + 1 WHERE (o.place - 1) % 4096 <> 0) SELECT kind, id, CAST((place - 1) // 4096 AS VARCHAR) || '-' || CAST(n AS VARCHAR) AS batch FROM p""")
 def embedding_batches(spark, sf):
     docs = table(spark, sf, "documents").select(F.col("source").alias("kind"), F.col("doc_id").alias("id"), F.ceil(F.col("n_chars") / 4).alias("tokens"))
     return curation.batches(docs, 64, 20_000)
 
 
+def thread_items(spark, sf):
+    """Orders as observations: those of fifty customers each are a group, the kinds of their lines the entities."""
+    items = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_set(F.concat("l_returnflag", "l_linestatus")).alias("entities"))
+    orders = table(spark, sf, "orders").select("o_orderkey", F.expr("o_custkey DIV 50").alias("group"), F.to_date("o_orderdate").alias("day"))
+    return orders.join(items, F.col("o_orderkey") == F.col("l_orderkey")).select("group", F.col("o_orderkey").alias("id"), "day", "entities")
+
+
 @query("thread_clusters")
 def thread_clusters(spark, sf):
-    items = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_set(F.concat("l_returnflag", "l_linestatus")).alias("entities"))
-    orders = table(spark, sf, "orders").select("o_orderkey", (F.col("o_custkey") % 20).alias("group"), F.to_date("o_orderdate").alias("day"))
-    return curation.thread_clusters(orders.join(items, F.col("o_orderkey") == F.col("l_orderkey")).select("group", F.col("o_orderkey").alias("id"), "day", "entities"))
+    return curation.thread_clusters(thread_items(spark, sf))
+
+
+def procedure_items(spark, sf):
+    """A user's events of a day as an observation: kinds of event and what they are about (in ten) as commands, successful if something was bought."""
+    command = F.concat("event_type", (F.get_json_object("props", "$.k").cast("int") % 3).cast("string"))
+    days = table(spark, sf, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.collect_set(command).alias("commands"), F.bool_or(F.col("event_type") == "purchase").alias("ok"))
+    return days.select(F.concat("user_id", F.lit("/"), "day").alias("id"), F.col("user_id").alias("session"), "commands", "ok")
 
 
 @query("procedure_clusters")
 def procedure_clusters(spark, sf):
-    commands = table(spark, sf, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.collect_set(F.concat("event_type", F.get_json_object("props", "$.k"))).alias("commands"))
-    return curation.procedure_clusters(commands.select(F.concat("user_id", F.lit("/"), "day").alias("id"), F.col("user_id").alias("session"), "commands"))
+    return curation.procedure_clusters(procedure_items(spark, sf))

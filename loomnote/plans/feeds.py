@@ -121,15 +121,16 @@ def set_intersect(spark, sf):
     return o.where("o_orderstatus = 'F'").select("o_custkey").intersect(o.where("o_orderstatus = 'O'").select("o_custkey"))
 
 
-@query("set_except", "SELECT c_custkey FROM customer EXCEPT ALL SELECT o_custkey FROM orders")
+@query("set_except", "SELECT l_orderkey, l_suppkey FROM lineitem EXCEPT ALL SELECT l_orderkey, l_suppkey FROM lineitem WHERE l_linenumber = 1")
 def set_except(spark, sf):
-    return table(spark, sf, "customer").select("c_custkey").exceptAll(table(spark, sf, "orders").select("o_custkey"))
+    line = table(spark, sf, "lineitem")
+    return line.select("l_orderkey", "l_suppkey").exceptAll(line.where("l_linenumber = 1").select("l_orderkey", "l_suppkey"))
 
 
-@query("cluster_cohesion", """WITH o AS (SELECT DISTINCT l_orderkey AS id, l_suppkey AS e FROM lineitem WHERE l_orderkey % 50 < 5), n AS (SELECT id, count(*) AS n FROM o GROUP BY id), p AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM o a JOIN o b ON a.e = b.e AND a.id < b.id AND a.id // 50 = b.id // 50 GROUP BY 1, 2),
-g AS (SELECT id // 50 AS cluster, count(*) AS m FROM n GROUP BY 1) SELECT g.cluster, m AS members, round(coalesce(sum(p.c / CAST(x.n + y.n - p.c AS DOUBLE)), 0) / (m * (m - 1) / 2.0::DOUBLE), 3) AS cohesion FROM g LEFT JOIN p ON p.a // 50 = g.cluster LEFT JOIN n x ON x.id = p.a LEFT JOIN n y ON y.id = p.b WHERE m > 1 GROUP BY 1, 2""")
+@query("cluster_cohesion", """WITH o AS (SELECT DISTINCT l_orderkey AS id, l_suppkey AS e FROM lineitem), n AS (SELECT id, count(*) AS n FROM o GROUP BY id), p AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM o a JOIN o b ON a.e = b.e AND a.id < b.id AND a.id // 10 = b.id // 10 GROUP BY 1, 2),
+g AS (SELECT id // 10 AS cluster, count(*) AS m FROM n GROUP BY 1) SELECT g.cluster, m AS members, round(coalesce(sum(p.c / CAST(x.n + y.n - p.c AS DOUBLE)), 0) / (m * (m - 1) / 2.0::DOUBLE), 3) AS cohesion FROM g LEFT JOIN p ON p.a // 10 = g.cluster LEFT JOIN n x ON x.id = p.a LEFT JOIN n y ON y.id = p.b WHERE m > 1 GROUP BY 1, 2""")
 def cluster_cohesion(spark, sf):
-    o = table(spark, sf, "lineitem").where("l_orderkey % 50 < 5").select(F.expr("l_orderkey DIV 50").alias("cluster"), F.col("l_orderkey").alias("id"), F.col("l_suppkey").alias("e")).distinct()
+    o = table(spark, sf, "lineitem").select(F.expr("l_orderkey DIV 10").alias("cluster"), F.col("l_orderkey").alias("id"), F.col("l_suppkey").alias("e")).distinct()
     sized = o.join(o.groupBy("id").agg(F.count("*").alias("n")), "id")
     a, b = sized.alias("a"), sized.alias("b")
     pair = a.join(b, (F.col("a.cluster") == F.col("b.cluster")) & (F.col("a.e") == F.col("b.e")) & (F.col("a.id") < F.col("b.id")))

@@ -13,11 +13,11 @@ from .base import query
 _IN = lambda xs: ", ".join(f"'{x}'" for x in xs)
 _CLASS = f"CASE WHEN relation_type IN ({_IN(params.REASONING_EDGES)}) THEN 'reasoning' WHEN relation_type IN ({_IN(params.PROVENANCE_EDGES)}) THEN 'provenance' ELSE 'association' END"
 _BOTH = "both_ AS (SELECT from_path AS near, to_path AS far, relation_type, kind FROM edges_ UNION ALL SELECT to_path, from_path, relation_type, kind FROM edges_)"
-_SEEDS = "seeds AS (SELECT 'o/' || o_orderkey AS path FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderkey % 10 = 0)"
+_SEEDS = "seeds AS (SELECT 'o/' || o_orderkey AS path FROM orders WHERE o_orderpriority = '1-URGENT')"
 
 
 def seeds_of(spark, sf):
-    return table(spark, sf, "orders").where("o_orderpriority = '1-URGENT' AND o_orderkey % 10 = 0").select(F.concat(F.lit("o/"), "o_orderkey").alias("path"))
+    return table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select(F.concat(F.lit("o/"), "o_orderkey").alias("path"))
 
 
 @query("edge_class_mix", f"WITH {EDGES_SQL} SELECT {_CLASS} AS edge_class, relation_type, count(*) AS edges FROM edges_ GROUP BY 1, 2")
@@ -60,11 +60,11 @@ def graph_expand_2hop(spark, sf):
     return graph.expand(edges_of(spark, sf), seeds_of(spark, sf), 2)
 
 
-@query("dependents_2hop", f"""WITH {EDGES_SQL}, seeds AS (SELECT 'n/' || n_nationkey AS path FROM nation WHERE n_nationkey % 5 = 0), h1 AS (SELECT from_path AS path, min(to_path) AS via FROM edges_ JOIN seeds ON to_path = path WHERE from_path NOT IN (SELECT path FROM seeds) GROUP BY 1),
+@query("dependents_2hop", f"""WITH {EDGES_SQL}, seeds AS (SELECT 'n/' || n_nationkey AS path FROM nation), h1 AS (SELECT from_path AS path, min(to_path) AS via FROM edges_ JOIN seeds ON to_path = path WHERE from_path NOT IN (SELECT path FROM seeds) GROUP BY 1),
 h2 AS (SELECT e.from_path AS path, min(e.to_path) AS via FROM edges_ e JOIN h1 ON e.to_path = h1.path WHERE e.from_path NOT IN (SELECT path FROM seeds) AND e.from_path NOT IN (SELECT path FROM h1) GROUP BY 1) SELECT path, via, 1 AS hop FROM h1 UNION ALL SELECT path, via, 2 FROM h2""")
 def dependents_2hop(spark, sf):
     e = edges_of(spark, sf).select("from_path", "to_path")
-    start = table(spark, sf, "nation").where("n_nationkey % 5 = 0").select(F.concat(F.lit("n/"), "n_nationkey").alias("path"))
+    start = table(spark, sf, "nation").select(F.concat(F.lit("n/"), "n_nationkey").alias("path"))
     back = lambda known: e.join(known, e["to_path"] == known["path"]).groupBy("from_path").agg(F.min("to_path").alias("via")).withColumnRenamed("from_path", "p")
     h1 = back(start).join(start, F.col("p") == F.col("path"), "left_anti").select(F.col("p").alias("path"), "via", F.lit(1).alias("hop"))
     seen = start.unionByName(h1.select("path"))
@@ -77,31 +77,31 @@ _WEIGHT = "CASE relation_type " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k,
 
 def _round(n: int) -> str:
     """One unrolled round of activation from f{n-1} and the nodes reached so far, r{n-1}."""
-    return f"""c{n} AS (SELECT f.path AS near, b.far, sum(f.activation * {_WEIGHT} * 0.6::DOUBLE) AS c FROM f{n - 1} f JOIN both_ b ON b.near = f.path WHERE b.far NOT IN (SELECT path FROM r{n - 1}) GROUP BY 1, 2),
+    return f"""c{n} AS (SELECT f.path AS near, b.far, sum(f.activation * {_WEIGHT} * 0.6::DOUBLE) AS c FROM f{n - 1} f JOIN both_ b ON b.near = f.path ANTI JOIN r{n - 1} r ON r.path = b.far GROUP BY 1, 2),
 k{n} AS (SELECT near, far, c, row_number() OVER (PARTITION BY near ORDER BY c DESC, far DESC) AS p, max(c) OVER (PARTITION BY near) AS m FROM c{n}), s{n} AS (SELECT near, max(c) FILTER (WHERE p = 2) AS second FROM k{n} GROUP BY near),
-t{n} AS (SELECT far AS path, sum(c) - 0.15::DOUBLE * sum(CASE WHEN p = 1 THEN coalesce(second, 0) ELSE m END) AS activation FROM k{n} JOIN s{n} USING (near) GROUP BY far), f{n} AS (SELECT * FROM t{n} WHERE activation > 0.01), r{n} AS (SELECT * FROM r{n - 1} UNION ALL SELECT * FROM f{n})"""
+t{n} AS (SELECT far AS path, sum(c) - 0.15::DOUBLE * sum(CASE WHEN p = 1 THEN coalesce(second, 0) ELSE m END) AS activation FROM k{n} JOIN s{n} USING (near) GROUP BY far), f{n} AS MATERIALIZED (SELECT * FROM t{n} WHERE activation > 0.01), r{n} AS MATERIALIZED (SELECT * FROM r{n - 1} UNION ALL SELECT * FROM f{n})"""
 
 
-@query("spreading_activation", f"WITH {EDGES_SQL}, {_BOTH}, {_SEEDS}, f0 AS (SELECT path, 1.0::DOUBLE AS activation FROM seeds), r0 AS (SELECT * FROM f0), {_round(1)}, {_round(2)} SELECT path, round(activation + 1e-9::DOUBLE, 5) AS activation FROM r2")
+@query("spreading_activation", f"WITH {EDGES_SQL}, {_BOTH}, {_SEEDS}, f0 AS (SELECT path, 1.0::DOUBLE AS activation FROM seeds), r0 AS (SELECT * FROM f0), {', '.join(map(_round, range(1, 6)))} SELECT path, round(activation + 1e-9::DOUBLE, 5) AS activation FROM r5")
 def spreading_activation(spark, sf):
-    return graph.activate(edges_of(spark, sf), seeds_of(spark, sf), rounds=2).select("path", F.round(F.col("activation") + 1e-9, 5).alias("activation"))
+    return graph.activate(edges_of(spark, sf), seeds_of(spark, sf)).select("path", F.round(F.col("activation") + 1e-9, 5).alias("activation"))
 
 
-@query("communities", """SELECT 'c' || s.s_nationkey AS path, 'c' || min(s2.s_nationkey) AS community FROM supplier s JOIN supplier s2 ON s.s_nationkey // 5 = s2.s_nationkey // 5 GROUP BY s.s_nationkey HAVING count(DISTINCT s2.s_nationkey) >= 2""")
+@query("communities")
 def communities(spark, sf):
-    nations = table(spark, sf, "supplier").select("s_nationkey").distinct()
-    a, b = nations.alias("a"), nations.alias("b")
-    pair = a.join(b, (F.expr("a.s_nationkey DIV 5") == F.expr("b.s_nationkey DIV 5")) & (F.col("a.s_nationkey") < F.col("b.s_nationkey")))
-    name = lambda c: F.concat(F.lit("c"), F.col(c))
-    links = pair.select(name("a.s_nationkey").alias("from_path"), name("b.s_nationkey").alias("to_path"))
-    parts = nations.select(name("s_nationkey").alias("path"), F.expr("s_nationkey DIV 5").alias("part"))
-    return graph.communities(links, parts).select("path", "community")
+    """Suppliers and parts that order lines of one supplier of a part tie together: communities in each component, found from the edges themselves."""
+    line = table(spark, sf, "lineitem")
+    own = line.select("l_orderkey", "l_suppkey").distinct()
+    few = own.join(own.groupBy("l_orderkey").agg(F.count("*").alias("n")).where("n = 2").select("l_orderkey"), "l_orderkey", "left_semi")
+    ends = few.groupBy("l_orderkey").agg(F.min("l_suppkey").alias("a"), F.max("l_suppkey").alias("b"))
+    name = lambda c: F.concat(F.lit("s/"), F.col(c))
+    return graph.communities(ends.select(name("a").alias("from_path"), name("b").alias("to_path")).distinct())
 
 
-@query("orphans", f"WITH {EDGES_SQL}, n AS (SELECT 'p/' || p_partkey AS path FROM part UNION ALL SELECT 's/' || s_suppkey FROM supplier UNION ALL SELECT 'c/' || c_custkey FROM customer) SELECT path FROM n WHERE path NOT IN (SELECT to_path FROM edges_)")
+@query("orphans", f"WITH {EDGES_SQL}, n AS (SELECT 'o/' || o_orderkey AS path FROM orders UNION ALL SELECT 'p/' || p_partkey FROM part UNION ALL SELECT 's/' || s_suppkey FROM supplier UNION ALL SELECT 'c/' || c_custkey FROM customer) SELECT path FROM n WHERE path NOT IN (SELECT to_path FROM edges_)")
 def orphans(spark, sf):
     node = lambda t, k, p: table(spark, sf, t).select(F.concat(F.lit(p), k).alias("path"))
-    nodes = node("part", "p_partkey", "p/").union(node("supplier", "s_suppkey", "s/")).union(node("customer", "c_custkey", "c/"))
+    nodes = node("orders", "o_orderkey", "o/").union(node("part", "p_partkey", "p/")).union(node("supplier", "s_suppkey", "s/")).union(node("customer", "c_custkey", "c/"))
     return nodes.join(edges_of(spark, sf).select(F.col("to_path").alias("path")), "path", "left_anti")
 
 
@@ -192,12 +192,17 @@ def triples_to_edges(spark, sf):
     return facts.join(names, "object").groupBy(relation.alias("relation_type"), "to_id").agg(F.count("*").alias("edges"))
 
 
-@query("mass_collision", """WITH l AS (SELECT DISTINCT page_id AS raw, unnest(regexp_extract_all(html, 'href="/([^"]+)"', 1)) AS target FROM pages), c AS (SELECT target, count(*) AS n FROM l GROUP BY target)
-SELECT target, n AS links FROM c WHERE NOT n / CAST((SELECT count(*) FROM pages) AS DOUBLE) > 0.02""")
+def _suppress(n: int) -> str:
+    """One unrolled pass: the best of the links left, and the links without targets that too many took."""
+    return f"""b{n} AS MATERIALIZED (SELECT raw, arg_max(target, (score, target)) AS target FROM l{n - 1} GROUP BY raw), l{n} AS MATERIALIZED (SELECT * FROM l{n - 1} WHERE target NOT IN (SELECT target FROM b{n} GROUP BY target HAVING count(*) > 0.05 * (SELECT count(*) FROM pages)))"""
+
+
+@query("mass_collision", f"""WITH l0 AS (SELECT raw, target, count(*) AS score FROM (SELECT page_id AS raw, unnest(regexp_extract_all(html, 'href="/([^"]+)"', 1)) AS target FROM pages) GROUP BY ALL),
+{', '.join(map(_suppress, range(1, 40)))} SELECT raw, target FROM b39""")
 def mass_collision(spark, sf):
     pages = table(spark, sf, "pages")
-    links = pages.select(F.col("page_id").alias("raw"), F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit('href="/([^"]+)"'), 1))).alias("target"))
-    return tables.collisions(links, pages.count(), 0.02).groupBy("target").agg(F.count("*").alias("links"))
+    links = pages.select(F.col("page_id").alias("raw"), F.explode(F.regexp_extract_all("html", F.lit('href="/([^"]+)"'), 1)).alias("target")).groupBy("raw", "target").agg(F.count("*").alias("score"))
+    return tables.collisions(links, pages.count(), 0.05)
 
 
 @query("facts_by_concept", f"""WITH {PAGES_SQL}, f AS (SELECT doc_id, lang AS concept, doc_id % 10 + 1 AS importance FROM pages_ WHERE kind <> 'raw' UNION ALL SELECT doc_id, source, doc_id % 10 + 1 FROM pages_ WHERE kind <> 'raw'), g AS (SELECT *, count(*) OVER (PARTITION BY concept) AS c, row_number() OVER (PARTITION BY concept ORDER BY importance DESC, doc_id) AS n FROM f WHERE importance >= 4)

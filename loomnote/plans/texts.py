@@ -115,14 +115,17 @@ _CATEGORY = "['tools', 'lessons', 'projects', 'decisions', 'references', 'thread
 
 
 @query("cognitive_type", f"""WITH {PAGES_SQL}, i AS (SELECT doc_id, count(*) AS n FROM labels GROUP BY doc_id),
-c AS (SELECT p.*, {_CATEGORY}[doc_id // 7 % 10 + 1] AS category, (doc_id % 9) AS inbound FROM pages_ p)
+c AS (SELECT p.*, {_CATEGORY}[doc_id // 7 % 10 + 1] AS category, coalesce(e.n, 0) AS inbound FROM pages_ p LEFT JOIN (SELECT value AS doc_id, count(*) AS n FROM (SELECT user_id AS value FROM events UNION ALL SELECT l_suppkey FROM lineitem) GROUP BY 1) e USING (doc_id))
 SELECT doc_id, CASE WHEN category = 'crystals' THEN 'semantic' WHEN category = 'prospective' THEN 'prospective' WHEN category = 'threads' THEN 'episodic' WHEN category = 'procedures' THEN 'procedural'
  WHEN category = 'projects' AND status = 'active' AND inbound >= 5 THEN 'core' WHEN category IN ('tools', 'lessons') THEN 'procedural' WHEN category IN ('references', 'decisions') THEN 'semantic'
  WHEN kind = 'raw' AND DATE '2024-08-01' - created BETWEEN 0 AND 30 THEN 'episodic' ELSE 'semantic' END AS cognitive_type FROM c""")
 def cognitive_type(spark, sf):
     names = _CATEGORY.strip("[]").replace("'", "").split(", ")
     category = F.element_at(F.array(*[F.lit(x) for x in names]), (F.expr("doc_id DIV 7") % 10 + 1).cast("int"))
-    return pages_of(spark, sf).select("doc_id", predicates.cognitive_type(F.col("kind"), category, F.col("status"), F.col("doc_id") % 9, F.col("created"), "2024-08-01").alias("cognitive_type"))
+    # What points at a page: the rows that carry its number.
+    inbound = table(spark, sf, "events").select(F.col("user_id").alias("doc_id")).union(table(spark, sf, "lineitem").select("l_suppkey")).groupBy("doc_id").agg(F.count("*").alias("n"))
+    pages = pages_of(spark, sf).join(inbound, "doc_id", "left")
+    return pages.select("doc_id", predicates.cognitive_type(F.col("kind"), category, F.col("status"), F.coalesce("n", F.lit(0)), F.col("created"), "2024-08-01").alias("cognitive_type"))
 
 
 @query("dispatch_policy", """SELECT vec_id, CASE WHEN c = 'noop' THEN 'noop' WHEN NOT (sim >= 0.5 AND newer) THEN 'rewrite_page' WHEN c = 'contradiction' THEN 'dispute_page' WHEN c = 'supersession' THEN 'supersede_page' ELSE 'rewrite_page' END AS decision
@@ -284,10 +287,11 @@ def confidence_buckets(spark, sf):
     return pages_of(spark, sf).groupBy("kind", bucket.alias("bucket")).agg(F.count("*").alias("pages"))
 
 
-@query("index_by_category", f"WITH {PAGES_SQL} SELECT kind, status, count(*) AS pages, sha256(string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id)) AS ids_sha256 FROM pages_ GROUP BY kind, status")
+@query("index_by_category", f"WITH {PAGES_SQL} SELECT kind, status, doc_id, title, count(*) OVER (PARTITION BY kind, status) AS pages FROM pages_")
 def index_by_category(spark, sf):
-    ids = F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")), ",")
-    return pages_of(spark, sf).groupBy("kind", "status").agg(F.count("*").alias("pages"), F.sha2(ids, 256).alias("ids_sha256"))
+    """The index: an entry for each page, its category and how many that holds; a list of a category is never gathered."""
+    pages = pages_of(spark, sf).select("kind", "status", "doc_id", "title")
+    return pages.join(F.broadcast(pages.groupBy("kind", "status").agg(F.count("*").alias("pages"))), ["kind", "status"])
 
 
 @query("storage_stats", "SELECT source, count(*) AS files, CAST(sum(strlen(text)) AS BIGINT) AS bytes, max(doc_id) AS latest FROM documents GROUP BY source")
