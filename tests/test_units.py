@@ -47,7 +47,7 @@ def test_rrf(spark):
 
 def test_global_rank(spark):
     rows = spark.createDataFrame([(i, float(i % 3)) for i in range(50)], "id long, score double")
-    got = {r["id"]: r["rank"] for r in fuse.global_rank(rows, share=7).collect()}
+    got = {r["id"]: r["rank"] for r in fuse.global_rank(rows).collect()}
     assert got == {i: n for n, i in enumerate(sorted(range(50), key=lambda i: (-(i % 3), i)), 1)}
 
 
@@ -69,8 +69,7 @@ def test_expand(spark):
 
 
 def test_communities(spark):
-    parts = spark.createDataFrame([(p, 0) for p in "abc"] + [(p, 1) for p in "xy"], "path string, part int")
-    got = {r["path"]: r["community"] for r in graph.communities(edges(spark, ["ab", "bc", "ca", "xy"]), parts).collect()}
+    got = {r["path"]: r["community"] for r in graph.communities(edges(spark, ["ab", "bc", "ca", "xy"])).collect()}
     assert got == {"a": "a", "b": "a", "c": "a", "x": "x", "y": "x"}
 
 
@@ -167,8 +166,9 @@ def test_components_and_clusters(spark):
     alike = [("g", i, day(0), ["x", "y"]) for i in range(50)] + [("far", 1, day(0), ["x"]), ("far", 2, day(19), ["x"]), ("far", 3, day(38), ["x"])]
     threads = curation.thread_clusters(spark.createDataFrame(alike, "group string, id long, day date, entities array<string>")).groupBy("group", "cluster").count().collect()
     assert sorted(r["count"] for r in threads) == [20, 30] and {r["group"] for r in threads} == {"g"}
-    runs = [(i, i % 2, ["git", "npm", "make"]) for i in range(3)] + [(7, 7, ["a", "b", "c"])]
-    assert {(r["cluster"], r["id"]) for r in curation.procedure_clusters(spark.createDataFrame(runs, "id long, session long, commands array<string>")).collect()} == {(0, 0), (0, 1), (0, 2)}
+    runs = [(i, i % 2, ["git", "npm", "make"], i == 1) for i in range(3)] + [(7, 7, ["a", "b", "c"], True)] + [(20 + i, i, ["x", "y", "z"], False) for i in range(4)] + [(30 + i, None, ["u", "v", "w"], True) for i in range(3)]
+    found = curation.procedure_clusters(spark.createDataFrame(runs, "id long, session long, commands array<string>, ok boolean")).collect()
+    assert {(r["cluster"], r["id"]) for r in found} == {(0, 0), (0, 1), (0, 2), (30, 30), (30, 31), (30, 32)}
     assert curation.command_signature("```\ncd x\n/usr/bin/Make all\n```\n$ npm i\ntext") == ["make", "npm"]
 
 
