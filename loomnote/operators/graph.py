@@ -31,6 +31,27 @@ def resolve(links: DataFrame, pages: DataFrame, raw: str = "raw", path: str = "p
     return found.select(*links.columns, F.when(F.col("n") == 1, F.col("p")).alias("to_path"), F.when(F.col("n").isNull(), "not-found").when(F.col("n") > 1, "ambiguous").alias("reason"))
 
 
+def lint_resolve(links: DataFrame, pages: DataFrame, raw: str = "target") -> DataFrame:
+    """links with to_path: the page (path) that a target names without its ending, else the only one with that file name; null if there is none."""
+    known = pages.select("path", F.regexp_replace("path", r"\.md$", "").alias("form")).distinct()
+    names = known.groupBy(F.element_at(F.split("form", "/"), -1).alias("name")).agg(F.count("*").alias("n"), F.min("path").alias("only")).where("n = 1").select("name", "only")
+    clean = links.withColumn("__clean", F.regexp_replace(F.trim(F.col(raw)), r"\.md$", ""))
+    found = clean.join(known.select("form", F.col("path").alias("__p")), F.col("__clean") == F.col("form"), "left").join(names, F.col("__clean") == F.col("name"), "left")
+    return found.select(*links.columns, F.coalesce("__p", "only").alias("to_path"))
+
+
+def dependents(edges: DataFrame, starts: DataFrame, hops: int = 2) -> DataFrame:
+    """start, path, via of the nodes from which ``hops`` steps at most lead to each start (path), each at its shortest way, the smallest if there are several; starts themselves left out."""
+    back = edges.select("from_path", "to_path").distinct()
+    reached = starts.select(F.col("path").alias("start"), "path", F.array("path").alias("via"))
+    seen, frontier = reached, reached
+    for _ in range(hops):
+        step = frontier.join(back, frontier["path"] == back["to_path"]).select("start", F.col("from_path").alias("path"), F.array_prepend("via", F.col("from_path")).alias("via"))
+        frontier = step.groupBy("start", "path").agg(F.min("via").alias("via")).join(seen.select("start", "path"), ["start", "path"], "left_anti")
+        seen = seen.unionByName(frontier)
+    return seen.where("start <> path")
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """path, inbound, outbound, total, counted in one shuffle."""
     ends = edges.select(F.explode(F.array(F.struct(F.col("from_path").alias("path"), F.lit(0).alias("i"), F.lit(1).alias("o")), F.struct(F.col("to_path").alias("path"), F.lit(1).alias("i"), F.lit(0).alias("o")))).alias("e"))
@@ -155,6 +176,21 @@ def communities(edges: DataFrame, rounds: int = 20, least: int = 2) -> DataFrame
     return owned.groupBy("part").applyInPandas(solve, "path string, community string")
 
 
+def subgraph(edges: DataFrame, centres: DataFrame, within: DataFrame, hops: int = 2) -> DataFrame:
+    """centre, nodes, density: the nodes within ``hops`` steps of each centre (path), as far as they are in ``within`` (path), and the edges between them over those that there could be; centres without another node left out."""
+    links = both_ways(edges.select("from_path", "to_path")).select("near", "far").distinct()
+    reached = frontier = centres.select(F.col("path").alias("centre"), "path").distinct()
+    for _ in range(hops):
+        step = frontier.join(links, frontier["path"] == links["near"]).select("centre", F.col("far").alias("path")).distinct()
+        frontier = step.join(reached, ["centre", "path"], "left_anti")
+        reached = reached.unionByName(frontier)
+    nodes = written(reached.join(within.select("path").distinct(), "path", "left_semi"), "subgraph")
+    ends = edges.select("from_path", "to_path").join(nodes.select("centre", F.col("path").alias("from_path")), "from_path").join(nodes.select("centre", F.col("path").alias("to_path")), ["centre", "to_path"])
+    sized = nodes.groupBy("centre").agg(F.count("*").alias("nodes")).where("nodes > 1")
+    counted = sized.join(ends.groupBy("centre").agg(F.count("*").alias("edges")), "centre", "left")
+    return counted.select("centre", "nodes", (F.coalesce("edges", F.lit(0)) / (F.col("nodes") * (F.col("nodes") - 1))).alias("density"))
+
+
 def entropy(edges: DataFrame, most_types: int = 9) -> DataFrame:
     """bits: Shannon entropy of the reasoning edges' types; beyond most_types the rarest count as one. One row, 0 without edges."""
     counts = edges.where(F.col("relation_type").isin(params.REASONING_EDGES)).groupBy("relation_type").agg(F.count("*").alias("n"))

@@ -35,6 +35,23 @@ def duplicate_entities(names: DataFrame, least: float = 0.85) -> DataFrame:
     return same.unionByName(one)
 
 
+def close_pairs(names: DataFrame, edits: int = 2) -> DataFrame:
+    """key_a, key_b, n: pairs of names (key) at most so many edits apart, and of how many rows' pairs they stand; equal keys count as a pair with themselves.
+
+    Cut in edits + 1 segments, a key has one that such a partner holds unchanged, shifted by no more than the edits:
+    segments meet partners' substrings by equality, never all with all.
+    """
+    keys = names.groupBy("key").agg(F.count("*").alias("rows")).withColumn("m", F.length("key"))
+    same = keys.where("rows > 1").select(F.col("key").alias("key_a"), F.col("key").alias("key_b"), F.expr("rows * (rows - 1) DIV 2").alias("n"))
+    parts = edits + 1
+    cut = lambda m, i: F.floor(m * i / parts).cast("int")
+    own = keys.select("key", "rows", "m", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.substring("key", cut(F.col("m"), i) + 1, cut(F.col("m"), i + 1) - cut(F.col("m"), i)).alias("s")) for i in range(parts)])).alias("g")).select("key", "rows", "m", "g.*")
+    seen = [F.struct((F.col("m") + d).alias("of"), F.lit(i).alias("i"), F.when((cut(F.col("m") + d, i) + shift >= 0) & (F.col("m") + d >= 0), F.substring("key", cut(F.col("m") + d, i) + 1 + shift, cut(F.col("m") + d, i + 1) - cut(F.col("m") + d, i))).alias("s")) for d in range(-edits, edits + 1) for i in range(parts) for shift in range(-edits, edits + 1)]
+    looks = keys.select(F.col("key").alias("other"), F.col("rows").alias("other_rows"), F.explode(F.array_distinct(F.array(*seen))).alias("g")).select("other", "other_rows", F.col("g.of").alias("m"), F.col("g.i").alias("i"), F.col("g.s").alias("s"))
+    met = own.join(looks, ["m", "i", "s"]).where("key <> other").select(F.least("key", "other").alias("key_a"), F.greatest("key", "other").alias("key_b"), (F.col("rows") * F.col("other_rows")).alias("n")).distinct()
+    return met.where(F.levenshtein("key_a", "key_b") <= edits).unionByName(same)
+
+
 def similar_sets(sets: DataFrame, like: float) -> DataFrame:
     """left_id, right_id, jaccard of the pairs of sets (id, items: distinct) that are alike enough, left_id < right_id.
 

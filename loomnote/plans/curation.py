@@ -113,15 +113,6 @@ def subgraph_density(spark, sf):
     return curation.density(e, table(spark, sf, "region").select(F.concat(F.lit("r/"), "r_regionkey").alias("path")))
 
 
-@query("lint_report", f"""WITH {PAGES_SQL} SELECT category, count(*) AS pages FROM (SELECT 'frontmatter' AS category FROM pages_ WHERE title = '' OR status IS NULL UNION ALL SELECT 'stale' FROM pages_ WHERE status = 'active' AND DATE '2025-01-01' - updated > 180
-UNION ALL SELECT 'drafts' FROM pages_ WHERE coalesce(confidence, 0) < 0.5 UNION ALL SELECT 'invalid-range' FROM pages_ WHERE valid_until < valid_from) GROUP BY category""")
-def lint_report(spark, sf):
-    stale = (F.col("status") == "active") & (F.datediff(F.lit("2025-01-01").cast("date"), "updated") > 180)
-    checks = {"frontmatter": (F.col("title") == "") | F.col("status").isNull(), "stale": stale, "drafts": F.coalesce("confidence", F.lit(0.0)) < 0.5, "invalid-range": F.coalesce(F.col("valid_until") < F.col("valid_from"), F.lit(False))}
-    found = F.explode(F.array_compact(F.array(*[F.when(test, name) for name, test in checks.items()])))
-    return pages_of(spark, sf).select(found.alias("category")).groupBy("category").agg(F.count("*").alias("pages"))
-
-
 @query("embedding_batches", """WITH RECURSIVE o AS (SELECT source AS kind, doc_id AS id, ceil(n_chars / 4.0) AS tokens, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS place FROM documents),
 p AS (SELECT kind, id, place, 0 AS n, 1 AS docs, tokens AS held FROM o WHERE (place - 1) % 4096 = 0 UNION ALL
 SELECT o.kind, o.id, o.place, CASE WHEN p.docs >= 64 OR p.held + o.tokens > 20000 THEN p.n + 1 ELSE p.n END, CASE WHEN p.docs >= 64 OR p.held + o.tokens > 20000 THEN 1 ELSE p.docs + 1 END, CASE WHEN p.docs >= 64 OR p.held + o.tokens > 20000 THEN o.tokens ELSE p.held + o.tokens END

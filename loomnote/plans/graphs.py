@@ -105,32 +105,6 @@ def orphans(spark, sf):
     return nodes.join(edges_of(spark, sf).select(F.col("to_path").alias("path")), "path", "left_anti")
 
 
-@query("graph_health", f"""WITH {EDGES_SQL}, {PAGES_SQL}, d AS (SELECT path, sum(n) AS t FROM (SELECT from_path AS path, count(*) AS n FROM edges_ WHERE {_CLASS} = 'reasoning' GROUP BY 1 UNION ALL SELECT to_path, count(*) FROM edges_ WHERE {_CLASS} = 'reasoning' GROUP BY 1) GROUP BY path),
-m AS (SELECT 'provenance-edge-share' AS id, round(100.0::DOUBLE * avg(CASE WHEN {_CLASS} = 'provenance' THEN 1 ELSE 0 END), 2) AS value FROM edges_ UNION ALL
-SELECT 'association-edge-share', round(100.0::DOUBLE * avg(CASE WHEN {_CLASS} = 'association' THEN 1 ELSE 0 END), 2) FROM edges_ UNION ALL
-SELECT 'temporal-coverage', round(100.0::DOUBLE * avg(CASE WHEN valid_from IS NOT NULL THEN 1 ELSE 0 END), 2) FROM edges_ UNION ALL
-SELECT 'contradiction-edges', CAST(count(*) FILTER (WHERE relation_type = 'contradicts') AS DOUBLE) FROM edges_ UNION ALL
-SELECT 'hub-overload', CAST(max(t) AS DOUBLE) FROM d UNION ALL
-SELECT 'confidence-coverage', round(100.0::DOUBLE * avg(CASE WHEN confidence IS NOT NULL THEN 1 ELSE 0 END), 2) FROM pages_ WHERE kind = 'wiki' UNION ALL
-SELECT 'attribution-coverage', round(100.0::DOUBLE * avg(CASE WHEN agent_id IS NOT NULL OR user_id IS NOT NULL THEN 1 ELSE 0 END), 2) FROM pages_ WHERE kind = 'wiki')
-SELECT id, value, CASE WHEN id = 'temporal-coverage' THEN CASE WHEN value < 30 THEN 'fail' WHEN value < 60 THEN 'warn' ELSE 'pass' END WHEN id = 'confidence-coverage' THEN CASE WHEN value < 40 THEN 'fail' WHEN value < 70 THEN 'warn' ELSE 'pass' END
- WHEN id = 'hub-overload' THEN CASE WHEN value > 650 THEN 'fail' WHEN value > 200 THEN 'warn' ELSE 'pass' END ELSE 'pass' END AS status FROM m""")
-def graph_health(spark, sf):
-    e = edges_of(spark, sf).withColumn("class", predicates.edge_class(F.col("relation_type")))
-    share = lambda test: F.round(100 * F.avg(test.cast("int")), 2)
-    edge = e.agg(
-        share(F.col("class") == "provenance").alias("provenance-edge-share"), share(F.col("class") == "association").alias("association-edge-share"),
-        share(F.col("valid_from").isNotNull()).alias("temporal-coverage"), F.count_if(F.col("relation_type") == "contradicts").cast("double").alias("contradiction-edges"),
-    )
-    hub = graph.degrees(e.where("class = 'reasoning'")).agg(F.max("total").cast("double").alias("hub-overload"))
-    page = pages_of(spark, sf).where("kind = 'wiki'").agg(share(F.col("confidence").isNotNull()).alias("confidence-coverage"), share(F.col("agent_id").isNotNull() | F.col("user_id").isNotNull()).alias("attribution-coverage"))
-    long = lambda df: df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("id"), F.col(f"`{c}`").alias("value")) for c in df.columns])).alias("m")).select("m.*")
-    v = F.col("value")
-    below = lambda warn, fail: F.when(v < fail, "fail").when(v < warn, "warn").otherwise("pass")
-    status = F.when(F.col("id") == "temporal-coverage", below(60, 30)).when(F.col("id") == "confidence-coverage", below(70, 40)).when(F.col("id") == "hub-overload", F.when(v > 650, "fail").when(v > 200, "warn").otherwise("pass")).otherwise("pass")
-    return long(edge).unionByName(long(hub)).unionByName(long(page)).withColumn("status", status)
-
-
 @query("graph_feed", f"""WITH {EDGES_SQL}, i AS (SELECT to_path, count(*) AS n FROM edges_ GROUP BY 1), o AS (SELECT from_path, count(*) AS n FROM edges_ GROUP BY 1)
 SELECT 's/' || s_suppkey AS path, s_name AS title, coalesce(i.n, 0) AS in_degree, coalesce(o.n, 0) AS out_degree FROM supplier LEFT JOIN i ON i.to_path = 's/' || s_suppkey LEFT JOIN o ON o.from_path = 's/' || s_suppkey""")
 def graph_feed(spark, sf):

@@ -50,6 +50,31 @@ def edges_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("kind", F.when(F.col("relation_type") == "linked", "wikilink").otherwise("relation")).withColumn("superseded_by", F.when(F.substring("from_path", -2, 2) == "13", F.lit("o/1")))
 
 
+CATEGORIES = "projects issues lessons decisions tools references threads procedures people notes".split()
+
+
+def _vault(d: str, spark: bool) -> dict[str, str]:
+    """Expressions of a document's number d in the SQL of Spark or of the oracle: its category, path, and what it relates and links to."""
+    div = "DIV" if spark else "//"
+    pick = lambda names, at: (f"element_at(array({names}), CAST({at} + 1 AS INT))" if spark else f"([{names}])[{at} + 1]")
+    names = ", ".join(f"'{c}'" for c in CATEGORIES)
+    path = lambda n: f"CASE WHEN ({n}) % 25 = 1 THEN concat({pick(names, f'({n}) % 10')}, '/', {n}, '/shared') ELSE concat({pick(names, f'({n}) % 10')}, '/p', {n}) END"
+    third, half = f"({d} {div} 3)", f"({d} {div} 2)"
+    return {
+        "category": pick(names, f"{d} % 10"), "path": path(d),
+        "relation": pick("'caused_by', 'fixed_by', 'learned_from', 'contradicts', 'depends_on', 'mentions'", f"{d} % 6"),
+        "target": f"CASE WHEN {d} % 13 = 0 THEN concat('missing/x', {d}) WHEN {d} % 4 = 0 THEN concat('p', {third}) ELSE {path(third)} END",
+        "link": f"CASE WHEN {d} % 17 = 0 THEN 'nowhere' WHEN {d} % 25 = 2 THEN 'shared' ELSE concat({path(half)}, '.md') END",
+    }
+
+
+def vault_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pages_of as the pages of a vault: path, category, text with a [[link]], and the relation and target that its front matter names."""
+    e = _vault("doc_id", True)
+    pages = pages_of(spark, sf_dir).withColumns({c: F.expr(e[c]) for c in ("category", "path", "relation", "target")})
+    return pages.withColumn("body", F.concat("body", F.lit(" [["), F.expr(e["link"]), F.lit("]]"))).withColumn("importance", F.col("doc_id") % 10 + 1)
+
+
 # The same views for the oracle.
 PAGES_SQL = """pages_ AS (SELECT doc_id, text AS body, lang, source,
   CASE WHEN CAST(substr(source, 4) AS INT) % 4 = 0 THEN 'raw' WHEN CAST(substr(source, 4) AS INT) % 4 = 1 THEN 'crystal' ELSE 'wiki' END AS kind,
@@ -74,3 +99,6 @@ EDGES_SQL = """raw_edges AS (
   UNION ALL SELECT 'o/' || l_orderkey, 's/' || l_suppkey, CASE WHEN l_returnflag = 'R' THEN 'contradicts' ELSE 'caused_by' END, CAST(l_shipdate AS DATE), NULL FROM lineitem),
 edges_ AS (SELECT *, CASE WHEN relation_type = 'linked' THEN 'wikilink' ELSE 'relation' END AS kind,
   CASE WHEN right(from_path, 2) = '13' THEN 'o/1' END AS superseded_by FROM raw_edges)"""
+
+_V = _vault("doc_id", False)
+VAULT_SQL = f"""{PAGES_SQL}, vault AS (SELECT * REPLACE (body || ' [[' || {_V['link']} || ']]' AS body), {_V['category']} AS category, {_V['path']} AS path, {_V['relation']} AS relation, {_V['target']} AS target, doc_id % 10 + 1 AS importance FROM pages_)"""
