@@ -91,3 +91,38 @@ def uuid7_time(text: Column) -> Column:
     """Timestamp in a version-7 UUID, null for other strings."""
     plain = F.regexp_replace(F.lower(text), "-", "")
     return F.when(plain.rlike("^[0-9a-f]{12}7[0-9a-f]{19}$"), F.timestamp_millis(F.conv(F.substring(plain, 1, 12), 16, 10).cast("long")))
+
+
+def excerpt(text: Column, most: int = 240) -> Column:
+    """Text in one line, cut to ``most`` characters with a mark at the end if it is longer."""
+    line = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+    return F.when(F.length(line) > most, F.concat(F.rtrim(F.substring(line, 1, most - 1)), F.lit("\u2026"))).otherwise(line)
+
+
+def path_day(path: Column) -> Column:
+    """The day that a path names (YYYY-MM-DD after a slash or at its beginning), null if none."""
+    found = F.regexp_extract(path, r"(?:^|/)(\d{4}-\d{2}-\d{2})(?=[^0-9]|$)", 1)
+    return F.try_to_date(F.when(found != "", found))
+
+
+def glob_pattern(glob: str) -> str:
+    """The regular expression of a glob: ** is anything, * anything within a step, ? one sign; sets in brackets stay."""
+    out, i = "", 0
+    while i < len(glob):
+        if glob.startswith("**", i):
+            out, i = out + ".*", i + 2
+            continue
+        c = glob[i]
+        out += "[^/]*" if c == "*" else "[^/]" if c == "?" else c if c in "[]+-/" or c.isalnum() else "\\" + c
+        i += 1
+    return f"^{out}$"
+
+
+def redact_config(config: Column) -> Column:
+    """A map with the values under secret-looking keys hidden."""
+    return F.transform_values(config, lambda k, v: F.when(F.lower(k).rlike(r"api[_-]?key|token|secret|password|credential"), "[REDACTED]").otherwise(v))
+
+
+def filled(template: Column, values: dict[str, Column]) -> Column:
+    """A template with each {{key}} replaced; keys without a value stay."""
+    return reduce(lambda t, kv: F.replace(t, F.lit("{{" + kv[0] + "}}"), F.coalesce(kv[1], F.lit(""))), values.items(), template)

@@ -170,3 +170,10 @@ def graph_metrics(pages: DataFrame, edges: DataFrame) -> DataFrame:
         one(groups.where("n >= 3 AND NOT told"), suggested_thread_count=F.count("*")),
     ]
     return reduce(DataFrame.unionByName, found).withColumn("status", status(F.col("id"), F.col("value")))
+
+
+def filter_report(filtered: DataFrame) -> DataFrame:
+    """One row of filtered texts (raw, kept: bytes; classes: map of bytes cut by class): sums, reduction in per cent, and the maps' sum by class."""
+    total = filtered.agg(F.sum("raw").cast("long").alias("raw_bytes"), F.sum("kept").cast("long").alias("kept_bytes"))
+    by_class = filtered.select(F.explode("classes").alias("c", "b")).groupBy("c").agg(F.sum("b").cast("long").alias("b")).agg(F.map_from_entries(F.collect_list(F.struct("c", "b"))).alias("classes"))
+    return total.join(F.broadcast(by_class)).select("raw_bytes", "kept_bytes", F.round(F.when(F.col("raw_bytes") > 0, 100 * (F.col("raw_bytes") - F.col("kept_bytes")) / F.col("raw_bytes")).otherwise(0.0), 2).alias("reduction"), "classes")

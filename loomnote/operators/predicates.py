@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import params
+from ..functions import text as T
 from .order import running
 
 
@@ -139,3 +140,35 @@ def byte_budget(files: DataFrame, budget: int, by_order: str = "path", size: str
     """The newest files (highest order) until the running size reaches the budget; the newest always stays."""
     summed = running(files, [group] if group else [], [F.desc(by_order)], __sum=F.col(size).cast("long"))
     return summed.where(F.col("__sum") - F.col(size) < budget).drop("__sum")
+
+
+def scope(pages: DataFrame, kind: str = "all") -> DataFrame:
+    """Pages of a kind, or all."""
+    return pages if kind == "all" else pages.where(F.col("kind") == kind)
+
+
+def crystals(pages: DataFrame) -> DataFrame:
+    """Pages that are crystals, by kind or type."""
+    return pages.where(F.lower("kind").isin("crystal", "crystals") | (F.lower("type").isin("crystal", "crystals") if "type" in pages.columns else F.lit(False)))
+
+
+def needs_expansion(query: Column, hits: Column) -> Column:
+    """Whether a query should be expanded by a made-up answer: five words at most, or nothing found."""
+    return (F.size(T.tokens(query)) <= 5) | (hits == 0)
+
+
+def recent(day: Column, now: str, days: int) -> Column:
+    """Whether a day is at most so many days ago, and not to come."""
+    return F.coalesce(F.datediff(F.lit(now).cast("date"), day).between(0, days), F.lit(False))
+
+
+def captures(files: DataFrame) -> DataFrame:
+    """files (path) with day, source and session as their names say: raw/<day>/<source>-<session>.md."""
+    name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.md$", "")
+    return files.withColumns({"day": T.path_day(F.col("path")), "source": F.regexp_extract(name, r"^([a-z]+(?:-[a-z]+)*)-", 1), "session": F.regexp_extract(name, r"^[a-z]+(?:-[a-z]+)*-(.+)$", 1)})
+
+
+def refreshing(facts: DataFrame, now: str, needle: str, days: int = 14) -> DataFrame:
+    """doc_id, k of facts (doc_id, updated, body, fact) of the last days whose page names the needle: each once by its text in lower case and single blanks (k), with the smallest doc_id."""
+    new = facts.where((F.col("updated") > F.date_sub(F.lit(now).cast("date"), days)) & (F.col("updated") <= F.lit(now).cast("date")) & F.contains(F.lower("body"), F.lower(F.lit(needle))))
+    return new.groupBy(F.trim(F.regexp_replace(F.lower("fact"), r"\s+", " ")).alias("k")).agg(F.min("doc_id").alias("doc_id"))

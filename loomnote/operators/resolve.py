@@ -129,3 +129,16 @@ def longest_prefix(rows: DataFrame, prefixes: DataFrame) -> DataFrame:
     hit = cut.join(prefixes, "prefix").groupBy("id", F.length("prefix").alias("n")).agg(F.count("*").alias("c"), F.min("prefix_id").alias("prefix_id"))
     best = hit.groupBy("id").agg(F.max_by(F.struct("c", "prefix_id"), "n").alias("b"))
     return rows.select("id").join(best, "id", "left").select("id", F.when(F.col("b.c") == 1, F.col("b.prefix_id")).alias("prefix_id"))
+
+
+def partial_titles(titles: DataFrame, id_col: str) -> DataFrame:
+    """id, phrase, confidence: the first two words of titles (id, title) of three and more."""
+    words = T.tokens(F.col("title"))
+    return titles.where(F.size(words) >= 3).select(id_col, F.array_join(F.slice(words, 1, 2), " ").alias("phrase"), F.lit(0.85).alias("confidence"))
+
+
+def reference_counts(pages: DataFrame) -> DataFrame:
+    """path, refs of pages (path, title, target): one for the page, and the relations that name its path or its title, whichever is more."""
+    named = pages.where("target IS NOT NULL").groupBy(F.col("target").alias("name")).agg(F.count("*").alias("n"))
+    by_path, by_title = named.select(F.col("name").alias("path"), F.col("n").alias("a")), named.select(F.col("name").alias("title"), F.col("n").alias("b"))
+    return pages.select("path", "title").join(by_path, "path", "left").join(by_title, "title", "left").select("path", (1 + F.greatest(F.coalesce("a", F.lit(0)), F.coalesce("b", F.lit(0)))).alias("refs"))
