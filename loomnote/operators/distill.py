@@ -19,7 +19,6 @@ NOISE_RULES = {
     "cwd_reset": r"(?m)^Shell cwd was reset to .*$",
 }
 HEADING, FENCE = re.compile(r"^(#{1,6})\s+(.*?)\s*#*\s*$"), re.compile(r"^\s*(```|~~~)")
-SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
 
 def turn_spans(rows: DataFrame, group: str = "conv_id", order: str = "turn", text: str = "text") -> DataFrame:
@@ -73,16 +72,26 @@ def token_windows(docs: DataFrame, size: int = 384, overlap: int = 48, id_col: s
     return docs.select(id_col, n.alias("n")).where("n > 0").select(id_col, "n", F.explode(starts).alias("ordinal")).select(id_col, "ordinal", (F.col("ordinal") * step).alias("first"), F.least(F.lit(size), F.col("n") - F.col("ordinal") * step).alias("n_tokens"))
 
 
-def chunk_markdown(md: str, size: int = 384, overlap: int = 48) -> list[tuple[int, str, int, int, str]]:
-    """ordinal, heading path, first and last byte, text: sections by heading (fences and front matter apart), then paragraphs packed to at most ``size`` words, over-long ones cut into windows."""
+def chunk_markdown(md: str, size: int = 384, overlap: int = 48, most_bytes: int | None = None) -> list[tuple[int, str, int, int, str]]:
+    """ordinal, heading path, first and last byte, text: sections by heading (fences and front matter apart), packed to at most ``size`` words and ``most_bytes`` (24 a word, 1024 at least).
+
+    A chunk that must be cut ends with a paragraph if one ends in its second half, else with a sentence, else it is a
+    window and the next one overlaps it. A fence is closed by its own sign, at least as often. One word longer than
+    the bytes is a chunk of its own.
+    """
+    most_bytes = most_bytes or max(1024, 24 * size)
     sections: list[tuple[str, int, int]] = []
-    at, fence, path, start = 0, False, [], 0
+    at, fence, path, start = 0, "", [], 0
     if md.startswith("---\n") and (end := md.find("\n---\n", 3)) >= 0:
         at = start = end + 5
     for line in md[at:].splitlines(keepends=True):
-        if FENCE.match(line):
-            fence = not fence
-        m = None if fence else HEADING.match(line.rstrip("\n"))
+        marks = re.match(r"\s{0,3}(`{3,}|~{3,})", line)
+        opened = bool(fence)
+        if marks and not fence:
+            fence = marks[1]
+        elif marks and marks[1][0] == fence[0] and len(marks[1]) >= len(fence) and not line[marks.end() :].strip():
+            fence = ""
+        m = None if fence or opened else HEADING.match(line.rstrip("\n"))
         if m:
             sections.append((" > ".join(path), start, at))
             path, start = [*path[: len(m[1]) - 1], m[2]], at
@@ -91,14 +100,23 @@ def chunk_markdown(md: str, size: int = 384, overlap: int = 48) -> list[tuple[in
     out = []
     for heading, a, b in sections:
         words = [(m.start() + a, m.end() + a) for m in re.finditer(r"\S+", md[a:b])]
-        breaks = {i for i in range(1, len(words)) if md.count("\n", words[i - 1][1], words[i][0]) > 1}
+        upto = [0]
+        for i, (s, e) in enumerate(words):  # bytes up to the end of each word, blanks before it included
+            upto.append(upto[-1] + len(md[words[i - 1][1] if i else s : e].encode()))
+        paragraphs = [i for i in range(1, len(words)) if md.count("\n", words[i - 1][1], words[i][0]) > 1]
+        sentences = [i for i in range(1, len(words)) if md[words[i - 1][1] - 1] in ".!?\u2026"]
         i = 0
         while i < len(words):
             j = min(len(words), i + size)
+            while j > i + 1 and upto[j] - upto[i] > most_bytes:
+                j -= 1
+            cut = None
             if j < len(words):
-                j = max((k for k in breaks if i + size // 2 < k <= j), default=j)
+                half = i + (j - i) // 2
+                cut = next((max(x) for x in ([k for k in paragraphs if half < k <= j], [k for k in sentences if half < k <= j]) if x), None)
+                j = cut or j
             out.append((heading, words[i][0], words[j - 1][1]))
-            i = j if j == len(words) or j in breaks else j - overlap
+            i = j if j == len(words) or cut else max(i + 1, j - overlap)
     return [(n, h, len(md[:a].encode()), len(md[:b].encode()), md[a:b]) for n, (h, a, b) in enumerate(out)]
 
 

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,9 +65,22 @@ def read_embeddings(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
 
 
 def write_embeddings(records: DataFrame, path: str, dim: int) -> DataFrame:
-    """Writes the records that pass the guard and returns those that do not, with the reason."""
+    """Writes the records that pass the guard in place of those under path and returns those that do not, with the reason.
+
+    The new table is written beside the old one and takes its place when it is whole; the old one stays as a backup.
+    """
     checked = vector.guard(records, dim, "vector")
-    checked.where("reason IS NULL").drop("reason").write.mode("overwrite").json(path)
+    staged = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
+    checked.where("reason IS NULL").drop("reason").write.json(staged)
+    jvm, conf = records.sparkSession._jvm, records.sparkSession._jsparkSession.sessionState().newHadoopConf()
+    new, now, old = (jvm.org.apache.hadoop.fs.Path(x) for x in (staged, path, f"{path.rstrip('/')}.backup"))
+    fs = now.getFileSystem(conf)
+    if fs.exists(now):
+        fs.delete(old, True)
+        fs.rename(now, old)
+    if not fs.rename(new, now):
+        fs.rename(old, now)
+        raise OSError(f"could not put {staged} in place of {path}")
     return checked.where("reason IS NOT NULL")
 
 
@@ -86,5 +104,49 @@ def write_facts(facts: DataFrame, path: str) -> None:
 
 
 def signature(files: DataFrame) -> DataFrame:
-    """One hash over path and size of all files, independent of their order."""
-    return files.agg(F.expr("hex(bit_xor(xxhash64(path, size)))").alias("signature"), F.count("*").alias("files"))
+    """One hash over path, size and time of change (mtime, if there) of all files, independent of their order; files that repeat count each."""
+    columns = [c for c in ("path", "size", "mtime") if c in files.columns]
+    total = F.sum(F.xxhash64(*columns).cast("decimal(38,0)"))
+    return files.agg(F.sha2(F.concat_ws("/", total.cast("string"), F.count("*").cast("string")), 256).alias("signature"), F.count("*").alias("files"))
+
+
+def read_kv(spark: SparkSession, path: str) -> DataFrame:
+    """scope, key, value (JSON) of key-value files <scope>.bin: a JSON object with whatever bytes after it; files that begin with none give no row."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for scope, content in zip(f["scope"], f["content"], strict=True):
+                try:
+                    found, _ = json.JSONDecoder().raw_decode(bytes(content).decode("utf-8", "ignore").lstrip())
+                except ValueError:
+                    continue
+                rows += [(scope, k, json.dumps(v, ensure_ascii=False)) for k, v in found.items()] if isinstance(found, dict) else []
+            yield pd.DataFrame(rows, columns=["scope", "key", "value"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").option("recursiveFileLookup", True).load(path)
+    name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.bin$", "")
+    return files.select(name.alias("scope"), "content").mapInPandas(run, "scope string, key string, value string")
+
+
+def read_gold(spark: SparkSession, path: str) -> DataFrame:
+    """query_id, query, type, expected of gold questions in JSON lines, under any of the names that such sets use. A line that is no question raises."""
+    schema = "id string, question_id string, query string, question string, type string, category string, expected_paths array<string>, expected_evidence_ids array<string>"
+    rows = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    text, expected = F.coalesce("query", "question"), F.coalesce("expected_paths", "expected_evidence_ids")
+    whole = F.when(text.isNull() | expected.isNull(), F.raise_error(F.lit("a gold question without text or evidence"))).otherwise(text)
+    return rows.select(F.coalesce("id", "question_id", F.sha2(text, 256)).alias("query_id"), whole.alias("query"), F.coalesce("type", "category").alias("type"), expected.alias("expected"))
+
+
+def manifest_faults(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
+    """file, fault of a manifest (file, sha256) against the files under path: missing, changed, or unlisted. Files are hashed where they are read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("own"))
+    both = manifest.join(files, "file", "full")
+    fault = F.when(F.col("own").isNull(), "missing").when(F.col("sha256").isNull(), "unlisted").when(F.col("own") != F.lower("sha256"), "changed")
+    return both.select("file", fault.alias("fault")).where("fault IS NOT NULL")
+
+
+def tail(spark: SparkSession, path: str, needle: str | None = None) -> DataFrame:
+    """Stream of path, line: lines of files that come to a folder, those with the needle (a pattern) if one is given."""
+    lines = spark.readStream.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("line"))
+    return lines.where(F.col("line").rlike(needle)) if needle else lines

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators import tables
+from ..operators import order, tables
 
 SLICE = "path string, start long, end long, reset boolean"
 
@@ -67,3 +67,29 @@ def keep_index(batch: DataFrame, state: DataFrame | None) -> DataFrame:
     plan = tables.reconcile(state, latest, "path", complete=False).select("path", "generation")
     both = latest.select("path", "hash").unionByName(state.join(latest, "path", "left_anti").select("path", "hash"))
     return both.join(plan, "path")
+
+
+def oversize(files: DataFrame, chunks: DataFrame, most_bytes: int = 16 << 20, most_chunks: int = 50_000) -> tuple[DataFrame, DataFrame]:
+    """Chunks (path, ...) of the files (path, size) that may be indexed, and the files that may not (path, error): too many bytes, or too many chunks."""
+    counted = files.join(chunks.groupBy("path").agg(F.count("*").alias("chunks")), "path", "left")
+    error = F.when(F.col("size") > most_bytes, "too large").when(F.col("chunks") > most_chunks, "too many chunks")
+    bad = counted.select("path", error.alias("error")).where("error IS NOT NULL")
+    return chunks.join(bad.select("path"), "path", "left_anti"), bad
+
+
+#: Seconds until a slice is tried again, by the number of failures; and the stalls after which it is set aside.
+RETRY_SECONDS, MOST_STALLS = (30, 60, 120, 240, 480), 2
+
+
+def retries(tries: DataFrame) -> DataFrame:
+    """tries (path, failures, stalls, failed_at) with action (now, wait, quarantine) as of column now, and due, the time of the next try."""
+    wait = F.element_at(F.array(*map(F.lit, RETRY_SECONDS)), F.least(F.greatest("failures", F.lit(1)), F.lit(len(RETRY_SECONDS))).cast("int"))
+    due = F.when(F.col("failures") > 0, F.timestamp_seconds(F.unix_timestamp("failed_at") + wait))
+    action = F.when(F.col("stalls") >= MOST_STALLS, "quarantine").when(due > F.col("now"), "wait").otherwise("now")
+    return tries.withColumn("due", due).withColumn("action", action)
+
+
+def tick(pending: DataFrame, most_docs: int = 25, most_tokens: int = 50_000) -> DataFrame:
+    """Of pending documents (path, since, tokens) the oldest that one tick takes: so many at most, and so many tokens; the first always."""
+    placed = order.running(pending, [], ["since", "path"], __n="1L", __sum="tokens")
+    return placed.where((F.col("__n") <= most_docs) & ((F.col("__sum") <= most_tokens) | (F.col("__n") == 1))).drop("__n", "__sum")
