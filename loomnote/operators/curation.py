@@ -148,20 +148,22 @@ def thread_clusters(rows: DataFrame, least: int = 3, most: int = 30, days: int =
 
     def solve(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values(["day", "id"])
-        runs = [[(i, d, set(e))] for i, d, e in zip(f["id"], f["day"], f["entities"], strict=True)]
+        # A run: its observations, and what entities they have together.
+        runs = [([(i, d, bool(len(e)))], frozenset(e)) for i, d, e in zip(f["id"], f["day"], f["entities"], strict=True)]
         changed = True
         while changed:
             changed, out, k = False, [], 0
             while k < len(runs):
                 if k + 1 < len(runs):
-                    a, b = (set().union(*[x[2] for x in r]) for r in runs[k : k + 2])
-                    if a and b and len(a & b) / len(a | b) >= like and (runs[k + 1][0][1] - runs[k][-1][1]).days <= days:
-                        out.append(runs[k] + runs[k + 1])
+                    (x, a), (y, b) = runs[k], runs[k + 1]
+                    if a and b and (y[0][1] - x[-1][1]).days <= days and len(a & b) / len(a | b) >= like:
+                        out.append((x + y, a | b))
                         k, changed = k + 2, True
                         continue
                 out.append(runs[k])
                 k += 1
             runs = out
+        runs = [x for x, _ in runs]
         parts = [r[s : s + most] for r in runs for s in range(0, len(r), most)]
         made = [(f["group"].iloc[0], p[0][0], x[0]) for p in parts if len(p) >= least and any(y[2] for y in p) for x in p]
         return pd.DataFrame(made, columns=["group", "cluster", "id"])

@@ -18,7 +18,7 @@ NOISE_RULES = {
     "data_uri": r"data:[a-z]+/[a-z0-9.+-]+;base64,[A-Za-z0-9+/=]+",
     "cwd_reset": r"(?m)^Shell cwd was reset to .*$",
 }
-HEADING, FENCE = re.compile(r"^(#{1,6})\s+(.*?)\s*#*\s*$"), re.compile(r"^\s*(```|~~~)")
+HEADING = re.compile(r"^(#{1,6})\s+(.*?)\s*#*\s*$")
 
 
 def turn_spans(rows: DataFrame, group: str = "conv_id", order: str = "turn", text: str = "text") -> DataFrame:
