@@ -491,6 +491,18 @@ def test_toxicity_in_a_rare_inflecting_language(spark, tmp_path):
     assert 700 < len(sample) <= 901
 
 
+def test_toxicity_on_held_out_labels(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    text = F.lower(F.regexp_replace("text", r"\s+", " "))
+    rated = docs.join(labels.dropna(), "doc_id").withColumn("held", F.pmod(F.xxhash64(text), F.lit(10)) < 3)
+    train = rated.where("NOT held").select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+    sample = textfeatures.gather_parts(docs, train, ["low_quality", "toxic"], words_only=toxicity.QUALITY)
+    chain, own = toxicity.fit_chain(sample, words_only=toxicity.QUALITY)
+    least = toxicity.threshold(own[:, 1], sample.labels[:, 1])
+    found = toxicity.predict(rated.where("held").select("doc_id", "text", "toxic"), chain).select("toxic", (F.col("p")[1] >= least).alias("said")).collect()
+    assert np.mean([r["said"] for r in found if r["toxic"]]) >= 0.9 and np.mean([not r["said"] for r in found if not r["toxic"]]) >= 0.97
+
+
 # op7
 
 
