@@ -189,24 +189,13 @@ def procedure_clusters(rows: DataFrame, like: float = 0.4, shortest: int = 3, le
     """cluster, id of observations (id, session, commands, ok): in order of id each joins the first cluster with a like member; clusters need enough observations, sessions (an observation without one is its own) and successes.
 
     Observations with the same commands are one signature, with the smallest id of them, and stay together.
-    Signatures meet over their rarest commands; only those connected over likenesses can come together, so each
-    connected component of distinct signatures is solved by itself.
+    Signatures meet over their rarest commands. Clusters stand in order of their first ids, so a signature's cluster is
+    the least that its like ones of smaller ids have: the least id that steps over likenesses to ever smaller ids reach.
     """
     rows = rows.where(F.size(F.array_distinct("commands")) >= shortest).withColumn("c", F.array_sort(F.array_distinct("commands")))
     signs = written(rows.groupBy("c").agg(F.min("id").alias("id")), "procedure-signatures")
     pairs = resolve.similar_sets(signs.select("id", F.col("c").alias("items")), like)
-    parts = graph.components(pairs.select(F.col("left_id").alias("u"), F.col("right_id").alias("v")), "procedures")
-
-    def solve(f: pd.DataFrame) -> pd.DataFrame:
-        clusters: list[list[tuple]] = []
-        for i, c in sorted(zip(f["id"], f["c"], strict=True), key=lambda x: x[0]):
-            own = set(c)
-            home = next((x for x in clusters if any(len(own & m) >= like * len(own | m) - 1e-12 for _, m in x)), None)
-            home.append((i, own)) if home is not None else clusters.append([(i, own)])
-        return pd.DataFrame([(x[0][0], i) for x in clusters for i, _ in x], columns=["cluster", "sign"])
-
-    kind = dict(rows.dtypes)["id"]
-    solved = signs.join(parts.withColumnRenamed("node", "id"), "id").groupBy("root").applyInPandas(solve, f"cluster {kind}, sign {kind}")
+    solved = graph.falling_least(pairs.select(F.col("left_id").alias("low"), F.col("right_id").alias("high")), "procedures").select(F.col("node").alias("sign"), F.col("root").alias("cluster"))
     named = signs.join(solved, F.col("id") == F.col("sign"), "left").select("c", F.coalesce("cluster", "id").alias("cluster"))
     members = rows.join(named, "c")
     whole = members.groupBy("cluster").agg(F.count("*").alias("n"), F.count_distinct(F.coalesce(F.col("session").cast("string"), F.col("id").cast("string"))).alias("s"), F.count_if("ok").alias("k"))

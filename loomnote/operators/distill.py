@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..storage import written
+from . import graph, resolve
 
 # What a log line must look like to count as noise, by class.
 NOISE_RULES = {
@@ -152,23 +154,31 @@ def merge_operations(ops: DataFrame) -> DataFrame:
 
 
 def merge_facts(facts: DataFrame, least: float = 0.82) -> DataFrame:
-    """session, title, members, importance: facts (session, seq, title, importance) of a session, each joining the first earlier one with a like title. A session's facts are solved together."""
-
-    def solve(f: pd.DataFrame) -> pd.DataFrame:
-        heads: list[list] = []
-        for _, r in f.sort_values("seq").iterrows():
-            own = set(re.findall(r"[a-z0-9]+", (r["title"] or "").lower()))
-            for h in heads:
-                union = own | h[0]
-                if union and len(own & h[0]) / len(union) >= least:
-                    h[2] += 1
-                    h[3] = max(h[3], r["importance"])
-                    break
-            else:
-                heads.append([own, r["title"], 1, r["importance"]])
-        return pd.DataFrame([(f["session"].iloc[0], t, n, i) for _, t, n, i in heads], columns=["session", "title", "members", "importance"])
-
-    return facts.groupBy("session").applyInPandas(solve, "session long, title string, members long, importance long")
+    """session, seq, title, members, importance and those of narrative, type, facts, concepts, files, entities that facts have: facts (session, seq, title, importance) merged by like titles.
+
+    In order of seq a fact joins the first earlier head of its session with a like title, or else is a head itself; a
+    joined fact is no head, so what is like it alone begins anew. Rounds decide it for all sessions at once: a fact is a
+    head when all earlier like ones are known to be none, and none when one of them is a head. Pairs meet over their
+    rarest title words; equal titles of a session have their first fact's fate, and titles without words join nothing.
+    A head takes the greatest importance, arrays and narratives of its members, each element once, in order of seq, and
+    the first type that is not plain ("fact"). Null titles count as empty, null seq stands first; repeats join alike.
+    """
+    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("title", F.lit(""))), F.lit("([\\p{L}\\p{N}]+)"), 1))
+    rows = written(facts.withColumn("__w", F.array_sort(words)).withColumn("__row", F.monotonically_increasing_id()).withColumn("__at", F.struct(F.coalesce("seq", F.lit(-(1 << 62))).alias("seq"), F.col("__row").alias("row"))), "facts")
+    alike = rows.where(F.size("__w") > 0).groupBy("session", "__w").agg(F.min("__at").alias("at"))
+    sets = alike.select(F.struct("session", "at").alias("id"), F.transform("__w", lambda w: F.concat_ws("/", F.xxhash64("session").cast("string"), w)).alias("items"))
+    pairs = resolve.similar_sets(sets, least).where(F.col("left_id.session").eqNullSafe(F.col("right_id.session"))).select(F.col("left_id").alias("low"), F.col("right_id").alias("high"))
+    heads = graph.first_heads(pairs, "facts-heads")
+    joined = alike.select("session", "__w", F.struct("session", "at").alias("id")).join(heads, "id", "left").select("session", "__w", F.coalesce("head.at", "id.at").alias("__head"))
+    named = rows.alias("r").join(joined.alias("j"), F.col("r.session").eqNullSafe(F.col("j.session")) & (F.col("r.__w") == F.col("j.__w")), "left").select("r.*", F.coalesce("j.__head", "r.__at").alias("__head"))
+    ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("__at", F.col(c).alias("v"))))), lambda x: x["v"])
+    first = lambda c: F.min_by(c, "__at").alias(c)
+    more = [F.array_distinct(F.flatten(ordered(c))).alias(c) for c in ("facts", "concepts", "files", "entities") if c in facts.columns]
+    if "narrative" in facts.columns:
+        more.append(F.array_join(F.array_distinct(ordered("narrative")), "\n").alias("narrative"))
+    if "type" in facts.columns:
+        more.append(F.coalesce(F.min_by("type", F.when(F.col("type") != "fact", F.col("__at"))), F.min_by("type", F.when(F.col("type").isNotNull(), F.col("__at")))).alias("type"))
+    return named.groupBy("session", "__head").agg(F.min("seq").alias("seq"), first("title"), F.count("*").alias("members"), F.max("importance").alias("importance"), *more).drop("__head")
 
 
 def content_key(text: Column) -> Column:

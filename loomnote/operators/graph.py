@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections import Counter
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import params
-from ..storage import written
+from ..storage import counted, written
 
 WIKILINK = r"\[\[([^\[\]\|#]+)(?:[#\|][^\[\]]*)?\]\]"
 
@@ -142,38 +139,71 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         before = state
 
 
+def falling_least(pairs: DataFrame, label: str = "falling") -> DataFrame:
+    """node, root: for each high of the pairs (low, high; low < high) the least node to which steps from a high to a low lead.
+
+    Each round every node takes the least of what its lows have, and then of what that node has: ways double in length,
+    and no group larger than a node's own pairs is formed. Rounds end when nothing changes.
+    """
+    pairs = written(pairs.select("low", "high").distinct(), label)
+    state = written(pairs.groupBy(F.col("high").alias("node")).agg(F.min("low").alias("root")), label)
+    while True:
+        known = state.select(F.col("node").alias("at"), F.col("root").alias("to"))
+        step = pairs.join(known, F.col("low") == F.col("at"), "left").groupBy(F.col("high").alias("node")).agg(F.min(F.coalesce("to", "low")).alias("least"))
+        far = step.join(known, F.col("least") == F.col("at"), "left").select("node", F.coalesce("to", "least").alias("root"))
+        state, moved = counted(state.withColumnRenamed("root", "before").join(far, "node").select("node", "root", (F.col("root") != F.col("before")).alias("moved")), label, F.count_if("moved"))
+        if not moved:
+            return state.select("node", "root")
+
+
+def first_heads(pairs: DataFrame, label: str = "heads") -> DataFrame:
+    """id, head for all nodes of the pairs (low, high; low < high): in order, a node joins the least head among its lows, or is one.
+
+    A node is decided once all its lows are, or one of them is a head: in each round all such nodes are, side by side.
+    """
+    pairs = written(pairs.select("low", "high").distinct(), label)
+    nodes = pairs.select(F.col("low").alias("id")).union(pairs.select("high")).distinct()
+    state, open_ = counted(nodes.join(pairs.select(F.col("high").alias("id")).distinct().withColumn("under", F.lit(True)), "id", "left").select("id", F.when(F.col("under").isNull(), True).alias("is_head")), label, F.count_if(F.col("is_head").isNull()))
+    while open_:
+        lows = pairs.join(state.select(F.col("id").alias("low"), "is_head"), "low").groupBy(F.col("high").alias("id")).agg(F.bool_or(F.coalesce("is_head", F.lit(False))).alias("joins"), F.bool_or(F.col("is_head").isNull()).alias("waits"))
+        fate = F.when(F.col("is_head").isNotNull(), F.col("is_head")).when(F.col("joins"), False).when(~F.col("waits"), True)
+        state, open_ = counted(state.join(lows, "id", "left").select("id", fate.alias("is_head")), label, F.count_if(F.col("is_head").isNull()))
+    heads = pairs.join(state.where("is_head").select(F.col("id").alias("low")), "low", "left_semi").groupBy(F.col("high").alias("id")).agg(F.min("low").alias("least"))
+    return state.join(heads, "id", "left").select("id", F.when(F.col("is_head"), F.col("id")).otherwise(F.col("least")).alias("head"))
+
+
 def communities(edges: DataFrame, rounds: int = 20, least: int = 2) -> DataFrame:
     """path, community: label propagation, nodes in order, each taking its neighbours' commonest label (ties: the smallest).
 
-    Labels never leave a connected component, so each is solved by itself. The procedure is sequential inside a
-    component and needs its distinct links in one task: meant for graphs whose components are small.
+    In a round a node sees the labels that smaller neighbours have taken in it and that larger ones had before. As no
+    node waits for a larger one, the round is the one fixed point of that rule: all nodes begin with the labels from
+    before, and those are judged again, all at once, for which a smaller neighbour has just changed, until none has.
+    A step joins the links of such nodes with the labels and counts them by node and label, so no group is larger than
+    a node's links, however large the component. The result equals that of the nodes one after the other.
     """
-    links = both_ways(edges.select("from_path", "to_path").where("from_path <> to_path")).distinct()
-    parts = components(links.select(F.col("near").alias("u"), F.col("far").alias("v")), "communities")
-    owned = links.join(parts, links["near"] == parts["node"]).select(F.col("root").alias("part"), "near", "far")
-
-    def solve(f: pd.DataFrame) -> pd.DataFrame:
-        near: dict[str, list[str]] = {}
-        for a, b in zip(f["near"], f["far"], strict=True):
-            near.setdefault(a, []).append(b)
-        label = {n: n for n in near}
-        for _ in range(rounds):
-            changed = False
-            for n in sorted(near):
-                count = Counter(label[m] for m in near[n])
-                top = max(count.values())
-                best = min(x for x, c in count.items() if c == top)
-                changed |= best != label[n]
-                label[n] = best
-            if not changed:
+    links = written(both_ways(edges.select("from_path", "to_path").where("from_path <> to_path")).distinct(), "community-links")
+    state = written(links.select(F.col("near").alias("path")).distinct().select("path", F.col("path").alias("old"), F.col("path").alias("new"), F.lit(True).alias("moved")), "community-labels")
+    due = None
+    for _ in range(rounds):
+        while True:
+            own = links if due is None else links.join(due, "near", "left_semi")
+            seen = own.join(state.select(F.col("path").alias("far"), "old", "new"), "far").select("near", F.when(F.col("far") < F.col("near"), F.col("new")).otherwise(F.col("old")).alias("label"))
+            best = seen.groupBy("near", "label").agg(F.count("*").alias("n")).groupBy(F.col("near").alias("path")).agg(F.min(F.struct(-F.col("n"), "label")).alias("b")).select("path", F.col("b.label").alias("best"))
+            judged = state.select("path", "old", "new").join(best, "path", "left")
+            fresh = F.coalesce("best", "new")
+            # Counted: labels that this step has changed, and in the higher bits those that the round has.
+            state, n = counted(judged.select("path", "old", fresh.alias("new"), (fresh != F.col("new")).alias("moved")), "community-labels", F.count_if("moved") + F.shiftleft(F.count_if(F.col("new") != F.col("old")), 32))
+            if not n & 0xFFFFFFFF:
                 break
-        members: dict[str, list[str]] = {}
-        for n, x in label.items():
-            members.setdefault(x, []).append(n)
-        rows = [(n, min(m)) for m in members.values() if len(m) >= max(2, least) for n in m]
-        return pd.DataFrame(rows, columns=["path", "community"])
-
-    return owned.groupBy("part").applyInPandas(solve, "path string, community string")
+            due = links.join(state.where("moved").select(F.col("path").alias("far")), "far", "left_semi").where("far < near").select("near").distinct()
+        if not n:
+            break
+        changed = state.where("new <> old")
+        # The next round's first step: those with a larger neighbour that this round has changed.
+        due = links.join(changed.select(F.col("path").alias("far")), "far", "left_semi").where("far > near").select("near").distinct()
+        state = written(state.select("path", F.col("new").alias("old"), "new", F.lit(False).alias("moved")), "community-labels")
+    named = state.groupBy("new").agg(F.min("path").alias("community"), F.count("*").alias("n")).where(F.col("n") >= max(2, least))
+    return state.select("path", "new").join(named, "new").select("path", "community")
 
 
 def subgraph(edges: DataFrame, centres: DataFrame, within: DataFrame, hops: int = 2) -> DataFrame:

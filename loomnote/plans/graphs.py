@@ -6,8 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import params
-from ..operators import graph, predicates, tables
-from ..tables import EDGES_SQL, PAGES_SQL, edges_of, pages_of, table
+from ..operators import graph, lint, predicates, tables
+from ..tables import EDGES_SQL, PAGES_SQL, edges_of, pages_of, table, vault_of
 from .base import query
 
 _IN = lambda xs: ", ".join(f"'{x}'" for x in xs)
@@ -87,15 +87,17 @@ def spreading_activation(spark, sf):
     return graph.activate(edges_of(spark, sf), seeds_of(spark, sf)).select("path", F.round(F.col("activation") + 1e-9, 5).alias("activation"))
 
 
+def page_links(spark, sf):
+    """from_path, to_path of all links and relations between the vault's pages."""
+    pages = vault_of(spark, sf)
+    link, relation = lint.links(pages), lint.relations(pages)
+    return link.select("from_path", "to_path").unionByName(relation.select("from_path", "to_path")).where("to_path IS NOT NULL").distinct()
+
+
 @query("communities")
 def communities(spark, sf):
-    """Suppliers and parts that order lines of one supplier of a part tie together: communities in each component, found from the edges themselves."""
-    line = table(spark, sf, "lineitem")
-    own = line.select("l_orderkey", "l_suppkey").distinct()
-    few = own.join(own.groupBy("l_orderkey").agg(F.count("*").alias("n")).where("n = 2").select("l_orderkey"), "l_orderkey", "left_semi")
-    ends = few.groupBy("l_orderkey").agg(F.min("l_suppkey").alias("a"), F.max("l_suppkey").alias("b"))
-    name = lambda c: F.concat(F.lit("s/"), F.col(c))
-    return graph.communities(ends.select(name("a").alias("from_path"), name("b").alias("to_path")).distinct())
+    """Pages of the vault that links and relations tie together."""
+    return graph.communities(page_links(spark, sf))
 
 
 @query("orphans", f"WITH {EDGES_SQL}, n AS (SELECT 'o/' || o_orderkey AS path FROM orders UNION ALL SELECT 'p/' || p_partkey FROM part UNION ALL SELECT 's/' || s_suppkey FROM supplier UNION ALL SELECT 'c/' || c_custkey FROM customer) SELECT path FROM n WHERE path NOT IN (SELECT to_path FROM edges_)")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,3 +25,10 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def counted(df: DataFrame, label: str, count: Column) -> tuple[DataFrame, int]:
+    """df as ``written`` gives it, and an aggregate of it (0 without rows) that is taken while it is written."""
+    seen = Observation()
+    table = written(df.observe(seen, count.alias("n")), label)
+    return table, seen.get["n"] or 0

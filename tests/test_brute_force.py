@@ -1,8 +1,9 @@
 """Queries that SQL cannot express, against plain versions of themselves over the same tables."""
 
+import random
 from collections import Counter
 
-from loomnote.operators import curation, graph, order, resolve
+from loomnote.operators import curation, distill, graph, order, resolve
 from loomnote.plans import curation as plans
 from loomnote.plans import graphs
 
@@ -57,30 +58,76 @@ def test_thread_clusters(spark):
     assert want and {(r["group"], r["cluster"], r["id"]) for r in plans.thread_clusters(spark, SF).collect()} == want
 
 
-def test_communities(spark):
-    orders: dict = {}
-    for r in spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey", "l_suppkey").collect():
-        orders.setdefault(r[0], set()).add(f"s/{r[1]}")
+def plain_communities(edges, rounds=20):
     near: dict = {}
-    for own in orders.values():
-        if len(own) == 2:
-            a, b = own
+    for a, b in edges:
+        if a != b:
             near.setdefault(a, set()).add(b)
             near.setdefault(b, set()).add(a)
     label = {n: n for n in near}
-    for _ in range(20):
+    for _ in range(rounds):
         before = dict(label)
         for n in sorted(near):
             count = Counter(label[m] for m in near[n])
             label[n] = min(x for x, c in count.items() if c == max(count.values()))
         if label == before:
             break
-    want = {}
+    want: dict = {}
     for x in set(label.values()):
         members = [n for n in label if label[n] == x]
         if len(members) >= 2:
             want |= dict.fromkeys(members, min(members))
-    assert want and {r["path"]: r["community"] for r in graphs.communities(spark, SF).collect()} == want
+    return want
+
+
+def test_communities(spark):
+    want = plain_communities([tuple(r) for r in graphs.page_links(spark, SF).collect()])
+    assert len(set(want.values())) > 5 and {r["path"]: r["community"] for r in graphs.communities(spark, SF).collect()} == want
+
+
+def test_communities_of_one_component(spark):
+    rng = random.Random(3)
+    edges = [(f"n{i:02}", f"n{i + 1:02}") for i in range(18)] + [(f"n{rng.randrange(19):02}", f"n{rng.randrange(19):02}") for _ in range(14)]
+    for rounds in (1, 20):
+        got = graph.communities(spark.createDataFrame(edges, "from_path string, to_path string"), rounds).collect()
+        assert {r["path"]: r["community"] for r in got} == plain_communities(edges, rounds)
+    assert graph.communities(spark.createDataFrame([], "from_path string, to_path string")).count() == 0
+
+
+def test_falling_least_and_first_heads(spark):
+    rng = random.Random(4)
+    pairs = {tuple(sorted(rng.sample(range(60), 2))) for _ in range(70)} | {(i, i + 1) for i in range(60, 72)}
+    df = spark.createDataFrame(sorted(pairs), "low long, high long")
+    root, head = {}, {}
+    for n in sorted({x for p in pairs for x in p}):
+        root[n] = min([n, *[root[a] for a, b in pairs if b == n]])
+        head[n] = min((a for a, b in pairs if b == n and head[a] == a), default=n)
+    assert {r["node"]: r["root"] for r in graph.falling_least(df).collect()} == {n: r for n, r in root.items() if r != n}
+    assert {r["id"]: r["head"] for r in graph.first_heads(df).collect()} == head
+    assert graph.falling_least(df.limit(0)).count() == 0 == graph.first_heads(df.limit(0)).count()
+
+
+def test_facts_merge_equals_the_sequential_one(spark):
+    rng = random.Random(6)
+    kinds = "session long, seq long, title string, importance long, facts array<string>, type string, narrative string, extra string"
+    facts = [(s, i, rng.choice([" ".join(rng.sample("abcdefg", rng.randrange(0, 6))), None]) if i % 9 == 0 else " ".join(rng.sample("abcdefg", rng.randrange(1, 6))), rng.randrange(9), [f"f{rng.randrange(5)}"], rng.choice(["fact", "rule", None]), f"n{rng.randrange(3)}", "x") for s in (1, 2, None) for i in range(30)]
+    want = []
+    for s in (1, 2, None):
+        heads: list = []
+        for _, seq, title, importance, own, kind, told, _ in [f for f in facts if f[0] == s]:
+            words = set((title or "").split())
+            head = next((h for h in heads if words and h["words"] and jaccard(words, h["words"]) >= 0.5), None)
+            if head is None:
+                head = {"words": words, "row": [s, seq, title, 0, importance, [], kind, []]}
+                heads.append(head)
+            row = head["row"]
+            row[3:5] = [row[3] + 1, max(row[4], importance)]
+            row[5] += [x for x in own if x not in row[5]]
+            row[6] = kind if row[6] in (None, "fact") and kind not in (None, "fact") else row[6] or kind
+            row[7] += [told] * (told not in row[7])
+        want += [(*h["row"][:5], tuple(h["row"][5]), h["row"][6], "\n".join(h["row"][7])) for h in heads]
+    got = distill.merge_facts(spark.createDataFrame(facts, kinds), 0.5).collect()
+    assert sorted(((r["session"], r["seq"], r["title"], r["members"], r["importance"], tuple(r["facts"]), r["type"], r["narrative"]) for r in got), key=str) == sorted(want, key=str)
 
 
 def test_ranks_and_sums_by_ranges(spark):
