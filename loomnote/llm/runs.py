@@ -5,16 +5,18 @@ pairs (symbols are dealt to two sides, each left symbol before a right one joins
 levels of a run-length grammar. Equal stretches are parsed alike but for their ends, so the longest common extension of
 two places needs a step or two on each level: upwards until a symbol differs, then down again to the word that does.
 
-A run of period q and length 3 q at least covers a multiple i of q after whose q + 1 next words each equals the one
-q words on. So the candidates are the points i of the grid of every period (n / q of them: n log n in all) whose words
-agree at four such places; extensions of (i, i + q) to both sides, by the grammar, then give the run exactly. The same
-stretch under a multiple of its period is dropped. A run thus needs no suffix array, and no text is cut.
+A run of period q and length 3 q at least covers a multiple i of q whose q + 1 next words each equal the one q words
+on. So the candidates are the points i of the grid of every period (n / q of them: n log n in all) whose words agree
+at nine such places; extensions of (i, i + q) to both sides, by the grammar, then give the run exactly. Candidates
+inside a run under a multiple of its period would only give it again and are passed over. No suffix array is needed,
+and no text is cut.
 """
 
 from __future__ import annotations
 
 import functools
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,17 +28,18 @@ from .common import lean, release, small_batches, table
 
 #: Runs have this many words and this many periods at least.
 LEAST, POWER = 24, 3
-#: Symbols down to which a text is compressed; words up to which the grids of all periods are kept as one table; candidates extended at once.
-TOP, GRID, STEP = 8, 4096, 1 << 16
+#: Symbols down to which a text is compressed; words up to which the grids of all periods are kept as one table; candidates in one block; places compared at each.
+TOP, GRID, STEP, TESTS = 8, 1 << 14, 1 << 16, 9
 
 
 class Grammar:
-    """Levels of a text's recompression. starts[l]: where each symbol of level l begins (in words), and the end; names[l]: the symbols; blocks[l]: whether the step to level l + 1 joins blocks."""
+    """Levels of a text's recompression. starts[l]: where each symbol of level l begins (in words), and the end; names[l]: the symbols; blocks[l]: whether the step to level l + 1 joins blocks; rank: the highest level on which a symbol begins at a word."""
 
     def __init__(self, words: np.ndarray):
         names = np.append(words.astype(np.int64), words.max(initial=-1) + 1)  # an end that nothing equals
         starts = np.arange(len(names) + 1)
-        self.starts, self.names, self.blocks = [starts], [names], []
+        rank = np.zeros(len(starts), np.int64)
+        self.starts, self.names, self.blocks = [starts.tolist()], [names.tolist()], []
         block, turn = False, 0
         while len(names) > TOP:
             block, turn = not block, turn + 1
@@ -54,52 +57,35 @@ class Grammar:
                 key = names[at] * (int(rest.max()) + 1) + rest
                 names = np.unique(key, return_inverse=True)[1].astype(np.int64)
                 starts = np.append(starts[at], starts[-1])
-                self.starts.append(starts)
-                self.names.append(names)
+                self.starts.append(starts.tolist())
+                self.names.append(names.tolist())
                 self.blocks.append(block)
+                rank[starts] = len(self.blocks)
+        self.rank = rank.tolist()
 
-    def _step(self, level: int, x: np.ndarray, y: np.ndarray, back: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Whether the symbols next to x and y on a level, of which both are boundaries, are equal, and how many words they have in common as far as the next level is concerned."""
+    def _next(self, level: int, x: int, y: int, back: bool) -> int:
+        """How many words the symbols next to x and y, two boundaries of a level, have in common as far as the next level is concerned: 0 if the symbols differ."""
         starts, names = self.starts[level], self.names[level]
-        a, b = (np.searchsorted(starts, p) - back for p in (x, y))
-        inside = (a >= 0) & (b >= 0) & (a < len(names)) & (b < len(names))
-        a, b = np.where(inside, a, 0), np.where(inside, b, 0)
-        size = starts[a + 1] - starts[a]
-        if level < len(self.blocks) and self.blocks[level]:
-            upper = self.starts[level + 1]
-            if back:
-                left = [p - upper[np.maximum(np.searchsorted(upper, p) - 1, 0)] for p in (x, y)]
-            else:
-                left = [upper[np.minimum(np.searchsorted(upper, p, "right"), len(upper) - 1)] - p for p in (x, y)]
-            size = np.minimum(*left)
-        return inside & (names[a] == names[b]), size
-
-    def _boundary(self, level: int, x: np.ndarray) -> np.ndarray:
-        starts = self.starts[level]
-        return starts[np.minimum(np.searchsorted(starts, x), len(starts) - 1)] == x
-
-    def extension(self, x: np.ndarray, y: np.ndarray, back: bool = False) -> np.ndarray:
+        a, b = bisect_left(starts, x) - back, bisect_left(starts, y) - back
+        if min(a, b) < 0 or max(a, b) >= len(names) or names[a] != names[b]:
+            return 0
+        if level == len(self.blocks) or not self.blocks[level]:
+            return starts[a + 1] - starts[a]
+        # Of two blocks of one symbol the shorter rest.
+        upper = self.starts[level + 1]
+        if back:
+            return min(p - upper[bisect_left(upper, p) - 1] for p in (x, y))
+        return min(upper[bisect_right(upper, p)] - p for p in (x, y))
+
+    def extension(self, x: int, y: int, back: bool = False) -> int:
         """How many words from x and y on are equal (back: up to x and y, both left out)."""
-        sign, top = -1 if back else 1, len(self.blocks)
-        x, y, begin = x.astype(np.int64), y.astype(np.int64), x.copy()
-        failed = np.full(len(x), -1)
-        for level in range(top):
-            at = np.flatnonzero((failed < 0) & ~(self._boundary(level + 1, x) & self._boundary(level + 1, y)))
-            same, size = self._step(level, x[at], y[at], back)
-            move = sign * np.where(same, size, 0)
-            x[at] += move
-            y[at] += move
-            out = ~same | ~(self._boundary(level + 1, x[at]) & self._boundary(level + 1, y[at]))
-            failed[at[out]] = level
-        failed[failed < 0] = top
-        for level in range(top, -1, -1):
-            at = np.flatnonzero(failed >= level)
-            while len(at):
-                same, size = self._step(level, x[at], y[at], back)
-                at, move = at[same], sign * size[same]
-                x[at] += move
-                y[at] += move
-        return np.abs(x - begin)
+        sign, begin, rank = -1 if back else 1, x, self.rank
+        while size := self._next(level := min(rank[x], rank[y]), x, y, back):
+            x, y = x + sign * size, y + sign * size
+        for lower in range(level - 1, -1, -1):
+            while size := self._next(lower, x, y, back):
+                x, y = x + sign * size, y + sign * size
+        return abs(x - begin)
 
 
 @functools.cache
@@ -113,13 +99,15 @@ def _grid() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return i[order].astype(np.int32), q[order].astype(np.int32), (i + 2 * q)[order]
 
 
-def _candidates(w: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Grid points and periods whose words agree at the first, second, middle and last of q + 1 places, in blocks."""
+def _candidates(w: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Grid points and periods, in order of periods, whose words agree at some of the places where a run's must, in blocks."""
     n = len(w)
     if n <= GRID:
         i, q, last = _grid()
         end = np.searchsorted(last, n)
-        blocks = iter([(i[:end], q[:end])])
+        same = np.flatnonzero((w[i[:end]] == w[i[:end] + q[:end]]) & (w[i[:end] + q[:end]] == w[last[:end]]))
+        same = same[np.argsort(q[same], kind="stable")]
+        blocks = iter([(i[same], q[same])])
     else:
         def each() -> Iterator[tuple[np.ndarray, np.ndarray]]:
             held: list[tuple[np.ndarray, int]] = []
@@ -136,12 +124,15 @@ def _candidates(w: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
         blocks = each()
     for i, q in blocks:
-        for offset in (0, 1, None, -1):
-            t = q if offset == -1 else q // 2 if offset is None else offset
+        # The run may begin q - 1 words before i and has max(3 q, least) words at least.
+        sure = np.maximum(q, least - 2 * q)
+        inside = i + sure + q < n
+        i, q, sure = i[inside], q[inside], sure[inside]
+        for part in range(TESTS):
+            t = sure * part // (TESTS - 1)
             use = w[i + t] == w[i + t + q]
-            i, q = i[use], q[use]
-        for k in range(0, len(i), STEP):
-            yield i[k : k + STEP], q[k : k + STEP]
+            i, q, sure = i[use], q[use], sure[use]
+        yield i.astype(np.int64), q.astype(np.int64)
 
 
 def periodic_runs(w: np.ndarray, least: int = LEAST) -> np.ndarray:
@@ -149,17 +140,23 @@ def periodic_runs(w: np.ndarray, least: int = LEAST) -> np.ndarray:
     n, found, grammar = len(w), {}, None
     if n < least:
         return np.zeros((0, 3), np.int64)
-    for i, q in _candidates(w):
-        if not len(i):
-            continue
-        grammar = grammar or Grammar(w)
-        i, q = i.astype(np.int64), q.astype(np.int64)
-        before, after = grammar.extension(i, i + q, back=True), grammar.extension(i, i + q)
-        start, length = i - before, before + after + q
-        use = length >= np.maximum(least, POWER * q)
-        for s, m, p in np.unique(np.stack([start, length, q], axis=1)[use], axis=0).tolist():
-            found[s, m] = min(p, found.get((s, m), p))
-    return np.array(sorted((s, m, p) for (s, m), p in found.items()), np.int64).reshape(-1, 3)
+    for i, q in _candidates(w, least):
+        for (start, length), period in found.items():
+            fresh = (i < start) | (i + 2 * q > start + length) | (q % period != 0)
+            i, q = i[fresh], q[fresh]
+        while len(i):
+            grammar = grammar or Grammar(w)
+            at, period = int(i[0]), int(q[0])
+            before = grammar.extension(at, at + period, back=True)
+            start, length = at - before, before + grammar.extension(at, at + period) + period
+            if length >= max(least, POWER * period):
+                found.setdefault((start, length), period)  # periods come in order, and a multiple gives the same run again
+                fresh = (i < start) | (i + 2 * q > start + length) | (q % period != 0)
+            else:
+                fresh = (i < start) | (i + q > start + length) | (q != period)
+            fresh[0] = False
+            i, q = i[fresh], q[fresh]
+    return np.array(sorted((*place, period) for place, period in found.items()), np.int64).reshape(-1, 3)
 
 
 def looped(words: list[bytes], doc_id: int) -> list[bytes]:
