@@ -57,8 +57,9 @@ class Shingles:
         if len(self.known) > CACHE:
             self.known.clear()
         known = self.known
-        for w in set(words) - known.keys():
-            known[w] = xxhash.xxh3_64_intdigest(w)
+        for w in set(words):
+            if w not in known:
+                known[w] = xxhash.xxh3_64_intdigest(w)
         h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         if len(h) < self.size:  # the hash of no word stands for those that lack
             h = np.append(h, np.full(self.size - len(h), xxhash.xxh3_64_intdigest(b""), np.uint64))
