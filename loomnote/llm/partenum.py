@@ -8,12 +8,13 @@ linked sets share one. A set belongs to its own band, and to the next if partner
 
 Documents of equal sets are one class first. Signatures are shuffled once; what only one class has goes. Then
 
-1. in two rounds every class is compared with the one of the hubs (a member of a signature's bucket) that it shares
-   most signatures with; the links found are contracted to components,
-2. buckets that still hold several components are compared whole, in blocks of bounded size: parity bitmaps of the sets
-   (their differing bits are at most the sets' differing elements) leave few pairs of different components, which are
-   compared exactly, and contracted. Of two components the likeliest pairs come first, with more in each further round
-   until none was left out.
+1. every class is compared exactly with the one of the hubs (a member of a signature's bucket) that it shares most
+   signatures with, and the links found are contracted to components,
+2. the members of buckets that still hold several components are compared in blocks of bounded size by parity bitmaps
+   of their sets, whose differing bits are at most the sets' differing elements; every class is then compared exactly
+   with the likeliest partner that it has in another component, and links are contracted again,
+3. last all pairs of different components that the bitmaps leave are compared exactly. Of two components the likeliest
+   pairs of a bucket come first, with more in further rounds until none was left out.
 
 So no link between components is lost, and the copies of a large group are not expanded into all their pairs.
 """
@@ -31,8 +32,8 @@ from pyspark.sql import functions as F
 from .common import components, lean, release, small_batches, table, written
 
 SHINGLE, PERCENT = 3, 90
-#: Cells of a part, of which one may differ; rows of a broadcast at most; members of a bucket in one block; pairs of two components compared first; words whose hashes a task keeps.
-CELLS, SMALL, BLOCK, FIRST, CACHE = 3, 1 << 20, 1024, 32, 1 << 20
+#: Cells of a part, of which one may differ; rows of a broadcast at most; members of a bucket in one block; pairs of two components that a block offers first; rounds of likeliest partners; words whose hashes a task keeps.
+CELLS, SMALL, BLOCK, FIRST, ROUNDS, CACHE = 3, 1 << 20, 1024, 256, 1, 1 << 20
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
@@ -100,7 +101,7 @@ def signatures(found: np.ndarray, layout: list[tuple[int, int, int]], percent: i
 
 def parity(found: np.ndarray, percent: int) -> bytes:
     """A bitmap of a set, in which elements meet by exclusive or; its size is a power of two that grows with the set's."""
-    bits = 1 << max(6, (32 * len(found) * (100 - percent) // (100 + percent)).bit_length())
+    bits = 1 << max(6, (64 * len(found) * (100 - percent) // (100 + percent)).bit_length())
     count = np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
     return np.packbits((count & 1).astype(np.uint8), bitorder="little").tobytes()
 
@@ -186,8 +187,8 @@ def _folded(bits: list[bytes], group: np.ndarray) -> np.ndarray:
     return out
 
 
-def _close(members: DataFrame, percent: int, most: int) -> DataFrame:
-    """a, b, part_a, part_b, more: pairs of different components in a bucket's blocks (sig, i, j, block, cls, part, n, bits) whose bitmaps leave a link possible; of two components the ``most`` likeliest, more: whether there were others."""
+def _close(members: DataFrame, percent: int, most: int | None) -> DataFrame:
+    """a, b, differ, more: pairs of different components in a bucket's blocks (sig, i, j, block, cls, part, n, bits) whose bitmaps leave a link possible, and by how many bits they differ. Of two components the ``most`` likeliest, more: whether there were others; without ``most`` the likeliest of each class a."""
 
     def solve(rows: dict[str, list]) -> pa.RecordBatch:
         cols = {k: np.array(v) for k, v in rows.items() if k != "bits"}
@@ -204,17 +205,21 @@ def _close(members: DataFrame, percent: int, most: int) -> DataFrame:
             found.append(np.stack([at[use], at[use] + shift, differ[use]]))
             shift += 1
         one, other, differ = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
-        swap = cols["part"][one] > cols["part"][other]
-        one, other = np.where(swap, other, one), np.where(swap, one, other)
-        keys = (differ, cols["part"][other], cols["part"][one], group[one])
+        if most is None:
+            one, other, differ = np.append(one, other), np.append(other, one), np.append(differ, differ)
+            keys = (cols["cls"][other], differ, one)
+        else:
+            swap = cols["part"][one] > cols["part"][other]
+            one, other = np.where(swap, other, one), np.where(swap, one, other)
+            keys = (differ, cols["part"][other], cols["part"][one], group[one])
         order = np.lexsort(keys)
-        one, other = one[order], other[order]
-        key = np.stack([k[order] for k in keys[1:]], axis=1)
+        one, other, differ = one[order], other[order], differ[order]
+        key = np.stack([k[order] for k in (keys[2:] if most is None else keys[1:])], axis=1)
         head = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(axis=1))) if len(key) else np.zeros(0, np.int64)
         size = np.diff(np.append(head, len(key)))
-        use = np.arange(len(key)) - np.repeat(head, size) < most
-        values = [cols["cls"][one], cols["cls"][other], cols["part"][one], cols["part"][other], np.repeat(size > most, size)]
-        return pa.RecordBatch.from_arrays([pa.array(v[use]) for v in values], ["a", "b", "part_a", "part_b", "more"])
+        use = np.arange(len(key)) - np.repeat(head, size) < (most or 1)
+        values = [cols["cls"][one], cols["cls"][other], differ, np.repeat(size > (most or 1), size)]
+        return pa.RecordBatch.from_arrays([pa.array(v[use]) for v in values], ["a", "b", "differ", "more"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean()
@@ -234,12 +239,12 @@ def _close(members: DataFrame, percent: int, most: int) -> DataFrame:
         release()
 
     sorted_ = members.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "cls")
-    return sorted_.select("sig", "i", "j", "block", "cls", "part", "n", "bits").mapInArrow(run, "a long, b long, part_a long, part_b long, more boolean")
+    return sorted_.select("sig", "i", "j", "block", "cls", "part", "n", "bits").mapInArrow(run, "a long, b long, differ long, more boolean")
 
 
-def _mixed(members: DataFrame, parts: DataFrame | None) -> DataFrame:
+def _mixed(members: DataFrame, parts: DataFrame) -> DataFrame:
     """Members of buckets that hold several components: sig, cls, n, part, size."""
-    named = members.withColumn("part", F.col("cls")) if parts is None else members.join(parts.select(F.col("node").alias("cls"), "root"), "cls", "left").select("sig", "cls", "n", F.coalesce("root", "cls").alias("part"))
+    named = members.join(parts.select(F.col("node").alias("cls"), "root"), "cls", "left").select("sig", "cls", "n", F.coalesce("root", "cls").alias("part"))
     named = written(named, "partenum-named")
     sizes = named.groupBy("sig").agg(F.count("*").alias("size"), F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("sig", "size")
     return named.join(sizes, "sig")
@@ -247,27 +252,24 @@ def _mixed(members: DataFrame, parts: DataFrame | None) -> DataFrame:
 
 def link_components(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """node, root of all classes that link to another; members: sig, cls, n, the classes that share signatures."""
-    links, parts = None, None
-    for turn in range(2):
-        mixed = written(_mixed(members, parts), "partenum-mixed")
-        hub = mixed.groupBy("sig").agg(F.min_by(F.struct(F.col("cls").alias("hub"), F.col("part").alias("hub_part")), F.xxhash64(F.lit(turn), "cls")).alias("h")).select("sig", "h.*")
-        shared = mixed.join(hub, "sig").where("part <> hub_part").groupBy("cls", "hub").agg(F.count("*").alias("n"))
-        best = shared.groupBy("cls").agg(F.max_by("hub", F.struct("n", "hub")).alias("hub"))
-        found = _linked(best.select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct(), sets, percent)
-        links = written(found if links is None else links.unionByName(found), "partenum-links")
-        parts = components(links, "partenum-parts")
-    most = FIRST
+    hub = members.groupBy("sig").agg(F.min_by("cls", F.xxhash64("cls")).alias("hub"))
+    shared = members.join(hub, "sig").where("cls <> hub").groupBy("cls", "hub").agg(F.count("*").alias("n"))
+    best = shared.groupBy("cls").agg(F.max_by("hub", F.struct("n", "hub")).alias("hub"))
+    links = written(_linked(best.select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct(), sets, percent), "partenum-links")
+    parts, turn, most = components(links, "partenum-parts"), 0, FIRST
     while True:
+        whole = turn >= ROUNDS
         blocks = F.ceil(F.col("size") / BLOCK).cast("long")
         mixed = _mixed(members, parts).withColumn("blocks", blocks).withColumn("block", F.expr("pmod(xxhash64(cls), blocks)"))
         dealt = mixed.withColumn("o", F.explode(F.expr("sequence(0L, blocks - 1)"))).withColumns({"i": F.least("block", "o"), "j": F.greatest("block", "o")})
-        near = written(_close(dealt.join(sets.select("cls", "bits"), "cls"), percent, most), "partenum-near")
-        found = _linked(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets, percent)
+        near = written(_close(dealt.join(sets.select("cls", "bits"), "cls"), percent, most if whole else None), "partenum-near")
+        pairs = near if whole else near.groupBy("a").agg(F.min_by("b", F.struct("differ", "b")).alias("b"))
+        found = _linked(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets, percent)
         links = written(links.unionByName(found), "partenum-links")
         parts = components(links, "partenum-parts")
-        if near.where("more").isEmpty():
+        if whole and near.where("more").isEmpty():
             return parts
-        most *= 16
+        turn, most = turn + 1, most * 16 if whole else most
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
