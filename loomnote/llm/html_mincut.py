@@ -144,6 +144,7 @@ def blocks(page: str) -> list[Block]:
     stack = Stack()
     parts: list[str] = []
     linked = links = number = at = 0
+    unclosed: set[str] = set()  # raw elements that no end tag follows any more: not searched for again
 
     def flush() -> None:
         nonlocal linked
@@ -178,7 +179,9 @@ def blocks(page: str) -> list[Block]:
                 links = max(0, links - 1)
             stack.close(tag)
         elif tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            end = None if tag in unclosed else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            if not end:
+                unclosed.add(tag)
             at = end.end() if end else len(page) if tag in ("script", "style") else at
         else:
             if tag in BREAKS:
