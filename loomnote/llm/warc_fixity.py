@@ -39,8 +39,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
     Spark's text reader cuts files where "WARC/1." stands, plain ones split by split, gzip ones as a stream. The
     pieces of a file are put in order and joined to records by the lengths that their headers give, one record in
-    memory at a time. A record without a length, or cut short, ends where the next piece begins. Files and records
-    that repeat each count; no file gives no row.
+    memory at a time. A record without a length, or cut short, ends where the next piece begins. file is the path below
+    ``path``, so files of one name in several folders stay apart; no file gives no row.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,7 +73,9 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         release()
 
     pieces = small_batches(spark.read.option("recursiveFileLookup", True).option("lineSep", _START).text(path))
-    pieces = pieces.select(F.col("_metadata.file_name").alias("file"), F.col("value").cast("binary").alias("piece"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("n"))
+    whole = F.col("_metadata.file_path")
+    below = F.when(F.contains(whole, F.lit(f"{path.rstrip('/')}/")), F.substring_index(whole, f"{path.rstrip('/')}/", -1)).otherwise(F.col("_metadata.file_name"))
+    pieces = pieces.select(below.alias("file"), F.col("value").cast("binary").alias("piece"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("n"))
     return pieces.repartition("file").sortWithinPartitions("file", "split", "n").select("file", "piece").mapInArrow(run, "file string, offset long, record binary")
 
 

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 from fractions import Fraction
 
@@ -11,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomnote.llm import fim, partenum, runs
+from loomnote.llm import fim, html_mincut, partenum, runs, warc_fixity
 from tests.conftest import SF
 
 from .test_ops import DOCS, ODD, WORDS
@@ -157,7 +158,7 @@ def plain_runs(w, least=24):
     return sorted((s, m, q) for (s, m), q in found.items())
 
 
-@pytest.mark.parametrize("grid", [16, 4096])
+@pytest.mark.parametrize("grid", [16, 1 << 14])
 def test_runs_equal_brute_force(monkeypatch, grid):
     monkeypatch.setattr(runs, "GRID", grid)
     runs._grid.cache_clear()
@@ -179,10 +180,9 @@ def test_grammar_extensions():
     for kinds, n in itertools.product([1, 2, 5, 100], [2, 9, 64, 333]):
         w = np.array([rng.randrange(kinds) for _ in range(n)] * 2)
         pairs = [(x, y) for x, y in ((rng.randrange(2 * n), rng.randrange(2 * n)) for _ in range(50)) if x != y] + [(0, n)]
-        x, y = (np.array(c) for c in zip(*pairs, strict=True))
         grammar = runs.Grammar(w)
-        forth, back = grammar.extension(x, y), grammar.extension(x, y, back=True)
-        for (a, b), f, r in zip(pairs, forth, back, strict=True):
+        for a, b in pairs:
+            f, r = grammar.extension(a, b), grammar.extension(a, b, back=True)
             assert f == next((k for k in itertools.count() if max(a, b) + k >= len(w) or w[a + k] != w[b + k]), None)
             assert r == next((k for k in itertools.count() if min(a, b) - k <= 0 or w[a - 1 - k] != w[b - 1 - k]), None)
 
@@ -215,3 +215,24 @@ def test_runs_odd_and_empty(spark, odd):
     assert runs.word_runs(odd.limit(0)).count() == 0
     same = spark.createDataFrame([(None, "w " * 5000), (1, None)], "doc_id long, text string")
     assert [([tuple(x) for x in r["runs"]], r["collapsed"]) for r in runs.word_runs(same).orderBy("n_words").collect()] == [([], ""), ([(0, 5000, 1)], "w")]
+
+
+# op7 and op10
+
+
+def test_pages_of_unclosed_elements_take_linear_time():
+    began = time.perf_counter()
+    for tag in sorted(html_mincut.RAW):
+        found = html_mincut.blocks("<p>text</p>" + f"<{tag}>" * (1_000_000 // (len(tag) + 2)) + "<p>more</p>")
+        assert found[0].text == "text"
+    assert time.perf_counter() - began < 120
+
+
+def test_warc_files_of_one_name(spark, tmp_path):
+    page = spark.createDataFrame([(i, f"http://{i}", "x" * i) for i in range(4)], "page_id long, url string, html string")
+    records = [r["r"].encode() for r in page.select(warc_fixity.warc_record(F.col("page_id"), F.col("url"), F.col("html")).alias("r")).collect()]
+    for folder, own in (("a", records[:2]), ("b", records[2:])):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "x.warc").write_bytes(b"".join(own))
+    got = sorted((r["file"], r["offset"], bytes(r["record"])) for r in warc_fixity.read_warc(spark, str(tmp_path)).collect())
+    assert got == [("a/x.warc", 0, records[0]), ("a/x.warc", len(records[0]), records[1]), ("b/x.warc", 0, records[2]), ("b/x.warc", len(records[2]), records[3])]
