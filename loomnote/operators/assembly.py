@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from .order import running
 from . import distill
+from .apply import covers
 
 TURN = r"(?m)^## \[\d{2}:\d{2}:\d{2}\] "
 FACT = "title string, facts array<string>, narrative string, concepts array<string>, files array<string>, importance double"
@@ -87,17 +88,18 @@ def topic_overlap(topics: Column, names: Column) -> Column:
 def steered(ops: DataFrame, pages: DataFrame) -> DataFrame:
     """path, seq, outcome of operations (path, seq, kind, body) on pages (path, body): apply, skip (nothing new), stage for review, or reject (rewrite of no page).
 
-    A rewrite that keeps less than nine tenths of the page's anchors is staged, one with the same text applies.
+    A rewrite that keeps too few of the page's anchors of any kind is staged, one with the same prose applies. To a
+    page with prose only dated events are added; what else is new is staged.
     """
-    rows = ops.join(pages.select("path", F.col("body").alias("old")), "path", "left")
-    norm = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
-    lines = lambda c: F.filter(F.transform(F.split(F.lower(c), "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    fresh = F.size(F.array_except(lines(F.col("body")), lines(F.col("old")))) > 0
-    dated = F.col("body").rlike(r"(?m)^#{1,6}\s*\[?\d{4}-\d{2}-\d{2}")
-    keeps = distill.coverage(distill.anchors(F.col("old")), distill.anchors(F.col("body"))) >= 0.9
-    rewrite = F.when(F.col("old").isNull(), "reject").when(norm(F.col("old")) == norm(F.col("body")), "apply").when(keeps, "apply").otherwise("stage")
-    add = F.when(F.col("old").isNull() | (F.trim("old") == ""), "apply").when(~fresh, "skip").when((F.col("kind") == "append") & dated, "apply").otherwise("stage")
-    return rows.select("path", "seq", F.when(F.col("kind") == "rewrite", rewrite).when(F.col("kind").isin("write", "append"), add).otherwise("apply").alias("outcome"))
+    rows = ops.join(pages.select("path", F.col("body").alias("old")), "path", "left").withColumn("__op", F.struct("path", "seq"))
+    adds = rows.where("kind IN ('write', 'append') AND old IS NOT NULL")
+    fresh = distill.net_new(adds.select("__op", "body"), adds.select("__op", F.col("old").alias("body")), "__op").select("__op", F.lit(True).alias("__new"))
+    dated = distill.strip(F.col("body")).rlike(r"(?m)^##\s+\d{4}-\d{2}-\d{2}\b")
+    before, after = distill.anchors_by_kind(F.coalesce("old", F.lit(""))), distill.anchors_by_kind(F.col("body"))
+    keeps = covers(lambda k: distill.coverage(before[k], after[k]))
+    rewrite = F.when(F.col("old").isNull(), "reject").when((distill.prose(F.col("old")) == distill.prose(F.col("body"))) | keeps, "apply").otherwise("stage")
+    add = F.when(F.col("old").isNull() | (distill.prose(F.col("old")) == ""), "apply").when(F.col("__new").isNull(), "skip").when((F.col("kind") == "append") & dated, "apply").otherwise("stage")
+    return rows.join(fresh, "__op", "left").select("path", "seq", F.when(F.col("kind") == "rewrite", rewrite).when(F.col("kind").isin("write", "append"), add).otherwise("apply").alias("outcome"))
 
 
 def blessed(current: DataFrame, baseline: DataFrame, records: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..storage import written
 from . import graph, resolve
 from .order import rank
@@ -214,11 +215,29 @@ def density(edges: DataFrame, projects: DataFrame) -> DataFrame:
     return sized.join(inside, "project", "left").select("project", "nodes", F.coalesce("edges", F.lit(0)).alias("edges"), F.round(F.coalesce("edges", F.lit(0)) / (F.col("nodes") * (F.col("nodes") - 1)), 6).alias("density"))
 
 
-def operation_key(operation: Column) -> Column:
-    """Key of an operation in the journal: the hash of its JSON, a map's keys in order."""
-    return F.sha2(F.to_json(F.map_from_entries(F.array_sort(F.map_entries(operation)))), 256)
+def discovered_threads(pages: DataFrame, edges: DataFrame, threads: DataFrame, least: int = 3, most: int = 10) -> DataFrame:
+    """cluster, members, title, slug, raw, outcome of the clusters of pages that could become threads: pages (path, title, kind, category), edges (from_path, to_path), threads (thread, target: what live threads relate to).
 
-
-def not_applied(operations: DataFrame, journal: DataFrame) -> DataFrame:
-    """Operations (column op, a map) whose key the journal (key) does not have, each once."""
-    return operations.withColumn("key", operation_key(F.col("op"))).dropDuplicates(["key"]).join(journal.select("key"), "key", "left_anti")
+    Clusters are communities of at least ``least`` wiki pages other than threads over the edges between them. One with a
+    member that a thread has is "represented", one that no raw page is tied to has "no raw references"; of the others
+    the ``most`` largest (ties: first members by name) are "proposed" and the rest "later". members and raw are paths in
+    order, title the members' titles in order. Pages without a title go by the last step of their path.
+    """
+    entity = pages.where("kind = 'wiki' AND category <> 'threads'").select("path")
+    ends = lambda name: entity.withColumnRenamed("path", name)
+    own = edges.join(ends("from_path"), "from_path", "left_semi").join(ends("to_path"), "to_path", "left_semi")
+    found = written(graph.communities(own.select("from_path", "to_path"), least=least), "threads-found")
+    titled = found.join(pages.select("path", F.coalesce(F.nullif("title", F.lit("")), F.element_at(F.split("path", "/"), -1)).alias("title")), "path")
+    clusters = titled.groupBy("community").agg(F.array_sort(F.collect_list("path")).alias("members"), F.array_sort(F.collect_list("title")).alias("titles"))
+    told = found.join(threads.select(F.col("target").alias("path")).distinct(), "path", "left_semi").select("community").distinct().withColumn("told", F.lit(True))
+    raw = pages.where("kind = 'raw'").select(F.col("path").alias("raw"))
+    ways = edges.select(F.col("from_path").alias("raw"), F.col("to_path").alias("path")).union(edges.select("to_path", "from_path"))
+    cited = ways.join(raw, "raw", "left_semi").join(found, "path").groupBy("community").agg(F.array_sort(F.collect_set("raw")).alias("raw"))
+    rows = clusters.join(told, "community", "left").join(cited, "community", "left")
+    why = F.when(F.col("told"), "represented").when(F.col("raw").isNull(), "no raw references")
+    judged = written(rows.withColumn("why", why), "threads-judged")
+    best = judged.where("why IS NULL").orderBy(F.desc(F.size("members")), "community").limit(most).select("community", F.lit("proposed").alias("best"))
+    title = F.array_join("titles", " / ")
+    return judged.join(best, "community", "left").select(
+        F.col("community").alias("cluster"), "members", title.alias("title"), T.slug(F.array_join("titles", " ")).alias("slug"), F.coalesce("raw", F.array().cast("array<string>")).alias("raw"), F.coalesce("why", "best", F.lit("later")).alias("outcome"),
+    )

@@ -55,6 +55,33 @@ def anchors(text: Column) -> Column:
     return F.array_distinct(found)
 
 
+#: The heading of a dated update, and what a text's anchors of each kind look like.
+UPDATE = r"(?i)^##\s+\d{4}-\d{2}-\d{2}\s+update\b"
+LINK, CODE = r"\[\[([^\]\n]+)\]\]", "`([^`\\n]+)`"
+NAME = r"(?<![A-Za-z0-9_])((?:[A-Z][A-Za-z0-9]*(?:\s+[A-Z][A-Za-z0-9]*)*|[A-Za-z]+[A-Z][A-Za-z0-9]*))(?![A-Za-z0-9_])"
+
+
+def strip(text: Column) -> Column:
+    """text without white space at its ends, line ends included."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def anchor_key(value: Column) -> Column:
+    """What anchors are compared by: slashes one way, without wiki/ and .md, trimmed, in lower case."""
+    plain = F.regexp_replace(F.regexp_replace(F.replace(value, F.lit("\\"), F.lit("/")), "^wiki/", ""), r"(?i)\.md$", "")
+    return F.lower(F.trim(plain))
+
+
+def anchors_by_kind(text: Column) -> dict[str, Column]:
+    """Distinct keys of a text's links, code (paths and dotted names only) and names (capitalised or mixed-case words, longer than two signs), each an array."""
+    every = lambda pattern: F.transform(F.regexp_extract_all(text, F.lit(pattern), 1), strip)
+    links = F.transform(every(LINK), lambda x: F.trim(F.get(F.split(x, r"\|"), F.lit(0))))
+    prose = F.array_join(F.filter(F.split(text, r"\r?\n"), lambda line: ~F.trim(line).rlike(UPDATE)), "\n")
+    names = F.transform(F.regexp_extract_all(prose, F.lit(NAME), 1), strip)
+    found = {"links": F.filter(links, lambda x: x != ""), "code": F.filter(every(CODE), lambda x: x.rlike(r"[\\/._-]")), "names": F.filter(names, lambda x: F.length(x) > 2)}
+    return {kind: F.array_distinct(F.transform(values, anchor_key)) for kind, values in found.items()}
+
+
 def coverage(before: Column, after: Column) -> Column:
     """Share of the earlier anchors that are still there; 1 without any."""
     return F.when(F.size(before) == 0, 1.0).otherwise(F.size(F.array_intersect(before, after)) / F.size(before))
@@ -66,6 +93,51 @@ def net_new_lines(new: DataFrame, old: DataFrame, key: str) -> DataFrame:
     return lines(new).join(lines(old).select(key, "norm").distinct(), [key, "norm"], "left_anti").select(key, "line")
 
 
+def prose(text: Column) -> Column:
+    """A text as prose is compared: without heading and list signs, blanks collapsed, in lower case."""
+    signs = F.regexp_replace(F.regexp_replace(text, r"(?m)^#+\s+", ""), r"[`*_~\[\]()#>:.-]+", " ")
+    return F.lower(F.trim(F.regexp_replace(signs, r"\s+", " ")))
+
+
+def _blocks(text: Column) -> Column:
+    return F.filter(F.transform(F.split(text, r"\n\s*\n"), strip), lambda b: b != "")
+
+
+def net_new(new: DataFrame, old: DataFrame, key: str, least: int = 80) -> DataFrame:
+    """key, fresh: what of each new text (key, body) the old texts of its key (key, body) don't say yet; keys with nothing new are left out.
+
+    Blocks (between blank lines) and lines go whose prose an old block or line equals, or of whose distinct words
+    (longer than two signs) an old block or line has ``least`` percent; so do those without words and headings of dated
+    updates. What stays is joined again, lines by line ends, blocks by blank lines.
+
+    The containment is a join: of m words, more than m - least * m / 100 cannot be missing, so such a block or line has
+    one of its so many rarest words in common with the old one; only these are looked up, and the old texts' equal word
+    sets are one. One row per key is taken from new; a key without old text is new as a whole. Null texts have nothing.
+    """
+    words = lambda c: F.array_distinct(F.filter(F.split(prose(c), " "), lambda w: F.length(w) > 2))
+    lines = lambda c: F.transform(F.split(c, r"\r?\n"), strip)
+    undated = F.array_join(F.filter(F.split("body", r"\r?\n"), lambda line: ~F.trim(line).rlike(UPDATE)), "\n")
+    blocks = new.select(key, F.posexplode(_blocks(undated)).alias("block", "text"))
+    parts = F.concat(F.array(F.struct(F.lit(-1).alias("line"), F.col("text").alias("part"))), F.transform(lines(F.col("text")), lambda x, i: F.struct(i.alias("line"), x.alias("part"))))
+    pieces = blocks.select(key, "block", F.explode(parts).alias("p")).select(key, "block", "p.*")
+    pieces = written(pieces.withColumns({"norm": prose(F.col("part")), "words": words(F.col("part"))}).where("norm <> '' AND size(words) > 0").withColumn("id", F.monotonically_increasing_id()), "net-new-pieces")
+    had = old.select(key, F.explode(F.concat(F.transform(_blocks(F.col("body")), lambda b: F.struct(F.lit(True).alias("whole"), b.alias("part"))), F.transform(lines(F.col("body")), lambda x: F.struct(F.lit(False).alias("whole"), x.alias("part"))))).alias("p"))
+    had = written(had.select(key, "p.whole", prose(F.col("p.part")).alias("norm"), F.array_sort(words(F.col("p.part"))).alias("known")).where("norm <> ''").distinct(), "net-new-known")
+    equal = pieces.join(had, (pieces[key] == had[key]) & (pieces["norm"] == had["norm"]) & ((pieces["line"] < 0) == had["whole"]), "left_semi").select("id")
+    sets = written(had.where("size(known) > 0").select(key, "known").distinct().withColumn("set", F.monotonically_increasing_id()), "net-new-sets")
+    index = sets.select(key, "set", F.explode("known").alias("word"))
+    count = index.groupBy(key, "word").agg(F.count("*").alias("n"))
+    sized = pieces.select(key, "id", F.size("words").alias("m"), F.explode("words").alias("word")).join(count, [key, "word"], "left")
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("n", F.lit(0)), "word"))
+    rare = sized.withColumn("place", place).where(F.col("place") <= F.col("m") - F.ceil(F.col("m") * least / 100) + 1).where("n IS NOT NULL").select(key, "id", "word")
+    met = rare.join(index, [key, "word"]).select("id", "set").distinct().join(pieces.select("id", "words"), "id").join(sets.select("set", "known"), "set")
+    covered = met.where(100 * F.size(F.array_intersect("words", "known")) >= least * F.size("words")).select("id")
+    left = pieces.join(equal.union(covered).distinct(), "id", "left_anti")
+    said = left.where("line < 0").select(key, "block").join(left.where("line >= 0").groupBy(key, "block").agg(F.array_sort(F.collect_list(F.struct("line", "part"))).alias("kept")), [key, "block"])
+    whole = said.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("block", F.array_join(F.transform("kept", lambda x: x["part"]), "\n").alias("text")))).alias("b"))
+    return whole.select(key, F.array_join(F.transform("b", lambda x: x["text"]), "\n\n").alias("fresh"))
+
+
 def token_windows(docs: DataFrame, size: int = 384, overlap: int = 48, id_col: str = "doc_id", text_col: str = "body") -> DataFrame:
     """id, ordinal, first token (from 0), n_tokens: windows of white-space tokens."""
     n = F.size(F.filter(F.split(F.col(text_col), r"\s+"), lambda x: x != ""))
@@ -134,19 +206,22 @@ def chunks(docs: DataFrame, size: int = 384, overlap: int = 48, id_col: str = "d
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInPandas(run, f"id {kind}, ordinal int, heading string, byte_start long, byte_end long, text string").withColumnRenamed("id", id_col)
 
 
+def joined_body(left: Column, right: Column) -> Column:
+    """Two bodies with a blank line between them, ended by a line end."""
+    first, second = F.regexp_replace(left, r"\s+$", ""), strip(right)
+    return F.concat(F.when(first == "", second).when(second == "", first).otherwise(F.concat(first, F.lit("\n\n"), second)), F.lit("\n"))
+
+
 def merge_operations(ops: DataFrame) -> DataFrame:
     """path, kind, content of operations (path, seq, kind, content) on the same page, folded in order of seq.
 
-    append after write joins the write, two appends join, a rewrite replaces what came before it and stays, of two
-    writes the first stays, a write after an append is appended.
+    A rewrite replaces what came before it, and takes nothing that comes after. An append joins the write or append
+    before it, bodies with a blank line between them. Of two writes the first stays, as does an append before a write.
     """
     def step(acc: Column, x: Column) -> Column:
-        joined = F.concat(acc["content"], F.lit("\n"), x["content"])
-        keep = (acc["kind"] == "rewrite") | ((acc["kind"] == "write") & (x["kind"] == "write"))
-        return (
-            F.when(acc["kind"].isNull() | (x["kind"] == "rewrite") & (acc["kind"] != "rewrite"), F.struct(x["kind"].alias("kind"), x["content"].alias("content")))
-            .when(keep, acc).otherwise(F.struct(acc["kind"].alias("kind"), joined.alias("content")))
-        )
+        taken = F.struct(x["kind"].alias("kind"), x["content"].alias("content"))
+        joined = F.struct(acc["kind"].alias("kind"), joined_body(acc["content"], x["content"]).alias("content"))
+        return F.when(acc["kind"].isNull() | (x["kind"] == "rewrite"), taken).when((acc["kind"] != "rewrite") & (x["kind"] == "append"), joined).otherwise(acc)
 
     none = F.struct(F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("content"))
     folded = ops.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("seq", "kind", "content"))).alias("ops")).select("path", F.aggregate("ops", none, step).alias("m"))

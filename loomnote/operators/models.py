@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import hashlib
+import json
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
+from ..functions import text as T
+from ..storage import written
 from . import assembly, vector
 
 Embedder = Callable[[list[str]], list[list[float]]]
@@ -43,19 +48,36 @@ def supported(reply: Column, truncated: Column) -> Column:
     return ~F.coalesce(truncated, F.lit(False)) & F.coalesce(verdict != "false", F.lit(True))
 
 
+#: Fixed value: what stands where a text was cut, with the number of bytes that are gone.
+ELIDED = "\n\n\u2026 [{}bytes elided] \u2026\n\n"
+
+
 def middle_cut(text: str, most: int) -> str:
-    """A text of at most ``most`` bytes in UTF-8: two fifths of the room from its start, the rest from its end, a mark between."""
-    raw, mark = text.encode(), b"\n[...]\n"
+    """A text of at most ``most`` bytes in UTF-8: two fifths of the room from its start, the rest from its end, between them a mark that counts what is gone; no character is cut."""
+    raw = text.encode()
     if len(raw) <= most:
         return text
-    room = max(0, most - len(mark))
-    head, tail = raw[: room * 2 // 5].decode(errors="ignore"), raw[len(raw) - (room - room * 2 // 5) :].decode(errors="ignore") if room else ""
-    return (head + mark.decode() + tail) if most >= len(mark) else raw[:most].decode(errors="ignore")
+    mark = ELIDED.format("").encode()
+    while True:
+        room = most - len(mark)
+        if room <= 0:
+            return mark[: max(0, most)].decode(errors="ignore")
+        first = room * 2 // 5
+        head, tail = raw[:first].decode(errors="ignore").encode(), raw[len(raw) - (room - first) :].decode(errors="ignore").encode()
+        told = ELIDED.format(f"{len(raw) - len(head) - len(tail)} ").encode()
+        if len(head) + len(told) + len(tail) <= most:
+            return (head + told + tail).decode()
+        mark = told
+
+
+def truncate_middle(text: str | Column, most: int) -> Column:
+    """``middle_cut`` of a column; null for null."""
 
+    @F.pandas_udf(StringType())
+    def cut(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else middle_cut(t, most) for t in texts])
 
-@F.pandas_udf("string")
-def truncate_middle(text: pd.Series, most: pd.Series) -> pd.Series:
-    return pd.Series([None if t is None else middle_cut(t, int(m)) for t, m in zip(text, most, strict=True)])
+    return cut(text)
 
 
 def byte_chunks(text: str, most: int) -> list[str]:
@@ -92,3 +114,78 @@ def session_chunks(logs: DataFrame, most: int, key: str, text: str) -> DataFrame
 
     kind = logs.schema[key].dataType.simpleString()
     return logs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, f"k {kind}, chunk int, text string").withColumnRenamed("k", key)
+
+
+#: A chat model: prompts of a batch in, for each its answer, whether it was cut short, and the tokens it took.
+Chat = Callable[[list[str]], list[tuple[str, bool, int]]]
+
+
+def line_model(prompts: list[str]) -> list[tuple[str, bool, int]]:
+    """A stand-in for extraction: of the text after the prompt's first line the lines that name what the first line names, as facts."""
+    out = []
+    for prompt in prompts:
+        entity, _, text = prompt.partition("\n")
+        facts = [line.strip() for line in text.split("\n") if entity.lower() in line.lower()]
+        out.append(("```json\n" + json.dumps({"facts": facts}) + "\n```", False, len(prompt.encode()) // 4))
+    return out
+
+
+def line_chunks(text: str, most: int) -> list[str]:
+    """A text's lines packed to at most ``most`` bytes in UTF-8, a longer line alone; a text that fits stays whole."""
+    if len(text.encode()) <= most:
+        return [text]
+    out, size = [], 0
+    for line in re.split(r"\r?\n", text):
+        more = len(line.encode())
+        if out and size + 1 + more <= most:
+            out[-1].append(line)
+            size += 1 + more
+        else:
+            out.append([line])
+            size = more
+    return [c for c in ("\n".join(x) for x in out) if c.strip()]
+
+
+def extracted_facts(ranges: DataFrame, chat: Chat, cache: DataFrame | None = None, most_bytes: int = 20_000) -> tuple[DataFrame, DataFrame]:
+    """Facts about entities in ranges of raw texts (path, start, end, entity, text), and the cache after it.
+
+    First: path, start, end, entity, facts, truncated, from_cache, tokens, in no order. Second: path, start, end, entity,
+    facts, tokens: what the cache (of such rows) had and what is new. A range goes to the model only if the cache has
+    not its path, bytes and entity, compared without case and signs; of ranges that repeat those one goes. Texts are
+    sent by lines in chunks, which are rows of their own, so a long text is no single task; facts are those before the
+    first answer that was cut short, each once whatever its case and blanks, in order. A range with such an answer is
+    truncated and not cached. Unreadable answers give no facts; null texts count as empty.
+    """
+    key = ["path", "start", "end", "name"]
+    kind = "path string, start long, end long, entity string, facts array<string>, tokens long"
+    known = cache if cache is not None else ranges.sparkSession.createDataFrame([], kind)
+    known = known.withColumn("name", T.entity_key(F.col("entity")))
+    rows = ranges.select(F.replace("path", F.lit("\\"), F.lit("/")).alias("path"), "start", "end", "entity", F.coalesce("text", F.lit("")).alias("text")).withColumn("name", T.entity_key(F.col("entity"))).dropDuplicates(key)
+    missing = rows.join(known.select(*key).distinct(), key, "left_anti")
+
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            chunks = [line_chunks(t, most_bytes) for t in f["text"]]
+            yield f.drop(columns="text").assign(chunk=[list(enumerate(c)) for c in chunks]).explode("chunk").dropna(subset=["chunk"]).assign(n=lambda d: [c[0] for c in d["chunk"]], prompt=lambda d: [f"{e}\n{c[1]}" for e, c in zip(d["entity"], d["chunk"], strict=True)]).drop(columns="chunk")
+
+    def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            said = chat(f["prompt"].tolist())
+            yield f.drop(columns="prompt").assign(reply=[s[0] for s in said], truncated=[s[1] for s in said], tokens=[s[2] for s in said])
+
+    ids = "path string, start long, end long, entity string, name string, n int"
+    asked = missing.select("path", "start", "end", "entity", "name", "text").mapInPandas(cut, f"{ids}, prompt string").repartition("path", "start", "end", "n").mapInPandas(ask, f"{ids}, reply string, truncated boolean, tokens long")
+    asked = written(asked, "facts-answers")
+    found = F.coalesce(F.from_json(assembly.json_in(F.col("reply")), "facts array<string>")["facts"], F.array().cast("array<string>"))
+    each = asked.withColumn("first", F.min(F.when(F.col("truncated"), F.col("n"))).over(Window.partitionBy(*key)))
+    facts = each.where("first IS NULL OR n < first").select(*key, "n", F.posexplode(F.filter(F.transform(found, F.trim), lambda x: x != "")).alias("at", "fact"))
+    once = facts.groupBy(*key, F.lower(F.regexp_replace("fact", r"\s+", " ")).alias("plain")).agg(F.min(F.struct("n", "at", "fact")).alias("f"))
+    listed = once.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list("f")), lambda x: x["fact"]).alias("facts"))
+    whole = each.groupBy(*key).agg(F.bool_or("truncated").alias("truncated"), F.sum("tokens").alias("tokens"))
+    none = F.array().cast("array<string>")
+    fresh = missing.select(*key, "entity").join(listed, key, "left").join(whole, key, "left").select(*key, "entity", F.coalesce("facts", none).alias("facts"), F.coalesce("truncated", F.lit(False)).alias("truncated"), F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens"))
+    fresh = written(fresh, "facts-fresh")
+    columns = ["path", "start", "end", "entity", "facts", "truncated", "from_cache", "tokens"]
+    had = rows.select(*key, "entity").join(known.drop("entity"), key).withColumns({"truncated": F.lit(False), "from_cache": F.lit(True)})
+    kept = fresh.where("NOT truncated").select("path", "start", "end", "entity", "facts", "tokens")
+    return fresh.withColumn("from_cache", F.lit(False)).select(columns).unionByName(had.select(columns)), known.drop("name").select(kept.columns).unionByName(kept)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -46,8 +46,14 @@ def close_pairs(names: DataFrame, edits: int = 2) -> DataFrame:
     parts = edits + 1
     cut = lambda m, i: F.floor(m * i / parts).cast("int")
     own = keys.select("key", "rows", "m", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.substring("key", cut(F.col("m"), i) + 1, cut(F.col("m"), i + 1) - cut(F.col("m"), i)).alias("s")) for i in range(parts)])).alias("g")).select("key", "rows", "m", "g.*")
-    seen = [F.struct((F.col("m") + d).alias("of"), F.lit(i).alias("i"), F.when((cut(F.col("m") + d, i) + shift >= 0) & (F.col("m") + d >= 0), F.substring("key", cut(F.col("m") + d, i) + 1 + shift, cut(F.col("m") + d, i + 1) - cut(F.col("m") + d, i))).alias("s")) for d in range(-edits, edits + 1) for i in range(parts) for shift in range(-edits, edits + 1)]
-    looks = keys.select(F.col("key").alias("other"), F.col("rows").alias("other_rows"), F.explode(F.array_distinct(F.array(*seen))).alias("g")).select("other", "other_rows", F.col("g.of").alias("m"), F.col("g.i").alias("i"), F.col("g.s").alias("s"))
+    every = lambda a, z, f: F.flatten(F.transform(F.sequence(F.lit(a), F.lit(z)), f))
+
+    def piece(d: Column, i: Column, shift: Column) -> Column:
+        m = F.col("m") + d
+        return F.struct(m.alias("of"), i.alias("i"), F.when((cut(m, i) + shift >= 0) & (m >= 0), F.substring(F.col("key"), cut(m, i) + 1 + shift, cut(m, i + 1) - cut(m, i))).alias("s"))
+
+    seen = every(-edits, edits, lambda d: every(0, parts - 1, lambda i: F.transform(F.sequence(F.lit(-edits), F.lit(edits)), lambda shift: piece(d, i, shift))))
+    looks = keys.select(F.col("key").alias("other"), F.col("rows").alias("other_rows"), F.explode(F.array_distinct(seen)).alias("g")).select("other", "other_rows", F.col("g.of").alias("m"), F.col("g.i").alias("i"), F.col("g.s").alias("s"))
     met = own.join(looks, ["m", "i", "s"]).where("key <> other").select(F.least("key", "other").alias("key_a"), F.greatest("key", "other").alias("key_b"), (F.col("rows") * F.col("other_rows")).alias("n")).distinct()
     return met.where(F.levenshtein("key_a", "key_b") <= edits).unionByName(same)
 

@@ -9,65 +9,112 @@ from ..operators import apply, lexical, lint, predicates, resolve
 from ..tables import PAGES_SQL, VAULT_SQL, pages_of, table, vault_of
 from .base import query
 from .searches import BM25_SQL, QUERIES_SQL, asked, bm25_of
-from .texts import tokens_sql
+from .texts import KINDS_SQL, NET_NEW, PROSE, tokens_sql
 
 # Answers made of the turns: each writes, appends to, rewrites, lists, logs, disputes or supersedes the page of its conversation, or is broken.
 _KINDS = [*apply.KINDS, "unknown_kind"]
-_SAFE = "regexp_matches({c}, '" + apply.SAFE.replace("\\", "\\") + "')"
+
+
+def _category(n: str, spark: bool) -> str:
+    """The category of the page of a document or conversation, in the SQL of Spark or of the oracle: every third is a thread."""
+    names = ", ".join(f"'{c}'" for c in apply.CATEGORIES)
+    return f"CASE WHEN {n} % 3 = 0 THEN 'threads' ELSE " + (f"element_at(array({names}), CAST({n} % 11 + 1 AS INT))" if spark else f"([{names}])[{n} % 11 + 1]") + " END"
 
 
 def answers(spark, sf):
-    """id, text: one answer a turn, with a fenced block of one operation; every eleventh block is broken, every ninth names a page outside."""
-    t = table(spark, sf, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), "conv_id", "turn", F.col("text").alias("said"))
+    """id, text: one answer a turn, with a fenced block of one operation. Some blocks are broken, some pages are outside, of no known category or not there; texts are the turn's own, the page's, both, or a dated event."""
+    t = table(spark, sf, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), "conv_id", F.coalesce("text", F.lit("")).alias("said"))
+    t = t.join(table(spark, sf, "documents").select(F.col("doc_id").alias("conv_id"), F.col("text").alias("page")), "conv_id", "left")
     t = t.withColumn("kind", F.element_at(F.array(*map(F.lit, _KINDS)), (F.col("id") % 8 + 1).cast("int")))
-    path = F.concat(F.when(F.col("id") % 9 == 0, "../").otherwise("wiki/"), F.lit("lessons/c"), F.col("conv_id") % 40, F.lit(".md"))
-    page = F.when(F.col("kind").isin("write_page", "append_page", "rewrite_page"), path)
+    name = F.expr(f"concat('wiki/', {_category('conv_id', True)}, IF(conv_id % 5 = 4, '/New ', '/D '), conv_id, '.md')")
+    path = F.when(F.col("id") % 19 == 0, "../etc/passwd.md").when(F.col("id") % 17 == 0, "wiki/unknown/x.md").otherwise(name)
+    page = F.coalesce("page", F.lit("nothing"))
+    said = F.when(F.col("id") % 5 == 1, page).when(F.col("id") % 5 == 2, F.concat(F.lit("## 2024-01-05 seen\n\n"), "said")).when(F.col("id") % 5 == 3, F.concat(page, F.lit("\n\n"), "said")).otherwise(F.col("said"))
+    of = lambda *kinds: F.col("kind").isin(*kinds)
     op = F.struct(
-        "kind", page.alias("path"), F.when(F.col("kind").isin("write_page", "rewrite_page"), F.col("said")).alias("body"), F.when(F.col("kind") == "append_page", F.col("said")).alias("section"),
-        F.when(F.col("kind") == "dispute_page", path).alias("conflicting_page"), F.when(F.col("kind") == "supersede_page", path).alias("old_page"), F.when(F.col("kind") == "append_log", F.lit("seen")).alias("line"),
+        "kind", F.when(of("write_page", "append_page", "rewrite_page", "dispute_page"), path).alias("path"), F.when(of("write_page", "rewrite_page"), said).alias("body"), F.when(of("append_page"), said).alias("section"),
+        F.when(of("dispute_page"), F.lit("wiki/lessons/other.md")).alias("conflicting_page"), F.when(of("supersede_page"), path).alias("new_page"), F.when(of("append_log"), F.lit("seen")).alias("line"),
+        F.when(F.col("id") % 3 == 0, 0.9).when(F.col("id") % 3 == 1, 0.5).alias("confidence"), F.when(F.col("id") % 2 == 0, F.array(F.lit("raw/a"), F.lit("raw/b"))).otherwise(F.array(F.lit("raw/a"))).alias("derived_from"),
+        F.when(F.col("id") % 4 == 2, F.array(F.lit("lessons/d-1"))).alias("relations"),
     )
     block = F.concat(F.lit("Here it is:\n```compile-ops\n"), F.when(F.col("id") % 11 == 0, "[{").otherwise(F.concat(F.lit("["), F.to_json(op), F.lit("]"))), F.lit("\n```\nDone."))
     return t.select("id", block.alias("text"))
 
 
-_ANSWERS = f"""raw AS (SELECT conv_id * 100 + turn AS id, conv_id, text AS said, {_KINDS}[(conv_id * 100 + turn) % 8 + 1] AS kind, CASE WHEN (conv_id * 100 + turn) % 9 = 0 THEN '../' ELSE 'wiki/' END || 'lessons/c' || conv_id % 40 || '.md' AS p FROM conversations),
-ops AS (SELECT id, kind, CASE kind WHEN 'update_index' THEN 'wiki/index.md' WHEN 'append_log' THEN 'wiki/log.md' ELSE p END AS path, CASE WHEN kind IN ('write_page', 'append_page', 'rewrite_page') THEN said END AS t FROM raw WHERE id % 11 <> 0 AND kind <> 'unknown_kind'),
-old AS (SELECT 'wiki/lessons/c' || doc_id || '.md' AS path, text AS body FROM documents WHERE doc_id < 30)"""
+_ANSWERS = f"""raw AS (SELECT conv_id * 100 + turn AS id, conv_id, coalesce(c.text, '') AS said, coalesce(d.text, 'nothing') AS page, {_KINDS}[(conv_id * 100 + turn) % 8 + 1] AS kind FROM conversations c LEFT JOIN documents d ON doc_id = conv_id),
+ops AS (SELECT id, kind, CASE WHEN kind = 'update_index' THEN 'index.md' WHEN kind = 'append_log' THEN 'log.md' WHEN id % 19 = 0 THEN '../etc/passwd.md' WHEN id % 17 = 0 THEN 'wiki/unknown/x.md' WHEN kind IN ('dispute_page', 'supersede_page') THEN concat('wiki/', {_category('conv_id', False)}, CASE WHEN conv_id % 5 = 4 THEN '/New ' ELSE '/D ' END, conv_id, '.md')
+ ELSE concat('wiki/', {_category('conv_id', False)}, CASE WHEN conv_id % 5 = 4 THEN '/new-' ELSE '/d-' END, conv_id, '.md') END AS path, {_category('conv_id', False)} AS category, kind IN ('write_page', 'append_page', 'rewrite_page') AS paged,
+ CASE WHEN id % 5 = 1 THEN page WHEN id % 5 = 2 THEN '## 2024-01-05 seen' || chr(10) || chr(10) || said WHEN id % 5 = 3 THEN page || chr(10) || chr(10) || said ELSE said END AS t,
+ CASE id % 3 WHEN 0 THEN 0.9::DOUBLE WHEN 1 THEN 0.5::DOUBLE END AS conf, id % 2 = 0 AS two, CASE WHEN id % 4 = 2 THEN ['lessons/d-1'] END AS rel FROM raw WHERE id % 11 <> 0 AND kind <> 'unknown_kind'),
+vault_pages AS (SELECT concat('wiki/', {_category('doc_id', False)}, '/d-', doc_id, '.md') AS path, CASE WHEN doc_id % 7 = 3 THEN '' ELSE text END AS body, CASE WHEN doc_id % 2 = 0 THEN ['lessons/d-1', 'wiki/tools/X.md'] END AS rel FROM documents)"""
 
 
 def own_pages(spark, sf):
-    return table(spark, sf, "documents").where("doc_id < 30").select(F.concat(F.lit("wiki/lessons/c"), "doc_id", F.lit(".md")).alias("path"), F.col("text").alias("body"))
+    """All documents as pages, every seventh of them without prose."""
+    d = table(spark, sf, "documents")
+    return d.select(
+        F.expr(f"concat('wiki/', {_category('doc_id', True)}, '/d-', doc_id, '.md')").alias("path"), F.when(F.col("doc_id") % 7 == 3, "").otherwise(F.col("text")).alias("body"),
+        F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("lessons/d-1"), F.lit("wiki/tools/X.md"))).alias("relations"),
+    )
 
 
-@query("parse_operations", f"WITH {_ANSWERS} SELECT id, kind, CASE WHEN kind IN ('write_page', 'append_page', 'rewrite_page') THEN path END AS path, length(t) AS chars FROM ops")
+@query("parse_operations", f"WITH {_ANSWERS} SELECT id, kind, length(CASE WHEN paged THEN t END) AS chars FROM ops")
 def parse_operations(spark, sf):
     found = apply.operations(answers(spark, sf))
-    return found.select("id", "kind", "path", F.length(F.coalesce("body", "section")).cast("long").alias("chars"))
-
-
-_LINES = "list_filter(list_transform(string_split(lower(coalesce({c}, '')), chr(10)), lambda x: trim(x)), lambda x: x <> '')"
-# A log line or an index entry is the same operation wherever it stands; pages' operations carry their text.
-_JUDGED = f"""{_ANSWERS}, j AS (SELECT o.*, old.body AS old, row_number() OVER (PARTITION BY kind, o.path, t ORDER BY id) AS n FROM ops o LEFT JOIN old USING (path)),
-judged AS (SELECT id, kind, path, t, CASE WHEN n > 1 THEN 'skipped: already applied' WHEN kind IN ('write_page', 'append_page', 'rewrite_page') AND NOT {_SAFE.format(c='path')} THEN 'rejected' WHEN kind = 'update_index' THEN 'index-updated' WHEN kind = 'append_log' THEN 'log-appended'
- WHEN kind IN ('dispute_page', 'supersede_page') THEN CASE WHEN old IS NULL THEN 'rejected' ELSE 'staged-for-review' END WHEN kind = 'rewrite_page' THEN CASE WHEN old IS NULL THEN 'rejected' ELSE 'rewritten or staged' END
- WHEN old IS NULL THEN 'created' WHEN len(list_filter({_LINES.format(c='t')}, lambda x: NOT list_contains({_LINES.format(c='old')}, x))) = 0 THEN 'skipped: no new content' ELSE 'appended' END AS outcome FROM j)"""
-
-
-@query("operation_outcomes", f"WITH {_JUDGED} SELECT kind, outcome, count(*) AS operations FROM judged GROUP BY ALL")
+    return found.select("id", "kind", F.length(F.coalesce("body", "section")).cast("long").alias("chars"))
+
+
+def _shares(old: str, new: str) -> str:
+    """Whether a rewrite keeps enough of each kind of anchors."""
+    kept = lambda a, b, least: f"(len({a}) = 0 OR len(list_intersect({a}, {b})) >= {least} * len({a}))"
+    key = "list_distinct(list_transform({c}, lambda x: lower(regexp_replace(regexp_replace(x, '^wiki/', ''), '(?i)[.]md$', ''))))"
+    return " AND ".join(kept(sql.format(c=old), sql.format(c=new), {"links": 0.9, "code": 0.8, "names": 0.8}[k]) for k, sql in KINDS_SQL.items()) + " AND " + kept(key.format(c="coalesce(old_rel, [])"), key.format(c="coalesce(rel, old_rel, [])"), 0.9)
+
+
+def _prose(c: str) -> str:
+    return PROSE.replace("part", c)
+
+
+_ENDED = r"regexp_replace({c}, '^\s+|\s+$', '', 'g') || chr(10)"
+_JOINED = r"regexp_replace({a}, '\s+$', '') || CASE WHEN regexp_replace({a}, '\s+$', '') = '' OR regexp_replace({b}, '^\s+|\s+$', '', 'g') = '' THEN '' ELSE chr(10) || chr(10) END || " + _ENDED.replace("{c}", "{b}")
+# The table of rules, row by row: what comes first (an append to no page is a write of little confidence, but for preferences), what each further one does, and what becomes of what is left for a page.
+_JUDGED = rf"""{_ANSWERS}, placed AS (SELECT o.*, p.body AS old, p.rel AS old_rel, row_number() OVER (PARTITION BY o.path ORDER BY id) AS n FROM ops o LEFT JOIN vault_pages p ON p.path = o.path WHERE paged AND o.path LIKE 'wiki/%' AND o.path NOT LIKE 'wiki/unknown/%'),
+fold AS (SELECT path, n, id, category, old, old_rel, CASE WHEN kind = 'append_page' AND old IS NULL THEN 'write_page' ELSE kind END AS kind, t, kind = 'append_page' AND old IS NULL AND category <> 'preferences' AS low, CASE WHEN kind = 'append_page' AND old IS NULL THEN CASE WHEN category = 'preferences' THEN 0.8::DOUBLE END ELSE conf END AS conf, two, rel FROM placed WHERE n = 1
+UNION ALL SELECT f.path, p.n, f.id, f.category, f.old, f.old_rel,
+ CASE WHEN p.kind = 'rewrite_page' THEN p.kind ELSE f.kind END,
+ CASE WHEN f.low AND f.kind = 'write_page' AND p.kind = 'write_page' THEN {_JOINED.format(a='p.t', b='f.t')} WHEN p.kind = 'rewrite_page' THEN p.t WHEN f.kind IN ('write_page', 'append_page') AND p.kind = 'append_page' THEN {_JOINED.format(a='f.t', b='p.t')} ELSE f.t END,
+ f.low AND NOT (f.kind = 'write_page' AND p.kind = 'write_page'),
+ CASE WHEN p.kind = 'rewrite_page' OR f.low AND p.kind = 'write_page' AND f.kind = 'write_page' THEN p.conf ELSE f.conf END, CASE WHEN p.kind = 'rewrite_page' OR f.low AND p.kind = 'write_page' AND f.kind = 'write_page' THEN p.two ELSE f.two END, CASE WHEN p.kind = 'rewrite_page' OR f.low AND p.kind = 'write_page' AND f.kind = 'write_page' THEN p.rel ELSE f.rel END
+ FROM fold f JOIN placed p ON p.path = f.path AND p.n = f.n + 1),
+last AS (SELECT * FROM fold QUALIFY row_number() OVER (PARTITION BY path ORDER BY n DESC) = 1), old_ AS (SELECT path AS key, old AS body FROM last WHERE old IS NOT NULL AND kind <> 'rewrite_page'), new_ AS (SELECT path AS key, t AS body FROM last WHERE old IS NOT NULL AND kind <> 'rewrite_page'), {NET_NEW},
+facts AS (SELECT l.*, coalesce(f.fresh, '') AS fresh, old IS NOT NULL AND {_prose("coalesce(old, '')")} <> '' AS prose, CASE WHEN kind = 'rewrite_page' THEN {_prose("coalesce(old, '')")} = {_prose('t')} END AS same, CASE WHEN kind = 'rewrite_page' THEN {_shares("coalesce(old, '')", 't')} END AS enough,
+ CASE WHEN conf IS NOT NULL AND (kind = 'rewrite_page' OR category = 'preferences') THEN conf >= 0.7 ELSE two END AS sure FROM last l LEFT JOIN fresh f ON f.key = path),
+left_ AS (SELECT *, CASE
+ WHEN kind = 'rewrite_page' THEN CASE WHEN old IS NULL THEN 'rejected' WHEN NOT same AND NOT enough THEN 'staged-for-review' WHEN NOT sure THEN 'staged-for-review' WHEN same THEN 'skipped: no new content' ELSE 'rewritten' END
+ WHEN old IS NULL THEN CASE WHEN sure AND NOT (low AND FALSE) THEN 'created' ELSE 'staged-for-review' END
+ WHEN prose AND category <> 'threads' THEN 'staged-for-review'
+ WHEN fresh = '' THEN CASE WHEN kind = 'append_page' AND NOT prose AND category <> 'threads' THEN 'rejected' ELSE 'skipped: no new content' END
+ WHEN prose AND NOT (kind = 'append_page' AND regexp_matches(regexp_replace(t, '^\s+|\s+$', '', 'g'), '(?m)^##\s+\d{{4}}-\d{{2}}-\d{{2}}\b')) THEN 'staged-for-review'
+ WHEN kind = 'write_page' AND NOT sure THEN 'staged-for-review' WHEN category <> 'threads' THEN 'rejected' ELSE 'appended' END AS outcome FROM facts),
+judged AS (SELECT p.id, p.path, CASE WHEN p.n > 1 THEN 'merged' ELSE l.outcome END AS outcome FROM placed p JOIN left_ l ON l.path = p.path
+ UNION ALL SELECT id, path, CASE WHEN path LIKE '../%' OR path LIKE 'wiki/unknown/%' AND paged THEN 'rejected' WHEN kind = 'update_index' THEN 'index-updated' WHEN kind = 'append_log' THEN 'log-appended' ELSE 'created' END FROM ops WHERE NOT (paged AND path LIKE 'wiki/%' AND path NOT LIKE 'wiki/unknown/%'))"""
+
+
+def carried_out(spark, sf):
+    return apply.carried_out(apply.operations(answers(spark, sf)), own_pages(spark, sf), "2024-06-01")
+
+
+@query("operation_outcomes", f"WITH RECURSIVE {_JUDGED} SELECT id, path, outcome FROM judged")
 def operation_outcomes(spark, sf):
-    """Outcomes by kind; whether a rewrite keeps enough is judged in the unit tests."""
-    judged = apply.outcomes(apply.operations(answers(spark, sf)), own_pages(spark, sf))
-    both = F.when(F.col("kind").eqNullSafe("rewrite_page") & F.col("outcome").isin("rewritten", "staged-for-review"), "rewritten or staged").otherwise(F.col("outcome"))
-    return judged.groupBy("kind", both.alias("outcome")).agg(F.count("*").alias("operations"))
+    """What becomes of each operation of the answers, on pages of all documents."""
+    return carried_out(spark, sf)[0].select("id", "path", "outcome")
 
 
-@query("applied_pages", f"""WITH {_JUDGED}, a AS (SELECT path, string_agg(t, chr(10) ORDER BY id) AS added FROM judged WHERE outcome IN ('created', 'appended') AND kind <> 'rewrite_page' GROUP BY path)
-SELECT path, sha256(CASE WHEN body IS NULL THEN added WHEN added IS NULL THEN body ELSE body || chr(10) || added END) AS body_sha256 FROM old FULL JOIN a USING (path)""")
+@query("applied_pages", rf"""WITH RECURSIVE {_JUDGED}, a AS (SELECT path, CASE WHEN outcome IN ('created', 'rewritten') THEN {_ENDED.format(c='t')} ELSE regexp_replace(old, '\s+$', '') || chr(10) || chr(10) || CASE WHEN kind = 'write_page' THEN '## 2024-06-01 update' || chr(10) || chr(10) || {_ENDED.format(c='fresh')} ELSE {_ENDED.format(c='t')} END END AS body FROM left_ WHERE outcome IN ('created', 'rewritten', 'appended'))
+SELECT path, sha256(coalesce(a.body, p.body, '')) AS body_sha256 FROM vault_pages p FULL JOIN a USING (path)""")
 def applied_pages(spark, sf):
-    """Pages after all writes and appends."""
-    ops = apply.operations(answers(spark, sf)).where("kind <> 'rewrite_page'")
-    pages = own_pages(spark, sf)
-    return apply.applied(pages, apply.outcomes(ops, pages)).select("path", F.sha2("body", 256).alias("body_sha256"))
+    """All pages after the operations of the answers."""
+    return carried_out(spark, sf)[1].select("path", F.sha2("body", 256).alias("body_sha256"))
 
 
 @query("supersede_approved", f"""WITH {VAULT_SQL}, a AS (SELECT path AS old_page, target AS new_page FROM vault WHERE relation = 'contradicts' AND target IN (SELECT path FROM vault)), e AS (SELECT old_page, max(new_page) AS b FROM a GROUP BY 1), n AS (SELECT new_page, max(old_page) AS o FROM a GROUP BY 1)

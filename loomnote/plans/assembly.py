@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import assembly
 from ..tables import EDGES_SQL, PAGES_SQL, edges_of, pages_of, table
 from .base import query
+from .texts import KINDS_SQL, NET_NEW, PROSE
 
 
 
@@ -69,14 +70,20 @@ def topic_overlap(spark, sf):
     return table(spark, sf, "conversations").join(F.broadcast(names)).select("conv_id", "turn", assembly.topic_overlap(F.array(F.lit("EN"), F.lit("Fr"), "role", F.lit("en")), F.col("names")).alias("score"))
 
 
-@query("steering", """WITH o AS (SELECT doc_id AS path, turn AS seq, ['write', 'append', 'rewrite', 'append_log'][turn % 4 + 1] AS kind, CASE WHEN turn % 8 < 4 THEN d.text ELSE coalesce(c.text, '') || chr(10) || d.text END AS body, d.text AS old FROM conversations c JOIN documents d ON d.doc_id = c.conv_id)
-SELECT path, seq, CASE WHEN kind = 'rewrite' THEN CASE WHEN seq % 8 < 4 THEN 'apply' ELSE 'apply' END WHEN kind IN ('write', 'append') THEN CASE WHEN trim(old) = '' THEN 'apply' WHEN len(list_filter(list_filter(list_transform(string_split(lower(body), chr(10)), lambda x: trim(x)), lambda x: x <> ''),
- lambda y: NOT list_contains(list_transform(string_split(lower(old), chr(10)), lambda x: trim(x)), y))) = 0 THEN 'skip' ELSE 'stage' END ELSE 'apply' END AS outcome FROM o""")
+# Of every eight turns the first four write or rewrite the page's own text, the others what they say and the text, and a rewrite only the text's first third.
+_SHARES = " AND ".join(f"(len({v.format(c='old')}) = 0 OR len(list_intersect({v.format(c='old')}, {v.format(c='body')})) >= {least} * len({v.format(c='old')}))" for v, least in zip(KINDS_SQL.values(), (0.9, 0.8, 0.8), strict=True))
+
+
+@query("steering", rf"""WITH o AS (SELECT doc_id AS path, turn AS seq, ['write', 'append', 'rewrite', 'append_log'][turn % 4 + 1] AS kind, CASE WHEN turn % 8 < 4 THEN d.text WHEN turn % 4 = 2 THEN substr(d.text, 1, CAST(length(d.text) // 3 AS BIGINT)) ELSE CASE WHEN conv_id % 3 = 0 THEN '## 2024-02-03 said' || chr(10) ELSE '' END || coalesce(c.text, '') || chr(10) || chr(10) || d.text END AS body, d.text AS old FROM conversations c JOIN documents d ON d.doc_id = c.conv_id),
+new_ AS (SELECT path || '/' || seq AS key, body FROM o WHERE kind IN ('write', 'append')), old_ AS (SELECT path || '/' || seq AS key, old AS body FROM o WHERE kind IN ('write', 'append')), {NET_NEW}
+SELECT path, seq, CASE kind WHEN 'rewrite' THEN CASE WHEN {PROSE.replace('part', 'old')} = {PROSE.replace('part', 'body')} OR {_SHARES} THEN 'apply' ELSE 'stage' END WHEN 'append_log' THEN 'apply'
+ ELSE CASE WHEN {PROSE.replace('part', 'old')} = '' THEN 'apply' WHEN fresh IS NULL THEN 'skip' WHEN kind = 'append' AND regexp_matches(regexp_replace(body, '^\s+|\s+$', '', 'g'), '(?m)^##\s+\d{{4}}-\d{{2}}-\d{{2}}\b') THEN 'apply' ELSE 'stage' END END AS outcome FROM o LEFT JOIN fresh ON key = path || '/' || seq""")
 def steering(spark, sf):
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("path"), F.col("text").alias("body"))
     turns = table(spark, sf, "conversations").join(docs, F.col("conv_id") == F.col("path"))
     kind = F.element_at(F.array(*[F.lit(x) for x in ("write", "append", "rewrite", "append_log")]), (F.col("turn") % 4 + 1).cast("int"))
-    body = F.when(F.col("turn") % 8 < 4, F.col("body")).otherwise(F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), "body"))
+    said = F.concat(F.when(F.col("conv_id") % 3 == 0, "## 2024-02-03 said\n").otherwise(""), F.coalesce("text", F.lit("")), F.lit("\n\n"), "body")
+    body = F.when(F.col("turn") % 8 < 4, F.col("body")).when(F.col("turn") % 4 == 2, F.expr("substr(body, 1, CAST(length(body) DIV 3 AS INT))")).otherwise(said)
     return assembly.steered(turns.select("path", F.col("turn").alias("seq"), kind.alias("kind"), body.alias("body")), docs)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import params
 from ..functions import text as T
-from ..operators import evaluation, fuse, graph, lexical, predicates, resolve, vector
+from ..operators import evaluation, fuse, graph, lexical, linking, predicates, resolve, vector
 from ..storage import written
 from ..tables import PAGES_SQL, pages_of, table
 from .base import query
@@ -45,12 +45,21 @@ _FIELDS = "doc_id, title || ' ' || array_to_string(tags, ' ') || ' ' || body AS
 _MENTIONS_SQL = BM25_SQL.replace("FROM documents", f"FROM (SELECT {_FIELDS} FROM pages_ WHERE kind = 'wiki')")
 
 
-@query("bm25_mentions", f"""WITH {PAGES_SQL}, {QUERIES_SQL}, {_MENTIONS_SQL} SELECT query_id, id, round(least(0.8, greatest(0.5, 0.5 + (score - 200) / 200 * 0.3)), 6) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM bm25 WHERE score >= 200) WHERE rank <= 10""")
-def bm25_mentions(spark, sf):
-    """Pages, by title, tags and body, that a passage mentions: from a score of 200 on, ten at most."""
+# The texts are short: a score of 60 is what 200 is for whole notes.
+FLOOR = 60.0
+_BM25_MENTIONS = f"mentioned AS (SELECT query_id, id, round(least(0.8, greatest(0.5, 0.5 + (score - {FLOOR}) / {FLOOR} * 0.3)), 6) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM bm25 WHERE score >= {FLOOR}) WHERE rank <= 10)"
+
+
+def mentions_of(spark, sf):
     pages = pages_of(spark, sf).where("kind = 'wiki'").select("doc_id", F.concat_ws(" ", "title", F.array_join("tags", " "), "body").alias("body"))
-    found = lexical.top(lexical.bm25(pages, asked(spark, sf)).where("score >= 200"), 10)
-    return found.select("query_id", "id", F.round(F.least(F.lit(0.8), F.greatest(F.lit(0.5), 0.5 + (F.col("score") - 200) / 200 * 0.3)), 6).alias("confidence"))
+    found = lexical.top(lexical.bm25(pages, asked(spark, sf)).where(F.col("score") >= FLOOR), 10)
+    return found.select("query_id", "id", F.round(linking.mention_confidence(F.col("score"), FLOOR), 6).alias("confidence"))
+
+
+@query("bm25_mentions", f"WITH {PAGES_SQL}, {QUERIES_SQL}, {_MENTIONS_SQL}, {_BM25_MENTIONS} SELECT query_id, id, confidence FROM mentioned")
+def bm25_mentions(spark, sf):
+    """Pages, by title, tags and body, that a passage mentions: ten at most."""
+    return mentions_of(spark, sf)
 
 
 _HOLD = f"""hold AS (SELECT query_id, doc_id FROM (SELECT query_id, list_distinct({tokens_sql('query')}) AS a FROM asked) q JOIN (SELECT doc_id, {tokens_sql('text')} AS w FROM documents) d ON list_has_all(d.w, q.a) WHERE len(q.a) > 0)"""
@@ -192,6 +201,56 @@ def combine_mentions(spark, sf):
     return resolve.combine_mentions(made("quality = 1", 10), made("toxic = 0", 13)).withColumn("confidence", F.round("confidence", 6))
 
 
+_PATH = "concat('wiki/', CASE doc_id % 4 WHEN 0 THEN 'tools' WHEN 1 THEN 'decisions' WHEN 2 THEN 'crystals' ELSE 'people' END, '/p', doc_id, '.md')"
+_TITLE = "CASE WHEN doc_id % 12 = 3 THEN concat('Deprecated ', title) ELSE title END"
+
+
+@query("consolidation_plan", f"""WITH {PAGES_SQL}, {QUERIES_SQL}, {_MENTIONS_SQL}, {_BM25_MENTIONS},
+t AS (SELECT min(doc_id) AS target, array_to_string({tokens_sql('title')}, ' ') AS phrase FROM pages_ WHERE kind = 'wiki' GROUP BY 2 HAVING phrase <> ''), w AS (SELECT query_id, {tokens_sql('query')} AS w FROM (SELECT -1 - query_id AS query_id, query FROM asked UNION ALL SELECT doc_id, body FROM pages_ WHERE kind = 'raw')), n AS (SELECT DISTINCT len(string_split(phrase, ' ')) AS n FROM t),
+g AS (SELECT query_id, array_to_string(w[i:i + n - 1], ' ') AS phrase, i FROM (SELECT query_id, w, unnest(range(1, len(w) + 1)) AS i FROM w), n WHERE i + n - 1 <= len(w)),
+l AS (SELECT query_id, target, min(i) AS position FROM g JOIN t USING (phrase) GROUP BY 1, 2),
+m AS (SELECT coalesce(l.query_id, b.query_id) AS id, coalesce(l.target, b.id) AS target, CASE WHEN l.target IS NULL THEN b.confidence ELSE 1.0::DOUBLE END AS confidence, CASE WHEN l.target IS NULL THEN 'bm25' WHEN b.id IS NULL THEN 'lexical' ELSE 'both' END AS source, position FROM l FULL JOIN (SELECT -1 - query_id AS query_id, id, confidence FROM mentioned) b ON b.query_id = l.query_id AND b.id = l.target),
+p AS (SELECT doc_id, {_PATH} AS path, {_TITLE} AS title FROM pages_), r AS (SELECT m.*, path, title, row_number() OVER (PARTITION BY id ORDER BY confidence DESC, position NULLS LAST, path) AS place FROM m JOIN p ON doc_id = target WHERE confidence >= 0.6 AND id % 4 <> 0)
+SELECT id, target, CASE WHEN path LIKE 'wiki/tools/%' THEN 'uses' WHEN path LIKE 'wiki/crystals/%' THEN 'derived_from' WHEN regexp_matches(title, '(?i)deprecated|superseded-by') THEN 'supersedes' WHEN source = 'bm25' AND path LIKE 'wiki/decisions/%' THEN 'derived_from' ELSE 'mentions' END AS relation, round(confidence, 3) AS confidence, source, CAST(place AS INTEGER) AS place FROM r WHERE place <= 5""")
+def consolidation_plan(spark, sf):
+    """Relations that raw pages (by their titles' mentions) and passages (numbered below zero, by full text too) should get; every fourth is linked already."""
+    every = pages_of(spark, sf)
+    wiki = every.where("kind = 'wiki'")
+    titles = wiki.groupBy(F.array_join(T.tokens(F.col("title")), " ").alias("title")).agg(F.min("doc_id").alias("title_id"))
+    number = -1 - F.col("query_id")
+    texts = asked(spark, sf).select(number.alias("id"), F.col("query").alias("body")).unionByName(every.where("kind = 'raw'").select(F.col("doc_id").alias("id"), "body"))
+    named = resolve.title_mentions(texts, titles, id_col="id").select("id", F.col("title_id").alias("target"), "position", F.lit(1.0).alias("confidence"))
+    text = mentions_of(spark, sf).select(number.alias("id"), F.col("id").alias("target"), "confidence")
+    pages = wiki.select(F.col("doc_id").alias("target"), F.expr(_PATH).alias("path"), F.expr(_TITLE).alias("title"))
+    return linking.consolidated(texts.select("id", (F.col("id") % 4 == 0).alias("linked")), named, text, pages)
+
+
+_VECTOR = "CASE WHEN vec_id % 7 = 0 THEN list_transform(embedding, lambda x: 0::FLOAT) WHEN vec_id % 11 = 0 THEN embedding[1:8] ELSE embedding END"
+
+
+@query("auto_links", f"""WITH {PAGES_SQL}, w AS (SELECT p.*, embedding FROM pages_ p LEFT JOIN embeddings ON vec_id = doc_id WHERE kind = 'wiki'), raw AS (SELECT doc_id AS raw_id, title || chr(10) || body AS raw, doc_id % 9 = 0 AS linked, CASE WHEN vec_id IS NOT NULL THEN {_VECTOR} END AS v FROM pages_ LEFT JOIN embeddings ON vec_id = doc_id WHERE kind = 'raw'),
+bad AS (SELECT raw_id FROM raw WHERE v IS NOT NULL AND (len(v) < 16 OR raw_id % 7 = 0)), e AS (SELECT raw_id, doc_id AS page_id, round({_COS.replace('d.embedding', 'w.embedding').replace('q.embedding', 'raw.v')}, 6) AS score FROM raw JOIN w ON w.embedding IS NOT NULL WHERE NOT linked AND v IS NOT NULL AND raw_id NOT IN (SELECT raw_id FROM bad)),
+one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY raw_id ORDER BY score DESC, page_id) AS rank FROM e WHERE score >= 0.3) WHERE rank <= 3),
+r AS (SELECT raw_id, {_SCORING.format(c='raw')} AS rt, ' ' || array_to_string({_LISTED.format(c='raw')}, ' ') || ' ' AS rp FROM raw WHERE NOT linked AND (v IS NULL OR raw_id IN (SELECT raw_id FROM bad))),
+p AS (SELECT doc_id AS page_id, {_SCORING.format(c='title')} AS tt, array_to_string({_LISTED.format(c='title')}, ' ') AS tp, {_SCORING.format(c="title || chr(10) || lang")} AS ct FROM w),
+j AS (SELECT * FROM r JOIN p ON list_has_any(r.rt, p.tt)), k AS (SELECT *, list_filter(ct, lambda x: NOT list_contains(tt, x)) AS rest FROM j),
+s AS (SELECT raw_id, page_id, round(least(1.0, 0.42::DOUBLE * len(list_intersect(tt, rt)) / len(tt) + 0.43::DOUBLE * CASE WHEN len(rest) = 0 THEN 0 ELSE CAST(len(list_intersect(rest, rt)) AS DOUBLE) / len(rest) END
+ + 0.15::DOUBLE * len(list_intersect(ct, rt)) / len(list_distinct(list_concat(ct, rt))) + CASE WHEN contains(rp, ' ' || tp || ' ') THEN 0.1::DOUBLE ELSE 0 END), 3) AS score FROM k),
+two AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY raw_id ORDER BY score DESC, page_id) AS rank FROM s WHERE score >= 0.45) WHERE rank <= 3),
+links AS (SELECT raw_id, page_id, score, 'embedding' AS strategy FROM one UNION ALL SELECT raw_id, page_id, score, 'title' FROM two)
+SELECT raw_id, page_id, score, strategy FROM links UNION ALL SELECT raw_id, NULL, NULL, CASE WHEN linked THEN 'raw already has relations' WHEN raw_id IN (SELECT raw_id FROM bad) THEN 'degenerate embeddings' ELSE 'no match' END FROM raw WHERE raw_id NOT IN (SELECT raw_id FROM links)""")
+def auto_links(spark, sf):
+    """Links of all raw pages to wiki pages by vectors, or by titles where a vector is missing or says nothing (every seventh is zero, every eleventh short), and why the others have none."""
+    pages = pages_of(spark, sf)
+    named = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v"))
+    held = pages.join(named, "doc_id")
+    broken = F.when(F.col("doc_id") % 7 == 0, F.transform("v", lambda x: F.lit(0.0).cast("float"))).when(F.col("doc_id") % 11 == 0, F.slice("v", 1, 8)).otherwise(F.col("v"))
+    raw = pages.where("kind = 'raw'").select(F.col("doc_id").alias("raw_id"), F.concat("title", F.lit("\n"), "body").alias("raw"), (F.col("doc_id") % 9 == 0).alias("linked"))
+    wiki = pages.where("kind = 'wiki'").select(F.col("doc_id").alias("page_id"), "title", F.col("lang").alias("summary"))
+    links, without = linking.auto_linked(raw, held.where("kind = 'raw'").select(F.col("doc_id").alias("raw_id"), broken.alias("v")), wiki, held.where("kind = 'wiki'").select(F.col("doc_id").alias("page_id"), "v"), 0.3, 0.45)
+    return links.unionByName(without.select("raw_id", F.lit(None).cast("long").alias("page_id"), F.lit(None).cast("double").alias("score"), F.col("reason").alias("strategy")))
+
+
 _KEY = "regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g')"
 _GRAMS = "list_distinct(list_transform(range(1, greatest(length({c}), 2)), lambda i: substr({c}, i, 2)))"
 

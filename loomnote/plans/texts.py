@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import params
 from ..functions import text as T
-from ..operators import distill, predicates, tables
+from ..operators import apply, distill, predicates, tables
 from ..tables import PAGES_SQL, pages_of, table
 from .base import query
 
@@ -224,12 +224,29 @@ def extract_anchors(spark, sf):
 _HALF = f"substr({_MARKED}, 1, CAST(length({_MARKED}) // 2 AS BIGINT))"
 
 
-@query("anchor_coverage", f"""WITH a AS (SELECT doc_id, {_ANCHORS.format(c=_MARKED)} AS b, {_ANCHORS.format(c=_HALF)} AS a FROM documents)
-SELECT doc_id, round(CASE WHEN len(b) = 0 THEN 1.0 ELSE len(list_intersect(b, a)) / CAST(len(b) AS DOUBLE) END, 6) AS coverage FROM a""")
+# The anchors of each kind, as the rules of rewrites name them.
+_KEY = r"lower(trim(regexp_replace(regexp_replace(replace(x, chr(92), '/'), '^wiki/', ''), '(?i)\.md$', '')))"
+KINDS_SQL = {
+    "links": r"list_distinct(list_transform(list_filter(list_transform(regexp_extract_all({c}, '\[\[([^\]\n]+)\]\]', 1), lambda x: trim(string_split(x, '|')[1])), lambda x: x <> ''), lambda x: KEY))",
+    "code": r"list_distinct(list_transform(list_filter(list_transform(regexp_extract_all({c}, '`([^`\n]+)`', 1), lambda x: trim(x)), lambda x: regexp_matches(x, '[\\/._-]')), lambda x: KEY))",
+    "names": r"list_distinct(list_transform(list_filter(regexp_extract_all({c}, '\b((?:[A-Z][A-Za-z0-9]*(?:\s+[A-Z][A-Za-z0-9]*)*|[A-Za-z]+[A-Z][A-Za-z0-9]*))\b', 1), lambda x: length(x) > 2), lambda x: KEY))",
+}
+KINDS_SQL = {k: v.replace("KEY", _KEY) for k, v in KINDS_SQL.items()}
+# Words before full stops become links, the last words of sentences before a comma code.
+_ANCHORED = "regexp_replace(regexp_replace(replace(text, '`', ''), '([a-z]+)\\. ', '[[\\1]] ', 'g'), '([a-z]+), ', '`a/\\1` ', 'g')"
+_FRONT = f"substr({_ANCHORED}, 1, CAST(length({_ANCHORED}) * 17 // 20 AS BIGINT))"
+
+
+@query("anchor_coverage", f"""WITH a AS (SELECT doc_id, {', '.join(f"{v.format(c=_ANCHORED)} AS {k}_b, {v.format(c=_FRONT)} AS {k}_a" for k, v in KINDS_SQL.items())} FROM documents),
+c AS (SELECT doc_id, {', '.join(f"CASE WHEN len({k}_b) = 0 THEN 1.0 ELSE len(list_intersect({k}_b, {k}_a)) / CAST(len({k}_b) AS DOUBLE) END AS {k}" for k in KINDS_SQL)} FROM a)
+SELECT doc_id, {', '.join(f"round({k}, 6) AS {k}" for k in KINDS_SQL)}, links >= 0.9 AND code >= 0.8 AND names >= 0.8 AS enough FROM c""")
 def anchor_coverage(spark, sf):
-    marked = table(spark, sf, "documents").select("doc_id", F.regexp_replace("text", r"([A-Z][a-z]+) ([a-z])", "`$1` $2").alias("m"))
-    both = marked.select("doc_id", distill.anchors(F.col("m")).alias("b"), distill.anchors(F.expr("substr(m, 1, CAST(length(m) DIV 2 AS INT))")).alias("a"))
-    return both.select("doc_id", F.round(distill.coverage(F.col("b"), F.col("a")), 6).alias("coverage"))
+    """What the first 85 % of each text keep of its anchors, kind by kind, and whether that is enough for a rewrite."""
+    plain = F.replace("text", F.lit("`"), F.lit(""))
+    whole = table(spark, sf, "documents").select("doc_id", F.regexp_replace(F.regexp_replace(plain, r"([a-z]+)\. ", "[[$1]] "), "([a-z]+), ", "`a/$1` ").alias("m"))
+    before, after = distill.anchors_by_kind(F.col("m")), distill.anchors_by_kind(F.expr("substr(m, 1, CAST(length(m) * 17 DIV 20 AS INT))"))
+    shares = whole.select("doc_id", *[distill.coverage(before[k], after[k]).alias(k) for k in before])
+    return shares.select("doc_id", *[F.round(k, 6).alias(k) for k in before], apply.covers(lambda k: F.col(k)).alias("enough"))
 
 
 @query("net_new_lines", """WITH l AS (SELECT doc_id, lang, source, unnest(string_split(text, chr(10))) AS line FROM documents), n AS (SELECT *, trim(lower(line)) AS norm FROM l WHERE trim(lower(line)) <> '')
@@ -239,15 +256,44 @@ def net_new_lines(spark, sf):
     return distill.net_new_lines(docs.where("doc_id % 2 = 1"), docs.where("doc_id % 2 = 0"), "source").select("source", F.trim(F.lower("line")).alias("line")).distinct()
 
 
-@query("merge_ops", """WITH o AS (SELECT conv_id AS path, turn AS seq, ['append', 'write', 'append', 'rewrite', 'append'][(conv_id + turn) % 5 + 1] AS kind, role || turn AS content FROM conversations),
-r AS (SELECT path, seq, kind, content, row_number() OVER (PARTITION BY path ORDER BY seq) AS n, min(CASE WHEN kind = 'rewrite' THEN seq END) OVER (PARTITION BY path) AS rw FROM o),
-f AS (SELECT path, min_by(kind, seq) AS head FROM o GROUP BY path)
-SELECT r.path, CASE WHEN any_value(rw) IS NOT NULL THEN 'rewrite' ELSE any_value(head) END AS kind,
- CASE WHEN any_value(rw) IS NOT NULL THEN max(CASE WHEN seq = rw THEN content END) ELSE string_agg(CASE WHEN head = 'write' AND kind = 'write' AND n > 1 THEN NULL ELSE content END, chr(10) ORDER BY seq) END AS content
-FROM r JOIN f ON r.path = f.path GROUP BY r.path""")
+# A page's text without every " the ", and the next page's after it, as its update; the update of every fifth begins with a dated heading.
+PROSE = r"lower(trim(regexp_replace(regexp_replace(regexp_replace(part, '(?m)^#+\s+', '', 'g'), '[`*_~\[\]()#>:.-]+', ' ', 'g'), '\s+', ' ', 'g')))"
+_STRIPPED = r"list_transform(string_split_regex({c}, '{by}'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g'))"
+_BLOCKS = "list_filter(" + _STRIPPED.replace("{by}", r"\n\s*\n") + ", lambda x: x <> '')"
+_ROWS = _STRIPPED.replace("{by}", r"\r?\n")
+_UNDATED = r"array_to_string(list_filter(string_split_regex(body, '\r?\n'), lambda x: NOT regexp_matches(trim(x), '(?i)^##\s+\d{4}-\d{2}-\d{2}\s+update\b')), chr(10))"
+_TOKENS = "list_distinct(list_filter(string_split(norm, ' '), lambda w: length(w) > 2))"
+NET_NEW = f"""b AS (SELECT key, unnest(l) AS part, generate_subscripts(l, 1) AS block FROM (SELECT key, {_BLOCKS.format(c=_UNDATED)} AS l FROM new_)),
+l AS (SELECT key, block, unnest(l) AS part, generate_subscripts(l, 1) AS line FROM (SELECT key, block, {_ROWS.format(c='part')} AS l FROM b)),
+p AS (SELECT *, {PROSE} AS norm FROM (SELECT key, block, 0 AS line, part FROM b UNION ALL SELECT key, block, line, part FROM l)), pw AS (SELECT *, {_TOKENS} AS w FROM p WHERE norm <> ''),
+h AS (SELECT key, whole, {PROSE} AS norm FROM (SELECT key, true AS whole, unnest({_BLOCKS.format(c='body')}) AS part FROM old_ UNION ALL SELECT key, false, unnest({_ROWS.format(c='body')}) FROM old_)), hw AS (SELECT DISTINCT key, whole, norm, {_TOKENS} AS w FROM h WHERE norm <> ''),
+k AS (SELECT * FROM pw WHERE len(w) > 0 AND NOT EXISTS (SELECT 1 FROM hw WHERE hw.key = pw.key AND ((hw.norm = pw.norm AND hw.whole = (line = 0)) OR 100 * len(list_intersect(hw.w, pw.w)) >= 80 * len(pw.w)))),
+t AS (SELECT a.key, a.block, string_agg(k.part, chr(10) ORDER BY k.line) AS part FROM k a JOIN k ON k.key = a.key AND k.block = a.block AND k.line > 0 WHERE a.line = 0 GROUP BY 1, 2),
+fresh AS (SELECT key, string_agg(part, chr(10) || chr(10) ORDER BY block) AS fresh FROM t GROUP BY 1)"""
+
+
+@query("net_new_prose", f"""WITH old_ AS (SELECT doc_id AS key, text AS body FROM documents),
+new_ AS (SELECT doc_id AS key, CASE WHEN doc_id % 5 = 0 THEN '## 2024-01-05 update' || chr(10) || chr(10) ELSE '' END || replace(text, ' the ', ' ') || chr(10) || chr(10) || coalesce((SELECT m.text FROM documents m WHERE m.doc_id = d.doc_id + 1), '') AS body FROM documents d),
+{NET_NEW} SELECT key AS doc_id, sha256(fresh) AS fresh_sha256 FROM fresh""")
+def net_new_prose(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    after = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("next"))
+    dated = F.when(F.col("doc_id") % 5 == 0, "## 2024-01-05 update\n\n").otherwise("")
+    new = docs.join(after, "doc_id", "left").select("doc_id", F.concat(dated, F.replace("text", F.lit(" the "), F.lit(" ")), F.lit("\n\n"), F.coalesce("next", F.lit(""))).alias("body"))
+    found = distill.net_new(new, docs.withColumnRenamed("text", "body"), "doc_id")
+    return found.select("doc_id", F.sha2("fresh", 256).alias("fresh_sha256"))
+
+
+# The rule table, row by row: what the first operation on a page is, what comes next, and what is then.
+@query("merge_ops", r"""WITH RECURSIVE o AS (SELECT conv_id AS path, ['append', 'write', 'append', 'rewrite', 'append', 'write'][(conv_id + turn * (conv_id % 3 + 1)) % 6 + 1] AS kind, ' ' || role || turn || chr(10) AS content, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations),
+f AS (SELECT path, kind, content, n FROM o WHERE n = 1 UNION ALL
+SELECT f.path, CASE WHEN o.kind = 'rewrite' THEN 'rewrite' ELSE f.kind END,
+ CASE WHEN o.kind = 'rewrite' THEN o.content WHEN f.kind IN ('write', 'append') AND o.kind = 'append' THEN regexp_replace(f.content, '\s+$', '') || chr(10) || chr(10) || regexp_replace(o.content, '^\s+|\s+$', '', 'g') || chr(10) ELSE f.content END, o.n
+FROM f JOIN o ON o.path = f.path AND o.n = f.n + 1)
+SELECT path, arg_max(kind, n) AS kind, arg_max(content, n) AS content FROM f GROUP BY path""")
 def merge_ops(spark, sf):
-    kind = F.element_at(F.array(*[F.lit(x) for x in ("append", "write", "append", "rewrite", "append")]), ((F.col("conv_id") + F.col("turn")) % 5 + 1).cast("int"))
-    return distill.merge_operations(table(spark, sf, "conversations").select(F.col("conv_id").alias("path"), F.col("turn").alias("seq"), kind.alias("kind"), F.concat("role", "turn").alias("content")))
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("append", "write", "append", "rewrite", "append", "write")]), ((F.col("conv_id") + F.col("turn") * (F.col("conv_id") % 3 + 1)) % 6 + 1).cast("int"))
+    return distill.merge_operations(table(spark, sf, "conversations").select(F.col("conv_id").alias("path"), F.col("turn").alias("seq"), kind.alias("kind"), F.concat(F.lit(" "), "role", "turn", F.lit("\n")).alias("content")))
 
 
 @query("decay", "SELECT o_orderkey, CAST(p AS BIGINT) AS periods, round(8 * pow(CAST(0.9 AS DOUBLE), p), 6) AS strength, round(8 * pow(CAST(0.9 AS DOUBLE), p), 6) < 1 AND d >= 180 AND o_orderstatus <> 'P' AS archive FROM (SELECT *, DATE '2000-01-01' - CAST(o_orderdate AS DATE) AS d, floor((DATE '2000-01-01' - CAST(o_orderdate AS DATE)) / 14.0) AS p FROM orders)")

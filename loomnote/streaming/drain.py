@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import order, tables
+from . import windows
 
 SLICE = "path string, start long, end long, reset boolean"
 
@@ -93,3 +94,14 @@ def tick(pending: DataFrame, most_docs: int = 25, most_tokens: int = 50_000) ->
     """Of pending documents (path, since, tokens) the oldest that one tick takes: so many at most, and so many tokens; the first always."""
     placed = order.running(pending, [], ["since", "path"], __n="1L", __sum="tokens")
     return placed.where((F.col("__n") <= most_docs) & ((F.col("__sum") <= most_tokens) | (F.col("__n") == 1))).drop("__n", "__sum")
+
+
+def quiet(captures: DataFrame, seconds: int = 30, late: str | None = "10 seconds", key: str = "path", at: str = "at") -> DataFrame:
+    """key, first, due, captures: each stretch of captures (stream or table of key, at) of one key that are less than ``seconds`` apart, when that long nothing has come; due is its last capture plus ``seconds``.
+
+    A session window per key is the timer: on a stream, a row comes out once the watermark has passed its due time, and
+    a capture before that puts it off. Nothing waits in memory but the open stretches. Null keys and times take no part.
+    """
+    rows = windows.timed(captures.where(F.col(key).isNotNull() & F.col(at).isNotNull()), at, late)
+    open_ = rows.groupBy(key, F.session_window(at, f"{seconds} seconds").alias("w")).agg(F.count("*").alias("captures"))
+    return open_.select(key, F.col("w.start").alias("first"), F.col("w.end").alias("due"), "captures")

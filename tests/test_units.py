@@ -116,9 +116,9 @@ def test_chunks_are_slices_of_their_bytes():
 
 
 def test_merge_operations(spark):
-    ops = [("a", 1, "write", "w"), ("a", 2, "append", "x"), ("b", 1, "append", "1"), ("b", 2, "append", "2"), ("c", 1, "write", "w"), ("c", 2, "rewrite", "r"), ("c", 3, "append", "y"), ("d", 1, "write", "1"), ("d", 2, "write", "2")]
+    ops = [("a", 1, "write", "w"), ("a", 2, "append", "x"), ("b", 1, "append", "1"), ("b", 2, "append", "2"), ("c", 1, "write", "w"), ("c", 2, "rewrite", "r"), ("c", 3, "append", "y"), ("d", 1, "write", "1"), ("d", 2, "write", "2"), ("e", 1, "append", " 1\n"), ("e", 2, "write", "2"), ("f", 1, "rewrite", "r"), ("f", 2, "rewrite", "s")]
     got = {r["path"]: (r["kind"], r["content"]) for r in distill.merge_operations(spark.createDataFrame(ops, "path string, seq int, kind string, content string")).collect()}
-    assert got == {"a": ("write", "w\nx"), "b": ("append", "1\n2"), "c": ("rewrite", "r"), "d": ("write", "1")}
+    assert got == {"a": ("write", "w\n\nx\n"), "b": ("append", "1\n\n2\n"), "c": ("rewrite", "r"), "d": ("write", "1"), "e": ("append", " 1\n"), "f": ("rewrite", "s")}
 
 
 def test_facts_merge(spark):
