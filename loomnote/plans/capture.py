@@ -15,10 +15,11 @@ from .base import query
 
 
 @query("quiet_captures", """WITH e AS (SELECT user_id AS path, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events), g AS (SELECT *, sum(CASE WHEN before IS NULL OR ts - before >= INTERVAL 6 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY ts) AS n FROM e)
-SELECT path, min(ts) AS first, max(ts) + INTERVAL 6 HOUR AS due, count(*) AS captures FROM g GROUP BY path, n""")
+SELECT path, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS first, strftime(max(ts) + INTERVAL 6 HOUR, '%Y-%m-%d %H:%M:%S.%f') AS due, count(*) AS captures FROM g GROUP BY path, n""")
 def quiet_captures(spark, sf):
     """A user's events as captures of one file, due after six hours of quiet."""
-    return drain.quiet(table(spark, sf, "events").select(F.col("user_id").alias("path"), F.col("ts").alias("at")), 6 * 3600).withColumns({"first": F.to_timestamp_ntz(F.date_format("first", "yyyy-MM-dd HH:mm:ss.SSSSSS")), "due": F.to_timestamp_ntz(F.date_format("due", "yyyy-MM-dd HH:mm:ss.SSSSSS"))})
+    found = drain.quiet(table(spark, sf, "events").select(F.col("user_id").alias("path"), F.col("ts").alias("at")), 6 * 3600)
+    return found.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS") for c in ("first", "due")})
 
 
 def logs(spark, sf):
