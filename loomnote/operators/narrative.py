@@ -35,7 +35,7 @@ def asked(rows: DataFrame, prompt: Column, chat: models.Chat, name: str) -> Data
 
 def _strings(reply: Column, field: str) -> Column:
     got = F.from_json(assembly.json_in(reply), f"{field} array<string>")[field]
-    return F.filter(F.transform(F.coalesce(got, F.array().cast("array<string>")), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.coalesce(got, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def synthesized(pages: DataFrame, facts: DataFrame, detect: models.Chat, write: models.Chat, judge: models.Chat | None = None) -> DataFrame:
