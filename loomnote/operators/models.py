@@ -178,7 +178,7 @@ def extracted_facts(ranges: DataFrame, chat: Chat, cache: DataFrame | None = Non
     asked = written(asked, "facts-answers")
     found = F.coalesce(F.from_json(assembly.json_in(F.col("reply")), "facts array<string>")["facts"], F.array().cast("array<string>"))
     each = asked.withColumn("first", F.min(F.when(F.col("truncated"), F.col("n"))).over(Window.partitionBy(*key)))
-    facts = each.where("first IS NULL OR n < first").select(*key, "n", F.posexplode(F.filter(F.transform(found, F.trim), lambda x: x != "")).alias("at", "fact"))
+    facts = each.where("first IS NULL OR n < first").select(*key, "n", F.posexplode(F.filter(F.transform(found, lambda x: F.trim(x)), lambda x: x != "")).alias("at", "fact"))
     once = facts.groupBy(*key, F.lower(F.regexp_replace("fact", r"\s+", " ")).alias("plain")).agg(F.min(F.struct("n", "at", "fact")).alias("f"))
     listed = once.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list("f")), lambda x: x["fact"]).alias("facts"))
     whole = each.groupBy(*key).agg(F.bool_or("truncated").alias("truncated"), F.sum("tokens").alias("tokens"))
