@@ -47,7 +47,7 @@ def operations(answers: DataFrame, id_col: str = "id", text_col: str = "text") -
     return rows.select("id", "seq", "op.*")
 
 
-def _target(ops: DataFrame) -> DataFrame:
+def targeted(ops: DataFrame) -> DataFrame:
     """ops with the path that each is about, kebab-case for pages, its category (null where no page of a known one can be), and allowed."""
     path = F.coalesce(F.when(F.col("kind") == "supersede_page", F.col("new_page")).otherwise(F.col("path")), F.when(F.col("kind") == "update_index", "index.md").when(F.col("kind") == "append_log", "log.md"), F.lit(""))
     steps = F.split(F.replace(F.col("path"), F.lit("\\"), F.lit("/")), "/")
@@ -159,7 +159,7 @@ def carried_out(ops: DataFrame, pages: DataFrame, day: str, journal: DataFrame |
         ops = ops.withColumn("batch", F.lit(0))
     if "relations" not in pages.columns:
         pages = pages.withColumn("relations", F.lit(None).cast("array<string>"))
-    rows = _target(ops).withColumns({"text": F.coalesce("body", "section", F.lit("")), "day": F.lit(day)})
+    rows = targeted(ops).withColumns({"text": F.coalesce("body", "section", F.lit("")), "day": F.lit(day)})
     page = F.col("kind").isin("write_page", "append_page", "rewrite_page")
     # Operations on paths that are no category's pages are not merged: each is a batch of its own.
     own = F.when(F.col("category").isNull(), F.struct("batch", "id", "seq")).otherwise(F.struct("batch", F.lit(None).cast("long").alias("id"), F.lit(None).cast("int").alias("seq")))

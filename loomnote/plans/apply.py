@@ -58,10 +58,11 @@ def own_pages(spark, sf):
     )
 
 
-@query("parse_operations", f"WITH {_ANSWERS} SELECT id, kind, length(CASE WHEN paged THEN t END) AS chars FROM ops")
+@query("parse_operations", f"WITH {_ANSWERS} SELECT id, kind, CASE WHEN paged THEN path END AS path, length(CASE WHEN paged THEN t END) AS chars FROM ops")
 def parse_operations(spark, sf):
-    found = apply.operations(answers(spark, sf))
-    return found.select("id", "kind", F.length(F.coalesce("body", "section")).cast("long").alias("chars"))
+    found = apply.targeted(apply.operations(answers(spark, sf)))
+    path = F.when(F.col("kind").isin("write_page", "append_page", "rewrite_page"), F.col("path"))
+    return found.select("id", "kind", path.alias("path"), F.length(F.coalesce("body", "section")).cast("long").alias("chars"))
 
 
 def _shares(old: str, new: str) -> str:
