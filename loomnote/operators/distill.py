@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..storage import written
+from ..storage import small_batches, written
 from . import graph, resolve
 
 # What a log line must look like to count as noise, by class.
@@ -103,6 +103,26 @@ def _blocks(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"\n\s*\n"), strip), lambda b: b != "")
 
 
+def unsaid(norms: list[str], heads: list[bool], known: list[str], whole: list[bool], least: int) -> list[int]:
+    """Which of a new text's pieces (their prose, and whether they are whole blocks) no block or line of an old one equals or covers; of m words one of the rarest m - least * m / 100 + 1 must be among the old ones', so only such old pieces are looked at."""
+    words = lambda s: frozenset(w for w in s.split(" ") if len(w) > 2)
+    equal = set(zip(known, whole, strict=True))
+    sets = list({w for w in map(words, set(known)) if w})
+    index: dict[str, list[int]] = {}
+    for n, s in enumerate(sets):
+        for w in s:
+            index.setdefault(w, []).append(n)
+    out = []
+    for i, (norm, head) in enumerate(zip(norms, heads, strict=True)):
+        own = words(norm)
+        if not own or (norm, head) in equal:
+            continue
+        rare = sorted(own, key=lambda w: len(index.get(w, ())))[: len(own) + (-len(own) * least // 100) + 1]
+        if not any(100 * len(own & sets[n]) >= least * len(own) for n in {n for w in rare for n in index.get(w, ())}):
+            out.append(i)
+    return out
+
+
 def net_new(new: DataFrame, old: DataFrame, key: str, least: int = 80) -> DataFrame:
     """key, fresh: what of each new text (key, body) the old texts of its key (key, body) don't say yet; keys with nothing new are left out.
 
@@ -110,32 +130,31 @@ def net_new(new: DataFrame, old: DataFrame, key: str, least: int = 80) -> DataFr
     (longer than two signs) an old block or line has ``least`` percent; so do those without words and headings of dated
     updates. What stays is joined again, lines by line ends, blocks by blank lines.
 
-    The containment is a join: of m words, more than m - least * m / 100 cannot be missing, so such a block or line has
-    one of its so many rarest words in common with the old one; only these are looked up, and the old texts' equal word
-    sets are one. One row per key is taken from new; a key without old text is new as a whole. Null texts have nothing.
+    New and old texts meet by key, a pair of texts a row, and no piece of them leaves that row: what is shuffled are the
+    texts. Of several old texts a piece must be new to each. One row per key is taken from new; a key without old text
+    is new as a whole. Null texts have nothing.
     """
-    words = lambda c: F.array_distinct(F.filter(F.split(prose(c), " "), lambda w: F.length(w) > 2))
+    small_batches(new.sparkSession)
+
+    @F.pandas_udf("array<int>")
+    def kept(norms: pd.Series, heads: pd.Series, known: pd.Series, whole: pd.Series) -> pd.Series:
+        return pd.Series([unsaid(list(n), list(h), list(k), list(w), least) for n, h, k, w in zip(norms, heads, known, whole, strict=True)], dtype=object)
+
     lines = lambda c: F.transform(F.split(c, r"\r?\n"), strip)
-    undated = F.array_join(F.filter(F.split("body", r"\r?\n"), lambda line: ~F.trim(line).rlike(UPDATE)), "\n")
-    blocks = new.select(key, F.posexplode(_blocks(undated)).alias("block", "text"))
-    parts = F.concat(F.array(F.struct(F.lit(-1).alias("line"), F.col("text").alias("part"))), F.transform(lines(F.col("text")), lambda x, i: F.struct(i.alias("line"), x.alias("part"))))
-    pieces = blocks.select(key, "block", F.explode(parts).alias("p")).select(key, "block", "p.*")
-    pieces = written(pieces.withColumns({"norm": prose(F.col("part")), "words": words(F.col("part"))}).where("norm <> '' AND size(words) > 0").withColumn("id", F.monotonically_increasing_id()), "net-new-pieces")
-    had = old.select(key, F.explode(F.concat(F.transform(_blocks(F.col("body")), lambda b: F.struct(F.lit(True).alias("whole"), b.alias("part"))), F.transform(lines(F.col("body")), lambda x: F.struct(F.lit(False).alias("whole"), x.alias("part"))))).alias("p"))
-    had = written(had.select(key, "p.whole", prose(F.col("p.part")).alias("norm"), F.array_sort(words(F.col("p.part"))).alias("known")).where("norm <> ''").distinct(), "net-new-known")
-    equal = pieces.join(had, (pieces[key] == had[key]) & (pieces["norm"] == had["norm"]) & ((pieces["line"] < 0) == had["whole"]), "left_semi").select("id")
-    sets = written(had.where("size(known) > 0").select(key, "known").distinct().withColumn("set", F.monotonically_increasing_id()), "net-new-sets")
-    index = sets.select(key, "set", F.explode("known").alias("word"))
-    count = index.groupBy(key, "word").agg(F.count("*").alias("n"))
-    sized = pieces.select(key, "id", F.size("words").alias("m"), F.explode("words").alias("word")).join(count, [key, "word"], "left")
-    place = F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("n", F.lit(0)), "word"))
-    rare = sized.withColumn("place", place).where(F.col("place") <= F.col("m") - F.ceil(F.col("m") * least / 100) + 1).where("n IS NOT NULL").select(key, "id", "word")
-    met = rare.join(index, [key, "word"]).select("id", "set").distinct().join(pieces.select("id", "words"), "id").join(sets.select("set", "known"), "set")
-    covered = met.where(100 * F.size(F.array_intersect("words", "known")) >= least * F.size("words")).select("id")
-    left = pieces.join(equal.union(covered).distinct(), "id", "left_anti")
-    said = left.where("line < 0").select(key, "block").join(left.where("line >= 0").groupBy(key, "block").agg(F.array_sort(F.collect_list(F.struct("line", "part"))).alias("kept")), [key, "block"])
-    whole = said.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("block", F.array_join(F.transform("kept", lambda x: x["part"]), "\n").alias("text")))).alias("b"))
-    return whole.select(key, F.array_join(F.transform("b", lambda x: x["text"]), "\n\n").alias("fresh"))
+    undated = lambda c: F.array_join(F.filter(F.split(c, r"\r?\n"), lambda line: ~F.trim(line).rlike(UPDATE)), "\n")
+    piece = lambda k, i, x: F.struct(k.alias("block"), i.alias("line"), x.alias("part"))
+    pieces = lambda c: F.flatten(F.transform(_blocks(undated(c)), lambda b, k: F.concat(F.array(piece(k, F.lit(-1), b)), F.transform(lines(b), lambda x, i: piece(k, i, x)))))
+    had = lambda c: F.filter(F.transform(F.concat(F.transform(_blocks(c), lambda b: F.struct(F.lit(True).alias("whole"), b.alias("part"))), F.transform(lines(c), lambda x: F.struct(F.lit(False).alias("whole"), x.alias("part")))), lambda p: F.struct(p["whole"].alias("whole"), prose(p["part"]).alias("norm"))), lambda p: p["norm"] != "")
+    none = F.array().cast("array<struct<whole:boolean,norm:string>>")
+    met = new.where("body IS NOT NULL").select(key, "body").join(old.where("body IS NOT NULL").select(key, F.col("body").alias("__old")), key, "left")
+    cut = met.select(key, pieces(F.col("body")).alias("p"), F.coalesce(had(F.col("__old")), none).alias("h"))
+    asked = cut.select(key, "p", kept(F.transform("p", lambda x: prose(x["part"])), F.transform("p", lambda x: x["line"] < 0), F.col("h.norm"), F.col("h.whole")).alias("k"))
+    every = asked.groupBy(key).agg(F.first("p").alias("p"), F.collect_list("k").alias("k"))
+    left = every.select(key, "p", F.aggregate(F.slice("k", 2, F.size("k")), F.col("k")[0], lambda a, x: F.array_intersect(a, x)).alias("k")).where("size(k) > 0")
+    stay = left.select(key, F.transform("k", lambda i: F.get(F.col("p"), i)).alias("s"))
+    said = F.transform(F.filter("s", lambda x: x["line"] < 0), lambda h: F.transform(F.filter("s", lambda x: (x["block"] == h["block"]) & (x["line"] >= 0)), lambda x: x["part"]))
+    whole = stay.select(key, F.filter(said, lambda t: F.size(t) > 0).alias("b")).where("size(b) > 0")
+    return whole.select(key, F.array_join(F.transform("b", lambda t: F.array_join(t, "\n")), "\n\n").alias("fresh"))
 
 
 def token_windows(docs: DataFrame, size: int = 384, overlap: int = 48, id_col: str = "doc_id", text_col: str = "body") -> DataFrame:
