@@ -28,3 +28,17 @@ def test_exact_boost_scores_classes(spark, monkeypatch):
             if n or i or g:
                 want[q["query_id"], d["id"]] = min(8, 3 + 2 * n + 2 * i + g)
     assert got == want and seen["exact-sets"].count() == 3 and seen["exact-kinds"].count() <= 6
+
+
+def test_thread_clusters_never_send_short_pieces_to_python(spark, monkeypatch):
+    """A piece of too few observations makes no cluster and is left where it is; the others are solved as rows."""
+    from datetime import date, timedelta
+
+    from loomnote.operators import curation
+
+    rows = [("g", i, date(2024, 1, 1) + timedelta(days=30 * i), ["a"]) for i in range(50)] + [("h", 100 + i, date(2024, 1, 1) + timedelta(days=i), ["a", "b"][: 1 + i % 2]) for i in range(4)]
+    df = spark.createDataFrame(rows, "group string, id int, day date, entities array<string>")
+    seen = []
+    monkeypatch.setattr(type(df), "mapInPandas", (lambda real: lambda self, f, kinds: (seen.append(self.count()), real(self, f, kinds))[1])(type(df).mapInPandas))
+    got = sorted(tuple(r) for r in curation.thread_clusters(df).collect())
+    assert got == [("h", 100, 100 + i) for i in range(4)] and seen == [1]
