@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions import text as T
-from ..storage import written
+from ..storage import small_batches, written
 from . import assembly, vector
 
 Embedder = Callable[[list[str]], list[list[float]]]
@@ -113,6 +113,7 @@ def session_chunks(logs: DataFrame, most: int, key: str, text: str) -> DataFrame
             yield pd.DataFrame(rows, columns=["k", "chunk", "text"])
 
     kind = logs.schema[key].dataType.simpleString()
+    small_batches(logs.sparkSession)
     return logs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, f"k {kind}, chunk int, text string").withColumnRenamed("k", key)
 
 

@@ -42,3 +42,14 @@ def test_thread_clusters_never_send_short_pieces_to_python(spark, monkeypatch):
     monkeypatch.setattr(type(df), "mapInPandas", (lambda real: lambda self, f, kinds: (seen.append(self.count()), real(self, f, kinds))[1])(type(df).mapInPandas))
     got = sorted(tuple(r) for r in curation.thread_clusters(df).collect())
     assert got == [("h", 100, 100 + i) for i in range(4)] and seen == [1]
+
+
+def test_texts_go_to_python_in_small_batches(spark):
+    from loomnote.operators import models
+    from loomnote.sources import frontmatter
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    df = spark.createDataFrame([("a", "---\nx: 1\n---\nbody")], "path string, text string")
+    for made in (lambda: frontmatter.with_front(df), lambda: models.session_chunks(df, 100, "path", "text")):
+        spark.conf.set(key, "10000")
+        assert made().count() == 1 and int(spark.conf.get(key)) <= 256
