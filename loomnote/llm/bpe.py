@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lean, release, small_batches, table
+from .common import small_batches, table, tidy
 
 #: Bytes of text in a block; a longer document is a block of its own.
 BLOCK_BYTES = 16 << 20
@@ -91,7 +91,6 @@ def _blocks(docs: DataFrame, block_bytes: int, cut: bool, listed: bool) -> DataF
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lean()
         block, held = None, 0
         ids, counts, parts = [], [], []
         for batch in batches:
@@ -112,11 +111,10 @@ def _blocks(docs: DataFrame, block_bytes: int, cut: bool, listed: bool) -> DataF
                     ids, counts, parts = [], [], []
         if ids:
             yield emit(block, ids, counts, parts)
-        release()
 
     # The scan's own partition number, which stays the same whatever the scan is part of.
     docs = docs.select("id", "text", F.spark_partition_id().alias("part"))
-    return docs.mapInArrow(run, "block long, words array<string>" if listed else f"block long, ids array<{id_type}>, counts array<int>, codes binary, n long, n_words long")
+    return docs.mapInArrow(tidy(run), "block long, words array<string>" if listed else f"block long, ids array<{id_type}>, counts array<int>, codes binary, n long, n_words long")
 
 
 def _encoded(words: DataFrame, tokenizer: str) -> DataFrame:
@@ -126,7 +124,6 @@ def _encoded(words: DataFrame, tokenizer: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lean()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -149,9 +146,8 @@ def _encoded(words: DataFrame, tokenizer: str) -> DataFrame:
             lists[start + 1] = np.bincount(at, minlength=len(each))
             lists = pa.array(np.cumsum(lists, dtype=np.int32))
             yield pa.RecordBatch.from_arrays([pa.array(first), pa.array([i for x in ids for i in x], pa.int32()), pa.ListArray.from_arrays(lists, batch.column(0)), pa.ListArray.from_arrays(lists, batch.column(1))], ["first", "id", "blocks", "places"])
-        release()
 
-    return words.mapInArrow(run, "first boolean, id int, blocks array<long>, places array<int>")
+    return words.mapInArrow(tidy(run), "first boolean, id int, blocks array<long>, places array<int>")
 
 
 def _packed_by_block(coded: DataFrame, width: str) -> DataFrame:
@@ -186,7 +182,6 @@ def _packed_by_block(coded: DataFrame, width: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["block", "m", "at", "sizes", "code", "lengths", "decoded"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lean()
         held, n = [], 0
         for batch in batches:
             starts = np.nonzero(batch.column(0).to_numpy(zero_copy_only=False))[0]
@@ -198,9 +193,8 @@ def _packed_by_block(coded: DataFrame, width: str) -> DataFrame:
             n += len(batch.column(2).flatten())
         if held and sum(map(len, held)):
             yield pack(held)
-        release()
 
-    return coded.select("first", "id", "blocks", "places", "piece").mapInArrow(run, "block long, m long, at binary, sizes binary, code binary, lengths binary, decoded binary")
+    return coded.select("first", "id", "blocks", "places", "piece").mapInArrow(tidy(run), "block long, m long, at binary, sizes binary, code binary, lengths binary, decoded binary")
 
 
 def _plain(model):
@@ -269,7 +263,6 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     derive, given = then or ((lambda batch: batch), "ids array<int>, decoded string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lean()
         held: list[tuple] = []
         for batch in batches:
             for i in range(len(batch)):
@@ -278,9 +271,8 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
                     held = []
                 else:
                     held.append(tuple(batch.column(c)[i].as_py() for c in ("m", "at", "sizes", "code", "lengths", "decoded")))
-        release()
 
-    return both.mapInArrow(run, f"id {id_type.simpleString()}, {given}").withColumnRenamed("id", id_col)
+    return both.mapInArrow(tidy(run), f"id {id_type.simpleString()}, {given}").withColumnRenamed("id", id_col)
 
 
 def _digests(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import components, lean, release, small_batches, table, written
+from .common import components, small_batches, table, tidy, written
 
 SHINGLE, SEED, BITS = 4, 42, 4
 #: Members of a bucket from which on it is split by finer keys, and from which on the largest component of a finer bucket is not compared with itself.
@@ -120,14 +120,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """doc_id, print (long) of every row; null texts count as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lean()
         for batch in batches:
             prints = [fingerprint(None if not x.is_valid else x.as_buffer().to_pybytes(), shingle) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())], ["id", "print"])
-        release()
 
     docs = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, print long")
+    return docs.mapInArrow(tidy(run), f"id {docs.schema['id'].dataType.simpleString()}, print long")
 
 
 def _segments(prints: np.ndarray) -> list[np.ndarray]:
@@ -160,7 +158,7 @@ def _keyed(prints: DataFrame) -> DataFrame:
                 at, keys = fuzzy_keys(part, tables)
                 yield pa.RecordBatch.from_arrays([pa.array(part[at]), pa.array(keys)], ["print", "key"])
 
-    return prints.select("print").mapInArrow(run, "print long, key long")
+    return prints.select("print").mapInArrow(tidy(run), "print long, key long")
 
 
 def _finer(members: DataFrame) -> DataFrame:
@@ -173,7 +171,7 @@ def _finer(members: DataFrame) -> DataFrame:
                 at, fine = finer_keys(keys[i : i + 16384], prints[i : i + 16384], tables)
                 yield pa.RecordBatch.from_arrays([pa.array(fine), pa.array(prints[i : i + 16384][at]), pa.array(parts[i : i + 16384][at])], ["key", "print", "part"])
 
-    return members.select("key", "print", "part").mapInArrow(run, "key long, print long, part long")
+    return members.select("key", "print", "part").mapInArrow(tidy(run), "key long, print long, part long")
 
 
 def link_components(prints: DataFrame, bits: int = BITS) -> DataFrame:

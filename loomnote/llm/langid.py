@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import lean, release, small_batches, table
+from .common import small_batches, table, tidy
 
 ORDERS = (3, 4)
 SLOTS = 1 << 19
@@ -74,9 +74,8 @@ def _counts(train: DataFrame, orders: tuple[int, ...]) -> DataFrame:
             for (lang, n), parts in held.items():
                 grams, times = np.unique(np.concatenate(parts), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array([n] * len(grams), pa.int32()), pa.array(grams.view(np.int64)), pa.array(times)], ["lang", "n", "gram", "times"])
-        release()
 
-    return small_batches(train).mapInArrow(run, "lang string, n int, gram long, times long")
+    return small_batches(train).mapInArrow(tidy(run), "lang string, n int, gram long, times long")
 
 
 def slots_of(grams: np.ndarray, slots: int, hashes: int) -> Iterator[np.ndarray]:
@@ -143,16 +142,15 @@ def _predicted(docs: DataFrame, filters: Filters, text_col: str, orders: tuple[i
     shared = docs.sparkSession.sparkContext.broadcast((filters.languages, filters.masks, filters.false_rate, filters.slots, filters.hashes, filters.default))
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        lean()
         own = Filters.__new__(Filters)
         own.languages, own.masks, own.false_rate, own.slots, own.hashes, own.default = shared.value
         letters = letter_table()
         for texts in batches:
             yield pd.DataFrame([classify(t, own, orders, letters) for t in texts], columns=["lang_pred", "score"])
-        release()
 
-    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    return small_batches(docs).select(F.struct("*").alias("row"), F.pandas_udf(run, "lang_pred string, score double")(F.col(text_col).cast("string")).alias("p"))
+    task = tidy(run)
+    task.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+    return small_batches(docs).select(F.struct("*").alias("row"), F.pandas_udf(task, "lang_pred string, score double")(F.col(text_col).cast("string")).alias("p"))
 
 
 def predict(docs: DataFrame, filters: Filters, text_col: str = "text", orders: tuple[int, ...] = ORDERS) -> DataFrame:
