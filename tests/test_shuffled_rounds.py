@@ -20,3 +20,10 @@ def test_communities_broadcast_nothing(spark, monkeypatch):
     plans.append(found._jdf.queryExecution().executedPlan().toString())
     assert {tuple(r) for r in found.collect()} == {("a", "a"), ("b", "a"), ("c", "a"), ("x", "x"), ("y", "x")}
     assert len(plans) > 3 and not any("Broadcast" in p for p in plans)
+
+
+def test_expansion_sorts_no_links(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("a", "b"), ("e", "a")], "from_path string, to_path string")
+    found = graph.expand(edges, spark.createDataFrame([("a",), ("a",)], "path string"), 2)
+    assert {tuple(r) for r in found.collect()} == {("b", 1), ("e", 1), ("c", 2)}
+    assert "SortMergeJoin" not in (plan := found._jdf.queryExecution().executedPlan().toString()) and "ShuffledHashJoin" in plan
