@@ -2,7 +2,10 @@
 
 import random
 
-from loomnote.operators import resolve
+from pyspark.sql import functions as F
+
+from loomnote.functions import text as T
+from loomnote.operators import lexical, resolve
 
 
 def plan(df):
@@ -21,3 +24,39 @@ def test_like_sets_of_few_items_are_paired_without_gathering_pairs(spark):
     rows = [(r["left_id"], r["right_id"], round(r["jaccard"], 9)) for r in resolve.similar_sets(rows, 0.4, block=16).collect()]
     want = {(a, b, round(len(x & y) / len(x | y), 9)) for a, x in sets.items() for b, y in sets.items() if a < b and len(x & y) / len(x | y) >= 0.4}
     assert len(rows) == len(want) and set(rows) == want
+
+
+def searched(spark, n=120):
+    rng = random.Random(7)
+    words = ["the", "of"] + [f"w{i}" for i in range(30)]
+    text = lambda: " ".join(rng.choices(words, k=rng.randint(0, 12)))
+    docs = [(i, text() if i % 11 else None) for i in range(n)]
+    return spark.createDataFrame(docs, "doc_id long, body string"), spark.createDataFrame([(q, text()) for q in range(9)], "query_id long, query string")
+
+
+def test_bm25_scores_neither_shuffle_nor_gather(spark):
+    docs, queries = searched(spark)
+    found = lexical.bm25(docs, queries)
+    assert "Aggregate" not in plan(found) and "Join" not in plan(found)
+    every = {(r["query_id"], r["id"]): r["score"] for r in found.collect()}
+    old, lexical.FEW_PAIRS = lexical.FEW_PAIRS, 0
+    try:
+        assert every and every == {(r["query_id"], r["id"]): r["score"] for r in lexical.bm25(docs, queries).collect()}
+    finally:
+        lexical.FEW_PAIRS = old
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    for k in (1, 3, 500):
+        assert rows(lexical.top(lexical.bm25(docs, queries, best=k), k)) == rows(lexical.top(found, k))
+    # Ids that several documents share are one document's postings, as in the SQL.
+    assert len(lexical.bm25(docs.union(docs), queries).collect()) == len(every)
+
+
+def test_all_terms_makes_no_pairs_of_frequent_terms(spark):
+    docs, queries = searched(spark, 400)
+    asked = queries.select("query_id", T.tokens(F.slice(F.split("query", " "), 1, 2).cast("string")).alias("terms"))
+    found = lexical.all_terms(docs, asked)
+    assert "Aggregate" not in plan(found)
+    bodies = {r["doc_id"]: set((r["body"] or "").split()) for r in docs.collect()}
+    want = {(r["query_id"], d) for r in asked.collect() if r["terms"] for d, w in bodies.items() if set(r["terms"]) <= w}
+    rows = [(r["query_id"], r["id"]) for r in found.collect()]
+    assert len(rows) == len(want) and set(rows) == want and want
