@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loomnote.functions import text as T
 from loomnote.operators import lexical, resolve
+from loomnote.tables import pages_of
 
 
 def plan(df):
@@ -60,3 +61,31 @@ def test_all_terms_makes_no_pairs_of_frequent_terms(spark):
     want = {(r["query_id"], d) for r in asked.collect() if r["terms"] for d, w in bodies.items() if set(r["terms"]) <= w}
     rows = [(r["query_id"], r["id"]) for r in found.collect()]
     assert len(rows) == len(want) and set(rows) == want and want
+
+
+def test_phrases_of_a_text_do_not_stand_side_by_side(spark):
+    docs = spark.createDataFrame([(1, "A b, c d."), (2, ""), (3, None), (4, "a")], "doc_id long, body string")
+    found = resolve.phrases(docs, [1, 3, 9])
+    assert "flatten" not in plan(found)
+    assert {tuple(r) for r in found.collect()} == {(1, "a", 1), (1, "b", 2), (1, "c", 3), (1, "d", 4), (1, "a b c", 1), (1, "b c d", 2), (4, "a", 1)}
+
+
+def test_titles_are_found_without_reading_on(spark, tmp_path):
+    texts = [None, "", " ", "42", "one", "1one,two", "--a1b2c3d4", "é a\nb\tc d", "ab  cd", "x" * 50 + "9 y"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'en' AS lang", "'src1' AS source").write.parquet(f"{tmp_path}/documents.parquet")
+    old = F.array_join(F.slice(F.split(F.trim(F.regexp_replace("body", r"[^A-Za-z]+", " ")), " "), 1, 3), " ")
+    pages = pages_of(spark, str(tmp_path))
+    assert "regexp_replace" not in plan(pages)
+    assert all(r["title"] == r["old"] for r in pages.withColumn("old", old).collect())
+
+
+def test_exact_hits_of_many_words_meet_by_equality(spark):
+    docs = spark.createDataFrame([(1, "Doc-1", "big red", ["x"]), (2, "doc-2", None, None), (3, "", "Red", ["no", "Big"])], "id long, name string, title string, tags array<string>")
+    queries = spark.createDataFrame([(7, ["red", "doc", ""]), (8, ["big", "2", "absent"]), (9, [])], "query_id long, terms array<string>")
+    rows = lambda: sorted(map(tuple, lexical.exact_boost(docs, queries, "id", "name", "title", "tags").collect()))
+    few, old = rows(), lexical.FEW_WORDS
+    lexical.FEW_WORDS = 0
+    try:
+        assert few and rows() == few
+    finally:
+        lexical.FEW_WORDS = old
