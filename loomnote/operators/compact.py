@@ -6,13 +6,45 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .models import truncate_middle
+from ..storage import small_batches, written
+from .models import middle_cut
 
-# Fixed value: a tool observation of a log, its input and output between what surrounds them.
-TOOL = r"(\n## \[\d{2}:\d{2}:\d{2}\] ToolUse: [^\n]+\n\n\*\*Input:\*\*\n\n```json\n)([\s\S]*?)(\n```\n\n\*\*Output:\*\*\n\n```\n)([\s\S]*?)(\n```)"
+# A tool observation of a log, its input and output between what surrounds them; TOOL is the whole as one pattern.
+HEAD = r"\n## \[\d{2}:\d{2}:\d{2}\] ToolUse: [^\n]+\n\n\*\*Input:\*\*\n\n```json\n"
+MIDDLE, END = "\n```\n\n**Output:**\n\n```\n", "\n```"
+TOOL = rf"({HEAD})([\s\S]*?)({re.escape(MIDDLE)})([\s\S]*?)({re.escape(END)})"
+
+#: Bytes of a batch of whole logs on its way to Python, about.
+BATCH_BYTES = 4 << 20
+
+_HEAD, _MIDDLE, _END = re.compile(HEAD.encode()), MIDDLE.encode(), END.encode()
+
+
+def compacted_text(text: str, most_input: int, most_output: int) -> tuple[str, list[tuple[int, int, int, int]]]:
+    """A log with the inputs and outputs of its tool observations cut in the middle, and (old start, old end, new start, new end) in bytes of those that were.
+
+    Equal to replacing what TOOL matches, but reads on from mark to mark: a head that nothing closes is the last one.
+    """
+    raw, out, spans, at, gone = text.encode(), [], [], 0, 0
+    while head := _HEAD.search(raw, at):
+        start, given = head.span()
+        middle = raw.find(_MIDDLE, given)
+        output = middle + len(_MIDDLE)
+        end = raw.find(_END, output) if middle >= 0 else -1
+        if end < 0:
+            break
+        old = raw[start : end + len(_END)]
+        cut = lambda a, z, most: raw[a:z] if z - a <= most else middle_cut(raw[a:z].decode(), most).encode()
+        new = raw[start:given] + cut(given, middle, most_input) + _MIDDLE + cut(output, end, most_output) + _END
+        out += [raw[at:start], new]
+        at = start + len(old)
+        if new != old:
+            spans.append((start, at, start - gone, start - gone + len(new)))
+            gone += len(old) - len(new)
+    return b"".join([*out, raw[at:]]).decode(), spans
 
 
 def compacted(logs: DataFrame, most_input: int = 8192, most_output: int = 8192) -> tuple[DataFrame, DataFrame]:
@@ -20,23 +52,24 @@ def compacted(logs: DataFrame, most_input: int = 8192, most_output: int = 8192)
 
     First: path, text, bytes_before, bytes_after, observations (how many were cut) of the logs that change. Second:
     path, old_start, old_end, new_start, new_end of every observation that was cut. Both starts grow with each other
-    within a path, so offsets keep their order. A log's observations are rows of their own, and starts are running
-    sums over them; texts without any are left out, as are null texts. Paths are distinct.
+    within a path, so offsets keep their order. Each log is read once, in its own row; what changes is a table in the
+    shared folder, from which both results are read. Texts without observations are left out, as are null texts. Paths
+    are distinct.
     """
-    parts = ["full", "prefix", "given", "middle", "output", "suffix"]
-    found = logs.where(F.col("text").rlike(TOOL)).select("path", "text", F.split("text", TOOL).alias("outside"), *[F.regexp_extract_all("text", F.lit(TOOL), i).alias(p) for i, p in enumerate(parts)])
-    rows = found.select("path", F.posexplode(F.arrays_zip("outside", *parts)).alias("n", "b")).select("path", "n", F.col("b.outside").alias("outside"), *[F.col(f"b.{p}").alias(p) for p in parts])
-    cut = rows.withColumns({"given_": truncate_middle("given", most_input), "output_": truncate_middle("output", most_output)})
-    changed = (F.col("given") != F.col("given_")) | (F.col("output") != F.col("output_"))
-    cut = cut.withColumn("changed", F.coalesce(changed, F.lit(False))).withColumn("next", F.when(F.col("changed"), F.concat("prefix", "given_", "middle", "output_", "suffix")).otherwise(F.coalesce("full", F.lit(""))))
-    size = lambda c: F.coalesce(F.octet_length(c), F.lit(0)).cast("long")
-    sized = cut.select("path", "n", "changed", F.concat("outside", "next").alias("piece"), size(F.col("outside")).alias("out"), size(F.col("full")).alias("old"), size(F.col("next")).alias("new"))
-    before = Window.partitionBy("path").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    start = lambda c: F.coalesce(F.sum(F.col("out") + F.col(c)).over(before), F.lit(0)) + F.col("out")
-    placed = sized.withColumns({"old_start": start("old"), "new_start": start("new")})
-    remap = placed.where("changed").select("path", "old_start", (F.col("old_start") + F.col("old")).alias("old_end"), "new_start", (F.col("new_start") + F.col("new")).alias("new_end"))
-    whole = placed.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "piece"))), lambda x: x["piece"]), "").alias("text"), F.sum(F.col("out") + F.col("old")).alias("bytes_before"), F.sum(F.col("out") + F.col("new")).alias("bytes_after"), F.count_if("changed").alias("observations"))
-    return whole.where("observations > 0"), remap
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            made = [compacted_text(t, most_input, most_output) for t in f["text"]]
+            changed = pd.Series([bool(spans) for _, spans in made], index=f.index, dtype=bool)
+            yield f.assign(text=[t for t, _ in made], spans=[[dict(zip(places, s, strict=True)) for s in spans] for _, spans in made])[changed]
+
+    places = ["old_start", "old_end", "new_start", "new_end"]
+    kind = logs.schema["path"].dataType.simpleString()
+    small_batches(logs.sparkSession, most_bytes=BATCH_BYTES)
+    found = logs.where(F.contains("text", F.lit("] ToolUse: "))).select("path", "text", F.octet_length("text").cast("long").alias("bytes_before"))
+    made = written(found.mapInPandas(run, f"path {kind}, text string, bytes_before long, spans array<struct<{', '.join(f'{p}: long' for p in places)}>>"), "compacted")
+    texts = made.select("path", "text", "bytes_before", F.octet_length("text").cast("long").alias("bytes_after"), F.size("spans").cast("long").alias("observations"))
+    return texts, made.select("path", F.inline("spans"))
 
 
 def carried(watermarks: DataFrame, remap: DataFrame) -> DataFrame:

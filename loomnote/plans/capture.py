@@ -38,7 +38,8 @@ def compact_raw(spark, sf):
     """Logs that compaction changes, and where a watermark at three quarters of each then stands."""
     texts, remap = compact.compacted(logs(spark, sf), *CAPS)
     marks = texts.select("path", F.expr("bytes_before * 3 DIV 4").alias("bytes"))
-    return texts.join(compact.carried(marks, remap).withColumnRenamed("bytes", "watermark"), "path").select("path", F.sha2("text", 256).alias("text_sha256"), "bytes_before", "bytes_after", "observations", "watermark")
+    digests = texts.select("path", F.sha2("text", 256).alias("text_sha256"), "bytes_before", "bytes_after", "observations")
+    return digests.join(compact.carried(marks, remap).withColumnRenamed("bytes", "watermark"), "path")
 
 
 def rewritten(spark, sf):
