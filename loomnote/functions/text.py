@@ -70,10 +70,18 @@ def similarity(a: Column, b: Column) -> Column:
     return F.greatest(edit, jaccard(bigrams(a), bigrams(b)))
 
 
+# What is no word for title matching: single letters, numbers and stopwords.
+_NO_SCORING_WORD = rf"(?<![a-z0-9])(?:[a-z0-9]|[0-9]++|{'|'.join(params.TITLE_STOPWORDS)})(?![a-z0-9])"
+
+
+def scoring_phrase(text: Column) -> Column:
+    """Tokens for title matching in order, joined by blanks: a-z and digits, longer than one, no stopwords, no numbers."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), _NO_SCORING_WORD, ""), r"[^a-z0-9]+", " "))
+
+
 def scoring_list(text: Column) -> Column:
-    """Tokens for title matching in order: a-z and digits, longer than one, no stopwords, no numbers."""
-    every = F.split(F.trim(F.regexp_replace(F.lower(text), r"[^a-z0-9]+", " ")), " ")
-    return F.filter(every, lambda x: (F.length(x) > 1) & ~x.isin(params.TITLE_STOPWORDS) & ~x.rlike(r"^\d+$"))
+    """The tokens of scoring_phrase."""
+    return F.filter(F.split(scoring_phrase(text), " "), lambda x: x != "")
 
 
 def scoring_tokens(text: Column) -> Column:

@@ -39,11 +39,12 @@ def degenerate(raw: DataFrame, wiki: DataFrame, dim: int | None = None, least_di
     fits = usable(F.col("v")) & F.col("fit") & (F.size(F.array_union("sizes", F.array(F.size("v")))) <= 1 if not dim else F.lit(True))
     sized = raw.join(F.broadcast(heads)).select("raw_id", "v", (~fits).alias("wrong"))  # one row
     same = raw.select("raw_id", F.to_json("v").alias("j")).join(wiki.select(F.to_json("v").alias("j")).distinct(), "j", "left_semi").select("raw_id", F.lit(True).alias("same"))
-    scores = vector.nearest(wiki.select(F.col("page_id").alias("id"), "v"), raw.select(F.col("raw_id").alias("query_id"), F.col("v").alias("q")), TOP, -1.0)
-    flat = scores.groupBy(F.col("query_id").alias("raw_id")).agg(F.count("*").alias("n"), F.min("score").alias("low")).where((F.col("n") >= 2) & (F.col("low") >= SAME)).select("raw_id", F.lit(True).alias("flat"))
-    joined = sized.join(same.distinct(), "raw_id", "left").join(flat, "raw_id", "left")
-    why = F.when(F.col("wrong"), "dimension").when(vector.zero(F.col("v")) | vector.stub(F.col("v")) | F.col("same"), "collision").when(F.col("flat"), "top-k-collision")
-    return joined.select("raw_id", why.alias("reason")).where("reason IS NOT NULL")
+    why = F.when(F.col("wrong"), "dimension").when(vector.zero(F.col("v")) | vector.stub(F.col("v")) | F.col("same"), "collision")
+    judged = written(sized.join(same.distinct(), "raw_id", "left").select("raw_id", "v", why.alias("reason")), "link-judged")
+    # Only vectors that nothing else rules out are compared with the pages'.
+    scores = vector.nearest(wiki.select(F.col("page_id").alias("id"), "v"), judged.where("reason IS NULL").select(F.col("raw_id").alias("query_id"), F.col("v").alias("q")), TOP, -1.0)
+    flat = scores.groupBy(F.col("query_id").alias("raw_id")).agg(F.count("*").alias("n"), F.min("score").alias("low")).where((F.col("n") >= 2) & (F.col("low") >= SAME)).select("raw_id", F.lit("top-k-collision").alias("flat"))
+    return judged.join(flat, "raw_id", "left").select("raw_id", F.coalesce("reason", "flat").alias("reason")).where("reason IS NOT NULL")
 
 
 def auto_linked(raw: DataFrame, raw_vectors: DataFrame, pages: DataFrame, page_vectors: DataFrame, least: float = 0.65, least_title: float = 0.55, most: int = 3, dim: int | None = None) -> tuple[DataFrame, DataFrame]:

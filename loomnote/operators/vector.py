@@ -51,12 +51,12 @@ def _summed(a: np.ndarray, b: np.ndarray, far: bool) -> np.ndarray:
     return total
 
 
-def _rounded(x: np.ndarray) -> np.ndarray:
-    """To six digits as Spark rounds: halves of the decimal form away from zero."""
-    scaled = np.abs(x) * 1e6
-    out = np.copysign(np.floor(scaled + 0.5) / 1e6, x)
+def _rounded(x: np.ndarray, digits: int = 6) -> np.ndarray:
+    """To so many digits as Spark rounds: halves of the decimal form away from zero."""
+    scaled = np.abs(x) * 10.0**digits
+    out = np.copysign(np.floor(scaled + 0.5) / 10.0**digits, x)
     close = np.abs(scaled - np.floor(scaled) - 0.5) < 1e-3
-    out[close] = [float(Decimal(repr(float(v))).quantize(Decimal("0.000001"), ROUND_HALF_UP)) for v in x[close]]
+    out[close] = [float(Decimal(repr(float(v))).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP)) for v in x[close]]
     return out + 0.0
 
 
@@ -64,7 +64,7 @@ def _best(rows: pd.DataFrame, asked: pd.DataFrame, k: int, least: float | None,
     """query_id, id, score: the k best rows of a block for each query of a block, by cosine or (far) by distance.
 
     A matrix product leaves out what is below the k-th best by more than its error and the rounding; the others are
-    scored component by component. Blocks with missing or non-finite components are scored so as a whole.
+    scored component by component. Blocks with non-finite components, or by distance with missing ones, are scored so as a whole.
     """
     rows, asked = rows.sort_values("id", ignore_index=True), asked.reset_index(drop=True)
     (v, has_v), (q, has_q) = _matrix(rows["v"], rows["h"]), _matrix(asked["q"], asked["g"])
@@ -76,7 +76,8 @@ def _best(rows: pd.DataFrame, asked: pd.DataFrame, k: int, least: float | None,
     v, q, ids, own = pad(v), pad(q), rows["id"].to_numpy(), asked["query_id"].to_numpy()
     with np.errstate(all="ignore"):
         vv, qq = _summed(v, v, False), _summed(q, q, False)
-        slow = ragged or not (np.isfinite(vv).all() and np.isfinite(qq).all())
+        # A component that is not there adds nothing to a product, as the zero in its place; to a distance it would.
+        slow = ragged and far or not (np.isfinite(vv).all() and np.isfinite(qq).all())
         n, m = np.sqrt(vv), np.sqrt(qq)
         sizes = [np.array([-1 if x is None else len(x) for x in c]) for c in (rows["v"], asked["q"])]
 
